@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import shared_dir, table
-from orrery.llm.tokens import WordTokenizer
+from orrery.llm.tokens import encoder
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Texts encoded at a time by one worker, in bytes of text (at least one text).
@@ -47,10 +47,10 @@ def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def _encode_counts(path: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokenizer(path, kind)
+        memo = encoder(path, kind)
         for whole in batches:
             for batch in chunks(whole, 1):
-                _, offsets = encoder.batch(batch.column(1))
+                _, offsets = memo.batch(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(offsets[1:] - offsets[:-1], pa.int64())], ["digest", "n_tokens"])
 
     return run

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered by one Python worker; the memo starts anew when full. It bounds memory only, never results.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 600_000
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PUNCT = r"[.,:;!?%&*$#|]+"
@@ -27,6 +28,12 @@ _ODD_SPACE = r"\x00-\x09\x0B-\x1F\x7F-\xA0\x{1680}\x{2000}-\x{200F}\x{2028}\x{20
 _PLAIN = re.compile(rf"[{_LETTER}]+")
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, kind: str) -> WordTokenizer:
+    """The encoder of this worker process: tasks that run in the same worker share its memo."""
+    return WordTokenizer(path, kind)
+
+
 class WordTokenizer:
     """Encoder for a tokenizer file; ``kind`` names the splitting rule: "word" (word ends, white space dropped) or "byte"."""
 
