@@ -61,3 +61,12 @@ def arrow_words(texts: pa.Array, lower: bool = False) -> pa.ListArray:
     texts = pc.utf8_trim(texts, " ")
     lists = pc.split_pattern(texts, " ")
     return lists
+
+
+#: Tables of a few narrow columns up to this many rows are broadcast (some tens of MB); longer ones are joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written out and narrow, with a broadcast hint if it is counted to have at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,7 +1,7 @@
 """All queries of this subpackage, and their SQL where SQL can express them."""
 
-from orrery.llm import media, mixing, rules, token_counts, urls
+from orrery.llm import media, mixing, near_dedup, rules, token_counts, urls
 
-MODULES = (token_counts, media, urls, mixing, rules)
+MODULES = (token_counts, media, urls, mixing, rules, near_dedup)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
