@@ -1,7 +1,7 @@
 """All queries of this subpackage, and their SQL where SQL can express them."""
 
-from orrery.llm import media, mixing, near_dedup, packing, rules, substring, token_counts, urls
+from orrery.llm import chat, media, mixing, near_dedup, packing, rules, substring, token_counts, urls
 
-MODULES = (token_counts, media, urls, mixing, rules, near_dedup, substring, packing)
+MODULES = (chat, packing, near_dedup, substring, token_counts, media, urls, mixing, rules)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
