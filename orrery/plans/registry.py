@@ -1,4 +1,497 @@
-"""Registered queries and their SQL."""
+"""Registered queries, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orrery.functions import columns as C
+from orrery.operators import bars as B
+from orrery.operators import breadth, clock, delta, indicators, leaders, reports, rotation, rrg, sctr, synthetic_index, trend
+from orrery.plans import sql
+from orrery.plans.fixtures import Market
+from orrery.sources import readers, sinks
+from orrery.streaming import clock_stream, ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(fn: Callable[[Market], DataFrame]) -> Callable[[Market], DataFrame]:
+    """Register a query on the market model under its function's name."""
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Market(spark, sf_dir))
+    return fn
+
+
+def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that engines that sum in another order agree."""
+    return frame.select(*(C.np_round(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in frame.schema))
+
+
+# -- bars ------------------------------------------------------------------------------------------------------------
+
+
+@query
+def stock_bars(m: Market) -> DataFrame:
+    return m.all_bars
+
+
+@query
+def weekday_bars(m: Market) -> DataFrame:
+    return m.bars
+
+
+@query
+def monthly_bars(m: Market) -> DataFrame:
+    return B.monthly(m.all_bars)
+
+
+@query
+def weekly_bars(m: Market) -> DataFrame:
+    return B.weekly(m.all_bars)
+
+
+@query
+def merged_months(m: Market) -> DataFrame:
+    """Stored month bars up to mid 1997, labelled by month start, extended by newer days."""
+    old = B.monthly(m.all_bars.where("date < '1997-06-15'")).withColumn("date", F.trunc("date", "month"))
+    return B.merge_monthly(old, m.all_bars.where("date >= '1997-06-10'"))
+
+
+@query
+def benchmark_bars(m: Market) -> DataFrame:
+    return rounded(m.all_benchmark)
+
+
+@query
+def market_caps(m: Market) -> DataFrame:
+    return m.caps
+
+
+@query
+def universe_buckets(m: Market) -> DataFrame:
+    return readers.universe_by_cap(m.caps.withColumnRenamed("symbol", "ticker"), 32.4e6, 31.3e6, 28.0e6)
+
+
+@query
+def universe_summary(m: Market) -> DataFrame:
+    return readers.universe_summary(m.universe)
+
+
+@query
+def index_symbols(m: Market) -> DataFrame:
+    return readers.symbols(m.published, "^YH")
+
+
+@query
+def stitched_bars(m: Market) -> DataFrame:
+    """Bars up to 1997 as history, all of them as batches: each symbol is extended after its own last date."""
+    return readers.stitch(m.all_bars.where("date < '1997-01-01'"), m.all_bars.where("date >= '1996-06-01'"))
+
+
+@query
+def history_cutoff(m: Market) -> DataFrame:
+    return readers.history_cutoff(m.all_bars, ["none", "7", "3", "1"])
+
+
+@query
+def snapshot_dates(m: Market) -> DataFrame:
+    return B.weekly_dates(m.bars.select("date").distinct(), "1995-01-01")
+
+
+@query
+def filled_closes(m: Market) -> DataFrame:
+    """Closes on the union of the industry's dates, gaps of up to five rows filled."""
+    members = m.membership.select("symbol", "industry_key")
+    own = m.bars.select("symbol", "date", "close").join(members, "symbol")
+    grid = own.select("industry_key", "date").distinct().join(members, "industry_key")
+    full = grid.join(own.select("symbol", "date", "close"), ["symbol", "date"], "left")
+    return full.select("symbol", "date", B.filled(F.col("close"), ["symbol"], 5).alias("close")).where("close is not null")
+
+
+@query
+def as_of_closes(m: Market) -> DataFrame:
+    """Last close of each stock within five days before each week's snapshot date."""
+    return B.snap(m.bars.select("symbol", "date", "close"), B.weekly_dates(m.bars.select("date").distinct()), ["symbol"], ["close"], 5)
+
+
+@query
+def aligned_strength(m: Market) -> DataFrame:
+    """Ratio of each stock to the benchmark on common dates, from 1 at its first."""
+    rows = B.align(m.bars.select("symbol", "date", "close"), m.benchmark)
+    w = C.by("symbol")
+    return rounded(rows.select("symbol", "date", ((F.col("close") / F.first("close").over(w)) / (F.col("benchmark") / F.first("benchmark").over(w))).alias("strength")))
+
+
+# -- indicators ------------------------------------------------------------------------------------------------------
+
+
+@query
+def moving_averages(m: Market) -> DataFrame:
+    w = C.by("symbol")
+    return rounded(m.bars.select("symbol", "date", *(C.sma(F.col("close"), w, n).alias(f"sma{n}") for n in (50, 150, 200)), C.pct_change(F.col("close"), F.lag("close", 63).over(w)).alias("roc63")))
+
+
+@query
+def year_range(m: Market) -> DataFrame:
+    """52-week high, low and place in the range, running peak and drawdown of each stock."""
+    w = C.by("symbol")
+    year, ever = w.rowsBetween(-251, 0), w.rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col("close")
+    rows = m.bars.select("symbol", "date", c, F.max(c).over(year).alias("high_52w"), F.min(c).over(year).alias("low_52w"), F.max(c).over(ever).alias("peak"), F.max(c).over(w.rowsBetween(-24, 0)).alias("high_25"))
+    pos = F.when(F.col("high_52w") > F.col("low_52w"), (c - F.col("low_52w")) / (F.col("high_52w") - F.col("low_52w")) * 100).otherwise(50.0)
+    return rounded(rows.select("symbol", "date", "high_52w", "low_52w", "high_25", pos.alias("range_pos"), C.pct_change(c, F.col("peak")).alias("drawdown")))
+
+
+@query
+def exponential_means(m: Market) -> DataFrame:
+    return rounded(indicators.ewm_series(m.bars.select("symbol", "date", "close"), "symbol", {"ema12": 12, "ema26": 26}))
+
+
+@query
+def ppo_slopes(m: Market) -> DataFrame:
+    ends = indicators.last_closes(m.bars, "symbol")
+    return rounded(ends.select("symbol", "n", indicators.ppo_slope(F.col("closes")).alias("ppo_slope")))
+
+
+@query
+def ppo_slope_days(m: Market) -> DataFrame:
+    return rounded(indicators.ppo_slope_series(m.index, "industry_key").select("industry_key", "date", "ppo_slope"))
+
+
+@query
+def zscores(m: Market) -> DataFrame:
+    return rounded(m.index.select("industry_key", "date", C.zscore_100(F.col("close"), C.by("industry_key"), 10).alias("z")))
+
+
+@query
+def closing_ranges(m: Market) -> DataFrame:
+    h, low, c = F.col("high"), F.col("low"), F.col("close")
+    return rounded(m.clock_bars.select("symbol", "date", (F.try_divide(c - low, h - low) * 100).alias("closing_range")))
+
+
+@query
+def volume_change(m: Market) -> DataFrame:
+    w = C.by("symbol")
+    return rounded(m.clock_bars.select("symbol", "date", C.pct_change(F.col("close"), F.lag("close").over(w)).alias("pct_chg"), F.try_divide(F.col("volume"), F.lag("volume").over(w)).alias("vol_ratio")))
+
+
+@query
+def up_runs(m: Market) -> DataFrame:
+    """Length of the run of rising closes that ends at each bar."""
+    w = C.by("symbol")
+    return m.bars.select("symbol", "date", "close", F.lag("close").over(w).alias("p")).select("symbol", "date", indicators.run_length(F.col("close") > F.col("p"), ["symbol"]).cast("long").alias("run"))
+
+
+@query
+def rank_scales(m: Market) -> DataFrame:
+    """The three ranks of capitalisation inside an industry."""
+    cap = F.floor(F.col("market_cap") / 1e6)
+    rows = m.membership.select("symbol", "industry_key", cap.alias("cap"))
+    keys = ["industry_key"]
+    return rows.select("symbol", C.sctr_rank(F.col("cap"), keys).alias("sctr"), C.percentile_1_99(F.col("cap"), keys).alias("pct"), C.min_rank_desc(F.col("cap"), keys).alias("rank"))
+
+
+# -- indexes and scores ----------------------------------------------------------------------------------------------
+
+
+@query
+def constituent_weights(m: Market) -> DataFrame:
+    return rounded(synthetic_index.weights(m.bars, m.membership), 9)
+
+
+@query
+def synthetic_daily(m: Market) -> DataFrame:
+    return rounded(m.index, 4)
+
+
+@query
+def synthetic_weekly(m: Market) -> DataFrame:
+    return rounded(m.weekly_index, 4)
+
+
+@query
+def synthetic_monthly(m: Market) -> DataFrame:
+    return rounded(m.monthly_index, 4)
+
+
+@query
+def stock_sctr(m: Market) -> DataFrame:
+    return m.stock_scores
+
+
+@query
+def bucket_summary(m: Market) -> DataFrame:
+    return sctr.bucket_summary(m.stock_scores)
+
+
+@query
+def top_stocks_by_bucket(m: Market) -> DataFrame:
+    return reports.top_per_group(m.stock_scores.select("ticker", "cap_bucket", "sctr"), "cap_bucket", F.col("sctr").desc(), "ticker", 10)
+
+
+@query
+def index_sctr(m: Market) -> DataFrame:
+    return sctr.index_sctr(m.published, m.industries)
+
+
+@query
+def industry_sctr(m: Market) -> DataFrame:
+    return m.industry_scores
+
+
+@query
+def industry_breadth(m: Market) -> DataFrame:
+    return m.breadth_by_industry
+
+
+@query
+def score_series(m: Market) -> DataFrame:
+    return rounded(sctr.component_series(m.index).select("industry_key", "date", "raw_score"), 3)
+
+
+@query
+def score_agreement(m: Market) -> DataFrame:
+    """Agreement of the scores of synthetic and published indexes, by name."""
+    a = m.industry_scores.select(F.concat(F.lit(" "), F.upper("industry_name")).alias("name"), "sctr")
+    return sctr.score_agreement(a, sctr.index_sctr(m.published, m.industries).select(F.col("industry_name").alias("name"), "sctr"))
+
+
+# -- rotation, strength, trend ---------------------------------------------------------------------------------------
+
+
+@query
+def rotation_series(m: Market) -> DataFrame:
+    return rounded(m.weekly_rotation, 4)
+
+
+@query
+def rrg_weekly(m: Market) -> DataFrame:
+    return m.weekly_rrg
+
+
+@query
+def rrg_monthly(m: Market) -> DataFrame:
+    return m.monthly_rrg
+
+
+@query
+def rrg_tails(m: Market) -> DataFrame:
+    return rrg.tail_points(m.weekly_rrg)
+
+
+@query
+def industry_history(m: Market) -> DataFrame:
+    return m.history
+
+
+@query
+def history_stats(m: Market) -> DataFrame:
+    return rrg.history_stats(m.history)
+
+
+@query
+def rs_ma_signals(m: Market) -> DataFrame:
+    return m.ma
+
+
+@query
+def ath_monitor(m: Market) -> DataFrame:
+    return m.ath
+
+
+@query
+def rs_percentile(m: Market) -> DataFrame:
+    return m.strength
+
+
+@query
+def strength_histogram(m: Market) -> DataFrame:
+    return reports.strength_histogram(m.strength)
+
+
+@query
+def new_high_counts(m: Market) -> DataFrame:
+    return reports.new_high_counts(m.strength)
+
+
+@query
+def stage_analysis(m: Market) -> DataFrame:
+    return m.stages
+
+
+@query
+def stock_stages(m: Market) -> DataFrame:
+    return trend.stage_metrics(m.bars, "symbol")
+
+
+@query
+def stages_by_sector(m: Market) -> DataFrame:
+    return reports.distribution(m.stages, "sector_name", "stage")
+
+
+@query
+def criteria_table(m: Market) -> DataFrame:
+    return reports.criteria_table(m.stages)
+
+
+@query
+def momentum_screen(m: Market) -> DataFrame:
+    return m.momentum
+
+
+@query
+def short_term_leaders(m: Market) -> DataFrame:
+    return reports.short_term_leaders(m.momentum).select("industry_key", "st_lead")
+
+
+@query
+def nine_month_leaders(m: Market) -> DataFrame:
+    return reports.nine_month_leaders(m.momentum).select("industry_key", "mg_rank")
+
+
+@query
+def signal_distribution(m: Market) -> DataFrame:
+    return reports.distribution(m.momentum, "faber_signal", "mg_signal")
+
+
+@query
+def rotation_composite(m: Market) -> DataFrame:
+    return m.composite
+
+
+@query
+def history_scores(m: Market) -> DataFrame:
+    return rotation.history_scores(m.history)
+
+
+@query
+def ma_structure(m: Market) -> DataFrame:
+    return rotation.ma_structure(m.index)
+
+
+@query
+def rotation_severity(m: Market) -> DataFrame:
+    return m.severity
+
+
+@query
+def severity_distribution(m: Market) -> DataFrame:
+    return reports.severity_distribution(m.severity)
+
+
+@query
+def enriched_severity(m: Market) -> DataFrame:
+    return reports.enriched_severity(m.severity, m.momentum).select("industry_key", "severity_score", "mg_pct", "mg_signal")
+
+
+# -- market and stocks -----------------------------------------------------------------------------------------------
+
+
+@query
+def market_clock(m: Market) -> DataFrame:
+    return m.clock
+
+
+@query
+def clock_trace(m: Market) -> DataFrame:
+    return rounded(clock.trace(m.clock_bars, clock.Limits(correction_drop=3.0)))
+
+
+@query
+def clock_events(m: Market) -> DataFrame:
+    return clock.events(clock.trace(m.clock_bars, clock.Limits(correction_drop=3.0)))
+
+
+@query
+def drawdown_window(m: Market) -> DataFrame:
+    return m.window
+
+
+@query
+def peak_window(m: Market) -> DataFrame:
+    return leaders.peak_window(m.week_benchmark, drop=0.1)
+
+
+@query
+def closing_range_leaders(m: Market) -> DataFrame:
+    members = m.industries.select(F.col("industry_key").alias("symbol"), "industry_key")
+    return leaders.closing_range_leaders(m.nation_week, m.week_benchmark, m.window, members, m.momentum, m.industries, min_score=0, min_days=2, warmup_days=500)
+
+
+@query
+def correction_leaders(m: Market) -> DataFrame:
+    members = m.industries.select(F.col("industry_key").alias("symbol"), "industry_key")
+    scores = m.industry_scores.select(F.col("industry_key").alias("ticker"), F.lit("industry").alias("cap_bucket"), "sctr")
+    return leaders.correction_leaders(m.nation_week, m.week_benchmark, m.window, scores, members, m.industries, min_sctr=0.0, min_share=0.2)
+
+
+@query
+def stock_screener(m: Market) -> DataFrame:
+    before = Market(m.spark, m.sf_dir, "1998-06-30")
+    found = leaders.closing_range_leaders(m.bars, m.benchmark, m.window, m.membership.select("symbol", "industry_key"), m.momentum, m.industries, min_score=0, min_days=2)
+    signals = ("STRONG BUY", "BUY", "HOLD", "WATCH", "CAUTION", "EXIT")
+    return trend.stock_screener(m.bars, m.benchmark, m.membership, m.momentum, m.stages, found.dropDuplicates(["ticker"]), m.stock_scores, before.stock_scores, m.industries, signals=signals, min_criteria=1)
+
+
+@query
+def market_breadth(m: Market) -> DataFrame:
+    return breadth.overall(breadth.merged(m.stages, m.strength, m.momentum, m.ath))
+
+
+@query
+def sector_breadth(m: Market) -> DataFrame:
+    return breadth.by_sector(breadth.merged(m.stages, m.strength, m.momentum, m.ath))
+
+
+@query
+def breadth_reading(m: Market) -> DataFrame:
+    row = breadth.overall(breadth.merged(m.stages, m.strength, m.momentum, m.ath))
+    return breadth.reading(row, m.clock, "SPY").select("health_score", "clock_state", "clock_dds", "interpretation")
+
+
+@query
+def breadth_change(m: Market) -> DataFrame:
+    """Stage breadth against half a year before."""
+    old = Market(m.spark, m.sf_dir, "1998-06-30")
+    rows = [breadth.metric_rows(breadth.overall(breadth.merged(x.stages, x.strength, x.momentum, x.ath))) for x in (m, old)]
+    return breadth.change(*rows)
+
+
+def _snapshots(m: Market) -> DataFrame:
+    old = Market(m.spark, m.sf_dir, "1998-06-30")
+    return m.severity.withColumn("as_of", F.to_date(F.lit("1998-12-31"))).unionByName(old.severity.withColumn("as_of", F.to_date(F.lit("1998-06-30"))))
+
+
+@query
+def signal_delta(m: Market) -> DataFrame:
+    return delta.signal_delta(_snapshots(m))
+
+
+@query
+def signal_crossings(m: Market) -> DataFrame:
+    rows = _snapshots(m)
+    return delta.crossings(delta.compare(rows.where("as_of = date'1998-12-31'"), rows.where("as_of = date'1998-06-30'")))
+
+
+@query
+def bars_round_trip(m: Market) -> DataFrame:
+    """Bars written by as-of date and read back as the last snapshot up to a date."""
+    return sinks.round_trip(m.bars, "1998-12-31")
+
+
+@query
+def ingested_bars(m: Market) -> DataFrame:
+    """Bars appended by the streaming ingest from two batches, the later one overlapping."""
+    return ingest.replay(m.all_bars.where("date < '1997-01-01'"), m.all_bars.where("date >= '1996-06-01'"))
+
+
+@query
+def streamed_clock(m: Market) -> DataFrame:
+    """Clock states from the stateful stream over all index bars."""
+    return rounded(clock_stream.replay(m.clock_bars))
+
+
+SQL = sql.texts(QUERIES)
