@@ -3,11 +3,11 @@
 1. Every text becomes the set of its distinct 5-word shingles (hashed to 64 bits) and a MinHash signature. Equal sets are
    one class; from here on only classes are compared, so copies cost nothing however many there are.
 2. Signatures are cut into bands. Classes that share a band are candidates. In each bucket, all members are compared with
-   one leader (chosen by hash, another in each band and round), never all pairs with each other.
+   one leader, never all with each other.
 3. A candidate pair is compared on batches of its signatures; after each batch it is dropped if the posterior probability
    that its similarity reaches the threshold is below ``miss``. Survivors are verified on the full sets.
-4. Verified links give components. Buckets whose members are in one component are settled. Rounds with new leaders
-   follow while many pairs of a bucket cross components; then all crossing pairs that are left are verified, so no
+4. Verified links give components. Buckets whose members are in one component are settled. Of the others, the pairs that
+   cross components are compared on signatures inside the join that finds them, and survivors are verified, so no
    candidate pair that could join two components goes untested.
 
 Defined results: null or word-less text has no shingles and is linked with nothing; a row with null doc_id is linked with
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import materialize, small, table
@@ -32,7 +32,6 @@ from orrery.llm.token_counts import chunks
 
 BANDS, ROWS, HASHES = 25, 5, 128
 BATCH = 32
-MAX_STAR_ROUNDS = 4
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -44,10 +43,10 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             for b in chunks(whole, 1):
                 sets = shingle_sets(b.column(1), k)
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                sigs = [signature(s, params).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+                sigs = [signature(s, params).view(np.int32) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "sig"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, sig array<int>")
 
 
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -67,21 +66,14 @@ def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     return out
 
 
-def _prune(threshold: float, miss: float):
-    limits = least_matches(threshold, miss)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b.column(c).cast(pa.binary(4 * HASHES)).buffers()[1], "<u4").reshape(-1, HASHES)[b.column(c).offset : b.column(c).offset + b.num_rows] for c in ("sig_a", "sig_b"))
-            alive, matches, done = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64), 0
-            for n, least in limits:
-                matches[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
-                alive, done = alive[matches[alive] >= least], n
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(alive)) for c in ("a", "b")], ["a", "b"])
-
-    return run
+def may_reach(a: Column, b: Column, limits: list[tuple[int, int]], done: int = 0) -> Column:
+    """Whether two signatures pass every limit, batch by batch: a later batch is compared only if the earlier ones passed."""
+    out, sure = F.lit(True), F.lit(0)
+    for n, least in limits:
+        same = F.size(F.filter(F.zip_with(F.slice(a, done + 1, n - done), F.slice(b, done + 1, n - done), lambda x, y: x == y), lambda x: x))
+        sure, done = sure + same, n
+        out = out & (sure >= least)
+    return out
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -103,21 +95,52 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
     """The pairs (a, b) of classes whose sets have at least ``percent`` of their union in common, written out."""
     sig = classes.select("node", "sig")
     with_sigs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    alive = materialize(with_sigs.mapInArrow(_prune(percent / 100, miss), "a binary, b binary"), "candidates")
-    wanted = materialize(alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct().join(classes.select("node", "id"), "node"), "wanted")
+    alive = materialize(with_sigs.where(may_reach(F.col("sig_a"), F.col("sig_b"), least_matches(percent / 100, miss))).select("a", "b"), "candidates")
+    ids = alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct()
+    wanted = materialize(ids.join(classes.select("node", "id"), "node"), "wanted")
     sets = materialize(_full_sets(docs, wanted, k), "sets")
     joined = alive.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
     return materialize(common.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"), "links")
 
 
-def _pairs(joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs from rows (node, n, other, other_n) whose sizes allow the similarity."""
-    fits = joined.where((F.col("node") != F.col("other")) & (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")))
-    return fits.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def sizes_fit(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of each member of a bucket with the bucket's leader.
 
+    The leader is the member whose buckets hold most rows. That is the text that most others resemble, and the same in
+    most buckets of a group, so a member meets few leaders.
+    """
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = members.join(weight, "node")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("l")).select("key", F.col("l.node").alias("other"), F.col("l.n").alias("other_n"))
+    near = members.join(leaders, "key").where((F.col("node") != F.col("other")) & sizes_fit(F.col("n"), F.col("other_n"), percent))
+    return near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def crossing_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs of one bucket that are in different components and may reach the similarity, each once.
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    Buckets with one component are dropped first. A pair of several buckets is taken from the first one only, and the
+    first batches of the signatures are compared inside the join, so what it gives are pairs that still look similar.
+    """
+    labelled = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = materialize(labelled.join(open_, "key"), "open")
+    half = least_matches(percent / 100, miss)[:2]
+    sigs = classes.select("node", F.col("keys"), F.slice("sig", 1, half[-1][0]).alias("sig"))
+    side = rest.join(sigs, "node")
+    x, y = side.alias("x"), side.alias("y")
+    first = F.get(F.filter(F.zip_with("x.keys", "y.keys", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(0)) == F.col("x.key")
+    condition = (F.col("x.component") < F.col("y.component")) & sizes_fit(F.col("x.n"), F.col("y.n"), percent) & first & may_reach(F.col("x.sig"), F.col("y.sig"), half)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & condition)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept (doc_id = component_id) per row.
 
     Links: at least ``percent`` of the union of the sets in common. The bands miss a pair at 0.8 with probability 5e-5,
@@ -125,40 +148,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     """
     sketched = materialize(sketches(docs, k), "sketches")
     linked = sketched.where("node is not null and doc_id is not null")
-    classes = materialize(linked.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS))))
-    members = classes.select("node", "n", band.alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)))
+    classes = linked.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes.withColumn("keys", keys), "classes")
+    members = classes.select("node", "n", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(members.join(shared, "key"), "buckets")
-
-    def stars(rows: DataFrame, round_: int) -> DataFrame:
-        leaders = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(round_)), "node", "n")).alias("l"))
-        leaders = leaders.select("key", F.col("l.node").alias("other"), F.col("l.n").alias("other_n"))
-        return _pairs(rows.join(leaders, "key"), percent)
-
-    links = verify(docs, classes, stars(members, 0), k, percent, miss)
+    links = verify(docs, classes, star_pairs(members, percent), k, percent, miss)
     found = components(links)
-    for round_ in range(1, MAX_STAR_ROUNDS + 1):
-        labelled = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_ = parts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = materialize(open_, "open")
-        left = open_.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("rows")).first()
-        if not left.pairs:
-            break
-        rest = labelled.join(open_.select("key"), "key")
-        last = left.pairs <= 4 * left.rows or round_ == MAX_STAR_ROUNDS
-        if last:
-            mine, other = rest, rest.toDF("key", "other", "other_n", "other_component")
-            tested = _pairs(mine.join(other, "key").where("component < other_component"), percent)
-        else:
-            tested = stars(rest, round_)
-        new = verify(docs, classes, tested, k, percent, miss)
-        if not new.isEmpty():
-            links = links.union(new)
-            found = components(links)
-        if last:
-            break
+    crossing = materialize(crossing_pairs(members, classes, found, percent, miss), "crossing")
+    if not crossing.isEmpty():
+        more = verify(docs, classes, crossing, k, percent, miss)
+        if not more.isEmpty():
+            found = components(links.union(more))
     named = classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = materialize(named.join(least, "component").select("node", "component_id"), "components")
