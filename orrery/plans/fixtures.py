@@ -101,11 +101,11 @@ class Market:
 
     @cached_property
     def weekly_rotation(self) -> DataFrame:
-        return rrg.rotation(self.weekly_index, self._benchmark(F.to_date(F.date_trunc("week", "date"))))
+        return rrg.rotation(self.weekly_index, self._benchmark(F.to_date(F.date_trunc("week", "date")))).persist()
 
     @cached_property
     def monthly_rotation(self) -> DataFrame:
-        return rrg.rotation(self.monthly_index, self._benchmark(F.last_day("date")))
+        return rrg.rotation(self.monthly_index, self._benchmark(F.last_day("date"))).persist()
 
     @staticmethod
     def _counts(index: DataFrame) -> DataFrame:
@@ -113,19 +113,19 @@ class Market:
 
     @cached_property
     def weekly_rrg(self) -> DataFrame:
-        return rrg.snapshot(self.weekly_rotation, self.industries, self._counts(self.weekly_index))
+        return rrg.snapshot(self.weekly_rotation, self.industries, self._counts(self.weekly_index)).persist()
 
     @cached_property
     def monthly_rrg(self) -> DataFrame:
-        return rrg.snapshot(self.monthly_rotation, self.industries, self._counts(self.monthly_index), unit="m")
+        return rrg.snapshot(self.monthly_rotation, self.industries, self._counts(self.monthly_index), unit="m").persist()
 
     @cached_property
     def stock_scores(self) -> DataFrame:
-        return sctr.stock_sctr(self.bars, self.universe)
+        return sctr.stock_sctr(self.bars, self.universe).persist()
 
     @cached_property
     def industry_scores(self) -> DataFrame:
-        return sctr.industry_sctr(self.index, self.industries)
+        return sctr.industry_sctr(self.index, self.industries).persist()
 
     @cached_property
     def published(self) -> DataFrame:
@@ -135,7 +135,7 @@ class Market:
 
     @cached_property
     def breadth_by_industry(self) -> DataFrame:
-        return sctr.industry_breadth(self.stock_scores, self.membership)
+        return sctr.industry_breadth(self.stock_scores, self.membership).persist()
 
     @cached_property
     def history(self) -> DataFrame:
@@ -143,23 +143,23 @@ class Market:
 
     @cached_property
     def ma(self) -> DataFrame:
-        return strength.ma_signals(self.history)
+        return strength.ma_signals(self.history).persist()
 
     @cached_property
     def ath(self) -> DataFrame:
-        return strength.ath_monitor(self.index, self.industries)
+        return strength.ath_monitor(self.index, self.industries).persist()
 
     @cached_property
     def strength(self) -> DataFrame:
-        return strength.strength_percentiles(self.index, self.benchmark, self.industries)
+        return strength.strength_percentiles(self.index, self.benchmark, self.industries).persist()
 
     @cached_property
     def stages(self) -> DataFrame:
-        return trend.stage_analysis(self.index, self.strength, self.industries)
+        return trend.stage_analysis(self.index, self.strength, self.industries).persist()
 
     @cached_property
     def momentum(self) -> DataFrame:
-        return trend.momentum_screen(self.strength, self.industry_scores, self.stages)
+        return trend.momentum_screen(self.strength, self.industry_scores, self.stages).persist()
 
     @cached_property
     def composite(self) -> DataFrame:
@@ -167,7 +167,7 @@ class Market:
 
     @cached_property
     def severity(self) -> DataFrame:
-        return rotation.rotation_severity(self.history, self.index, self.industries, self.monthly_rrg, self.ath, self.ma, self.strength, self.momentum, self.stages)
+        return rotation.rotation_severity(self.history, self.index, self.industries, self.monthly_rrg, self.ath, self.ma, self.strength, self.momentum, self.stages).persist()
 
     @cached_property
     def clock_bars(self) -> DataFrame:
@@ -180,7 +180,7 @@ class Market:
 
     @cached_property
     def clock(self) -> DataFrame:
-        return clock.market_clock(self.clock_bars)
+        return clock.market_clock(self.clock_bars).persist()
 
     @cached_property
     def nation_week(self) -> DataFrame:
@@ -194,4 +194,4 @@ class Market:
 
     @cached_property
     def window(self) -> DataFrame:
-        return leaders.drawdown_window(self.week_benchmark, depth=1.0)
+        return leaders.drawdown_window(self.week_benchmark, depth=1.0).persist()
