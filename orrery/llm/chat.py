@@ -74,8 +74,11 @@ def path_ends(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     while rounds < limit and not state.where("up is not null").isEmpty():
         levels.append(state.where("up is not null").select("tree", "id", "up"))
         above = state.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("s2"))
-        joined = state.join(above, state["tree"].eqNullSafe(F.col("t")) & (state["up"] == F.col("i")), "left")
-        state = materialize(joined.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total")), "jumps")
+        # only messages that have not reached their root are joined; a deep tree does not carry the shallow ones along
+        active = state.where("up is not null")
+        joined = active.join(above, active["tree"].eqNullSafe(F.col("t")) & (active["up"] == F.col("i")), "left")
+        moved = joined.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"))
+        state = materialize(state.where("up is null").unionByName(moved), "jumps")
         rounds += 1
     return state.where("up is null").select("tree", "id", "depth", "total"), levels
 
