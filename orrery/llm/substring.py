@@ -35,7 +35,7 @@ from orrery.llm.token_counts import chunks
 
 WIDTH, SEED = 13, 6
 #: Distinct windows of one minimizer whose sources one task holds in memory; further ones are grouped by a join.
-HELD_WINDOWS = 500_000
+HELD_WINDOWS = 100_000
 CHECK = np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -24,7 +24,7 @@ from orrery.llm.tokens import encoder
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Texts encoded at a time by one worker, in bytes of text (at least one text).
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 
 def tokenizer_version(path: str) -> str:
