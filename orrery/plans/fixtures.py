@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import bars as B
 from orrery.operators import clock, leaders, rotation, rrg, sctr, strength, synthetic_index, trend
+from orrery.sources.sinks import shared_path
 
 LARGE, MID, SMALL = 32.4e6, 31.3e6, 28.0e6
 BENCHMARK = "SPY"
@@ -23,6 +24,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """``frame`` written out and read back: tables that many others start from are computed once, and plans stay short."""
+    path = shared_path(frame.sparkSession, "table")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Market:
     """Inputs and operator tables of one sf directory; each is built once and only if asked for."""
@@ -85,8 +93,8 @@ class Market:
 
     @cached_property
     def index(self) -> DataFrame:
-        """Daily industry indexes; kept, since most tables start from them (one level a day and industry)."""
-        return synthetic_index.synthetic_index(self.bars, self.membership, fill=5, min_symbol_rows=100).persist()
+        """Daily industry indexes (one level a day and industry)."""
+        return kept(synthetic_index.synthetic_index(self.bars, self.membership, fill=5, min_symbol_rows=100))
 
     @cached_property
     def weekly_index(self) -> DataFrame:
@@ -101,11 +109,11 @@ class Market:
 
     @cached_property
     def weekly_rotation(self) -> DataFrame:
-        return rrg.rotation(self.weekly_index, self._benchmark(F.to_date(F.date_trunc("week", "date")))).persist()
+        return kept(rrg.rotation(self.weekly_index, self._benchmark(F.to_date(F.date_trunc("week", "date")))))
 
     @cached_property
     def monthly_rotation(self) -> DataFrame:
-        return rrg.rotation(self.monthly_index, self._benchmark(F.last_day("date"))).persist()
+        return kept(rrg.rotation(self.monthly_index, self._benchmark(F.last_day("date"))))
 
     @staticmethod
     def _counts(index: DataFrame) -> DataFrame:
@@ -113,19 +121,19 @@ class Market:
 
     @cached_property
     def weekly_rrg(self) -> DataFrame:
-        return rrg.snapshot(self.weekly_rotation, self.industries, self._counts(self.weekly_index)).persist()
+        return kept(rrg.snapshot(self.weekly_rotation, self.industries, self._counts(self.weekly_index)))
 
     @cached_property
     def monthly_rrg(self) -> DataFrame:
-        return rrg.snapshot(self.monthly_rotation, self.industries, self._counts(self.monthly_index), unit="m").persist()
+        return kept(rrg.snapshot(self.monthly_rotation, self.industries, self._counts(self.monthly_index), unit="m"))
 
     @cached_property
     def stock_scores(self) -> DataFrame:
-        return sctr.stock_sctr(self.bars, self.universe).persist()
+        return kept(sctr.stock_sctr(self.bars, self.universe))
 
     @cached_property
     def industry_scores(self) -> DataFrame:
-        return sctr.industry_sctr(self.index, self.industries).persist()
+        return kept(sctr.industry_sctr(self.index, self.industries))
 
     @cached_property
     def published(self) -> DataFrame:
@@ -135,31 +143,31 @@ class Market:
 
     @cached_property
     def breadth_by_industry(self) -> DataFrame:
-        return sctr.industry_breadth(self.stock_scores, self.membership).persist()
+        return kept(sctr.industry_breadth(self.stock_scores, self.membership))
 
     @cached_property
     def history(self) -> DataFrame:
-        return rrg.history(self.index, self.weekly_rotation, self.industries).persist()
+        return kept(rrg.history(self.index, self.weekly_rotation, self.industries))
 
     @cached_property
     def ma(self) -> DataFrame:
-        return strength.ma_signals(self.history).persist()
+        return kept(strength.ma_signals(self.history))
 
     @cached_property
     def ath(self) -> DataFrame:
-        return strength.ath_monitor(self.index, self.industries).persist()
+        return kept(strength.ath_monitor(self.index, self.industries))
 
     @cached_property
     def strength(self) -> DataFrame:
-        return strength.strength_percentiles(self.index, self.benchmark, self.industries).persist()
+        return kept(strength.strength_percentiles(self.index, self.benchmark, self.industries))
 
     @cached_property
     def stages(self) -> DataFrame:
-        return trend.stage_analysis(self.index, self.strength, self.industries).persist()
+        return kept(trend.stage_analysis(self.index, self.strength, self.industries))
 
     @cached_property
     def momentum(self) -> DataFrame:
-        return trend.momentum_screen(self.strength, self.industry_scores, self.stages).persist()
+        return kept(trend.momentum_screen(self.strength, self.industry_scores, self.stages))
 
     @cached_property
     def composite(self) -> DataFrame:
@@ -167,7 +175,7 @@ class Market:
 
     @cached_property
     def severity(self) -> DataFrame:
-        return rotation.rotation_severity(self.history, self.index, self.industries, self.monthly_rrg, self.ath, self.ma, self.strength, self.momentum, self.stages).persist()
+        return kept(rotation.rotation_severity(self.history, self.index, self.industries, self.monthly_rrg, self.ath, self.ma, self.strength, self.momentum, self.stages))
 
     @cached_property
     def clock_bars(self) -> DataFrame:
@@ -180,7 +188,7 @@ class Market:
 
     @cached_property
     def clock(self) -> DataFrame:
-        return clock.market_clock(self.clock_bars).persist()
+        return kept(clock.market_clock(self.clock_bars))
 
     @cached_property
     def nation_week(self) -> DataFrame:
@@ -194,4 +202,4 @@ class Market:
 
     @cached_property
     def window(self) -> DataFrame:
-        return leaders.drawdown_window(self.week_benchmark, depth=1.0).persist()
+        return kept(leaders.drawdown_window(self.week_benchmark, depth=1.0))
