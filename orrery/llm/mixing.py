@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, table, word_count
+from orrery.llm.common import materialize, small, table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -52,40 +52,44 @@ def _unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """``docs`` with columns size, source_size, target and copies.
+def _drawn(docs: DataFrame, weights, most: int, seed: str) -> DataFrame:
+    """``docs`` with _mix_size, _mix_source_size, _mix_target and _mix_copies.
 
     Documents are ranked in parts of a source's documents of one size: ranks come from counts of the parts (summed with
     map-side combining) plus the place inside a part, so no source, however large, is sorted by one task.
     """
-    order = ["_size", "_part"]
+    order = ["_mix_size", "_mix_part"]
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
-    rows = docs.withColumn("_size", word_count(docs["text"])).withColumn("_key", key)
-    rows = rows.withColumn("_part", F.conv(F.substring("_key", 1, 2), 16, 10).cast("int") % PARTS)
+    rows = docs.withColumn("_mix_size", word_count(docs["text"])).withColumn("_mix_key", key)
+    rows = rows.withColumn("_mix_part", F.conv(F.substring("_mix_key", 1, 2), 16, 10).cast("int") % PARTS)
     counts = materialize(rows.groupBy("source", *order).agg(F.count("*").alias("n")), "mix-counts")
-    targets = materialize(source_targets(counts.select("source", (F.col("_size") * F.col("n")).alias("size")), weights, most), "mix-targets")
-    small = targets.count() <= BROADCAST_SOURCES
+    targets = materialize(source_targets(counts.select("source", (F.col("_mix_size") * F.col("n")).alias("size")), weights, most), "mix-targets")
     before = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("source", *order).orderBy("_key", "doc_id")
-    ranked = rows.withColumn("_place", F.row_number().over(inside) - 1)
-    s = starts.withColumnsRenamed({"source": "_s", "_size": "_s_size", "_part": "_s_part"})
-    ranked = ranked.join(s, ranked["source"].eqNullSafe(s["_s"]) & (ranked["_size"] == s["_s_size"]) & (ranked["_part"] == s["_s_part"]))
-    t = targets.withColumnsRenamed({"source": "_t", "source_size": "_t_size", "target": "_t_target"})
-    joined = ranked.join(F.broadcast(t) if small else t, ranked["source"].eqNullSafe(t["_t"]))
-    rate = F.coalesce(F.try_divide(F.col("_t_target"), F.col("_t_size").cast("double")), F.lit(0.0))
-    joined = joined.withColumn("_rate", rate).withColumn("_f", F.col("_rate") - F.floor("_rate"))
-    at = F.col("_start") + F.col("_place")
+    starts = counts.select(F.col("source").alias("_s"), F.col("_mix_size").alias("_s_size"), F.col("_mix_part").alias("_s_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_start"))
+    inside = Window.partitionBy("source", *order).orderBy("_mix_key", "doc_id")
+    ranked = rows.withColumn("_mix_place", F.row_number().over(inside) - 1)
+    ranked = ranked.join(starts, ranked["source"].eqNullSafe(F.col("_s")) & (F.col("_mix_size") == F.col("_s_size")) & (F.col("_mix_part") == F.col("_s_part")))
+    t = targets.select(F.col("source").alias("_t"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
+    joined = ranked.join(small(t, BROADCAST_SOURCES), ranked["source"].eqNullSafe(F.col("_t")))
+    rate = F.coalesce(F.try_divide(F.col("_mix_target"), F.col("_mix_source_size").cast("double")), F.lit(0.0))
+    joined = joined.withColumn("_mix_rate", rate).withColumn("_mix_f", F.col("_mix_rate") - F.floor("_mix_rate"))
+    at = F.col("_mix_start") + F.col("_mix_place")
     phase = _unit(F.lit(seed), F.coalesce(F.col("source"), F.lit("\x00null")))
-    extra = F.floor(phase + (at + 1) * F.col("_f")) - F.floor(phase + at * F.col("_f"))
-    own = [joined[c] for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    return joined.select(*own, F.col("_size").alias("size"), F.col("_t_size").alias("source_size"), F.col("_t_target").alias("target"), (F.floor("_rate") + extra).cast("long").alias("copies"))
+    extra = F.floor(phase + (at + 1) * F.col("_mix_f")) - F.floor(phase + at * F.col("_mix_f"))
+    return joined.withColumn("_mix_copies", (F.floor("_mix_rate") + extra).cast("long"))
+
+
+def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """``docs`` with columns size, source_size, target and copies (in place of columns of these names)."""
+    new = ("size", "source_size", "target", "copies")
+    drawn = _drawn(docs, weights, most, seed)
+    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new), *(F.col(f"_mix_{c}").alias(c) for c in new))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """Every document as often as the mix takes it, with the columns of ``docs``."""
-    taken = copies(docs, weights, most, seed).where(F.col("copies") > 0)
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = _drawn(docs, weights, most, seed).where(F.col("_mix_copies") > 0)
+    return taken.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
