@@ -93,7 +93,7 @@ def repeated_seeds(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
 
 def runs(docs: DataFrame, repeated: DataFrame, width: int, seed: int) -> DataFrame:
-    """(m, doc_id, start, windows, checks): maximal runs of consecutive windows under one place of a repeated minimizer."""
+    """(m, doc_id, row, start, windows, checks): maximal runs of consecutive windows under one place of a repeated minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -127,15 +127,15 @@ def runs(docs: DataFrame, repeated: DataFrame, width: int, seed: int) -> DataFra
                 c = (rolling(words * CHECK ^ (words >> np.uint64(31)), width, 11)[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 own = doc[first[head]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts[hold[head]].view(np.int64)), b.column(0).take(pa.array(own)), pa.array((first[head] - offsets[own]).astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(c))],
-                    ["m", "doc_id", "start", "windows", "checks"],
+                    [pa.array(parts[hold[head]].view(np.int64)), b.column(0).take(pa.array(own)), b.column(3).take(pa.array(own)), pa.array((first[head] - offsets[own]).astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(c))],
+                    ["m", "doc_id", "row", "start", "windows", "checks"],
                 )
 
-    chosen = docs.join(repeated, "doc_id").select("doc_id", "text", "seeds")
-    return chosen.mapInArrow(run, "m long, doc_id long, start int, windows array<long>, checks array<int>")
+    chosen = docs.join(repeated, "doc_id").select("doc_id", "text", "seeds", "row")
+    return chosen.mapInArrow(run, "m long, doc_id long, row long, start int, windows array<long>, checks array<int>")
 
 
-SEGMENT = "doc_id long, start int, n int, source long, source_start int, h long, chk int"
+SEGMENT = "doc_id long, row long, start int, n int, source long, source_start int, h long, chk int"
 
 
 def _first_sources(held: int):
@@ -148,8 +148,8 @@ def _first_sources(held: int):
         current, sources = None, {}
         for b in batches:
             out: list[tuple] = []
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            for m, doc, start, windows, checks in zip(*cols, strict=True):
+            cols = [b.column(i).to_pylist() for i in range(6)]
+            for m, doc, row, start, windows, checks in zip(*cols, strict=True):
                 if m != current:
                     current, sources = m, {}
                 last = None
@@ -160,34 +160,34 @@ def _first_sources(held: int):
                         if len(sources) < held:
                             sources[key] = doc, start + i
                         else:
-                            out.append((doc, start + i, 1, None, None, h, c))
+                            out.append((doc, row, start + i, 1, None, None, h, c))
                         last = None
                     elif s[0] < doc:
-                        if last and last[3] == s[0] and last[4] + last[2] == s[1]:
-                            last[2] += 1
+                        if last and last[4] == s[0] and last[5] + last[3] == s[1]:
+                            last[3] += 1
                         else:
-                            last = [doc, start + i, 1, s[0], s[1], None, None]
+                            last = [doc, row, start + i, 1, s[0], s[1], None, None]
                             out.append(last)
                     else:
                         last = None
             if out:
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [f.split()[0] for f in SEGMENT.split(", ")])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, held: int = HELD_WINDOWS) -> DataFrame:
-    """(doc_id, start, n, source, source_start): compacted runs of windows that also start in a document with a smaller id.
+    """(doc_id, row, start, n, source, source_start): compacted runs of windows that also start in a document with a smaller id.
 
-    ``start`` counts words from 0, ``n`` windows: the words covered are start .. start + n + width - 2.
+    ``row`` is a hash of the text, since rows may share a doc_id. ``start`` counts words from 0, ``n`` windows: the words covered are start .. start + n + width - 2.
     """
     spark = docs.sparkSession
-    own = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    own = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("row"))
     repeated = materialize(repeated_seeds(own, width, seed), "seeds")
     release_shuffles(spark)
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    sorted_runs = runs(own, repeated, width, seed).repartition(int(parts), "m").sortWithinPartitions("m", "doc_id", "start")
+    sorted_runs = runs(own, repeated, width, seed).repartition(int(parts), "m").sortWithinPartitions("m", "doc_id", "row", "start")
     segments = materialize(sorted_runs.mapInArrow(_first_sources(held), SEGMENT), "segments")
     release_shuffles(spark)
     found = segments.where("h is null").drop("h", "chk")
@@ -195,18 +195,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, held:
     if not over.isEmpty():
         first = over.groupBy("h", "chk").agg(F.min(F.struct("doc_id", "start")).alias("s")).select("h", "chk", F.col("s.doc_id").alias("source"), F.col("s.start").alias("source_start"))
         rest = over.drop("source", "source_start").join(first, ["h", "chk"]).where("source < doc_id")
-        found = found.unionByName(rest.select("doc_id", "start", "n", "source", "source_start"))
+        found = found.unionByName(rest.select("doc_id", "row", "start", "n", "source", "source_start"))
     # compaction: a segment goes on with the one before it if both its place and its source's place follow on
-    order = Window.partitionBy("doc_id").orderBy("start", "source", "source_start")
+    order = Window.partitionBy("doc_id", "row").orderBy("start", "source", "source_start")
     follows = (F.lag(F.col("start") + F.col("n")).over(order) == F.col("start")) & (F.lag("source").over(order) == F.col("source")) & (F.lag(F.col("source_start") + F.col("n")).over(order) == F.col("source_start"))
-    numbered = found.dropDuplicates(["doc_id", "start", "source", "source_start"]).withColumn("path", F.sum(F.when(follows, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("source").alias("source"), F.min("source_start").alias("source_start")).drop("path")
+    numbered = found.dropDuplicates(["doc_id", "row", "start", "source", "source_start"]).withColumn("path", F.sum(F.when(follows, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "row", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("source").alias("source"), F.min("source_start").alias("source_start")).drop("path")
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` and n_words, n_removed and kept_text (the words that no span covers, joined by one space)."""
     names = list(docs.columns)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_lengths")).withColumnRenamed("doc_id", "_doc")
+    per_doc = spans.groupBy("doc_id", "row").agg(F.collect_list("start").alias("_cut_starts"), F.collect_list("n").alias("_cut_lengths")).withColumnsRenamed({"doc_id": "_cut_doc", "row": "_cut_row"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -217,7 +217,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFram
                 offsets = offsets - offsets[0]
                 real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
                 covered = np.zeros(len(flat) + 1, np.int64)
-                for i, (starts, lengths) in enumerate(zip(b.column("_starts").to_pylist(), b.column("_lengths").to_pylist(), strict=True)):
+                for i, (starts, lengths) in enumerate(zip(b.column("_cut_starts").to_pylist(), b.column("_cut_lengths").to_pylist(), strict=True)):
                     if starts:
                         s = offsets[i] + np.array(starts)
                         np.add.at(covered, s, 1)
@@ -227,10 +227,10 @@ def cut_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFram
                 count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
                 kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)), flat.filter(pa.array(keep)))
                 n_words = count(real)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(n_words), pa.array(n_words - count(keep)), pc.binary_join(kept, " ")], [*names, "_n_words", "_n_removed", "_kept_text"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(n_words), pa.array(n_words - count(keep)), pc.binary_join(kept, " ")], [*names, "_cut_n_words", "_cut_n_removed", "_cut_text"])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_n_words long, _n_removed long, _kept_text string"])
-    return docs.join(per_doc, docs["doc_id"] == per_doc["_doc"], "left").select(*(docs[c] for c in names), "_starts", "_lengths").mapInArrow(run, ddl)
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_cut_n_words long, _cut_n_removed long, _cut_text string"])
+    return docs.join(per_doc, (docs["doc_id"] == per_doc["_cut_doc"]) & (F.xxhash64(docs["text"]) == per_doc["_cut_row"]), "left").select(*(docs[c] for c in names), "_cut_starts", "_cut_lengths").mapInArrow(run, ddl)
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -239,7 +239,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     release_shuffles(docs.sparkSession)
     cut = cut_spans(docs, spans, width)
     # texts that lose nothing keep their white space; null stays null
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept_text")).otherwise(F.col("text"))
+    text = F.when(F.col("_cut_n_removed") > 0, F.col("_cut_text")).otherwise(F.col("text"))
     own = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return cut.select(*own)
 
@@ -248,7 +248,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = materialize(repeated_spans(docs), "spans")
     release_shuffles(spark)
-    return cut_spans(docs, spans).select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept_text"), 256).alias("kept_sha256"))
+    return cut_spans(docs, spans).select("doc_id", F.col("_cut_n_words").alias("n_words"), F.col("_cut_n_removed").alias("n_removed"), F.sha2(F.col("_cut_text"), 256).alias("kept_sha256"))
 
 
 _SQL = r"""

@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 #: Pieces remembered by one Python worker; the memo starts anew when full. It bounds memory only, never results.
 MEMO_PIECES = 600_000
 
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Letters whose lower case is one letter (dotted capital I gains a mark and is left out).
+_LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _PUNCT = r"[.,:;!?%&*$#|]+"
 #: Word end and punctuation up to the next space: a cut for both splitting rules.
 _WORD_END = rf"([{_LETTER}])({_PUNCT})( |$)"
@@ -50,7 +51,7 @@ class WordTokenizer:
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         if self.kind == "word":
-            keys = [p.lower() if _PLAIN.fullmatch(p) and "İ" not in p else p for p in pieces]
+            keys = [p.lower() if _PLAIN.fullmatch(p) else p for p in pieces]
         else:
             keys = pieces
         memo = self.memo
