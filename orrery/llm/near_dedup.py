@@ -30,8 +30,9 @@ from orrery.llm.components import components
 from orrery.llm.shingles import shingle_sets, signature, signature_params
 from orrery.llm.token_counts import chunks
 
-BANDS, ROWS, HASHES = 25, 5, 128
-BATCH = 32
+BANDS, ROWS, HASHES = 25, 5, 256
+#: Ends of the batches in which signatures are compared.
+BATCHES = (32, 64, 128, 192, 256)
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -56,7 +57,7 @@ def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     """
     grid = np.linspace(0, 1, 20_001)[1:-1]
     out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in BATCHES:
         for m in range(n + 1):
             log = m * np.log(grid) + (n - m) * np.log1p(-grid)
             density = np.exp(log - log.max())
@@ -125,26 +126,27 @@ def crossing_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, per
     """Pairs of one bucket that are in different components and may reach the similarity, each once.
 
     Buckets with one component are dropped first. A pair of several buckets is taken from the first one only, and the
-    first batches of the signatures are compared inside the join, so what it gives are pairs that still look similar.
+    batches of the signatures are compared inside the join, so what it gives are pairs that still look similar.
     """
     labelled = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = materialize(labelled.join(open_, "key"), "open")
-    half = least_matches(percent / 100, miss)[:2]
-    sigs = classes.select("node", F.col("keys"), F.slice("sig", 1, half[-1][0]).alias("sig"))
+    limits = least_matches(percent / 100, miss)
+    sigs = classes.select("node", "keys", "sig")
     side = rest.join(sigs, "node")
     x, y = side.alias("x"), side.alias("y")
     first = F.get(F.filter(F.zip_with("x.keys", "y.keys", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(0)) == F.col("x.key")
-    condition = (F.col("x.component") < F.col("y.component")) & sizes_fit(F.col("x.n"), F.col("y.n"), percent) & first & may_reach(F.col("x.sig"), F.col("y.sig"), half)
+    condition = (F.col("x.component") < F.col("y.component")) & sizes_fit(F.col("x.n"), F.col("y.n"), percent) & first & may_reach(F.col("x.sig"), F.col("y.sig"), limits)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & condition)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, crossing_miss: float = 1e-4) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept (doc_id = component_id) per row.
 
     Links: at least ``percent`` of the union of the sets in common. The bands miss a pair at 0.8 with probability 5e-5,
-    at 0.85 with 2e-7; pairs that only matter for components already joined by others are not tested.
+    at 0.85 with 2e-7; pairs that only matter for components already joined by others are not tested. ``miss`` is the
+    probability to drop a linked pair on its signature, ``crossing_miss`` the same for pairs that leaders left apart.
     """
     sketched = materialize(sketches(docs, k), "sketches")
     linked = sketched.where("node is not null and doc_id is not null")
@@ -156,9 +158,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     members = materialize(members.join(shared, "key"), "buckets")
     links = verify(docs, classes, star_pairs(members, percent), k, percent, miss)
     found = components(links)
-    crossing = materialize(crossing_pairs(members, classes, found, percent, miss), "crossing")
+    crossing = materialize(crossing_pairs(members, classes, found, percent, crossing_miss), "crossing")
     if not crossing.isEmpty():
-        more = verify(docs, classes, crossing, k, percent, miss)
+        more = verify(docs, classes, crossing, k, percent, crossing_miss)
         if not more.isEmpty():
             found = components(links.union(more))
     named = classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))

@@ -92,7 +92,7 @@ def test_near_duplicates_edges(spark, docs):
 
 def test_pruning_limits():
     limits = near_dedup.least_matches(0.8, 1e-4)
-    assert [n for n, _ in limits] == [32, 64, 96, 128] and all(m < 0.8 * n for n, m in limits) and limits[-1][1] > 80
+    assert [n for n, _ in limits] == list(near_dedup.BATCHES) and all(m < 0.8 * n for n, m in limits) and limits[-1][1] > 170
 
 
 def test_components_of_a_long_path(spark):
