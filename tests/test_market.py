@@ -82,7 +82,7 @@ def test_clock_states_and_stream(spark):
     states = [r.state for r in traced]
     assert states[2] == clock.RALLY and states[3] == clock.CORRECTION and states[7] == clock.UPTREND and traced[7].event == "Follow-Through" and traced[7].event_day == 4
     assert clock.PRESSURE in states and clock.STRESS in states and states[-2] == clock.CORRECTION and states[-1] == clock.RALLY
-    assert [r.event for r in traced].count("Distribution") == 5 and [r.event for r in traced].count("Stall") == 1
+    assert [r.event for r in traced].count("Distribution") == 6 and [r.event for r in traced].count("Stall") == 1
     ends = clock.market_clock(bars, min_rows=5).first()
     assert ends.state == "Rally Attempt 1" and ends.last_ftd_day == 4
     # two micro-batches, the second of which repeats a late bar
