@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from orrery.functions.columns import QUADRANT_SCORE, TAIL_SCORE, TIMEFRAME_LABEL, TIMEFRAME_SCORE
+
 PARTS: dict[str, str] = {}
 FINAL: dict[str, str] = {}
 
@@ -313,6 +315,21 @@ FINAL |= {
 }
 
 
+def cases(x: str, table: dict, default: str) -> str:
+    whens = " ".join(f"WHEN {x} = '{k}' THEN {v}" for k, v in table.items())
+    return f"CASE {whens} ELSE {default} END"
+
+
+_LABELS = " ".join(f"WHEN w.quadrant = '{a}' AND m.quadrant = '{b}' THEN '{v}'" for (a, b), v in TIMEFRAME_LABEL.items())
+part("comp1", f"""SELECT s.industry_key, s.sector_name, s.industry_name, s.constituent_count, sctr, w.rs_ratio, w.rs_momentum, w.quadrant, w.tail_direction, m.rs_ratio AS rs_ratio_m, m.rs_momentum AS rs_momentum_m, m.quadrant AS quadrant_m, m.tail_direction AS tail_direction_m,
+  CASE {_LABELS} ELSE '' END AS timeframe_label, median_sctr, pct_above_75, pct_below_25 FROM ind_scores s JOIN rot_snap w USING (industry_key) LEFT JOIN rotm_snap m USING (industry_key) LEFT JOIN ind_breadth b USING (industry_key)""")
+_SCORE = f"0.40::DOUBLE * (greatest(0.0, least(99.9::DOUBLE, sctr)) / 99.9::DOUBLE * 100) + 0.30::DOUBLE * ({cases('quadrant', QUADRANT_SCORE, '50')}) + 0.15::DOUBLE * ({cases('tail_direction', TAIL_SCORE, '50')}) + 0.15::DOUBLE * ((greatest(-3.0, least(3.0, rs_momentum - 100)) + 3) / 6 * 100)"
+part("comp2", f"SELECT *, CAST({cases('timeframe_label', TIMEFRAME_SCORE, '50')} AS DOUBLE) AS timeframe_score, {r(_SCORE, 1)} AS composite FROM comp1")
+FINAL["rotation_composite"] = """SELECT *, CASE WHEN composite > 70 AND quadrant IN ('Leading', 'Improving') THEN 'Strong Rotation In' WHEN composite > 55 AND quadrant IN ('Leading', 'Improving') THEN 'Rotation In' WHEN composite >= 45 THEN 'Neutral' WHEN composite >= 30 AND quadrant IN ('Weakening', 'Lagging') THEN 'Rotation Out' ELSE 'Strong Rotation Out' END AS signal,
+  concat_ws(' ', CASE WHEN sctr >= 75 THEN 'SCTR↑' WHEN sctr <= 25 THEN 'SCTR↓' END, CASE WHEN quadrant IN ('Leading', 'Improving') THEN 'RRG↑' ELSE 'RRG↓' END, CASE WHEN contains(tail_direction, 'right-up') THEN 'TAIL↑' WHEN contains(tail_direction, 'left-down') THEN 'TAIL↓' END, CASE WHEN pct_above_75 >= 50 THEN 'BRD↑' WHEN pct_above_75 <= 20 THEN 'BRD↓' END) AS convergence,
+  CAST(row_number() OVER (ORDER BY composite DESC, industry_key) AS INTEGER) AS rank FROM comp2"""
+
+
 def texts(queries: dict) -> dict[str, str]:
     """SQL of every query that has one."""
 
