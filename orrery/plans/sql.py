@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from orrery.functions.columns import QUADRANT_SCORE, TAIL_SCORE, TIMEFRAME_LABEL, TIMEFRAME_SCORE
+from orrery.operators.delta import SEVERITY_ORDER
 
 PARTS: dict[str, str] = {}
 FINAL: dict[str, str] = {}
@@ -330,6 +331,89 @@ FINAL["rotation_composite"] = """SELECT *, CASE WHEN composite > 70 AND quadrant
   CAST(row_number() OVER (ORDER BY composite DESC, industry_key) AS INTEGER) AS rank FROM comp2"""
 
 
+# -- recursions over time, and what builds on them -------------------------------------------------------------------
+
+
+def ewm_parts(name: str, series: str, key: str) -> None:
+    """Fast, slow and signal means of a series, row by row."""
+    a, b = "(2.0::DOUBLE / 13)", "(2.0::DOUBLE / 27)"
+    part(f"{name}_n", f"SELECT {key}, date, close, row_number() OVER (PARTITION BY {key} ORDER BY date) AS i FROM {series}")
+    f, w = f"((1 - {a}) * e.ema12 + {a} * n.close)", f"((1 - {b}) * e.ema26 + {b} * n.close)"
+    ppo = f"(({f} - {w}) / {w} * 100)"
+    part(name, f"SELECT {key}, date, close, i, close AS ema12, close AS ema26, 0.0::DOUBLE AS sig, 0.0::DOUBLE AS hist FROM {name}_n WHERE i = 1 UNION ALL SELECT n.{key}, n.date, n.close, n.i, {f}, {w}, (1 - 0.2::DOUBLE) * e.sig + 0.2::DOUBLE * {ppo}, {ppo} - ((1 - 0.2::DOUBLE) * e.sig + 0.2::DOUBLE * {ppo}) FROM {name} e JOIN {name}_n n ON n.{key} = e.{key} AND n.i = e.i + 1")
+
+
+ewm_parts("ewm_stock", "bars", "symbol")
+ewm_parts("ewm_ind", "idx", "industry_key")
+part("slope_ind", "SELECT industry_key, date, close, CASE WHEN before IS NOT NULL THEN greatest(-50.0, least(50.0, (hist - before) / 3)) END AS ppo_slope FROM (SELECT *, lag(hist, 3) OVER (PARTITION BY industry_key ORDER BY date) AS before FROM ewm_ind)")
+_ROCS = {"c1_14m_roc": 14, "c3_9m_roc": 9, "c5_3m_roc": 3}
+part("ser_m", "SELECT industry_key, last_day(date) AS d, arg_max(close, date) AS close FROM idx GROUP BY ALL")
+part("ser_roc", f"SELECT industry_key, d, {', '.join(f'{pct("close", f"lag(close, {n}) OVER w")} AS {c}' for c, n in _ROCS.items())} FROM ser_m WINDOW w AS (PARTITION BY industry_key ORDER BY d)")
+part("ser1", "SELECT *, CASE WHEN date = last_day(date) THEN date ELSE last_day(date - INTERVAL 1 MONTH) END AS d FROM slope_ind")
+_FILL = "OVER (PARTITION BY industry_key ORDER BY date ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)"
+part("ser2", f"SELECT industry_key, date, close, ppo_slope AS c6_ppo_slope, {', '.join(f'last_value({c} IGNORE NULLS) {_FILL} AS {c}' for c in _ROCS)}, {sma('close', 200, 'industry_key')} AS m200, {sma('close', 50, 'industry_key')} AS m50 FROM ser1 LEFT JOIN ser_roc USING (industry_key, d)")
+part("ser", f"SELECT industry_key, date, {WEIGHTED} AS raw_score FROM (SELECT *, {pct('close', 'm200')} AS c2_sma200_pct, {pct('close', 'm50')} AS c4_sma50_pct FROM ser2)")
+part("hist_days", f"SELECT max(date) AS date FROM idx GROUP BY {WEEK}")
+part("hist_keys", "SELECT DISTINCT industry_key FROM idx")
+part("hist_raw", "SELECT k.industry_key, d.date, CASE WHEN s.date >= d.date - 5 THEN s.raw_score END AS raw_score FROM hist_keys k CROSS JOIN hist_days d ASOF LEFT JOIN ser s ON s.industry_key = k.industry_key AND d.date >= s.date")
+part("rot_keys", "SELECT DISTINCT industry_key FROM rot")
+part("hist_rot", "SELECT k.industry_key, d.date, CASE WHEN s.date >= d.date - 30 THEN s.rs_ratio END AS rs_ratio, CASE WHEN s.date >= d.date - 30 THEN s.rs_momentum END AS rs_momentum FROM rot_keys k CROSS JOIN hist_days d ASOF LEFT JOIN rot s ON s.industry_key = k.industry_key AND d.date >= s.date")
+part("hist1", f"SELECT industry_key, date, raw_score, {sctr('raw_score', 'date')} AS sctr FROM hist_raw")
+part("hist2", f"SELECT industry_key, date, sctr, raw_score, {r('rs_ratio', 3)} AS rs_ratio, {r('rs_momentum', 3)} AS rs_momentum, {quadrant('rs_ratio', 'rs_momentum')} AS quadrant FROM hist1 FULL JOIN hist_rot USING (industry_key, date) WHERE sctr IS NOT NULL OR rs_ratio IS NOT NULL")
+part("hist", f"""SELECT date, industry_key, sector_name, industry_name, sctr, {r('raw_score', 4)} AS raw_score, rs_ratio, rs_momentum, quadrant,
+  CASE WHEN lag(rs_ratio, 4) OVER w IS NULL THEN 'unknown' ELSE (CASE WHEN rs_ratio > lag(rs_ratio, 4) OVER w THEN 'right' ELSE 'left' END) || '-' || (CASE WHEN rs_momentum > lag(rs_momentum, 4) OVER w THEN 'up' ELSE 'down' END) END AS tail_direction FROM hist2 JOIN dim USING (industry_key) WINDOW w AS (PARTITION BY industry_key ORDER BY date)""")
+part("rsma1", f"SELECT industry_key, date, sector_name, industry_name, quadrant, rs_ratio AS x, {sma('rs_ratio', 13, 'industry_key')} AS ma, count(*) OVER (PARTITION BY industry_key) AS n, row_number() OVER (PARTITION BY industry_key ORDER BY date) AS i FROM hist WHERE rs_ratio IS NOT NULL")
+part("rsma2", "SELECT *, i - coalesce(max(CASE WHEN NOT coalesce(x > ma, false) THEN i END) OVER (PARTITION BY industry_key ORDER BY date ROWS UNBOUNDED PRECEDING), 0) AS above, coalesce(lag(x) OVER w <= lag(ma) OVER w AND x > ma, false) AS up, coalesce(lag(x) OVER w >= lag(ma) OVER w AND x < ma, false) AS down, coalesce((ma - lag(ma, 4) OVER w) / 4, 0.0) AS slope FROM rsma1 WHERE n >= 17 WINDOW w AS (PARTITION BY industry_key ORDER BY date)")
+part("rsma3", "SELECT *, up OR coalesce(lag(up) OVER w, false) AS cu, down OR coalesce(lag(down) OVER w, false) AS cd FROM rsma2 WINDOW w AS (PARTITION BY industry_key ORDER BY date) QUALIFY i = n")
+part("rsma4", f"SELECT industry_key, sector_name, industry_name, quadrant, {r('x', 3)} AS rs_ratio_now, {r('ma', 3)} AS rs_ma13, x > ma AS rs_above_ma, CAST(above AS INTEGER) AS weeks_above_ma, cu AS rs_cross_up, cd AS rs_cross_down, {r('slope', 4)} AS rs_ma_slope, CASE WHEN cu THEN 'RS Cross Up' WHEN cd THEN 'RS Cross Down' WHEN x > ma AND slope > 0.005 THEN 'RS Above MA (rising)' WHEN x > ma AND slope < -0.005 THEN 'RS Above MA (fading)' WHEN x > ma THEN 'RS Above MA' WHEN slope < -0.005 THEN 'RS Below MA (falling)' WHEN slope > 0.005 THEN 'RS Below MA (recovering)' ELSE 'RS Below MA' END AS rs_ma_signal FROM rsma3")
+FINAL |= {
+    "exponential_means": f"SELECT symbol, date, close, {r('ema12', 6)} AS ema12, {r('ema26', 6)} AS ema26 FROM ewm_stock",
+    "ppo_slope_days": f"SELECT industry_key, date, {r('ppo_slope', 6)} AS ppo_slope FROM slope_ind",
+    "score_series": f"SELECT industry_key, date, {r('raw_score', 3)} AS raw_score FROM ser",
+    "industry_history": "SELECT * FROM hist",
+    "history_stats": "SELECT count(*) AS rows, count(DISTINCT date) AS dates, count(DISTINCT industry_key) AS industries, min(date) AS first_date, max(date) AS last_date FROM hist",
+    "rs_ma_signals": "SELECT *, CAST(row_number() OVER (ORDER BY list_position(['RS Cross Up', 'RS Above MA (rising)', 'RS Above MA', 'RS Above MA (fading)', 'RS Below MA (recovering)', 'RS Cross Down', 'RS Below MA', 'RS Below MA (falling)'], rs_ma_signal), weeks_above_ma DESC, industry_key) AS INTEGER) AS rank FROM rsma4",
+}
+
+
+# -- severity --------------------------------------------------------------------------------------------------------
+
+_BULL = "IN ('Leading', 'Improving')"
+_BEAR = "IN ('Weakening', 'Lagging')"
+part("hs_known", "SELECT industry_key, quadrant AS q, row_number() OVER (PARTITION BY industry_key ORDER BY date) AS i, count(*) OVER (PARTITION BY industry_key) AS n, last_value(quadrant) OVER (PARTITION BY industry_key ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM hist WHERE quadrant IS NOT NULL")
+part("hs_quad", "SELECT industry_key, any_value(now) AS now, any_value(n) AS n_quads, any_value(n) - coalesce(max(i) FILTER (q <> now), 0) AS weeks, coalesce(arg_max(q, i) FILTER (q <> now), '') AS before FROM hs_known GROUP BY industry_key")
+part("hs_tail", "SELECT industry_key, rs_ratio - lag(rs_ratio, 4) OVER w AS dx, rs_momentum - lag(rs_momentum, 4) OVER w AS dy, rs_ratio, rs_momentum FROM hist WHERE rs_ratio IS NOT NULL AND rs_momentum IS NOT NULL WINDOW w AS (PARTITION BY industry_key ORDER BY date) QUALIFY row_number() OVER (PARTITION BY industry_key ORDER BY date DESC) = 1")
+part("hs_trend", "SELECT industry_key, sctr, count(*) OVER (PARTITION BY industry_key) AS n, coalesce(sctr - lag(sctr, 4) OVER w, 0.0) AS d4, coalesce(sctr - lag(sctr, 12) OVER w, 0.0) AS d12 FROM hist WINDOW w AS (PARTITION BY industry_key ORDER BY date) QUALIFY row_number() OVER (PARTITION BY industry_key ORDER BY date DESC) = 1")
+part("hs1", "SELECT t.*, now, n_quads, weeks, before, dx, dy, rs_ratio, rs_momentum, sqrt(dx * dx + dy * dy) AS speed, 101.5::DOUBLE - rs_ratio AS tx, 101.5::DOUBLE - rs_momentum AS ty, coalesce(n_quads, 0) < 2 AS few FROM hs_trend t LEFT JOIN hs_quad USING (industry_key) LEFT JOIN hs_tail USING (industry_key)")
+part("hs", f"""SELECT industry_key, CASE WHEN n >= 13 THEN {r('sctr', 1)} END AS sctr, CASE WHEN n >= 13 THEN {r('d4', 1)} END AS sctr_4w_change, CASE WHEN n >= 13 THEN {r('d12', 1)} END AS sctr_12w_change,
+  CASE WHEN n < 13 THEN 'insufficient' WHEN d4 > 2 AND d12 > 5 THEN 'accelerating' WHEN d4 > 2 OR d12 > 5 THEN 'rising' WHEN d4 < -2 AND d12 < -5 THEN 'decelerating' WHEN d4 < -2 OR d12 < -5 THEN 'falling' ELSE 'flat' END AS sctr_trend,
+  {r("CASE WHEN n >= 13 AND sctr IS NOT NULL THEN (greatest(-40.0, least(40.0, d4 * 0.6::DOUBLE + d12 * 0.4::DOUBLE)) + 40) / 80 * 100 ELSE 50.0::DOUBLE END", 1)} AS score_sctr_mom, coalesce(now, '') AS quadrant, CAST(coalesce(weeks, 0) AS INTEGER) AS weeks_in_quadrant,
+  {r(f"CASE WHEN now IS NULL THEN 50.0::DOUBLE WHEN now {_BULL} AND weeks <= 2 THEN 65 WHEN now {_BULL} AND weeks <= 8 THEN 70 + least(weeks - 2, 6) * 2.5::DOUBLE WHEN now {_BULL} THEN greatest(85.0::DOUBLE - (weeks - 8) * 2, 50) ELSE greatest(35.0::DOUBLE - weeks * 2, 10) END", 1)} AS score_persistence,
+  CASE WHEN few THEN '' ELSE before END AS prev_quadrant, CASE WHEN few THEN 'insufficient' WHEN before = '' THEN 'stable-' || now ELSE before || '→' || now END AS transition,
+  CAST(CASE WHEN few THEN 50 WHEN before = '' THEN (CASE WHEN now {_BULL} THEN 70 ELSE 30 END) WHEN before = 'Improving' AND now = 'Leading' THEN 90 WHEN before = 'Lagging' AND now = 'Improving' THEN 75 WHEN before = 'Weakening' AND now = 'Lagging' THEN 15 WHEN before = 'Leading' AND now = 'Weakening' THEN 25 WHEN now {_BULL} THEN 55 ELSE 35 END AS DOUBLE) AS score_transition,
+  {r('dx', 3)} AS tail_dx, {r('dy', 3)} AS tail_dy, {r('speed', 3)} AS tail_speed, coalesce(dx > 0 AND dy > 0, false) AS toward_leading,
+  {r("CASE WHEN dx IS NULL THEN 50.0::DOUBLE ELSE (least(speed / 0.6::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE + ((dx * tx + dy * ty) / ((speed + 1e-9) * (sqrt(tx * tx + ty * ty) + 1e-9)) + 1) / 2 * 0.5::DOUBLE) * 100 END", 1)} AS score_velocity FROM hs1""")
+part("ma5", f"SELECT industry_key, a50 AS above_50sma, a200 AS above_200sma, crossed AS recent_50sma_cross, {r('p50', 2)} AS pct_from_50sma, {r('p200', 2)} AS pct_from_200sma, {r('CASE WHEN crossed THEN least(base + 10, 100.0::DOUBLE) ELSE base END', 1)} AS score_ma FROM ma4")
+_SEV_LABELS = " ".join(f"WHEN hs.quadrant = '{a}' AND m.quadrant = '{b}' THEN '{v}'" for (a, b), v in TIMEFRAME_LABEL.items())
+part("sev1", f"SELECT hs.*, coalesce(above_50sma, false) AS above_50sma, coalesce(above_200sma, false) AS above_200sma, coalesce(recent_50sma_cross, false) AS recent_50sma_cross, pct_from_50sma, pct_from_200sma, coalesce(score_ma, 50.0) AS score_ma, coalesce(m.quadrant, '') AS quadrant_m, m.rs_ratio AS rs_ratio_m, m.rs_momentum AS rs_momentum_m, CASE {_SEV_LABELS} ELSE '' END AS timeframe_label FROM hs LEFT JOIN ma5 USING (industry_key) LEFT JOIN rotm_snap m USING (industry_key)")
+part("sev2", f"SELECT *, CAST({cases('timeframe_label', TIMEFRAME_SCORE, '50')} AS DOUBLE) AS score_timeframe FROM sev1")
+part("sev3", f"SELECT *, {r('score_sctr_mom * 0.20::DOUBLE + score_persistence * 0.18::DOUBLE + score_transition * 0.18::DOUBLE + score_velocity * 0.17::DOUBLE + score_ma * 0.12::DOUBLE + score_timeframe * 0.15::DOUBLE', 1)} AS severity_score FROM sev2")
+part("sev4", f"""SELECT s.*, coalesce(ath_signal, '') AS ath_signal, coalesce(ath_score, 50.0) AS ath_score, pct_from_ath, coalesce(rs_ma_signal, '') AS rs_ma_signal, coalesce(rs_cross_up, false) AS rs_cross_up, coalesce(rs_cross_down, false) AS rs_cross_down, weeks_above_ma AS rs_weeks_above_ma, x.rs_pct_composite, x.rs_pct_3m, x.rs_pct_12m, {r('x.rs_excess_comp', 1)} AS rs_excess_comp, {r('x.rs_line_vs_52w', 1)} AS rs_line_vs_52w,
+  coalesce(x.rs_new_high, false) AS rs_new_high, coalesce(x.rs_near_new_high, false) AS rs_near_new_high, momentum_score, momentum_pct, coalesce(faber_signal, '') AS faber_signal, {r('sctr_st', 1)} AS sctr_st, {r('st_lead', 1)} AS st_lead, coalesce(st_signal, '') AS st_signal, coalesce(g.stage, '') AS stage, g.stage_score, g.minervini_count, d.sector_name, d.industry_name,
+  CASE WHEN severity_score >= 80 AND s.quadrant {_BULL} AND quadrant_m {_BULL} THEN 'Both TF Confirmed' WHEN severity_score >= 80 AND s.quadrant {_BULL} THEN 'Strong Confirmed' WHEN severity_score >= 65 AND s.quadrant {_BULL} THEN 'Confirmed' WHEN severity_score >= 55 AND s.quadrant {_BULL} THEN 'Early Signal' WHEN s.quadrant {_BEAR} AND quadrant_m {_BULL} AND severity_score >= 50 THEN 'Pullback in Uptrend' WHEN severity_score >= 45 THEN 'Neutral / Watch' WHEN severity_score < 30 AND s.quadrant {_BEAR} AND quadrant_m {_BEAR} THEN 'Confirmed Exit' WHEN severity_score < 40 AND s.quadrant {_BEAR} THEN 'Weakening' ELSE 'Neutral / Watch' END AS label0
+  FROM sev3 s LEFT JOIN ath USING (industry_key) LEFT JOIN rsma4 USING (industry_key) LEFT JOIN strength x USING (industry_key) LEFT JOIN mom y USING (industry_key) LEFT JOIN stages g USING (industry_key) LEFT JOIN dim d USING (industry_key)""")
+part("sev5", """SELECT * EXCLUDE (label0), label0 || CASE WHEN label0 IN ('Both TF Confirmed', 'Strong Confirmed', 'Confirmed') AND ath_signal = 'New ATH' THEN ' + ATH' ELSE '' END || CASE WHEN label0 IN ('Both TF Confirmed', 'Strong Confirmed') OR (label0 = 'Confirmed' AND ath_signal <> 'New ATH') THEN (CASE WHEN rs_pct_composite >= 90 AND rs_new_high THEN ' ★RS' WHEN rs_pct_composite >= 80 THEN ' (RS≥80)' ELSE '' END) ELSE '' END AS severity_label FROM sev4""")
+part("sev", "SELECT *, CAST(row_number() OVER (ORDER BY severity_score DESC, industry_key) AS INTEGER) AS rank FROM sev5")
+_ORDER = {label: i for i, label in enumerate(SEVERITY_ORDER)}
+part("sev_counts", "SELECT trim(regexp_replace(severity_label, '\\s*[\\(★].*$', '')) AS label, count(*) AS n FROM sev GROUP BY ALL")
+FINAL |= {
+    "history_scores": "SELECT * FROM hs",
+    "rotation_severity": "SELECT * FROM sev",
+    "severity_distribution": f"SELECT label, n, CAST(row_number() OVER (ORDER BY {cases('label', _ORDER, '2')} DESC, label) AS INTEGER) AS place FROM sev_counts",
+    "enriched_severity": "SELECT sev.industry_key, severity_score, mg_pct, coalesce(mg_signal, '') AS mg_signal FROM sev LEFT JOIN mom USING (industry_key)",
+}
+
+
 def texts(queries: dict) -> dict[str, str]:
     """SQL of every query that has one."""
 
@@ -345,5 +429,5 @@ def texts(queries: dict) -> dict[str, str]:
         if name in queries:
             used = needed(final, set())
             clauses = ",\n".join(f"{p} AS ({PARTS[p]})" for p in PARTS if p in used)
-            out[name] = f"WITH {clauses}\n{final}"
+            out[name] = f"WITH RECURSIVE {clauses}\n{final}"
     return out
