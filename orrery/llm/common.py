@@ -14,7 +14,20 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows that go to a Python worker at a time. Rows hold whole texts, so Spark's default of 10,000 would let batches of tens
+#: of MB grow on both sides of every task; a lower setting of the session's own stays.
+ROWS_PER_BATCH = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
+    text_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -43,6 +43,8 @@ def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         size += n
     if at < batch.num_rows:
         yield batch.slice(at)
+    # workers live on for later tasks: what this batch needed goes back to the system
+    pa.default_memory_pool().release_unused()
 
 
 def _encode_counts(path: str, kind: str):
