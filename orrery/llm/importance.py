@@ -2,12 +2,17 @@
 
 Two generative models over hashed word n-grams (one and two words) are counted: one of target text (documents labelled
 good), one of raw text (all documents). A document's log weight is the mean log ratio of its n-grams under both, shrunk
-for short documents and scaled to ``tokens`` n-grams, so that long documents are not decided by length alone. Adding
-hash-seeded Gumbel noise and keeping the k largest keys draws k documents without replacement in proportion to their
-weights (Gumbel top-k).
-
-k follows from labels that the target model has not seen: the keys of half of the labelled documents give the cut that
-keeps a share ``recall`` of the good ones, and k is the share of labelled documents above that cut, times the documents.
+for short documents and scaled to ``tokens`` n-grams, so that long documents are not decided by length alone. To it comes
+the worst window of ``WINDOW`` words, over all windows of the whole text, so a bad passage counts alike in a short and in a
+long document. A word costs there what its stems (the word without punctuation, and its beginnings) cost: the log of how
+much rarer a stem is in good documents than in all, by documents that have it, and only as far as chance does not explain
+it; nothing else has a cost, so the number of windows does not matter. Adding hash-seeded Gumbel noise and keeping the k
+largest keys draws k documents without replacement in proportion to their weights (Gumbel top-k).
+
+k follows from labels that the target model has not seen, good and bad (toxic or of low quality) ones together: of the cuts
+that keep at most a share ``recall`` of the good half, and at least 1 - ``MOST_LOST``, the one with the fewest wrong
+verdicts (good below it, bad above it). k is the number of documents above that cut: labels are not spread as documents
+are, and those that the model has seen have higher keys, so a share of held-out labels would move the cut.
 
 Defined results: null text and text without words have log weight 0; a null doc_id counts as unlabelled; equal keys at the
 cut are all kept; repeated rows get equal keys; without labels of both halves every document is kept; an empty table gives
@@ -21,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, small, table
-from orrery.llm.shingles import hashed_words, rolling
+from orrery.llm.common import arrow_words, materialize, small, table
+from orrery.llm.shingles import rolling
 from orrery.llm.token_counts import chunks
 
 #: Hash buckets of the models: their size (a few MB), whatever the corpus.
@@ -35,37 +42,112 @@ MAX_LABELS = 200_000
 TOKENS, SHRINK, RECALL, SMOOTHING = 200.0, 20.0, 0.995, 1.0
 
 
-def _buckets(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+#: Words of a window, weight of the worst one, and lengths of the beginnings of a word that are counted beside the word.
+WINDOW, WORST, STEMS = 200, 8.0, (4, 6, 8)
+#: Standard deviations by which a stem must be rarer in good documents before it costs anything.
+DOUBT = 3.0
+#: Greatest share of held-out good labels that the cut may lose, and the number of cuts tried.
+MOST_LOST, CUTS = 0.2, 80
+PUNCTUATION = ".,;:!?()[]{}\"'*_"
+#: Costs are summed as multiples of this, so that a sum does not depend on what else is in a batch.
+UNIT = 2.0**-20
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of a batch, and the word and the text of every place."""
+    lists = arrow_words(texts, lower=True)
+    encoded = pc.list_flatten(lists).dictionary_encode()
+    doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    # the split leaves one empty piece in a text without words
+    there = pc.not_equal(encoded.dictionary, "").to_numpy(zero_copy_only=False)
+    index = encoded.indices.to_numpy()
+    keep = there[index]
+    return encoded.dictionary, index[keep], doc[keep]
+
+
+def _hashes(strings: pa.Array) -> np.ndarray:
+    encoded = strings.dictionary_encode()
+    pool = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in encoded.dictionary.to_pylist()), np.uint64, len(encoded.dictionary))
+    return pool[encoded.indices.to_numpy()]
+
+
+def _buckets(distinct: pa.Array, index: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every n-gram of a batch and the number of its text."""
-    words, offsets = hashed_words(texts, lower=True)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    words = _hashes(distinct)[index]
     two = rolling(words, 2, 3)
     inside = doc[: len(two)] == doc[1 : 1 + len(two)]
     grams = np.concatenate([words, two[inside]]) >> np.uint64(7)
     return (grams % np.uint64(buckets)).astype(np.int64), np.concatenate([doc, doc[: len(two)][inside]])
 
 
+def _stems(distinct: pa.Array, buckets: int) -> list[np.ndarray]:
+    """Bucket of the stems of each distinct word: one array a kind, each kind with half of ``buckets`` of its own."""
+    bare = pc.utf8_trim(distinct, PUNCTUATION)
+    bare = pc.if_else(pc.equal(bare, ""), distinct, bare)
+    own = np.uint64(max(1, buckets // 2))
+    kinds = [bare, *(pc.utf8_slice_codeunits(bare, 0, n) for n in STEMS)]
+    return [((_hashes(k) >> np.uint64(7)) % own + np.uint64(i) * own).astype(np.int64) for i, k in enumerate(kinds)]
+
+
 def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, raw, target): n-grams of all documents and of those with ``target`` true; summed in each task first."""
+    """(bucket, raw, target) of all documents and of those with ``target`` true; summed in each task first.
+
+    Buckets from 0: occurrences of n-grams. Buckets from ``buckets``: documents that have a stem, four kinds. The bucket -1:
+    documents.
+    """
+    stems = (1 + len(STEMS)) * max(1, buckets // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, target = np.zeros(buckets + stems + 1, np.int64), np.zeros(buckets + stems + 1, np.int64)
         for whole in batches:
             for b in chunks(whole, 0):
-                grams, doc = _buckets(b.column(0), buckets)
-                raw += np.bincount(grams, minlength=buckets)
+                distinct, index, doc = _words(b.column(0))
                 good = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-                target += np.bincount(grams[good[doc]], minlength=buckets)
+                grams, of = _buckets(distinct, index, doc, buckets)
+                raw[:buckets] += np.bincount(grams, minlength=buckets)
+                target[:buckets] += np.bincount(grams[good[of]], minlength=buckets)
+                once = np.unique(doc * len(distinct) + index)
+                word, of = once % max(1, len(distinct)), once // max(1, len(distinct))
+                for kind in _stems(distinct, buckets):
+                    pairs = np.unique(of * stems + kind[word])
+                    kind, of_kind = pairs % stems, pairs // stems
+                    raw[buckets:-1] += np.bincount(kind, minlength=stems)
+                    target[buckets:-1] += np.bincount(kind[good[of_kind]], minlength=stems)
+                raw[-1] += b.num_rows
+                target[-1] += good.sum()
         there = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(target[there])], ["bucket", "raw", "target"])
+        number = np.where(there == buckets + stems, -1, there)
+        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(raw[there]), pa.array(target[there])], ["bucket", "raw", "target"])
 
     per_task = docs.select("text", "target").mapInArrow(run, "bucket long, raw long, target long")
     return per_task.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
+def stem_costs(counts: DataFrame, buckets: int, doubt: float = DOUBT) -> np.ndarray:
+    """Cost of each stem bucket in multiples of ``UNIT``, at most 0; at most (1 + len(STEMS)) * buckets / 2 rows come to the driver."""
+    rows = counts.where(f"bucket < 0 or bucket >= {buckets}").toPandas()
+    size = (1 + len(STEMS)) * max(1, buckets // 2)
+    raw, target = np.zeros(size + 1), np.zeros(size + 1)
+    place = np.where(rows["bucket"] < 0, size, rows["bucket"] - buckets)
+    raw[place], target[place] = rows["raw"], rows["target"]
+    expected = raw[:-1] * target[-1] / max(1.0, raw[-1])
+    most = target[:-1] + doubt * np.sqrt(target[:-1] + 1) + 1
+    return np.round(np.minimum(0, np.log(most / (expected + 1))) / UNIT).astype(np.int64)
+
+
+def worst_windows(cost: np.ndarray, doc: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
+    """Least sum of the costs of ``window`` words in a row in each of ``n`` texts; of all words in shorter ones."""
+    sums = np.concatenate([[0], np.cumsum(cost)])
+    starts, places = np.searchsorted(doc, np.arange(n)), np.arange(len(doc))
+    ends = np.append(starts[1:], len(doc))
+    out = np.zeros(n, np.int64)
+    np.minimum.at(out, doc, sums[np.minimum(places + window, ends[doc])] - sums[places])
+    return out
+
+
 def log_ratios(counts: DataFrame, buckets: int, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log ratio of target to raw probability of each bucket; at most ``buckets`` rows come to the driver."""
-    rows = counts.toPandas()
+    rows = counts.where(f"bucket >= 0 and bucket < {buckets}").toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
     # the target model backs off to the raw one, so rare n-grams that it has not seen cost little
@@ -74,19 +156,22 @@ def log_ratios(counts: DataFrame, buckets: int, smoothing: float = SMOOTHING) ->
     return np.log((target + mass * share * buckets / 20) / (target.sum() + mass * buckets / 20)) - np.log(share)
 
 
-def with_keys(docs: DataFrame, ratios: np.ndarray, tokens: float = TOKENS, shrink: float = SHRINK, seed: str = "resample") -> DataFrame:
+def with_keys(docs: DataFrame, ratios: np.ndarray, costs: np.ndarray, tokens: float = TOKENS, shrink: float = SHRINK, seed: str = "resample") -> DataFrame:
     """``docs`` with _log_weight and _key (log weight plus Gumbel noise seeded by doc_id and text)."""
     names = list(docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    shared = docs.sparkSession.sparkContext.broadcast((ratios, costs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = shared.value
+        values, costs = shared.value
         for whole in batches:
             for b in chunks(whole, names.index("text")):
-                grams, doc = _buckets(b.column("text"), len(values))
+                distinct, index, place = _words(b.column("text"))
+                grams, doc = _buckets(distinct, index, place, len(values))
                 total = np.bincount(doc, weights=values[grams], minlength=b.num_rows)
                 count = np.bincount(doc, minlength=b.num_rows)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(tokens * total / (count + shrink))], [*names, "_log_weight"])
+                cost = np.minimum.reduce([costs[kind] for kind in _stems(distinct, len(values))])[index]
+                weight = tokens * total / (count + shrink) + WORST * UNIT * worst_windows(cost, place, b.num_rows)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(weight)], [*names, "_log_weight"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_log_weight double"])
     scored = docs.select(*docs.columns).mapInArrow(run, ddl)
@@ -131,19 +216,27 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -
     return docs.join(small(known), docs["doc_id"] == known["_id"], "left").drop("_id")
 
 
+def best_cut(held_out: DataFrame, recall: float) -> float | None:
+    """The key with the fewest good rows below and bad rows above it, among quantiles of the good ones; null without good rows."""
+    shares = np.linspace(1 - recall, max(1 - recall, MOST_LOST), CUTS).tolist()
+    cuts = held_out.where("_good").agg(F.percentile("_key", F.array(*map(F.lit, shares)))).first()[0]
+    if cuts is None:
+        return None
+    wrong = held_out.agg(*(F.count_if(F.when(F.col("_good"), F.col("_key") < c).otherwise(F.col("_key") >= c)) for c in cuts)).first()
+    return cuts[min(range(len(cuts)), key=lambda i: (wrong[i], i))]
+
+
 def classify(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, recall: float = RECALL) -> tuple[DataFrame, float]:
     """``docs`` with _log_weight, _key, _good and _fit, not yet written, and the least key that is kept."""
     rows = labelled(docs, labels)
-    counts = gram_counts(rows.select("text", (F.col("_good") & F.col("_fit")).alias("target")), buckets)
-    ratios = log_ratios(counts, buckets)
-    keyed = with_keys(rows, ratios)
+    counts = materialize(gram_counts(rows.select("text", (F.col("_good") & F.col("_fit")).alias("target")), buckets), "counts")
+    keyed = with_keys(rows, log_ratios(counts, buckets), stem_costs(counts, buckets))
     keys = materialize(keyed.select("_key", "_good", "_fit"), "keys")
     held_out = keys.where("not _fit")
-    cut = held_out.where("_good").agg(F.percentile("_key", F.lit(1 - recall))).first()[0]
+    cut = best_cut(held_out, recall)
     if cut is None or not keys.where("_fit and _good").limit(1).count():
         return keyed, -math.inf
-    share = held_out.agg(F.avg(F.when(F.col("_key") >= cut, 1.0).otherwise(0.0))).first()[0]
-    return keyed, kth_largest(keys, math.ceil(share * keys.count()))
+    return keyed, kth_largest(keys, keys.where(F.col("_key") >= cut).count())
 
 
 def good_labels(labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -345,6 +346,35 @@ def test_importance(spark):
     assert bound == -math.inf and all_kept.count() == 1202
 
 
+def test_importance_of_a_short_bad_passage(spark):
+    rng = random.Random(4)
+    plain, insults = [f"w{i}" for i in range(300)], ["idiot", "moron.", "scum", "Loser"]
+    rows, labels = [], []
+    for i in range(1600):
+        words = [rng.choice(plain) for _ in range((40, 200, 1000)[i % 3])]
+        if i % 8 == 0:
+            p = rng.randrange(len(words) - 4)
+            words[p : p + 4] = rng.sample(insults, 4)
+        rows.append((i, " ".join(words)))
+        if i % 16 < 10:
+            labels.append((i, i % 8 != 0))
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed, least = importance.classify(docs_, spark.createDataFrame(labels, "doc_id long, good boolean"), buckets=1 << 14)
+    kept = {r.doc_id for r in keyed.where(F.col("_key") >= least).collect()}
+    for length in range(3):
+        bad = [i for i in range(length, 1600, 3) if i % 8 == 0]
+        fine = [i for i in range(length, 1600, 3) if i % 8]
+        assert sum(i in kept for i in bad) <= 0.1 * len(bad) and sum(i in kept for i in fine) >= 0.97 * len(fine)
+
+
+def test_worst_windows():
+    rng = random.Random(6)
+    texts_ = [[-rng.randrange(5) for _ in range(n)] for n in (0, 1, 9, 0, 10, 11, 60, 0)]
+    doc = [i for i, t in enumerate(texts_) for _ in t]
+    got = importance.worst_windows(np.array([c for t in texts_ for c in t]), np.array(doc), len(texts_), window=10)
+    assert got.tolist() == [min((sum(t[p : p + 10]) for p in range(len(t))), default=0) for t in texts_]
+
+
 def test_kth_largest(spark):
     rng = random.Random(5)
     values = [rng.choice([rng.gauss(0, 1), 0.5, 1e9]) for _ in range(3000)]
