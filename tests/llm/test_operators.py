@@ -96,6 +96,23 @@ def test_pruning_limits():
     assert [n for n, _ in limits] == list(near_dedup.BATCHES) and all(m < 0.8 * n for n, m in limits) and limits[-1][1] > 170
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_no_pair_at_the_threshold_is_pruned(docs, monkeypatch, percent):
+    """The probability to drop a pair exactly at the threshold, summed over batches, for every pruning that a run does."""
+    used, limits = [], near_dedup.least_matches
+    monkeypatch.setattr(near_dedup, "least_matches", lambda *a: used.append(limits(*a)) or used[-1])
+    near_dedup.near_duplicates(docs, percent=percent)
+    s = percent / 100
+    for batches in used:
+        alive, done, lost = np.ones(1), 0, 0.0
+        for n, least in batches:
+            k, done = n - done, n
+            alive = np.convolve(alive, [math.comb(k, j) * s**j * (1 - s) ** (k - j) for j in range(k + 1)])
+            lost, alive[:least] = lost + alive[:least].sum(), 0
+        assert lost < 1e-5
+    assert len(used) >= 2
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60, 1)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
