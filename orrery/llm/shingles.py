@@ -69,3 +69,13 @@ def signature(shingles: np.ndarray, params: tuple[np.ndarray, np.ndarray]) -> np
         part = keys[lo : lo + 4096]
         least = np.minimum(least, (part[:, None] * a + b).min(axis=0))
     return least
+
+
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """64-bit key of each band (``rows`` values and the band's number) of each signature."""
+    cut = values[:, : bands * rows].reshape(len(values), bands, rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(values), bands)).copy()
+    for j in range(rows):
+        h = (h ^ cut[:, :, j]) * _ODD
+        h ^= h >> _SHIFT
+    return h
