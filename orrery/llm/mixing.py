@@ -1,14 +1,21 @@
-"""Mixing sources to target weights.
+"""Mixing sources to target weights, with DataFrame functions only.
 
 Sizes are summed per source, targets share the total by weight and stop at ``most`` times their source's size (the excess
 goes to the others by weight), and every document is taken floor(rate) times plus once more with probability equal to the
-fraction. The extra copies are drawn by one hash-seeded number per source: documents stand in order of size, and the one
-at rank r is taken if the seed plus r times the fraction crosses a whole number. Each document's chance is the fraction, as
-with independent draws, but since neighbours in size share the draws the words taken miss the target by about the
-largest document at most, whatever the seed.
+fraction. A document's draw is a number in [0, 1) hashed from its seed, id and text; it is taken once more if the draw is
+below a threshold. The thresholds are the fraction, set right for the draws at hand: documents of a source stand in bins
+by size (an eighth of an octave wide, so sizes in a bin are within 13%), each bin takes a whole number of its documents,
+next to its share of the fraction (one seeded phase per source carries what is left from bin to bin), and its threshold is
+the draw at which that number is reached. Each document's chance is the fraction, as with independent draws, but the words
+taken miss the target by about the largest document. Independent draws against the bare fraction miss it by up to 47% at
+50 documents a source and by 14% at 500.
+
+All that is gathered are counts by source, size bin and 256th part of the draw, summed in each task first: no text is
+shuffled, and no source, however large, meets in one task.
 
 Defined results: null text has size 0; null sources are one source, last in order; repeated rows are documents of their
-own; a source of size 0 has target 0; an empty table gives an empty result. Further columns are carried along.
+own, with equal draws; a source of size 0 has target 0; an empty table gives an empty result. Further columns are carried
+along, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,14 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, small, table, word_count
+from orrery.llm.common import materialize, small, stacked, table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-#: Parts of a group of equal (source, size) when ranks are given; a part is one sort.
+#: Parts of the range of draws that are counted; inside the part of a threshold, draws are taken to be even.
 PARTS = 256
-#: Source tables up to this many rows are broadcast; longer ones are joined by shuffling.
-BROADCAST_SOURCES = 20_000
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -52,44 +57,69 @@ def _unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def _drawn(docs: DataFrame, weights, most: int, seed: str) -> DataFrame:
-    """``docs`` with _mix_size, _mix_source_size, _mix_target and _mix_copies.
+def size_bin(size: Column) -> Column:
+    """The highest four bits of a size and their place: bins an eighth of an octave wide, in order of size."""
+    bits = F.length(F.bin(size))
+    top = F.when(bits > 4, F.floor(size / F.pow(F.lit(2.0), bits - 4))).otherwise(size)
+    return (bits * 16 + top).cast("long")
+
+
+def thresholds(counts: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """(source, bin, source_size, target, times, threshold): how often documents of a bin are taken, and the draw below which once more.
 
-    Documents are ranked in parts of a source's documents of one size: ranks come from counts of the parts (summed with
-    map-side combining) plus the place inside a part, so no source, however large, is sorted by one task.
+    ``counts``: (source, bin, part, n, size), one row for each part that has documents.
     """
-    order = ["_mix_size", "_mix_part"]
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
-    rows = docs.withColumn("_mix_size", word_count(docs["text"])).withColumn("_mix_key", key)
-    rows = rows.withColumn("_mix_part", F.conv(F.substring("_mix_key", 1, 2), 16, 10).cast("int") % PARTS)
-    counts = materialize(rows.groupBy("source", *order).agg(F.count("*").alias("n")), "mix-counts")
-    targets = materialize(source_targets(counts.select("source", (F.col("_mix_size") * F.col("n")).alias("size")), weights, most), "mix-targets")
-    before = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("source").alias("_s"), F.col("_mix_size").alias("_s_size"), F.col("_mix_part").alias("_s_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_start"))
-    inside = Window.partitionBy("source", *order).orderBy("_mix_key", "doc_id")
-    ranked = rows.withColumn("_mix_place", F.row_number().over(inside) - 1)
-    ranked = ranked.join(starts, ranked["source"].eqNullSafe(F.col("_s")) & (F.col("_mix_size") == F.col("_s_size")) & (F.col("_mix_part") == F.col("_s_part")))
-    t = targets.select(F.col("source").alias("_t"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
-    joined = ranked.join(small(t, BROADCAST_SOURCES), ranked["source"].eqNullSafe(F.col("_t")))
-    rate = F.coalesce(F.try_divide(F.col("_mix_target"), F.col("_mix_source_size").cast("double")), F.lit(0.0))
-    joined = joined.withColumn("_mix_rate", rate).withColumn("_mix_f", F.col("_mix_rate") - F.floor("_mix_rate"))
-    at = F.col("_mix_start") + F.col("_mix_place")
+    t = targets.select(F.col("source").alias("of"), "source_size", "target")
+    bins = counts.groupBy("source", "bin").agg(F.sum("n").alias("n")).join(small(t), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    bins = bins.withColumn("times", F.floor(rate)).withColumn("f", rate - F.floor(rate))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     phase = _unit(F.lit(seed), F.coalesce(F.col("source"), F.lit("\x00null")))
-    extra = F.floor(phase + (at + 1) * F.col("_mix_f")) - F.floor(phase + at * F.col("_mix_f"))
-    return joined.withColumn("_mix_copies", (F.floor("_mix_rate") + extra).cast("long"))
+    more = F.floor(phase + (before + F.col("n")) * F.col("f")) - F.floor(phase + before * F.col("f"))
+    bins = bins.withColumn("more", more).withColumnsRenamed({"source": "s", "bin": "b", "n": "all"})
+    parts = counts.join(bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    done = F.coalesce(F.sum("n").over(Window.partitionBy("source", "bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the part in which the number is reached, and how far into it
+    reached = parts.withColumn("done", done).where("more > done and more <= done + n")
+    found = reached.select(F.col("source").alias("s"), F.col("bin").alias("b"), ((F.col("part") + (F.col("more") - F.col("done")) / F.col("n")) / PARTS).alias("threshold"))
+    rest = bins.withColumnsRenamed({"s": "source", "b": "bin"})
+    joined = rest.join(found, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")), "left")
+    return joined.select("source", "bin", "source_size", "target", "times", F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
+
+
+def _drawn(docs: DataFrame, weights, most: int, seed: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with size, source_size, target and copies, under names that are given and apart from those of ``docs``."""
+    names = list(docs.columns)
+    plain = [f"c{i}" for i in range(len(names))]
+    at = dict(zip(names, plain, strict=True))
+    rows = docs.toDF(*plain)
+    text = rows[at["text"]]
+    draw = _unit(F.lit(seed), F.coalesce(rows[at["doc_id"]].cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    rows = rows.select("*", word_count(text).alias("size"), draw.alias("draw"), rows[at["source"]].alias("source"))
+    rows = rows.withColumn("bin", size_bin(F.col("size")))
+    part = F.floor(F.col("draw") * PARTS)
+    counts = materialize(rows.groupBy("source", "bin", part.alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("size")), "mix-counts")
+    targets = materialize(source_targets(counts.select("source", "size"), weights, most), "mix-targets")
+    cells = materialize(thresholds(counts, targets, seed), "mix-thresholds").withColumnsRenamed({"source": "s", "bin": "b"})
+    joined = rows.join(small(cells), rows["source"].eqNullSafe(F.col("s")) & (rows["bin"] == F.col("b")))
+    copies_ = (F.col("times") + F.when(F.col("draw") < F.col("threshold"), 1).otherwise(0)).cast("long")
+    new = stacked(["_mix_size", "_mix_source_size", "_mix_target", "_mix_copies"], names)
+    return joined.select(*plain, "size", "source_size", "target", copies_).toDF(*names, *new), new
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """``docs`` with columns size, source_size, target and copies (in place of columns of these names)."""
     new = ("size", "source_size", "target", "copies")
-    drawn = _drawn(docs, weights, most, seed)
-    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new), *(F.col(f"_mix_{c}").alias(c) for c in new))
+    drawn, names = _drawn(docs, weights, most, seed)
+    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new), *(F.col(a).alias(b) for a, b in zip(names, new, strict=True)))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """Every document as often as the mix takes it, with the columns of ``docs``."""
-    taken = _drawn(docs, weights, most, seed).where(F.col("_mix_copies") > 0)
-    return taken.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    drawn, names = _drawn(docs, weights, most, seed)
+    times = F.col(names[-1])
+    each = drawn.where(times > 0).select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias(stacked(["_mix_copy"], docs.columns)[0]))
+    return each.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,18 +129,23 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+        CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) / 281474976710656.0 AS draw FROM documents),
 s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3 * source_size AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
       FROM w WINDOW f AS (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, (cap / weight, i)) FROM l WHERE level * weight <= cap))::DOUBLE AS target FROM l),
-r AS (SELECT doc_id, d.source, size, row_number() OVER (PARTITION BY d.source ORDER BY size, CAST('0x' || substr(k, 1, 2) AS INTEGER), k, doc_id) - 1 AS pos FROM d),
-j AS (SELECT r.*, source_size, target, coalesce(target / nullif(source_size, 0), 0) AS rate,
-        CAST('0x' || substr(md5('mix:' || coalesce(r.source, chr(0) || 'null')), 1, 12) AS BIGINT) / 281474976710656.0 AS phase
-      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+c AS (SELECT *, coalesce(target / nullif(source_size, 0), 0) AS rate, length(bin(size)) AS bits, floor(draw * 256) AS part,
+        CAST('0x' || substr(md5('mix:' || coalesce(d.source, chr(0) || 'null')), 1, 12) AS BIGINT) / 281474976710656.0 AS phase
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, bits * 16 + CASE WHEN bits > 4 THEN floor(size / pow(2, bits - 4)) ELSE size END AS bin, rate - floor(rate) AS f FROM c),
+e AS (SELECT *, count(*) OVER (PARTITION BY source ORDER BY bin RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+        count(*) OVER (PARTITION BY source, bin) AS n, count(*) OVER (PARTITION BY source, bin, part) AS own,
+        count(*) OVER (PARTITION BY source, bin ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS done FROM b),
+m AS (SELECT *, floor(phase + upto * f) - floor(phase + (upto - n) * f) AS more FROM e)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
-  CAST((floor(rate) + floor(phase + (pos + 1) * (rate - floor(rate))) - floor(phase + pos * (rate - floor(rate)))) * size AS BIGINT) AS taken FROM j
+  CAST((floor(rate) + CASE WHEN more >= done THEN 1 WHEN more <= done - own THEN 0 WHEN draw < (part + (more - (done - own)) / own) / 256 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM m
 """
 
 QUERIES = {"op9_source_mixing": op9_source_mixing}
