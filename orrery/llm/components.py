@@ -1,4 +1,7 @@
-"""Connected components of an undirected graph, by hooking to smaller neighbours and pointer jumping."""
+"""Connected components of an undirected graph, by hooking to smaller neighbours and pointer jumping.
+
+Edges with a null end and loops join nothing; repeated edges count once; no edges give no rows.
+"""
 
 from __future__ import annotations
 

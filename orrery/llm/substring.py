@@ -1,17 +1,20 @@
-"""Exact substring dedup on a de Bruijn graph of word windows.
+"""Exact substring dedup by compacting a de Bruijn graph of word windows.
 
-A window of ``width`` consecutive words is an edge of the graph, from its first to its last ``width - 1`` words. Edges that
-start in documents with different ids are the repeated ones; the source of an edge is its occurrence with the least
-(doc_id, position). Consecutive repeated edges of a document whose sources are consecutive too lie on one non-branching
-path; such runs are compacted to spans (document, start, length, source document, source start).
+A window of ``width`` consecutive words is an edge of the graph, from the node of its first to that of its last
+``width - 1`` words. Edges that start in documents with different ids are the repeated ones; the source of an edge is its
+occurrence with the least (doc_id, position).
 
-Only repeated edges are ever grouped. Each window is represented by its minimizer (of its ``SEED``-word parts the one with
-the least hash), equal windows have equal minimizers, and windows whose minimizer occurs in one document only cannot be
-repeated. So a first pass shuffles the distinct minimizers (about two in nine words), and a second one only runs of
-windows under repeated minimizers.
+1. Each window has a minimizer: of its ``SEED``-word parts the one with the least hash. Equal windows have equal
+   minimizers, so only windows under a minimizer that two documents have can be repeated (one aggregation of narrow rows).
+2. Windows in a row under one place of such a minimizer are a run. Equal runs are aggregated first, so copies of a passage
+   cost one row each task; the windows of distinct runs are the edges, with their sources.
+3. Nodes with one repeated edge in and one out do not branch. Edges whose sources follow on each other over such nodes are
+   one piece, and pieces that meet in such a node are joined, by hooking and pointer doubling, to paths: the maximal
+   non-branching ones, also where their parts have different sources.
+4. Stretches of a document on one path are spans, with the coordinates of their source. The words at these coordinates are
+   read again, and only spans with the same words (128-bit digests) are cut.
 
-An occurrence counts as equal to its source if the 64-bit hash agrees and so does a second hash, from other word hashes,
-that is kept with the source's coordinates.
+Edges are told apart by two 64-bit hashes from independent word hashes; a span that is not confirmed stays.
 
 Defined results: null text has no words; words of a text with fewer than ``width`` words stay; windows repeated inside one
 document only stay; rows with one doc_id are one document to each other; a row with a null doc_id is neither a source nor
@@ -20,48 +23,38 @@ cut; an empty table gives an empty result; the columns of ``docs`` are carried a
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_words, materialize, table
-from orrery.llm.shingles import hashed_words, rolling
+from orrery.llm.common import arrow_words, discard, materialize, small, stacked, table
+from orrery.llm.components import components
+from orrery.llm.shingles import paired_words, rolling
 from orrery.llm.token_counts import chunks
 
 WIDTH, SEED = 13, 6
-#: Distinct windows of one minimizer whose sources one task holds in memory; further ones are grouped by a join.
-HELD_WINDOWS = 100_000
-CHECK = np.uint64(0xD6E8FEB86659FD93)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written: it does so when its driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _windows(texts: pa.Array, width: int, seed: int):
-    """For a batch: window starts, their hashes, second hashes and minimizers (hash and place), and text number and place."""
-    words, offsets = hashed_words(texts)
+def _windows(words: np.ndarray, offsets: np.ndarray, width: int, seed: int):
+    """For a batch: text of each word, window starts, hashes of the ``seed``-word parts and the place of each window's minimizer."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     n = max(0, len(words) - width + 1)
     starts = np.flatnonzero(doc[:n] == doc[width - 1 : width - 1 + n])
     if not len(starts):
         return None
     parts = rolling(words, seed, 7)
-    span = width - seed + 1
-    # the last place of the least hash among `span` parts; ties go left, alike for equal windows
-    view = np.lib.stride_tricks.sliding_window_view(parts, span)
+    # the first place of the least hash; equal windows choose alike
+    view = np.lib.stride_tricks.sliding_window_view(parts, width - seed + 1)
     place = np.empty(len(starts), np.int64)
     for lo in range(0, len(starts), 1 << 18):
         own = starts[lo : lo + (1 << 18)]
         place[lo : lo + (1 << 18)] = own + view[own].argmin(axis=1)
-    return words, offsets, doc, starts, parts, place
+    return doc, starts, parts, place
 
 
 def seeds(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -70,38 +63,45 @@ def seeds(docs: DataFrame, width: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, 1):
-                w = _windows(b.column(1), width, seed)
+                words, _, offsets = paired_words(b.column(1))
+                w = _windows(words, offsets, width, seed)
                 if w is None:
                     continue
-                _, _, doc, starts, parts, place = w
+                doc, _, parts, place = w
                 place = place[np.r_[True, place[1:] != place[:-1]]]
                 order = np.lexsort((parts[place], doc[place]))
                 d, m = doc[place][order], parts[place][order]
                 new = np.r_[True, (d[1:] != d[:-1]) | (m[1:] != m[:-1])]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d[new])), pa.array(m[new].view(np.int64))], ["doc_id", "m"])
 
-    return docs.mapInArrow(run, "doc_id long, m long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, m long")
 
 
 def repeated_seeds(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """(doc_id, seeds): the minimizers of each document that other documents have as well."""
-    near = Window.partitionBy("m").orderBy("doc_id")
-    rows = seeds(docs, width, seed).select("doc_id", "m", F.lag("doc_id").over(near).alias("p"), F.lead("doc_id").over(near).alias("q"))
-    # rows of one key stand in order of doc_id: a key is repeated here if the first or the last neighbour differs
-    ends = rows.where("p <> doc_id or q <> doc_id")
-    return ends.groupBy("doc_id").agg(F.collect_set("m").alias("seeds"))
+    """(doc_id, seeds): the minimizers of each document that other documents have as well, written out."""
+    rows = materialize(seeds(docs, width, seed), "seeds")
+    # written out, so that the join below has plain exchanges on both sides and a hot minimizer can be split
+    repeated = materialize(rows.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"), "repeated")
+    found = materialize(rows.join(repeated.hint("shuffle_hash"), "m").groupBy("doc_id").agg(F.collect_set("m").alias("seeds")), "own-seeds")
+    discard(rows, repeated)
+    return found
 
 
 def runs(docs: DataFrame, repeated: DataFrame, width: int, seed: int) -> DataFrame:
-    """(m, doc_id, row, start, windows, checks): maximal runs of consecutive windows under one place of a repeated minimizer."""
+    """Maximal runs of consecutive windows under one place of a repeated minimizer.
+
+    doc_id, row, start; d1 and d2, the digest of the run; windows and checks, two hashes of each window; nodes, the hashes
+    of the ``width - 1`` words before, between and after the windows (one more than windows).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, 1):
-                w = _windows(b.column(1), width, seed)
+                words, second, offsets = paired_words(b.column(1))
+                w = _windows(words, offsets, width, seed)
                 if w is None:
                     continue
-                words, offsets, doc, starts, parts, place = w
+                doc, starts, parts, place = w
                 m = parts[place]
                 lists = b.column(2)
                 values = pc.list_flatten(lists).to_numpy().view(np.uint64)
@@ -121,134 +121,203 @@ def runs(docs: DataFrame, repeated: DataFrame, width: int, seed: int) -> DataFra
                 if not len(keep):
                     continue
                 first, hold = starts[keep], place[keep]
-                head = np.r_[True, (hold[1:] != hold[:-1]) | (first[1:] != first[:-1] + 1)]
-                cuts = pa.array(np.r_[np.flatnonzero(head), len(keep)].astype(np.int32))
-                h = rolling(words, width)[first]
-                c = (rolling(words * CHECK ^ (words >> np.uint64(31)), width, 11)[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                own = doc[first[head]]
+                heads = np.flatnonzero(np.r_[True, (hold[1:] != hold[:-1]) | (first[1:] != first[:-1] + 1)])
+                cuts = np.r_[heads, len(first)]
+                h, c = rolling(words, width)[first], rolling(second, width, 11)[first]
+                ends = cuts[1:] - 1
+                # first and last window hold all words of a run, since it has at most width - SEED + 1 windows
+                ab = np.stack([h[heads], h[ends], np.diff(cuts).astype(np.uint64)], axis=1), np.stack([c[heads], c[ends], np.diff(cuts).astype(np.uint64)], axis=1)
+                d1, d2 = (rolling(x.ravel(), 3, 13)[::3] for x in ab)
+                nodes = rolling(words, width - 1, 5)[np.insert(first, cuts[1:], first[ends] + 1)]
+                lists_of = lambda x, extra=0: pa.ListArray.from_arrays(pa.array((cuts + extra * np.arange(len(cuts))).astype(np.int32)), pa.array(x.view(np.int64)))
+                own = doc[first[heads]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts[hold[head]].view(np.int64)), b.column(0).take(pa.array(own)), b.column(3).take(pa.array(own)), pa.array((first[head] - offsets[own]).astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(c))],
-                    ["m", "doc_id", "row", "start", "windows", "checks"],
+                    [b.column(0).take(pa.array(own)), b.column(3).take(pa.array(own)), pa.array((first[heads] - offsets[own]).astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists_of(h), lists_of(c), lists_of(nodes, 1)],
+                    ["doc_id", "row", "start", "d1", "d2", "windows", "checks", "nodes"],
                 )
 
     chosen = docs.join(repeated, "doc_id").select("doc_id", "text", "seeds", "row")
-    return chosen.mapInArrow(run, "m long, doc_id long, row long, start int, windows array<long>, checks array<int>")
-
-
-SEGMENT = "doc_id long, row long, start int, n int, source long, source_start int, h long, chk int"
-
-
-def _first_sources(held: int):
-    """Streams runs sorted by (m, doc_id, start). A window's first occurrence is its source, held until the minimizer changes.
-
-    Gives segments: removed stretches with consecutive sources (h null), and single windows that did not fit (h set).
+    return chosen.mapInArrow(run, "doc_id long, row long, start int, d1 long, d2 long, windows array<long>, checks array<long>, nodes array<long>")
+
+
+def distinct_runs(found: DataFrame) -> DataFrame:
+    """One row of each distinct run: its first occurrence, the greatest doc_id that has it, and its hashes."""
+    arrays = [F.first(c).alias(c) for c in ("windows", "checks", "nodes")]
+    grouped = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start", "row")).alias("s"), F.max("doc_id").alias("last"), *arrays)
+    return grouped.select("d1", "d2", "s.*", "last", "windows", "checks", "nodes")
+
+
+def repeated_edges(distinct: DataFrame) -> DataFrame:
+    """(h, c, u, v, source, source_row, source_start): windows that start in documents with different ids, their nodes and sources."""
+    n = F.size("windows")
+    one = F.posexplode(F.arrays_zip(F.col("windows").alias("h"), F.col("checks").alias("c"), F.slice("nodes", F.lit(1), n).alias("u"), F.slice("nodes", F.lit(2), n).alias("v")))
+    rows = distinct.select("doc_id", "start", "row", "last", one.alias("j", "e"))
+    rows = rows.select("e.*", F.struct("doc_id", (F.col("start") + F.col("j")).alias("start"), "row").alias("s"), "last")
+    edges = rows.groupBy("h", "c").agg(F.first("u").alias("u"), F.first("v").alias("v"), F.min("s").alias("s"), F.max("last").alias("last"))
+    return edges.where("s.doc_id < last").select("h", "c", "u", "v", F.col("s.doc_id").alias("source"), F.col("s.row").alias("source_row"), F.col("s.start").alias("source_start"))
+
+
+def plain_nodes(edges: DataFrame) -> DataFrame:
+    """(node): the nodes with exactly one repeated edge in and one out."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = edges.select(F.col("u").alias("node"), one.alias("outs"), none.alias("ins")).unionAll(edges.select("v", none, one))
+    return ends.groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins")).where("outs = 1 and ins = 1").select("node")
+
+
+def in_pieces(edges: DataFrame, plain: DataFrame) -> DataFrame:
+    """``edges`` and piece: the source_start of the first edge of their piece. A sort holds the edges of one source document."""
+    marked = edges.join(plain.select(F.col("node").alias("u"), F.lit(True).alias("plain")), "u", "left")
+    order = Window.partitionBy("source", "source_row").orderBy("source_start")
+    goes_on = F.coalesce(F.col("plain") & (F.lag("source_start").over(order) == F.col("source_start") - 1), F.lit(False))
+    head = F.when(~goes_on, F.col("source_start"))
+    return marked.select(*edges.columns, F.max(head).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("piece"))
+
+
+def path_pieces(edges: DataFrame, plain: DataFrame) -> DataFrame:
+    """(source, source_row, piece, path) from the edges in pieces: pieces that meet in a plain node have one path."""
+    ends = edges.groupBy("source", "source_row", "piece").agg(F.min(F.struct("source_start", "u")).alias("a"), F.max(F.struct("source_start", "v")).alias("z"))
+    pieces = materialize(ends.select("source", "source_row", "piece", F.col("a.u").alias("u"), F.col("z.v").alias("v"), F.monotonically_increasing_id().alias("id")), "pieces")
+    # a plain node has one edge in and one out, so each piece is followed by one other at most
+    meets = pieces.select(F.col("id").alias("a"), F.col("v").alias("node")).join(plain, "node").join(pieces.select(F.col("id").alias("b"), F.col("u").alias("node")), "node")
+    joined = components(meets.select("a", "b"))
+    paths = materialize(pieces.join(joined, F.col("id") == F.col("node"), "left").select("source", "source_row", "piece", F.coalesce("component", "id").alias("path")), "paths")
+    discard(pieces)
+    return paths
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows (start of a run, bits of its windows) of one document, piece and distance to the source, as stretches in a row."""
+    for b in batches:
+        rows, starts, sizes = [], [], []
+        for r, parts in enumerate(b.column("parts").to_pylist()):
+            at = np.unique([p["start"] + j for p in parts for j in range(p["bits"].bit_length()) if p["bits"] >> j & 1])
+            heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
+            rows += [r] * len(heads)
+            starts += at[heads].tolist()
+            sizes += np.diff(np.r_[heads, len(at)]).tolist()
+        here = b.take(pa.array(rows, pa.int64()))
+        start = pa.array(starts, pa.int32())
+        cols = [here.column(c) for c in ("doc_id", "row", "source", "source_row", "piece")]
+        yield pa.RecordBatch.from_arrays([*cols, start, pa.array(sizes, pa.int32()), pc.add(start, here.column("ahead"))], ["doc_id", "row", "source", "source_row", "piece", "start", "n", "source_start"])
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """(doc_id, row, start, n, source, source_row, source_start, path): stretches of windows that also start in a document
+    with a smaller id, each on one path and in a row at its source.
+
+    ``row`` is a hash of the text, since rows may share a doc_id. ``start`` counts words from 0, ``n`` windows: the words
+    covered are start .. start + n + width - 2.
     """
+    own = _own(docs)
+    repeated = repeated_seeds(own, width, seed)
+    found = materialize(runs(own, repeated, width, seed), "runs")
+    distinct = materialize(distinct_runs(found), "distinct")
+    edges = materialize(repeated_edges(distinct), "edges")
+    plain = materialize(plain_nodes(edges), "plain")
+    pieced = materialize(in_pieces(edges, plain), "pieced")
+    paths = path_pieces(pieced, plain)
+    # where each distinct run lies at its sources: the bits of its windows by piece and distance
+    windows = distinct.select("d1", "d2", F.posexplode(F.arrays_zip(F.col("windows").alias("h"), F.col("checks").alias("c"))).alias("j", "e")).select("d1", "d2", "j", "e.*")
+    keys = ["d1", "d2", "source", "source_row", "piece", "ahead"]
+    placed = windows.join(pieced.drop("u", "v"), ["h", "c"]).withColumn("ahead", F.col("source_start") - F.col("j"))
+    sources = materialize(placed.groupBy(*keys).agg(F.sum(F.expr("shiftleft(1L, j)")).alias("bits")), "sources")
+    parts = found.select("doc_id", "row", "start", "d1", "d2").join(sources, ["d1", "d2"]).where("source < doc_id").withColumn("ahead", F.col("ahead") - F.col("start"))
+    lists = parts.groupBy("doc_id", "row", "source", "source_row", "piece", "ahead").agg(F.collect_list(F.struct("start", "bits")).alias("parts"))
+    stretches = lists.mapInArrow(_stretches, "doc_id long, row long, source long, source_row long, piece int, start int, n int, source_start int")
+    spans = materialize(stretches.join(paths, ["source", "source_row", "piece"]).drop("piece"), "spans")
+    discard(repeated, found, distinct, edges, plain, pieced, paths, sources)
+    return spans
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("row"))
+
+
+def _texts_of(words: list[str], starts: list[int], sizes: list[int], width: int) -> list[bytes]:
+    """Digests of the words that windows cover."""
+    return [xxhash.xxh3_128_digest(" ".join(words[a : a + n + width - 1])) for a, n in zip(starts, sizes, strict=True)]
+
+
+def source_digests(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(source, source_row, source_start, n, digest): what stands at the sources of ``spans``, read from the texts."""
+    places = spans.select("source", "source_row", "source_start", "n").distinct()
+    asked = materialize(places.groupBy("source", "source_row").agg(F.collect_list("source_start").alias("starts"), F.collect_list("n").alias("sizes")), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sources = None, {}
-        for b in batches:
-            out: list[tuple] = []
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            for m, doc, row, start, windows, checks in zip(*cols, strict=True):
-                if m != current:
-                    current, sources = m, {}
-                last = None
-                for i, (h, c) in enumerate(zip(windows, checks, strict=True)):
-                    key = h, c
-                    s = sources.get(key)
-                    if s is None:
-                        if len(sources) < held:
-                            sources[key] = doc, start + i
-                        else:
-                            out.append((doc, row, start + i, 1, None, None, h, c))
-                        last = None
-                    elif s[0] < doc:
-                        if last and last[4] == s[0] and last[5] + last[3] == s[1]:
-                            last[3] += 1
-                        else:
-                            last = [doc, row, start + i, 1, s[0], s[1], None, None]
-                            out.append(last)
-                    else:
-                        last = None
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [f.split()[0] for f in SEGMENT.split(", ")])
-
-    return run
-
-
-def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, held: int = HELD_WINDOWS) -> DataFrame:
-    """(doc_id, row, start, n, source, source_start): compacted runs of windows that also start in a document with a smaller id.
-
-    ``row`` is a hash of the text, since rows may share a doc_id. ``start`` counts words from 0, ``n`` windows: the words covered are start .. start + n + width - 2.
-    """
-    spark = docs.sparkSession
-    own = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("row"))
-    repeated = materialize(repeated_seeds(own, width, seed), "seeds")
-    release_shuffles(spark)
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    sorted_runs = runs(own, repeated, width, seed).repartition(int(parts), "m").sortWithinPartitions("m", "doc_id", "row", "start")
-    segments = materialize(sorted_runs.mapInArrow(_first_sources(held), SEGMENT), "segments")
-    release_shuffles(spark)
-    found = segments.where("h is null").drop("h", "chk")
-    over = segments.where("h is not null")
-    if not over.isEmpty():
-        first = over.groupBy("h", "chk").agg(F.min(F.struct("doc_id", "start")).alias("s")).select("h", "chk", F.col("s.doc_id").alias("source"), F.col("s.start").alias("source_start"))
-        rest = over.drop("source", "source_start").join(first, ["h", "chk"]).where("source < doc_id")
-        found = found.unionByName(rest.select("doc_id", "row", "start", "n", "source", "source_start"))
-    # compaction: a segment goes on with the one before it if both its place and its source's place follow on
-    order = Window.partitionBy("doc_id", "row").orderBy("start", "source", "source_start")
-    follows = (F.lag(F.col("start") + F.col("n")).over(order) == F.col("start")) & (F.lag("source").over(order) == F.col("source")) & (F.lag(F.col("source_start") + F.col("n")).over(order) == F.col("source_start"))
-    numbered = found.dropDuplicates(["doc_id", "row", "start", "source", "source_start"]).withColumn("path", F.sum(F.when(follows, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "row", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("source").alias("source"), F.min("source_start").alias("source_start")).drop("path")
+        for whole in batches:
+            for b in chunks(whole, 0):
+                out = []
+                for words, doc, row, starts, sizes in zip(arrow_words(b.column(0)).to_pylist(), *(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    out += [(doc, row, a, n, d) for a, n, d in zip(starts, sizes, _texts_of(words, starts, sizes, width), strict=True)]
+                if out:
+                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["source", "source_row", "source_start", "n", "digest"])
+
+    own = _own(docs).select(F.col("doc_id").alias("source"), F.col("row").alias("source_row"), "text")
+    # only texts that are a source go through the shuffle, if their ids are few
+    chosen = own.join(small(asked.select("source").distinct()), "source", "left_semi").join(asked, ["source", "source_row"])
+    return chosen.select("text", "source", "source_row", "starts", "sizes").mapInArrow(run, "source long, source_row long, source_start int, n int, digest binary").distinct()
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` and n_words, n_removed and kept_text (the words that no span covers, joined by one space)."""
+    """``docs`` and _cut_n_words, _cut_n_removed and _cut_text (the words that no confirmed span covers, joined by one space).
+
+    Where ``docs`` has columns of these names, the new ones get further underscores in front.
+    """
     names = list(docs.columns)
-    per_doc = spans.groupBy("doc_id", "row").agg(F.collect_list("start").alias("_cut_starts"), F.collect_list("n").alias("_cut_lengths")).withColumnsRenamed({"doc_id": "_cut_doc", "row": "_cut_row"})
+    digests = materialize(source_digests(docs, spans, width), "digests")
+    known = spans.join(digests, ["source", "source_row", "source_start", "n"])
+    per_doc = known.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans")).select(F.col("doc_id").alias("span_doc"), F.col("row").alias("span_row"), "spans")
+    at = names.index("text")
+    plain = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in chunks(whole, names.index("text")):
-                lists = arrow_words(b.column("text"))
+            for b in chunks(whole, at):
+                lists = arrow_words(b.column(at))
                 flat = pc.list_flatten(lists)
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 offsets = offsets - offsets[0]
                 real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
                 covered = np.zeros(len(flat) + 1, np.int64)
-                for i, (starts, lengths) in enumerate(zip(b.column("_cut_starts").to_pylist(), b.column("_cut_lengths").to_pylist(), strict=True)):
-                    if starts:
-                        s = offsets[i] + np.array(starts)
-                        np.add.at(covered, s, 1)
-                        np.add.at(covered, s + np.array(lengths) + width - 1, -1)
+                for i, own in enumerate(b.column(len(names)).to_pylist()):
+                    if own:
+                        words = flat.slice(offsets[i], offsets[i + 1] - offsets[i]).to_pylist()
+                        starts, sizes = [s["start"] for s in own], [s["n"] for s in own]
+                        for s, n, here, there in zip(starts, sizes, _texts_of(words, starts, sizes, width), (s["digest"] for s in own), strict=True):
+                            if here == there:
+                                covered[offsets[i] + s] += 1
+                                covered[offsets[i] + s + n + width - 1] -= 1
                 gone = np.cumsum(covered[:-1]) > 0
                 keep = real & ~gone
                 count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
                 kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)), flat.filter(pa.array(keep)))
                 n_words = count(real)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(n_words), pa.array(n_words - count(keep)), pc.binary_join(kept, " ")], [*names, "_cut_n_words", "_cut_n_removed", "_cut_text"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(n_words), pa.array(n_words - count(keep)), pc.binary_join(kept, " ")], [*plain, "n_words", "n_removed", "kept"])
+
+    ddl = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, docs.schema, strict=True)), "n_words long, n_removed long, kept string"])
+    rows = docs.toDF(*plain)
+    doc, text = rows[plain[names.index("doc_id")]].cast("long"), rows[plain[at]]
+    joined = rows.join(per_doc, (doc == per_doc["span_doc"]) & (F.xxhash64(text) == per_doc["span_row"]), "left").select(*plain, "spans")
+    return joined.mapInArrow(run, ddl).toDF(*names, *stacked(CUT, names))
+
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_cut_n_words long, _cut_n_removed long, _cut_text string"])
-    return docs.join(per_doc, (docs["doc_id"] == per_doc["_cut_doc"]) & (F.xxhash64(docs["text"]) == per_doc["_cut_row"]), "left").select(*(docs[c] for c in names), "_cut_starts", "_cut_lengths").mapInArrow(run, ddl)
+CUT = ["_cut_n_words", "_cut_n_removed", "_cut_text"]
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the kept text in place of ``text`` (and its length in place of ``n_chars``, if there)."""
-    spans = materialize(repeated_spans(docs, width), "spans")
-    release_shuffles(docs.sparkSession)
-    cut = cut_spans(docs, spans, width)
+    cut = cut_spans(docs, repeated_spans(docs, width), width)
+    _, removed, kept = stacked(CUT, docs.columns)
     # texts that lose nothing keep their white space; null stays null
-    text = F.when(F.col("_cut_n_removed") > 0, F.col("_cut_text")).otherwise(F.col("text"))
+    text = F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text"))
     own = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return cut.select(*own)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = materialize(repeated_spans(docs), "spans")
-    release_shuffles(spark)
-    return cut_spans(docs, spans).select("doc_id", F.col("_cut_n_words").alias("n_words"), F.col("_cut_n_removed").alias("n_removed"), F.sha2(F.col("_cut_text"), 256).alias("kept_sha256"))
+    return cut_spans(docs, repeated_spans(docs)).select("doc_id", F.col("_cut_n_words").alias("n_words"), F.col("_cut_n_removed").alias("n_removed"), F.sha2(F.col("_cut_text"), 256).alias("kept_sha256"))
 
 
 _SQL = r"""

@@ -119,8 +119,7 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("held", [substring.HELD_WINDOWS, 1])
-def test_substrings(spark, docs, texts, held):
+def test_substrings(spark, docs, texts):
     words = [WORD.findall(t or "") for t in texts]
     first = {}
     for i, w in enumerate(words):
@@ -130,7 +129,7 @@ def test_substrings(spark, docs, texts, held):
     for i, w in enumerate(words):
         gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
         want[i] = (len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone))
-    spans = substring.repeated_spans(docs, held=held)
+    spans = substring.repeated_spans(docs)
     for s in spans.collect():  # source coordinates point at the same words
         n = s.n + 12
         assert words[s.doc_id][s.start : s.start + n] == words[s.source][s.source_start : s.source_start + n] and s.source < s.doc_id
@@ -138,6 +137,52 @@ def test_substrings(spark, docs, texts, held):
     assert got == want and sum(x[1] for x in want.values()) > 300
 
 
+def test_substring_paths(spark):
+    """Spans carry the maximal non-branching paths of the graph of repeated windows: brute force over branching texts."""
+    rng = random.Random(12)
+    say = lambda n: [f"v{rng.randrange(10_000)}" for _ in range(n)]
+    p, q, x, y, z = say(40), say(30), say(25), say(20), say(16)
+    made = [p + x, p + y, say(5) + p[20:] + x, q + p, z + q + p[:25], y + say(3) + z, p[:30] + say(2), x + q, z * 3, say(9) + z * 2, say(2) + p[5:] + y]
+    docs_ = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(3)
+    where = collections.defaultdict(list)
+    for i, w in enumerate(made):
+        for a in range(len(w) - 12):
+            where[tuple(w[a : a + 13])].append((i, a))
+    edges = {e for e, at in where.items() if len({i for i, _ in at}) > 1}
+    ins, outs = collections.Counter(e[1:] for e in edges), collections.Counter(e[:-1] for e in edges)
+    plain = {n for n in ins if ins[n] == 1 and outs[n] == 1}
+    name = {e: e for e in edges}
+
+    def root(e):
+        while name[e] != e:
+            e = name[e]
+        return e
+
+    after = {e[:-1]: e for e in edges}
+    for e in edges:
+        if e[1:] in plain:
+            name[root(e)] = root(after[e[1:]])
+    want, got = {}, {}
+    for s in substring.repeated_spans(docs_).collect():
+        for j in range(s.n):
+            e = tuple(made[s.doc_id][s.start + j : s.start + j + 13])
+            assert (s.source, s.source_start + j) == min(where[e]) and s.source < s.doc_id
+            assert got.setdefault(e, s.path) == s.path
+            want[e] = root(e)
+    assert set(got) == edges  # each repeated window is removed somewhere
+    pairs = set(zip(map(want.get, edges), map(got.get, edges), strict=True))
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) >= 3
+    assert any(ins[n] > 1 or outs[n] > 1 for n in set(ins) & set(outs))
+
+
+def test_unconfirmed_spans_stay(spark, docs):
+    """A span whose source has other words (as after a collision of hashes) is not cut."""
+    spans = substring.repeated_spans(docs)
+    wrong = spans.withColumn("source_start", F.col("source_start") + 1)
+    assert substring.cut_spans(docs, spans).agg(F.sum("_cut_n_removed")).first()[0] > 300
+    assert substring.cut_spans(docs, wrong).agg(F.sum("_cut_n_removed")).first()[0] == 0
+
+
 def test_substring_edges(spark, docs, texts):
     assert substring.dedup_substrings(empty(spark)).count() == 0
     text = " ".join(f"t{i}" for i in range(15))
