@@ -2,10 +2,13 @@
 
 Documents become token ids and an end id; only those longer than a sequence are cut. Full pieces are sequences of their
 own. The others are dealt into blocks of bounded size, and every block is packed by several islands. An island starts
-from best-fit decreasing packings and evolves them: crossover injects whole well-filled bins of one parent into another,
-removes the bins that hold the same items twice, and best-fits the displaced items. Between epochs the best solution of
-every island migrates to the next one (a Spark shuffle). A block that reaches its lower bound stops. Bins that stay
-noticeably short are opened, and their items are dealt anew and packed across blocks, while this shrinks them.
+from best-fit decreasing. Where that needs more bins than the block's lower bound, and the free space of the ``OPEN``
+emptiest bins would make up a whole bin, the items of these are evolved: crossover injects whole well-filled bins of one
+parent into another, removes the bins that hold the same items twice, and best-fits the displaced items; mutation opens
+some bins and best-fits their items in another order. Between epochs the best solution of every island migrates to the
+next one (a Spark shuffle). A block that reaches its bound stops. Bins that stay short by more than ``SLACK`` are opened,
+and their items are dealt anew and packed across blocks, as long as fewer than half as many items are left each time (at
+most 120 times, which bounds the numbers of sequences).
 
 Defined results: null text is empty (one piece, the end id); repeated rows are documents of their own; an empty table
 gives an empty result; further columns of ``docs`` do not matter. A rerun on the same table packs alike.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +34,9 @@ from orrery.llm.tokens import encoder
 CAPACITY = 2048
 #: Items of a block on average: bounds an island's memory (a few MB) whatever the input.
 BLOCK_ITEMS = 3000
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 4
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 3, 24, 60
+#: Generations without progress after which an island rests, share of children by mutation, bins that an island works on.
+STALL, MUTATION, OPEN = 15, 0.3, 96
 #: Bins with at most this share of the capacity free stay as they are.
 SLACK = 0.01
 
@@ -134,32 +140,83 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
 
 
-def evolve(sizes: list[int], capacity: int, start: list[list[list[int]]], seed: int, population: int, generations: int) -> Bins:
-    """The best solution of one island after some generations. ``start``: solutions that it has, as lists of bins of item numbers."""
+def mutation(a: Bins, sizes: list[int], rng: random.Random) -> Bins:
+    """Some bins of ``a`` are opened, and their items best-fitted from large to small, roughly."""
+    count = len(a.items)
+    opened = set(rng.sample(range(count), min(count, 2 + count // 20)))
+    child, loose = Bins(a.capacity), []
+    for n, own in enumerate(a.items):
+        if n in opened:
+            loose += own
+        else:
+            child.add(list(own), a.free[n])
+    for i in sorted(loose, key=lambda i: sizes[i] * rng.uniform(0.8, 1.2), reverse=True):
+        child.best_fit(i, sizes[i])
+    return child
+
+
+def with_bins(bins: list[list[int]], sizes: list[int], capacity: int) -> Bins:
+    """A solution that has ``bins``, with all other items best-fitted from large to small."""
+    out, placed = Bins(capacity), set()
+    for b in bins:
+        out.add(list(b), capacity - sum(sizes[i] for i in b))
+        placed.update(b)
+    for i in sorted((i for i in range(len(sizes)) if i not in placed), key=sizes.__getitem__, reverse=True):
+        out.best_fit(i, sizes[i])
+    return out
+
+
+def emptiest(bins: Bins, rng: random.Random, most: int) -> list[int]:
+    """The emptiest bins, roughly: as many as needed to make up a bin and a quarter, but ``most`` at most; none if that makes up less than one."""
+    order = sorted(range(len(bins.items)), key=lambda n: bins.free[n] * rng.uniform(0.7, 1.3), reverse=True)[:most]
+    return order if sum(bins.free[n] for n in order) >= bins.capacity else []
+
+
+def evolve(sizes: list[int], capacity: int, start: list[list[list[int]]], seed: int, population: int = POPULATION, generations: int = GENERATIONS, most: int = OPEN) -> tuple[Bins, int]:
+    """The best solution of one island after some generations, and the number of crossovers.
+
+    ``start``: solutions that it has, as lists of bins of item numbers, the own one first.
+    """
     rng, bound = random.Random(seed), lower_bound(sizes, capacity)
-    order = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
-    people = []
-    for bins in start:
-        own = Bins(capacity)
-        for b in bins:
-            own.add(list(b), capacity - sum(sizes[i] for i in b))
-        people.append(own)
-    if not people:
-        people.append(decreasing(sizes, capacity, order))
-    if min(p.value()[0] for p in people) > bound:
-        while len(people) < population:
-            shaken = sorted(order, key=lambda i: sizes[i] * rng.uniform(0.9, 1.1), reverse=True)
-            people.append(decreasing(sizes, capacity, shaken))
+    solutions = [with_bins(bins, sizes, capacity) for bins in start] or [with_bins([], sizes, capacity)]
+    base = min(solutions, key=Bins.value)
+    opened = emptiest(base, rng, most) if base.value()[0] > bound else []
+    if not opened:
+        return base, 0
+    fixed = set(range(len(base.items))) - set(opened)
+    items = [i for n in opened for i in base.items[n]]
+    own, place = [sizes[i] for i in items], {i: p for p, i in enumerate(items)}
+    people = [with_bins([[place[i] for i in base.items[n]] for n in opened], own, capacity), with_bins([], own, capacity)]
+    # what the migrants have of these items in whole bins
+    people += [with_bins([[place[i] for i in b] for b in s.items if all(i in place for i in b)], own, capacity) for s in solutions if s is not base]
+    while len(people) < population:
+        shaken = sorted(range(len(own)), key=lambda i: own[i] * rng.uniform(0.8, 1.2), reverse=True)
+        people.append(decreasing(own, capacity, shaken))
     people.sort(key=Bins.value)
+    goal, best, still, crossed = lower_bound(own, capacity), people[0].value(), 0, 0
     for _ in range(generations):
-        if people[0].value()[0] <= bound:
+        if best[0] <= goal or still >= STALL or len(people) < 2:
             break
-        children = [crossover(*rng.sample(people, 2), sizes, rng) for _ in range(len(people) - 1)]
-        people = sorted(people + children, key=Bins.value)[:population]
-    return people[0]
+        children = []
+        for _ in range(population):
+            if rng.random() < MUTATION:
+                children.append(mutation(rng.choice(people), own, rng))
+            else:
+                children.append(crossover(*rng.sample(people, 2), own, rng))
+                crossed += 1
+        # equal values are most often equal solutions; one of each keeps the population apart
+        people = list({p.value(): p for p in sorted(people + children, key=Bins.value)}.values())[:population]
+        still = still + 1 if people[0].value() >= best else 0
+        best = people[0].value()
+    out = Bins(capacity)
+    for n in sorted(fixed):
+        out.add(base.items[n], base.free[n])
+    for n, b in enumerate(people[0].items):
+        out.add([items[i] for i in b], people[0].free[n])
+    return min(base, out, key=Bins.value), crossed
 
 
-ISLAND = "block long, island int, uid long, length long, bin int, bins int, fill double"
+ISLAND = "block long, island int, uid long, length long, bin int, bins int, fill double, bound int"
 
 
 def _epoch(capacity: int, seed: int, population: int, generations: int):
@@ -173,12 +230,12 @@ def _epoch(capacity: int, seed: int, population: int, generations: int):
             for i, n in enumerate(solution["bin"].tolist()):
                 bins.setdefault(n, []).append(i)
             start.append(list(bins.values()))
-        best = evolve(sizes, capacity, start, hash((seed, *map(int, key))), population, generations)
+        best, _ = evolve(sizes, capacity, start, hash((seed, *map(int, key))), population, generations)
         number = np.empty(len(sizes), np.int32)
         for n, items in enumerate(best.items):
             number[items] = n
         count, fill = best.value()
-        return pd.DataFrame({"block": int(key[0]), "island": int(key[1]), "uid": uids, "length": sizes, "bin": number, "bins": count, "fill": -fill})
+        return pd.DataFrame({"block": int(key[0]), "island": int(key[1]), "uid": uids, "length": sizes, "bin": number, "bins": count, "fill": -fill, "bound": lower_bound(sizes, capacity)})
 
     return run
 
@@ -193,13 +250,22 @@ def pack_items(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS,
         blocks = -(-count // block_items)
         dealt = left.select(F.pmod(F.xxhash64("uid", F.lit(seed + level)), F.lit(blocks)).alias("block"), "uid", "length")
         state = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).select("block", "island", "uid", "length", F.lit(-1).alias("bin"), F.lit(0).alias("migrant"))
+        solved = []
         for epoch in range(epochs):
             after = materialize(state.groupBy("block", "island").applyInPandas(_epoch(capacity, seed + epoch, population, generations), ISLAND), "islands")
+            best = after.groupBy("block").agg(F.min(F.struct("bins", -F.col("fill"), "island")).alias("b"), F.min("bound").alias("least")).select("block", F.col("b.island").alias("island"), (F.col("b.bins") > F.col("least")).alias("open"))
+            best = materialize(best, "best")
+            last = epoch == epochs - 1
+            solved.append(after.join(best.where("not open") if not last else best, ["block", "island"]))
+            rest = best.where("open").select("block")
+            if last or rest.isEmpty():
+                break
+            # only blocks above their bound go on
+            after = after.join(rest, "block")
             own = after.select("block", "island", "uid", "length", "bin", F.lit(0).alias("migrant"))
             moved = after.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "uid", "length", "bin", F.lit(1).alias("migrant"))
             state = own.unionByName(moved)
-        best = after.groupBy("block").agg(F.min(F.struct("bins", -F.col("fill"), "island")).alias("b")).select("block", F.col("b.island").alias("island"))
-        chosen = after.join(best, ["block", "island"])
+        chosen = reduce(DataFrame.unionByName, solved)
         packed = chosen.select("uid", "length", (F.lit(level).cast("long") * (1 << 56) + F.col("block") * (1 << 20) + F.col("bin")).alias("sequence_id"))
         if blocks == 1:
             done = packed if done is None else done.unionByName(packed)

@@ -260,6 +260,35 @@ def test_crossover_keeps_every_item():
     assert all(sum(sizes[i] for i in own) == 100 - f for own, f in zip(child.items, child.free, strict=True))
 
 
+def test_islands_save_a_bin():
+    """Items cut from full bins: best fit needs more bins than there are, evolution finds the cut or comes nearer to it."""
+    rng, better = random.Random(8), 0
+    for case in range(6):
+        sizes = []
+        for _ in range(40):
+            cuts = sorted(rng.sample(range(1, 1000), 3))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 1000], strict=True)]
+        sizes += [400, 300, 200]
+        rng.shuffle(sizes)
+        first = packing.decreasing(sizes, 1000, sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True))
+        best, crossed = packing.evolve(sizes, 1000, [], case)
+        assert sorted(i for b in best.items for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) + f == 1000 and f >= 0 for b, f in zip(best.items, best.free, strict=True))
+        assert packing.lower_bound(sizes, 1000) == 41 <= len(best.items) <= len(first.items) and (crossed > 0 or len(first.items) == 41)
+        better += len(best.items) < len(first.items)
+        again, _ = packing.evolve(sizes, 1000, [first.items, best.items], case)
+        assert again.value() <= best.value()
+    assert better > 0
+
+
+def test_fewest_sequences(spark):
+    """The smallest table packs at its lower bound."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.pack(docs_, public_tokenizers.path("word_bpe_49k.json")).select("length", "sequence_id").collect()
+    lengths = [r.length for r in rows if r.length < 2048]
+    assert len({r.sequence_id for r in rows}) == len(rows) - len(lengths) + packing.lower_bound(lengths, 2048)
+
+
 def test_mixing(spark, docs, texts):
     rows = mixing.copies(docs).collect()
     size = {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
