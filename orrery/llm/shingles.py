@@ -16,14 +16,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
 
-def paired_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of all words one after another, and the word offsets of each text (n + 1)."""
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words one after another, and the word offsets of each text (n + 1)."""
     lists = arrow_words(texts, lower)
     flat = pc.list_flatten(lists)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     encoded = flat.dictionary_encode()
-    pool = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in encoded.dictionary.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+    pool = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in encoded.dictionary.to_pylist()), np.uint64, len(encoded.dictionary))
     index = encoded.indices.to_numpy()
     # the split leaves one empty piece in a text without words
     empty = np.flatnonzero(pc.equal(encoded.dictionary, "").to_numpy(zero_copy_only=False))
@@ -31,13 +31,7 @@ def paired_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
         keep = index != empty[0]
         index = index[keep]
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    return pool[index, 0], pool[index, 1], offsets
-
-
-def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words one after another, and the word offsets of each text (n + 1)."""
-    words, _, offsets = paired_words(texts, lower)
-    return words, offsets
+    return pool[index] if len(pool) else np.zeros(0, np.uint64), offsets
 
 
 def rolling(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

@@ -6,15 +6,16 @@ occurrence with the least (doc_id, position).
 
 1. Each window has a minimizer: of its ``SEED``-word parts the one with the least hash. Equal windows have equal
    minimizers, so only windows under a minimizer that two documents have can be repeated (one aggregation of narrow rows).
-2. Windows in a row under one place of such a minimizer are a run. Equal runs are aggregated first, so copies of a passage
-   cost one row each task; the windows of distinct runs are the edges, with their sources.
-3. Nodes with one repeated edge in and one out do not branch. Edges whose sources follow on each other over such nodes are
+2. Windows in a row under one place of such a minimizer are a run, kept as the hashes of its nodes. Equal runs are
+   aggregated first, so copies of a passage cost one row each task; the windows of distinct runs are the edges.
+3. Nodes with more than one repeated edge in or out branch. Edges whose sources follow on each other over other nodes are
    one piece, and pieces that meet in such a node are joined, by hooking and pointer doubling, to paths: the maximal
    non-branching ones, also where their parts have different sources.
 4. Stretches of a document on one path are spans, with the coordinates of their source. The words at these coordinates are
    read again, and only spans with the same words (128-bit digests) are cut.
 
-Edges are told apart by two 64-bit hashes from independent word hashes; a span that is not confirmed stays.
+Edges are known by the 64-bit hashes of both their nodes. Edges that collide all the same make a span that the words at
+its source do not confirm; such a span stays.
 
 Defined results: null text has no words; words of a text with fewer than ``width`` words stay; windows repeated inside one
 document only stay; rows with one doc_id are one document to each other; a row with a null doc_id is neither a source nor
@@ -29,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import arrow_words, discard, materialize, small, stacked, table
 from orrery.llm.components import components
-from orrery.llm.shingles import paired_words, rolling
+from orrery.llm.shingles import hashed_words, rolling
 from orrery.llm.token_counts import chunks
 
 WIDTH, SEED = 13, 6
@@ -63,7 +64,7 @@ def seeds(docs: DataFrame, width: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, 1):
-                words, _, offsets = paired_words(b.column(1))
+                words, offsets = hashed_words(b.column(1))
                 w = _windows(words, offsets, width, seed)
                 if w is None:
                     continue
@@ -88,16 +89,16 @@ def repeated_seeds(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
 
 def runs(docs: DataFrame, repeated: DataFrame, width: int, seed: int) -> DataFrame:
-    """Maximal runs of consecutive windows under one place of a repeated minimizer.
+    """(doc_id, place, nodes): maximal runs of consecutive windows under one place of a repeated minimizer.
 
-    doc_id, row, start; d1 and d2, the digest of the run; windows and checks, two hashes of each window; nodes, the hashes
-    of the ``width - 1`` words before, between and after the windows (one more than windows).
+    ``nodes``: hashes of the ``width - 1`` words before, between and after the windows (one more than windows). ``place``:
+    where the first window starts, with the number of the text above bit 32.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, 1):
-                words, second, offsets = paired_words(b.column(1))
+                words, offsets = hashed_words(b.column(1))
                 w = _windows(words, offsets, width, seed)
                 if w is None:
                     continue
@@ -123,82 +124,83 @@ def runs(docs: DataFrame, repeated: DataFrame, width: int, seed: int) -> DataFra
                 first, hold = starts[keep], place[keep]
                 heads = np.flatnonzero(np.r_[True, (hold[1:] != hold[:-1]) | (first[1:] != first[:-1] + 1)])
                 cuts = np.r_[heads, len(first)]
-                h, c = rolling(words, width)[first], rolling(second, width, 11)[first]
-                ends = cuts[1:] - 1
-                # first and last window hold all words of a run, since it has at most width - SEED + 1 windows
-                ab = np.stack([h[heads], h[ends], np.diff(cuts).astype(np.uint64)], axis=1), np.stack([c[heads], c[ends], np.diff(cuts).astype(np.uint64)], axis=1)
-                d1, d2 = (rolling(x.ravel(), 3, 13)[::3] for x in ab)
-                nodes = rolling(words, width - 1, 5)[np.insert(first, cuts[1:], first[ends] + 1)]
-                lists_of = lambda x, extra=0: pa.ListArray.from_arrays(pa.array((cuts + extra * np.arange(len(cuts))).astype(np.int32)), pa.array(x.view(np.int64)))
+                nodes = rolling(words, width - 1, 5)[np.insert(first, cuts[1:], first[cuts[1:] - 1] + 1)]
+                ends = pa.array((cuts + np.arange(len(cuts))).astype(np.int32))
                 own = doc[first[heads]]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(own)), b.column(3).take(pa.array(own)), pa.array((first[heads] - offsets[own]).astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists_of(h), lists_of(c), lists_of(nodes, 1)],
-                    ["doc_id", "row", "start", "d1", "d2", "windows", "checks", "nodes"],
-                )
+                where = (b.column(3).to_numpy()[own] << 32) + first[heads] - offsets[own]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(where), pa.ListArray.from_arrays(ends, pa.array(nodes.view(np.int64)))], ["doc_id", "place", "nodes"])
 
     chosen = docs.join(repeated, "doc_id").select("doc_id", "text", "seeds", "row")
-    return chosen.mapInArrow(run, "doc_id long, row long, start int, d1 long, d2 long, windows array<long>, checks array<long>, nodes array<long>")
+    return chosen.mapInArrow(run, "doc_id long, place long, nodes array<long>")
+
+
+#: What tells runs apart: first and last node hold all words of a run, which has fewer windows than a node has words.
+RUN = {"a": "nodes[0]", "z": "element_at(nodes, -1)", "k": "size(nodes)"}
 
 
 def distinct_runs(found: DataFrame) -> DataFrame:
-    """One row of each distinct run: its first occurrence, the greatest doc_id that has it, and its hashes."""
-    arrays = [F.first(c).alias(c) for c in ("windows", "checks", "nodes")]
-    grouped = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start", "row")).alias("s"), F.max("doc_id").alias("last"), *arrays)
-    return grouped.select("d1", "d2", "s.*", "last", "windows", "checks", "nodes")
+    """One row of each distinct run: its first occurrence, the greatest doc_id that has it, and its nodes."""
+    keyed = found.select("doc_id", "place", "nodes", *(F.expr(e).alias(c) for c, e in RUN.items()))
+    grouped = keyed.groupBy(*RUN).agg(F.min(F.struct("doc_id", "place")).alias("s"), F.max("doc_id").alias("last"), F.first("nodes").alias("nodes"))
+    return grouped.select("s.*", "last", "nodes")
+
+
+def _edges(nodes: str = "nodes"):
+    """One row (u, v) for each window of a run."""
+    n = F.size(nodes) - 1
+    return F.posexplode(F.arrays_zip(F.slice(nodes, F.lit(1), n).alias("u"), F.slice(nodes, F.lit(2), n).alias("v")))
 
 
 def repeated_edges(distinct: DataFrame) -> DataFrame:
-    """(h, c, u, v, source, source_row, source_start): windows that start in documents with different ids, their nodes and sources."""
-    n = F.size("windows")
-    one = F.posexplode(F.arrays_zip(F.col("windows").alias("h"), F.col("checks").alias("c"), F.slice("nodes", F.lit(1), n).alias("u"), F.slice("nodes", F.lit(2), n).alias("v")))
-    rows = distinct.select("doc_id", "start", "row", "last", one.alias("j", "e"))
-    rows = rows.select("e.*", F.struct("doc_id", (F.col("start") + F.col("j")).alias("start"), "row").alias("s"), "last")
-    edges = rows.groupBy("h", "c").agg(F.first("u").alias("u"), F.first("v").alias("v"), F.min("s").alias("s"), F.max("last").alias("last"))
-    return edges.where("s.doc_id < last").select("h", "c", "u", "v", F.col("s.doc_id").alias("source"), F.col("s.row").alias("source_row"), F.col("s.start").alias("source_start"))
-
-
-def plain_nodes(edges: DataFrame) -> DataFrame:
-    """(node): the nodes with exactly one repeated edge in and one out."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    ends = edges.select(F.col("u").alias("node"), one.alias("outs"), none.alias("ins")).unionAll(edges.select("v", none, one))
-    return ends.groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins")).where("outs = 1 and ins = 1").select("node")
-
-
-def in_pieces(edges: DataFrame, plain: DataFrame) -> DataFrame:
-    """``edges`` and piece: the source_start of the first edge of their piece. A sort holds the edges of one source document."""
-    marked = edges.join(plain.select(F.col("node").alias("u"), F.lit(True).alias("plain")), "u", "left")
-    order = Window.partitionBy("source", "source_row").orderBy("source_start")
-    goes_on = F.coalesce(F.col("plain") & (F.lag("source_start").over(order) == F.col("source_start") - 1), F.lit(False))
-    head = F.when(~goes_on, F.col("source_start"))
+    """(u, v, source, place): windows that start in documents with different ids, and the sources."""
+    rows = distinct.select("doc_id", "place", "last", _edges().alias("j", "e"))
+    rows = rows.select("e.*", F.struct("doc_id", (F.col("place") + F.col("j")).alias("place")).alias("s"), "last")
+    edges = rows.groupBy("u", "v").agg(F.min("s").alias("s"), F.max("last").alias("last"))
+    return edges.where("s.doc_id < last").select("u", "v", F.col("s.doc_id").alias("source"), F.col("s.place").alias("place"))
+
+
+def branching_nodes(edges: DataFrame) -> DataFrame:
+    """(node): the nodes with several repeated edges in or several out."""
+    many = lambda c: edges.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node")
+    return many("u").unionAll(many("v")).distinct()
+
+
+def in_pieces(edges: DataFrame, branching: DataFrame) -> DataFrame:
+    """``edges`` and piece: the place of the first edge of their piece. A sort holds the edges of one source document."""
+    marked = edges.join(small(branching.select(F.col("node").alias("u"), F.lit(True).alias("branches"))), "u", "left")
+    order = Window.partitionBy("source", F.shiftright("place", 32)).orderBy("place")
+    goes_on = F.coalesce(F.lag("place").over(order) == F.col("place") - 1, F.lit(False)) & F.col("branches").isNull()
+    head = F.when(~goes_on, F.col("place"))
     return marked.select(*edges.columns, F.max(head).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("piece"))
 
 
-def path_pieces(edges: DataFrame, plain: DataFrame) -> DataFrame:
-    """(source, source_row, piece, path) from the edges in pieces: pieces that meet in a plain node have one path."""
-    ends = edges.groupBy("source", "source_row", "piece").agg(F.min(F.struct("source_start", "u")).alias("a"), F.max(F.struct("source_start", "v")).alias("z"))
-    pieces = materialize(ends.select("source", "source_row", "piece", F.col("a.u").alias("u"), F.col("z.v").alias("v"), F.monotonically_increasing_id().alias("id")), "pieces")
-    # a plain node has one edge in and one out, so each piece is followed by one other at most
-    meets = pieces.select(F.col("id").alias("a"), F.col("v").alias("node")).join(plain, "node").join(pieces.select(F.col("id").alias("b"), F.col("u").alias("node")), "node")
-    joined = components(meets.select("a", "b"))
-    paths = materialize(pieces.join(joined, F.col("id") == F.col("node"), "left").select("source", "source_row", "piece", F.coalesce("component", "id").alias("path")), "paths")
+def path_pieces(edges: DataFrame, branching: DataFrame) -> DataFrame:
+    """(source, piece, path) from the edges in pieces: pieces that meet in a node that does not branch have one path."""
+    ends = edges.groupBy("source", "piece").agg(F.min(F.struct("place", "u")).alias("a"), F.max(F.struct("place", "v")).alias("z"))
+    pieces = materialize(ends.select("source", "piece", F.col("a.u").alias("u"), F.col("z.v").alias("v"), F.monotonically_increasing_id().alias("id")), "pieces")
+    # such a node has one edge in and one out, so each piece is followed by one other at most
+    open_ = pieces.select(F.col("id").alias("a"), F.col("v").alias("node")).join(small(branching), "node", "left_anti")
+    joined = components(open_.join(pieces.select(F.col("id").alias("b"), F.col("u").alias("node")), "node").select("a", "b"))
+    paths = materialize(pieces.join(joined, F.col("id") == F.col("node"), "left").select("source", "piece", F.coalesce("component", "id").alias("path")), "paths")
     discard(pieces)
     return paths
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows (start of a run, bits of its windows) of one document, piece and distance to the source, as stretches in a row."""
+    """Windows (place of a run, bits of its windows) of one document, piece and distance to the source, as stretches in a row."""
     for b in batches:
-        rows, starts, sizes = [], [], []
-        for r, parts in enumerate(b.column("parts").to_pylist()):
-            at = np.unique([p["start"] + j for p in parts for j in range(p["bits"].bit_length()) if p["bits"] >> j & 1])
-            heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
-            rows += [r] * len(heads)
-            starts += at[heads].tolist()
-            sizes += np.diff(np.r_[heads, len(at)]).tolist()
-        here = b.take(pa.array(rows, pa.int64()))
-        start = pa.array(starts, pa.int32())
-        cols = [here.column(c) for c in ("doc_id", "row", "source", "source_row", "piece")]
-        yield pa.RecordBatch.from_arrays([*cols, start, pa.array(sizes, pa.int32()), pc.add(start, here.column("ahead"))], ["doc_id", "row", "source", "source_row", "piece", "start", "n", "source_start"])
+        lists = b.column("parts")
+        flat, of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+        places, bits = flat.field("place").to_numpy(), flat.field("bits").to_numpy()
+        here = [np.flatnonzero(bits >> j & 1) for j in range(int(bits.max(initial=0)).bit_length())]
+        row = np.concatenate([of[x] for x in here] or [of[:0]])
+        at = np.concatenate([places[x] + j for j, x in enumerate(here)] or [places[:0]])
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+        heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)][: len(at)])
+        own, first = b.take(pa.array(row[heads])), pa.array(at[heads])
+        cols = [own.column("doc_id"), first, pa.array(np.diff(np.r_[heads, len(at)]).astype(np.int32)), own.column("source"), pc.add(first, own.column("ahead")), own.column("piece")]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "n", "source", "source_place", "piece"])
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -211,26 +213,36 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Dat
     own = _own(docs)
     repeated = repeated_seeds(own, width, seed)
     found = materialize(runs(own, repeated, width, seed), "runs")
+    discard(repeated)
     distinct = materialize(distinct_runs(found), "distinct")
     edges = materialize(repeated_edges(distinct), "edges")
-    plain = materialize(plain_nodes(edges), "plain")
-    pieced = materialize(in_pieces(edges, plain), "pieced")
-    paths = path_pieces(pieced, plain)
+    branching = materialize(branching_nodes(edges), "branching")
+    pieced = materialize(in_pieces(edges, branching), "pieced")
+    discard(edges)
+    paths = path_pieces(pieced, branching)
     # where each distinct run lies at its sources: the bits of its windows by piece and distance
-    windows = distinct.select("d1", "d2", F.posexplode(F.arrays_zip(F.col("windows").alias("h"), F.col("checks").alias("c"))).alias("j", "e")).select("d1", "d2", "j", "e.*")
-    keys = ["d1", "d2", "source", "source_row", "piece", "ahead"]
-    placed = windows.join(pieced.drop("u", "v"), ["h", "c"]).withColumn("ahead", F.col("source_start") - F.col("j"))
-    sources = materialize(placed.groupBy(*keys).agg(F.sum(F.expr("shiftleft(1L, j)")).alias("bits")), "sources")
-    parts = found.select("doc_id", "row", "start", "d1", "d2").join(sources, ["d1", "d2"]).where("source < doc_id").withColumn("ahead", F.col("ahead") - F.col("start"))
-    lists = parts.groupBy("doc_id", "row", "source", "source_row", "piece", "ahead").agg(F.collect_list(F.struct("start", "bits")).alias("parts"))
-    stretches = lists.mapInArrow(_stretches, "doc_id long, row long, source long, source_row long, piece int, start int, n int, source_start int")
-    spans = materialize(stretches.join(paths, ["source", "source_row", "piece"]).drop("piece"), "spans")
-    discard(repeated, found, distinct, edges, plain, pieced, paths, sources)
+    windows = distinct.select(*(F.expr(e).alias(c) for c, e in RUN.items()), _edges().alias("j", "e")).select(*RUN, "j", "e.*")
+    placed = windows.join(pieced, ["u", "v"]).withColumn("ahead", F.col("place") - F.col("j"))
+    sources = materialize(placed.groupBy(*RUN, "source", "piece", "ahead").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("bits")), "sources")
+    discard(distinct, pieced, branching)
+    keyed = found.select("doc_id", "place", *(F.expr(e).alias(c) for c, e in RUN.items()))
+    parts = keyed.join(sources, list(RUN)).where("source < doc_id").select("doc_id", "place", "source", "piece", (F.col("ahead") - F.col("place")).alias("ahead"), "bits")
+    lists = parts.groupBy("doc_id", "source", "piece", "ahead").agg(F.collect_list(F.struct("place", "bits")).alias("parts"))
+    stretches = lists.mapInArrow(_stretches, "doc_id long, place long, n int, source long, source_place long, piece long")
+    low = lambda c: F.expr(f"cast({c} & 4294967295 as int)")
+    spans = stretches.join(paths, ["source", "piece"]).select("doc_id", F.shiftright("place", 32).alias("row"), low("place").alias("start"), "n", "source", F.shiftright("source_place", 32).alias("source_row"), low("source_place").alias("source_start"), "path")
+    spans = materialize(spans, "spans")
+    discard(found, paths, sources)
     return spans
 
 
 def _own(docs: DataFrame) -> DataFrame:
-    return docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("row"))
+    return docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_number(docs["text"]).alias("row"))
+
+
+def text_number(text: Column) -> Column:
+    """A 31-bit hash, which tells texts with one doc_id apart."""
+    return F.pmod(F.xxhash64(text), F.lit(1 << 31))
 
 
 def _texts_of(words: list[str], starts: list[int], sizes: list[int], width: int) -> list[bytes]:
@@ -298,7 +310,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFram
     ddl = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, docs.schema, strict=True)), "n_words long, n_removed long, kept string"])
     rows = docs.toDF(*plain)
     doc, text = rows[plain[names.index("doc_id")]].cast("long"), rows[plain[at]]
-    joined = rows.join(per_doc, (doc == per_doc["span_doc"]) & (F.xxhash64(text) == per_doc["span_row"]), "left").select(*plain, "spans")
+    joined = rows.join(per_doc, (doc == per_doc["span_doc"]) & (text_number(text) == per_doc["span_row"]), "left").select(*plain, "spans")
     return joined.mapInArrow(run, ddl).toDF(*names, *stacked(CUT, names))
 
 
