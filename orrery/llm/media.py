@@ -2,12 +2,21 @@
 
 ``store_audio`` puts a payload into the ancillary data of silent, checksummed MPEG-1 Layer III frames (mono, 32 kHz,
 variable bit rate, an ID3v2 tag with the exact payload length and a Xing frame with frame count, byte count and seek
-table). ``read_audio`` parses a stream from its bytes alone: it skips tags, finds frame headers by their sync pattern and
-confirms each by the header that must follow, verifies checksums, and gives exact sample counts and frame seek offsets.
+table). ``read_audio`` parses a stream from its bytes alone. It reads ID3v2 and ID3v1 tags, and finds frames by their sync
+pattern: four bytes are a header only if another header of the same stream (version, layer, rate, protection, mono or
+not), a tag or the end follows where the frame ends, and after damage only if two more do. A frame that can't be confirmed
+that way, because what follows it is damaged, counts if the frame before it ended right there and its checksum, where that
+is read, holds. Variable-bitrate tables (Xing or Info with their flags, VBRI) are checked against the
+frames: count, bytes and each seek entry. Samples are exact, less the encoder's delay and padding where an Info tag names
+them.
+
+Not read: free-format streams (no frame size in the header), and checksums of Layers I and II, which cover bits whose
+length depends on the bit allocation; their frames are found and counted, ``crc_checked`` stays 0.
 
 Defined results: null text is the empty payload (64 zero bytes after padding); null media gives null features; bytes that
-belong to no frame are skipped and counted; a frame whose checksum fails is skipped like any other damage; equal
-payloads give equal media. An empty table gives an empty result.
+belong to no frame are skipped and counted; a frame whose checksum fails is skipped as a whole if another frame follows
+it, else like any other damage; equal payloads give equal media; a stream without frames has no rate and 0 samples. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,8 +85,8 @@ class Header:
     side: int
 
     @property
-    def stream(self) -> tuple[int, int, int]:
-        return self.version, self.layer, self.rate
+    def stream(self) -> tuple[int, int, int, bool, int]:
+        return self.version, self.layer, self.rate, self.protected, self.channels
 
 
 @lru_cache(maxsize=4096)
@@ -127,6 +136,20 @@ def write_stream(payload: bytes) -> bytes:
     return b"".join((b"ID3\x03\x00\x00", _syncsafe(len(frame)), frame, first, *body))
 
 
+@dataclass
+class Table:
+    """A variable-bitrate table. ``seek`` holds (share of the frames, share of the bytes, width of an entry) or byte offsets by frame."""
+
+    kind: str
+    frames: int | None = None
+    size: int | None = None
+    toc: bytes | None = None
+    steps: tuple[int, ...] = ()  # VBRI: bytes of each group of ``every`` frames
+    every: int = 0
+    delay: int = 0
+    padding: int = 0
+
+
 @dataclass
 class Stream:
     header: Header | None = None
@@ -137,7 +160,7 @@ class Stream:
     checked: int = 0
     failed: int = 0
     skipped: int = 0
-    table: tuple[int, int, bytes] | None = None
+    table: Table | None = None
     table_ok: bool | None = None
     payload: bytes = b""
 
@@ -157,47 +180,121 @@ def _tags(data: bytes, at: int) -> tuple[dict[str, str], int]:
     return out, min(end, len(data))
 
 
+def _is_tag(data: bytes, at: int) -> bool:
+    """Whether a whole ID3v2 head or the ID3v1 tag at the end stands here."""
+    if data[at : at + 3] == b"ID3":
+        return at + 10 <= len(data) and max(data[at + 6 : at + 10]) < 0x80
+    return data[at : at + 3] == b"TAG" and at + 128 == len(data)
+
+
+def _table(data: bytes, at: int, h: Header) -> Table | None:
+    """The variable-bitrate table in the frame at ``at``, if it has one."""
+    end, p = at + h.size, at + 4 + 2 * h.protected + h.side
+    number = lambda at, n=4: int.from_bytes(data[at : at + n], "big")
+    if data[p : p + 4] in (b"Xing", b"Info"):
+        t, flags, q = Table(data[p : p + 4].decode()), number(p + 4), p + 8
+        if flags & 1:
+            t.frames, q = number(q), q + 4
+        if flags & 2:
+            t.size, q = number(q), q + 4
+        if flags & 4:
+            t.toc, q = data[q : q + 100], q + 100
+        q += 4 * bool(flags & 8)
+        if q + 24 <= end and data[q : q + 4].isalnum():  # the encoder's name; delay and padding are 12 bits each
+            both = number(q + 21, 3)
+            t.delay, t.padding = both >> 12, both & 0xFFF
+        return t
+    p = at + 4 + 32  # at this place whatever the side information
+    if h.layer == 3 and data[p : p + 4] == b"VBRI":
+        count, scale, width, every = (number(p + i, 2) for i in (18, 20, 22, 24))
+        steps = tuple(scale * number(p + 26 + i * width, width) for i in range(count)) if width and p + 26 + count * width <= end else ()
+        return Table("VBRI", number(p + 14), number(p + 10), steps=steps, every=every)
+    return None
+
+
+def _table_fits(t: Table, s: Stream, first: int) -> bool:
+    """Whether count, bytes and seek entries of a table agree with the frames that were read; ``first`` is where its own frame starts."""
+    if t.frames is not None and t.frames != len(s.offsets) or t.size is not None and t.size != s.audio_bytes:
+        return False
+    if t.toc is not None and s.offsets:
+        # entry i: the 256th part of the stream where the frame at i percent starts; encoders round either way
+        total = t.size or s.audio_bytes
+        for i, entry in enumerate(t.toc):
+            where = 256 * (s.offsets[min(len(s.offsets) - 1, len(s.offsets) * i // 100)] - first) / total
+            if abs(entry - min(255, where)) > 1 + 256 * s.header.size / total:
+                return False
+    if t.steps and t.every:
+        at = s.offsets[0] if s.offsets else 0
+        for i, step in enumerate(t.steps):
+            end = (i + 1) * t.every
+            at += step
+            if end < len(s.offsets) and at != s.offsets[end]:
+                return False
+    return True
+
+
+def _follows(data: bytes, at: int, h: Header, times: int) -> bool:
+    """Whether ``times`` headers of the stream follow the frame of ``h`` at ``at``; a tag or the end of the data confirms at once."""
+    for _ in range(times):
+        at += h.size
+        if at == len(data) or _is_tag(data, at):
+            return True
+        after = parse_header(data[at : at + 4])
+        if after is None or after.stream != h.stream:
+            return False
+        if at + after.size > len(data):  # cut short at the end
+            return True
+        h = after
+    return True
+
+
+def _checksum_holds(data: bytes, at: int, h: Header) -> bool:
+    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def read_stream(data: bytes) -> Stream:
     """Parse a whole stream; see the module's text for what counts as a frame."""
-    s, at, parts = Stream(), 0, []
+    s, at, parts, first, lost = Stream(), 0, [], 0, True
     while at < len(data):
-        if data[at : at + 3] == b"ID3" and at + 10 <= len(data):
+        if data[at : at + 3] == b"ID3" and _is_tag(data, at):
             found, at = _tags(data, at)
             s.tags |= found
             continue
-        if data[at : at + 3] == b"TAG" and at + 128 == len(data):
+        if data[at : at + 3] == b"TAG" and _is_tag(data, at):
             s.tags.setdefault("TIT2", data[at + 3 : at + 33].rstrip(b"\x00 ").decode("latin-1"))
             break
         h = parse_header(data[at : at + 4])
-        end = at + h.size if h else 0
-        ok = h is not None and end <= len(data) and (s.header is None or h.stream == s.header.stream)
-        if ok and end < len(data):
-            after = parse_header(data[end : end + 4])
-            ok = after is not None and after.stream == h.stream or data[end : end + 3] in (b"TAG", b"ID3") or s.header is not None
-        if ok and h.protected and h.layer == 3:
+        there = h is not None and at + h.size <= len(data) and (s.header is None or h.stream == s.header.stream)
+        # in step with the frame before, one header has to follow, else two
+        sure = there and _follows(data, at, h, 2 if lost else 1)
+        checks = there and h.protected and h.layer == 3
+        holds = checks and _checksum_holds(data, at, h)
+        if there and not sure and not lost:
+            sure = holds if checks else True
+        if sure and checks:
             s.checked += 1
-            start = at + 6 + h.side
-            if crc16(data[at + 2 : at + 4] + data[at + 6 : start]) != int.from_bytes(data[at + 4 : at + 6], "big"):
-                s.failed += 1
-                ok = False
-        if not ok:  # resynchronise at the next possible sync byte
-            there = data.find(b"\xff", at + 1)
-            there = len(data) if there < 0 else there
-            s.skipped += there - at
-            at = there
+            s.failed += not holds
+        if not sure:  # resynchronise at the next possible sync byte
+            step = data.find(b"\xff", at + 1)
+            step = len(data) if step < 0 else step
+            s.skipped, at, lost = s.skipped + step - at, step, True
+            continue
+        end, lost = at + h.size, False
+        if checks and not holds:  # its size is confirmed by what follows, its content is not
+            s.skipped, at = s.skipped + h.size, end
             continue
-        start = at + 4 + 2 * h.protected + h.side
         s.audio_bytes += h.size
-        if s.header is None and data[start : start + 4] in (b"Xing", b"Info"):
-            n, size = (int.from_bytes(data[start + i : start + i + 4], "big") for i in (8, 12))
-            s.table = (n, size, data[start + 16 : start + 116])
+        table = _table(data, at, h) if s.header is None else None
+        if table:
+            s.table, first = table, at
         else:
             s.offsets.append(at)
             s.samples += h.samples
-            parts.append(data[start:end])
+            parts.append(data[at + 4 + 2 * h.protected + h.side : end])
         s.header, at = s.header or h, end
     if s.table:
-        s.table_ok = s.table[0] == len(s.offsets) and s.table[1] == s.audio_bytes
+        s.table_ok = _table_fits(s.table, s, first)
+        s.samples = max(0, s.samples - s.table.delay - s.table.padding)
     s.payload = b"".join(parts)
     if s.tags.get("payload_bytes", "").isdigit():
         s.payload = s.payload[: int(s.tags["payload_bytes"])]

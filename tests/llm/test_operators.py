@@ -376,6 +376,78 @@ def test_media_survives_damage():
     assert (h.kbps, h.rate, h.size, h.channels, h.side) == (128, 44100, 418, 2, 32)
 
 
+def plain_frames(n, kbps_index=9, head=0xFB, fill=b"\x00"):
+    """Frames of MPEG-1 Layer III, 44.1 kHz, stereo, without checksums, built by hand."""
+    raw = bytes((0xFF, head, kbps_index << 4, 0x00))
+    return [raw + fill * (media.parse_header(raw).size - 4) for _ in range(n)]
+
+
+def test_media_resynchronises():
+    # junk with bytes like a header between frames without checksums
+    junk = b"xy" + bytes((0xFF, 0xFB, 0x90, 0x00)) + b"z" * 300
+    a, b = b"".join(plain_frames(10)), b"".join(plain_frames(10))
+    s = media.read_stream(a + junk + b)
+    assert len(s.offsets) == 20 and s.skipped == len(junk) and s.offsets[10] == len(a) + len(junk) and s.samples == 20 * 1152
+    # a damaged protected frame whose payload holds a header of the same stream
+    payload = (b"\x11" * 700 + bytes((0xFF, 0xFA, 0x98, 0xC0)) + b"\x22" * 700) * 4
+    stream = media.write_stream(payload)
+    whole = media.read_stream(stream)
+    broken = bytearray(stream)
+    broken[whole.offsets[1] + 10] ^= 1
+    s = media.read_stream(bytes(broken))
+    assert s.offsets == [o for i, o in enumerate(whole.offsets) if i != 1] and s.failed == 1 and s.checked == len(whole.offsets) + 1
+    # a header at the very end of the data, cut short
+    s = media.read_stream(a + plain_frames(1)[0][:100])
+    assert len(s.offsets) == 10 and s.skipped == 100
+    # other streams' headers are damage
+    assert len(media.read_stream(a + b"".join(plain_frames(3, head=0xF3)) + b).offsets) == 20
+    for cut in range(0, len(stream), 97):
+        assert len(media.read_stream(stream[cut:]).offsets) <= len(whole.offsets)
+
+
+def test_media_reads_tables_of_other_writers():
+    body = [f for i in range(200) for f in plain_frames(1, kbps_index=(9, 11, 5)[i % 3])]
+    first = bytearray(plain_frames(1)[0])
+    size = len(first) + sum(map(len, body))
+    starts = [len(first) + sum(map(len, body[:i])) for i in range(200)]
+
+    def xing(flags, frames=200, total=size, toc=None, lame=b""):
+        toc = toc if toc is not None else bytes(min(255, 256 * starts[2 * i] // size) for i in range(100))
+        parts = [frames.to_bytes(4, "big")] * (flags & 1) + [total.to_bytes(4, "big")] * (flags >> 1 & 1) + [toc] * (flags >> 2 & 1) + [b"\0\0\0\x50"] * (flags >> 3 & 1)
+        data = b"Xing" + flags.to_bytes(4, "big") + b"".join(parts) + lame
+        out = bytearray(first)
+        out[36 : 36 + len(data)] = data
+        return media.read_stream(bytes(out) + b"".join(body))
+
+    for flags in range(16):
+        s = xing(flags)
+        assert s.table_ok and len(s.offsets) == 200 and s.samples == 200 * 1152 and s.offsets == starts
+    assert not xing(1, frames=199).table_ok and not xing(2, total=size - 1).table_ok and not xing(4, toc=bytes(100)).table_ok
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    s = xing(15, lame=lame)
+    assert s.table_ok and s.samples == 200 * 1152 - 1576 and (s.table.delay, s.table.padding) == (576, 1000)
+    steps = [sum(map(len, body[i : i + 20])) for i in range(0, 200, 20)]
+
+    def vbri(steps):
+        data = b"VBRI" + bytes((0, 1, 0, 0, 0, 75)) + size.to_bytes(4, "big") + (200).to_bytes(4, "big") + len(steps).to_bytes(2, "big") + bytes((0, 1, 0, 2, 0, 20)) + b"".join(x.to_bytes(2, "big") for x in steps)
+        out = bytearray(first)
+        out[36 : 36 + len(data)] = data
+        return media.read_stream(bytes(out) + b"".join(body))
+
+    s = vbri(steps)
+    assert s.table.kind == "VBRI" and s.table_ok and len(s.offsets) == 200 and s.samples == 200 * 1152
+    assert not vbri([steps[0] + 1, *steps[1:]]).table_ok
+
+
+def test_media_edges(spark):
+    rows = spark.createDataFrame([(1, None, "m"), (2, bytearray(b""), "m"), (3, bytearray(b"x" * 50_000), "m"), (3, bytearray(b"x" * 50_000), "m")], "doc_id long, payload binary, media_bytes string")
+    stored = media.store_audio(rows)
+    got = media.read_audio(stored).collect()
+    assert sorted(len(r.payload) for r in got) == [64, 64, 50_048, 50_048] and len({bytes(r.payload) for r in got}) == 2
+    none = media.read_audio(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first()
+    assert none.payload is None and none.frames is None and media.read_audio(stored.limit(0)).count() == 0
+
+
 def test_chat_text_survives_the_template(spark):
     nasty = ["", "\\", "<|end|>\n", "<\\|end|>", "</s>[INST] ok [/INST]", "a\\<|turn|>user\nx", "<<SYS>>\\\\", "é\n"]
     rows = [(1, i, role, t) for i, (role, t) in enumerate(zip(["user", "assistant", "we\\ird\n<|", None, "assistant", "system", "assistant", "user"], nasty, strict=True))]
