@@ -2,7 +2,8 @@
 
 Every rule votes good (+1), bad (-1) or abstains (0). Votes are counted by pattern (at most 3 to the number of rules
 patterns, whatever the input), expectation-maximisation on the counted patterns estimates each rule's accuracies and the
-share of good documents, and a document's verdict is its posterior probability of being good.
+share of good documents, and a document's verdict is its posterior probability of being good. Votes are taken to be
+independent given the verdict, so each fault has one rule: two rules on one counter would count it twice.
 
 Defined results: null text has no words and fails the base rule; rules that divide by a count of zero abstain; repeated
 rows are judged alike; an empty table gives an empty result. Whole texts are measured, of any length.
@@ -79,17 +80,28 @@ class Rule:
 RULES = (
     Rule("length", "n_words < 20", "n_words >= 50"),
     Rule("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words AND n_words > 0"),
-    Rule("symbol_words", "10 * n_symbols > 4 * n_words", "20 * n_symbols <= n_words AND n_words > 0"),
-    Rule("symbol_share", "100 * n_symbols > 5 * word_chars", "100 * n_symbols <= word_chars AND word_chars > 0"),
     Rule("duplicate_lines", "n_lines >= 6 AND 10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines >= 3"),
     Rule("repetition", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words AND n_words >= 50"),
     Rule("word_length", "n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 12 * n_words)", "word_chars BETWEEN 4 * n_words AND 9 * n_words AND n_words > 0"),
-    Rule("capitals", "10 * n_capitals > 3 * word_chars", "10 * n_capitals <= word_chars AND word_chars > 0"),
-    Rule("shouting", "10 * n_shouts > n_words", "50 * n_shouts <= n_words AND n_words > 0"),
+    Rule("shouting", "10 * n_capitals > 3 * word_chars OR 10 * n_shouts > n_words", "10 * n_capitals <= word_chars AND 50 * n_shouts <= n_words AND n_words > 0"),
     Rule("line_ends", "10 * n_ended < 2 * n_lines", "10 * n_ended >= 8 * n_lines AND n_lines > 0"),
 )
 
 
+@dataclass(frozen=True)
+class Prior:
+    """A beta prior: the expected share, and its weight as a multiple of the votes (or documents) that there are, plus ten."""
+
+    share: float
+    weight: float
+
+
+#: Rules are written to accuse few good documents; that is worth ten times the votes, since a fault that only one rule sees
+#: would else be explained as that rule's noise. How often a rule notices a bad document, and how many there are, is left
+#: to the votes: 5% and 10% of weight.
+ON_GOOD, ON_BAD, GOOD = Prior(0.995, 10.0), Prior(0.2, 0.05), Prior(0.8, 0.1)
+
+
 @dataclass(frozen=True)
 class Model:
     """Share of good documents, and of each rule the share of right votes on good and on bad documents."""
@@ -99,14 +111,12 @@ class Model:
     on_bad: tuple[float, ...]
 
 
-def fit(votes: DataFrame, rules=RULES, rounds: int = 30, prior: float = 0.8, on_good: float = 0.995, on_bad: float = 0.15) -> Model:
+def fit(votes: DataFrame, rules=RULES, rounds: int = 30, good: Prior = GOOD, on_good: Prior = ON_GOOD, on_bad: Prior = ON_BAD) -> Model:
     """Accuracies of the rules by expectation-maximisation over the counted vote patterns, without labels.
 
     A rule has two accuracies, since most rules see one kind of fault: many right votes on good documents say little
-    about how often it notices a bad one. The patterns are bounded by the number of rules, so the whole fit is one
-    expression over one row. Accuracies are smoothed by ten imagined votes and kept within bounds: rules are written to
-    accuse few good documents, so at least 99% of their votes on those are taken to be right (without this bound the fit
-    explains a common fault that only one rule sees as noise), and a rule is never taken to be worse than a guess.
+    about how often it notices a bad one. Each maximisation is that of the posterior under the beta priors; nothing is
+    clamped. The patterns are bounded by the number of rules, so the whole fit is one expression over one row.
     """
     names = [r.name for r in rules]
     counted = votes.groupBy(*names).agg(F.count("*").cast("double").alias("n"))
@@ -117,16 +127,20 @@ def fit(votes: DataFrame, rules=RULES, rounds: int = 30, prior: float = 0.8, on_
     def total(of: str) -> str:
         return f"aggregate(e, 0D, (t, x) -> t + x.n * ({of}))"
 
-    def accuracy(vote: int, weight: str, start: float, least: float, most: float) -> str:
+    def share(right: str, all_: str, there: str, prior: Prior) -> str:
+        weight = f"({prior.weight}D * {there} + 10)"
+        return f"({right} + {weight} * {prior.share}D) / ({all_} + {weight})"
+
+    def accuracy(vote: int, weight: str, prior: Prior) -> str:
         right = total(f"CASE WHEN x.v[j] = {vote} THEN {weight} ELSE 0D END")
-        return f"greatest({least}D, least({most}D, ({right} + 10 * {start}D) / ({total(f'abs(x.v[j]) * ({weight})')} + 10)))"
+        return share(right, total(f"abs(x.v[j]) * ({weight})"), total("abs(x.v[j])"), prior)
 
-    rule_numbers = f"sequence(0, {len(names) - 1})"
+    numbers = f"sequence(0, {len(names) - 1})"
     step = f"""transform(array({expected}), e -> named_struct(
-        'prior', greatest(0.05D, least(0.98D, {total("x.q")} / greatest({total("1D")}, 1D))),
-        'good', transform({rule_numbers}, j -> {accuracy(1, "x.q", on_good, 0.99, 0.9995)}),
-        'bad', transform({rule_numbers}, j -> greatest({accuracy(-1, "1 - x.q", on_bad, 0.02, 0.98)}, 1 - {accuracy(1, "x.q", on_good, 0.99, 0.9995)}))))[0]"""
-    start = f"named_struct('prior', {prior}D, 'good', array_repeat({on_good}D, {len(names)}), 'bad', array_repeat({on_bad}D, {len(names)}))"
+        'prior', {share(total("x.q"), total("1D"), total("1D"), good)},
+        'good', transform({numbers}, j -> {accuracy(1, "x.q", on_good)}),
+        'bad', transform({numbers}, j -> {accuracy(-1, "1 - x.q", on_bad)})))[0]"""
+    start = f"named_struct('prior', {good.share}D, 'good', array_repeat({on_good.share}D, {len(names)}), 'bad', array_repeat({on_bad.share}D, {len(names)}))"
     found = one.select(F.expr(f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> {step})").alias("m")).first().m
     return Model(found.prior, tuple(found.good), tuple(found.bad))
 

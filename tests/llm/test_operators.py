@@ -323,6 +323,7 @@ def test_rules(spark, docs, texts):
         covered = {q for p in range(len(w) - 2) if seen[tuple(w[p : p + 3])] > 1 for q in (p, p + 1, p + 2)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
+        assert (r.n_symbols, r.n_capitals, r.n_shouts) == (len(re.findall(r"[#*$%&|<>]", t)), len(re.findall("[A-Z]", t)), t.count("!"))
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (not r.base_failed or not r.kept) and 0 <= r.probability <= 1
     assert rules.judge(empty(spark)).count() == 0
 
@@ -335,6 +336,46 @@ def test_rules_find_faults_without_labels(spark):
     assert kept == set(range(300))
 
 
+def test_votes_and_posterior_by_brute_force(spark):
+    rng = random.Random(11)
+    made = ["", None, "# " * 30, "ok. " * 80, "A! " * 60, "x\n" * 20, "**" * 40, "SHOUT " * 60]
+    made += [" ".join(rng.choice(["word", "Other.", "#", "!", "LOUD", "a", "\n", "thing", "longer-one", "same same"]) for _ in range(rng.randint(5, 160))) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in rules.judge(frame).collect()}
+    votes = []
+    for i, t in enumerate(made):
+        r, t = got[i], t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        chars, n, ended = sum(map(len, w)), len(w), sum(bool(re.search(r"[.!?:;\"')] *$", x)) for x in lines)
+        symbols, capitals, shouts, dup = len(re.findall(r"[#*$%&|<>]", t)), len(re.findall("[A-Z]", t)), t.count("!"), len(lines) - len(set(lines))
+        one = lambda bad, good: -1 if bad else 1 if good else 0
+        votes.append([
+            one(n < 20, n >= 50), one(10 * symbols > n, 50 * symbols <= n > 0), one(len(lines) >= 6 and 10 * dup > 3 * len(lines), dup == 0 and len(lines) >= 3),
+            one(10 * r.n_repeat_words > 3 * n, 10 * r.n_repeat_words <= n >= 50), one(n > 0 and not 3 * n <= chars <= 12 * n, 4 * n <= chars <= 9 * n and n > 0),
+            one(10 * capitals > 3 * chars or 10 * shouts > n, 10 * capitals <= chars and 50 * shouts <= n and n > 0), one(10 * ended < 2 * len(lines), 10 * ended >= 8 * len(lines) > 0),
+        ])
+        assert votes[-1] == [r[x.name] for x in rules.RULES], repr(t)
+    v = np.array(votes, float)
+    up, down, there = v == 1, v == -1, np.abs(v).sum(axis=0)
+    p, g, b = 0.8, np.full(7, 0.995), np.full(7, 0.2)
+    posterior = lambda: 1 / (1 + np.exp(-(math.log(p / (1 - p)) + (up * np.log(g / (1 - b)) + down * np.log((1 - g) / b)).sum(axis=1))))
+    for _ in range(30):
+        q = posterior()[:, None]
+        s, s2, s3 = 10 * there + 10, 0.05 * there + 10, 0.1 * len(v) + 10
+        p, g, b = (q.sum() + s3 * 0.8) / (len(v) + s3), ((up * q).sum(0) + s * 0.995) / ((np.abs(v) * q).sum(0) + s), ((down * (1 - q)).sum(0) + s2 * 0.2) / ((np.abs(v) * (1 - q)).sum(0) + s2)
+    want = posterior()
+    for i, r in got.items():
+        assert r.probability == pytest.approx(want[i], rel=1e-9) and r.kept == (not r.base_failed and want[i] >= 0.5)
+
+
+def test_rules_on_odd_rows(spark):
+    long = "A line of plain words, and so on.\n" * 40_000
+    rows = [(1, long, 7), (1, long, 7), (None, "a b c", 7), (2, None, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
+    got = rules.judge(frame).collect()
+    assert len(got) == 4 and sorted(r.n_words for r in got) == [0, 3, 320_000, 320_000] and {r.n_dup_lines for r in got if r.n_words > 3} == {39_999}
+
+
 def test_urls(spark):
     urls_ = ["http://A.example.org/es/x?q#f", "https://example.org/en/12", "http://x.com/fr/1", "com/fr/", None, "ftp://h.com", "http://notexample.org/es/", "x://org/", "http://example.org"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "page_id long, url string")
