@@ -9,6 +9,11 @@ much rarer a stem is in good documents than in all, by documents that have it, a
 it; nothing else has a cost, so the number of windows does not matter. Adding hash-seeded Gumbel noise and keeping the k
 largest keys draws k documents without replacement in proportion to their weights (Gumbel top-k).
 
+The noise has the scale ``temperature``, 1: keys are drawn by the weights themselves, exp(log weight). As log weights of
+200 n-grams lie tens apart, so do keys, and noise decides only near the cut (2 of 861 documents at scale 0.01). A higher
+temperature would draw more documents from below the cut, and lose as many good ones; for a filter that leaves clean
+documents alone that is no gain, for a varied sample it is the parameter to raise.
+
 k follows from labels that the target model has not seen, good and bad (toxic or of low quality) ones together: of the cuts
 that keep at most a share ``recall`` of the good half, and at least 1 - ``MOST_LOST``, the one with the fewest wrong
 verdicts (good below it, bad above it). k is the number of documents above that cut: labels are not spread as documents
@@ -31,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_words, materialize, small, table
+from orrery.llm.common import arrow_words, discard, materialize, small, stacked, table
 from orrery.llm.shingles import rolling
 from orrery.llm.token_counts import chunks
 
@@ -39,7 +44,7 @@ from orrery.llm.token_counts import chunks
 BUCKETS = 1 << 17
 #: At most about so many labelled rows are used (chosen by hash); counts of raw text always cover every document.
 MAX_LABELS = 200_000
-TOKENS, SHRINK, RECALL, SMOOTHING = 200.0, 20.0, 0.995, 1.0
+TOKENS, SHRINK, RECALL, SMOOTHING, TEMPERATURE = 200.0, 20.0, 0.995, 1.0, 1.0
 
 
 #: Words of a window, weight of the worst one, and lengths of the beginnings of a word that are counted beside the word.
@@ -156,16 +161,19 @@ def log_ratios(counts: DataFrame, buckets: int, smoothing: float = SMOOTHING) ->
     return np.log((target + mass * share * buckets / 20) / (target.sum() + mass * buckets / 20)) - np.log(share)
 
 
-def with_keys(docs: DataFrame, ratios: np.ndarray, costs: np.ndarray, tokens: float = TOKENS, shrink: float = SHRINK, seed: str = "resample") -> DataFrame:
-    """``docs`` with _log_weight and _key (log weight plus Gumbel noise seeded by doc_id and text)."""
+def with_keys(docs: DataFrame, ratios: np.ndarray, costs: np.ndarray, text: str = "text", doc_id: str = "doc_id", tokens: float = TOKENS, shrink: float = SHRINK, seed: str = "resample", temperature: float = TEMPERATURE) -> DataFrame:
+    """``docs`` with _log_weight and _key (log weight plus Gumbel noise seeded by doc_id and text).
+
+    ``docs`` has no columns of these names, as ``classify`` sees to.
+    """
     names = list(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast((ratios, costs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, costs = shared.value
         for whole in batches:
-            for b in chunks(whole, names.index("text")):
-                distinct, index, place = _words(b.column("text"))
+            for b in chunks(whole, names.index(text)):
+                distinct, index, place = _words(b.column(text))
                 grams, doc = _buckets(distinct, index, place, len(values))
                 total = np.bincount(doc, weights=values[grams], minlength=b.num_rows)
                 count = np.bincount(doc, minlength=b.num_rows)
@@ -175,8 +183,8 @@ def with_keys(docs: DataFrame, ratios: np.ndarray, costs: np.ndarray, tokens: fl
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_log_weight double"])
     scored = docs.select(*docs.columns).mapInArrow(run, ddl)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return scored.withColumn("_key", F.col("_log_weight") - F.log(-F.log(u)))
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return scored.withColumn("_key", F.col("_log_weight") - temperature * F.log(-F.log(u)))
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
@@ -201,7 +209,7 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
         low, high = row.low, row.high
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", max_labels: int = MAX_LABELS) -> DataFrame:
     """``docs`` with _good (null: no label) and _fit (the label counts for the target model, not for the cut).
 
     ``labels``: (doc_id, good). Of more than ``max_labels`` labels a share is taken by hash; repeated labels count as good
@@ -213,7 +221,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * max_labels / n))
     known = known.select(F.col("doc_id").alias("_id"), "_good", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("_fit"))
     known = materialize(known, "labels")
-    return docs.join(small(known), docs["doc_id"] == known["_id"], "left").drop("_id")
+    return docs.join(small(known), docs[doc_id] == known["_id"], "left").drop("_id")
 
 
 def best_cut(held_out: DataFrame, recall: float) -> float | None:
@@ -226,17 +234,30 @@ def best_cut(held_out: DataFrame, recall: float) -> float | None:
     return cuts[min(range(len(cuts)), key=lambda i: (wrong[i], i))]
 
 
+#: What ``classify`` adds to the columns of ``docs``.
+ADDED = ["_good", "_fit", "_log_weight", "_key"]
+
+
 def classify(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, recall: float = RECALL) -> tuple[DataFrame, float]:
-    """``docs`` with _log_weight, _key, _good and _fit, not yet written, and the least key that is kept."""
-    rows = labelled(docs, labels)
-    counts = materialize(gram_counts(rows.select("text", (F.col("_good") & F.col("_fit")).alias("target")), buckets), "counts")
-    keyed = with_keys(rows, log_ratios(counts, buckets), stem_costs(counts, buckets))
+    """``docs`` with _good, _fit, _log_weight and _key, not yet written, and the least key that is kept.
+
+    Where ``docs`` has columns of these names, the new ones get further underscores in front.
+    """
+    names = list(docs.columns)
+    plain = [f"c{i}" for i in range(len(names))]
+    text, doc_id = plain[names.index("text")], plain[names.index("doc_id")]
+    rows = labelled(docs.toDF(*plain), labels, doc_id)
+    counts = materialize(gram_counts(rows.select(F.col(text).alias("text"), (F.col("_good") & F.col("_fit")).alias("target")), buckets), "counts")
+    keyed = with_keys(rows, log_ratios(counts, buckets), stem_costs(counts, buckets), text, doc_id)
     keys = materialize(keyed.select("_key", "_good", "_fit"), "keys")
-    held_out = keys.where("not _fit")
-    cut = best_cut(held_out, recall)
+    keyed = keyed.toDF(*names, *stacked(ADDED, names))
+    cut = best_cut(keys.where("not _fit"), recall)
     if cut is None or not keys.where("_fit and _good").limit(1).count():
-        return keyed, -math.inf
-    return keyed, kth_largest(keys, keys.where(F.col("_key") >= cut).count())
+        least = -math.inf
+    else:
+        least = kth_largest(keys, keys.where(F.col("_key") >= cut).count())
+    discard(keys, counts)
+    return keyed, least
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
@@ -246,7 +267,7 @@ def good_labels(labels: DataFrame) -> DataFrame:
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
     keyed, least = classify(docs, labels)
-    return keyed.where(F.col("_key") >= least).select(*docs.columns)
+    return keyed.where(F.col(stacked(ADDED, docs.columns)[-1]) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,15 @@ Labelled page outcomes (good or bad) are summed per host. Rates are shrunk throu
 is the prior of each suffix, the suffix posterior that of each registered domain, the domain posterior that of each host.
 The prior strength of a level comes from the spread of its groups (method of moments for the intra-group correlation).
 A host is blocked when the lower posterior bound of its bad rate exceeds ``max_bad``; hosts without labels take the
-posterior of their domain, suffix or the global one.
+posterior of their domain, suffix or the global one. ``max_bad`` is a half: a host goes if, with 95% probability, most of
+its pages are bad. It does not follow the global rate, since a corpus that is good or bad as a whole has no hosts that
+stand out; where outcomes do not depend on hosts, as in the synthetic tables, no host is blocked, and that is right.
+
+Assumption: the outcome of a page is the label row with the page's number.
 
 Defined results: null urls and urls without ``://`` have empty host and path and take the global posterior; repeated
-pages each count as labelled; pages without a label count nothing; empty tables give empty results; no labels at all
-leave every page to the uniform prior, which allows. The registered domain is the last two labels of the host, or three
+pages and repeated labels each count; pages without a label count nothing; empty tables give empty results; no labels at
+all leave every page to the uniform prior, which allows; further columns do not matter. The registered domain is the last two labels of the host, or three
 where the last two are in ``long_suffixes``; the suffix is what follows its first label.
 """
 
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import materialize, small, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which anyone registers names. A parameter: pass a longer tuple for other data.
@@ -67,11 +71,12 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, lon
     """Posterior bad rate of every host in ``pages`` (page_id, host), and the global one (one row).
 
     ``outcomes``: (page_id, bad 0/1). Hosts: host, domain, suffix, n, bad, rate, strength, bound (lower).
-    Counts are summed with map-side combining before any shuffle of hosts, so a hot host costs one row per task.
+    Counts are summed with map-side combining before any shuffle of hosts, so a hot host costs one row per task, and
+    written: the levels above, and the result, start from these counts and never from pages again.
     """
     labelled = pages.join(outcomes.where(F.col("bad").isNotNull()), "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"), long_suffixes))
+    hosts = materialize(hosts.withColumn("domain", registered_domain(F.col("host"), long_suffixes)), "hosts")
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db")).withColumn("suffix", suffix_of(F.col("domain")))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     top = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("gn"), F.coalesce(F.sum("sb"), F.lit(0)).alias("gb"))
@@ -102,7 +107,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: flo
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     reputation, _ = host_reputation(parsed.select("page_id", "host"), outcomes, z)
     rule, action = match_rules(F.col("host"), F.col("path"), rules)
-    judged = parsed.join(reputation.select("host", F.col("rate").alias("bad_rate"), F.col("bound").alias("bad_bound")), "host", "left")
+    known = materialize(reputation.select("host", F.col("rate").alias("bad_rate"), F.col("bound").alias("bad_bound")), "reputation")
+    judged = parsed.join(small(known), "host", "left")
     method = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, method).alias("verdict"), "bad_rate", "bad_bound")
 
@@ -110,7 +116,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: flo
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages. Outcome of a page: the label row with its id, bad if of low quality or toxic."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0).alias("bad"))
-    return filter_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+    judged = filter_urls(table(spark, sf_dir, "pages"), outcomes)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))
 
 
 _SQL = """
@@ -134,7 +141,8 @@ h4 AS (SELECT host, (bad + (1 / rho - 1) * d_rate) / (n + (1 / rho - 1)) AS rate
 r(action, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM u JOIN r
       ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (k + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (k + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(rate, 6) AS bad_rate, round(rate - 1.645 * sqrt(rate * (1 - rate) / (k + 1)), 6) AS bad_bound
 FROM u JOIN h4 USING (host) LEFT JOIN m USING (page_id)
 """
 

@@ -550,6 +550,66 @@ def test_importance(spark):
     assert bound == -math.inf and all_kept.count() == 1202
 
 
+def test_log_weights_and_keys_by_brute_force(spark):
+    """Ratios, weights, noise and k, counted with plain Python over a small fixture."""
+    import xxhash
+
+    rng, buckets, odd = random.Random(13), 1 << 10, 0x9E3779B97F4A7C15
+    made = [None, "", "one", *(" ".join(rng.choice(["a", "B", "cc", f"w{rng.randrange(40)}", "x."]) for _ in range(rng.randint(2, 60))) for _ in range(80))]
+    labels = {i: i % 3 != 0 for i in range(0, len(made), 2)}
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    labs = spark.createDataFrame(list(labels.items()), "doc_id long, good boolean")
+    keyed, least = importance.classify(frame, labs, buckets=buckets)
+    got = {r.doc_id: r for r in keyed.collect()}
+    fit = {r.doc_id for r in labs.where("pmod(xxhash64(doc_id, 'half'), 2) = 0").collect()}
+    assert {i for i, r in got.items() if r._fit} == fit and {i: r._good for i, r in got.items() if r._good is not None} == labels
+
+    def mix(start, values):
+        for v in values:
+            start = (start ^ v) * odd % 2**64
+            start ^= start >> 29
+        return start
+
+    def grams(t):
+        h = [xxhash.xxh3_64_intdigest(w) for w in WORD.findall((t or "").lower())]
+        return [(x >> 7) % buckets for x in h] + [(mix(3, p) >> 7) % buckets for p in zip(h, h[1:], strict=False)]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in enumerate(made):
+        raw.update(grams(t))
+        if i in fit and labels[i]:
+            target.update(grams(t))
+    share = {k: (raw[k] + 1) / (raw.total() + buckets) for k in range(buckets)}
+    ratio = {k: math.log((target[k] + share[k] * buckets) / (target.total() + buckets)) - math.log(share[k]) for k in range(buckets)}
+    hashed = {r.doc_id: r.u for r in frame.selectExpr("doc_id", "(pmod(xxhash64('resample', doc_id, text), 1L << 40) + 0.5) / (1L << 40) as u").collect()}
+
+    def stems(w):
+        bare = w.strip(".,;:!?()[]{}\"'*_") or w
+        return [(kind, (xxhash.xxh3_64_intdigest(x) >> 7) % (buckets // 2)) for kind, x in enumerate([bare, bare[:4], bare[:6], bare[:8]])]
+
+    own = [{x for w in WORD.findall((t or "").lower()) for x in stems(w)} for t in made]
+    model = [i for i in range(len(made)) if i in fit and labels[i]]
+    in_all, in_model = collections.Counter(x for o in own for x in o), collections.Counter(x for i in model for x in own[i])
+
+    def cost(x):
+        most = in_model[x] + 3 * math.sqrt(in_model[x] + 1) + 1
+        return min(0.0, math.log(most / (in_all[x] * len(model) / len(made) + 1)))
+
+    for i, t in enumerate(made):
+        g = grams(t)
+        # all texts are shorter than a window, so the worst one is the whole text
+        worst = sum(min(map(cost, stems(w))) for w in WORD.findall((t or "").lower()))
+        weight = 200 * sum(ratio[k] for k in g) / (len(g) + 20) + 8 * worst
+        assert got[i]._log_weight == pytest.approx(weight, abs=1e-3) and got[i]._key == pytest.approx(weight - math.log(-math.log(hashed[i])), abs=1e-3)
+    # the cut: of the quantiles of held-out good keys the one with the fewest wrong verdicts; k documents lie above it
+    good = sorted(got[i]._key for i in labels if labels[i] and i not in fit)
+    bad = [got[i]._key for i in labels if not labels[i] and i not in fit]
+    cuts = np.quantile(good, np.linspace(0.005, 0.2, importance.CUTS))
+    wrong = [sum(x < c for x in good) + sum(x >= c for x in bad) for c in cuts]
+    cut = cuts[int(np.argmin(wrong))]
+    assert sum(r._key >= least for r in got.values()) == sum(r._key >= cut for r in got.values())
+
+
 def test_importance_of_a_short_bad_passage(spark):
     rng = random.Random(4)
     plain, insults = [f"w{i}" for i in range(300)], ["idiot", "moron.", "scum", "Loser"]
