@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -550,19 +551,11 @@ def test_importance(spark):
     assert bound == -math.inf and all_kept.count() == 1202
 
 
-def test_log_weights_and_keys_by_brute_force(spark):
-    """Ratios, weights, noise and k, counted with plain Python over a small fixture."""
+def brute_keys(made, labels, fit, noise, buckets):
+    """(log weight, key) of each text by plain Python; ``labels``: good or not by number, ``fit``: numbers the models may see."""
     import xxhash
 
-    rng, buckets, odd = random.Random(13), 1 << 10, 0x9E3779B97F4A7C15
-    made = [None, "", "one", *(" ".join(rng.choice(["a", "B", "cc", f"w{rng.randrange(40)}", "x."]) for _ in range(rng.randint(2, 60))) for _ in range(80))]
-    labels = {i: i % 3 != 0 for i in range(0, len(made), 2)}
-    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
-    labs = spark.createDataFrame(list(labels.items()), "doc_id long, good boolean")
-    keyed, least = importance.classify(frame, labs, buckets=buckets)
-    got = {r.doc_id: r for r in keyed.collect()}
-    fit = {r.doc_id for r in labs.where("pmod(xxhash64(doc_id, 'half'), 2) = 0").collect()}
-    assert {i for i, r in got.items() if r._fit} == fit and {i: r._good for i, r in got.items() if r._good is not None} == labels
+    odd = 0x9E3779B97F4A7C15
 
     def mix(start, values):
         for v in values:
@@ -570,44 +563,69 @@ def test_log_weights_and_keys_by_brute_force(spark):
             start ^= start >> 29
         return start
 
-    def grams(t):
-        h = [xxhash.xxh3_64_intdigest(w) for w in WORD.findall((t or "").lower())]
-        return [(x >> 7) % buckets for x in h] + [(mix(3, p) >> 7) % buckets for p in zip(h, h[1:], strict=False)]
+    lists = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in made]
 
-    raw, target = collections.Counter(), collections.Counter()
-    for i, t in enumerate(made):
-        raw.update(grams(t))
-        if i in fit and labels[i]:
-            target.update(grams(t))
-    share = {k: (raw[k] + 1) / (raw.total() + buckets) for k in range(buckets)}
-    ratio = {k: math.log((target[k] + share[k] * buckets) / (target.total() + buckets)) - math.log(share[k]) for k in range(buckets)}
-    hashed = {r.doc_id: r.u for r in frame.selectExpr("doc_id", "(pmod(xxhash64('resample', doc_id, text), 1L << 40) + 0.5) / (1L << 40) as u").collect()}
+    def grams(words):
+        h = [xxhash.xxh3_64_intdigest(w) for w in words]
+        return [(x >> 7) % buckets for x in h] + [(mix(3, p) >> 7) % buckets for p in zip(h, h[1:], strict=False)]
 
     def stems(w):
         bare = w.strip(".,;:!?()[]{}\"'*_") or w
         return [(kind, (xxhash.xxh3_64_intdigest(x) >> 7) % (buckets // 2)) for kind, x in enumerate([bare, bare[:4], bare[:6], bare[:8]])]
 
-    own = [{x for w in WORD.findall((t or "").lower()) for x in stems(w)} for t in made]
-    model = [i for i in range(len(made)) if i in fit and labels[i]]
-    in_all, in_model = collections.Counter(x for o in own for x in o), collections.Counter(x for i in model for x in own[i])
+    model = [i for i in range(len(made)) if i in fit and labels.get(i)]
+    own_grams = [grams(w) for w in lists]
+    own_stems = [{x for w in words for x in stems(w)} for words in lists]
+    raw, target = collections.Counter(x for g in own_grams for x in g), collections.Counter(x for i in model for x in own_grams[i])
+    in_all, in_model = collections.Counter(x for o in own_stems for x in o), collections.Counter(x for i in model for x in own_stems[i])
+
+    def ratio(k):
+        share = (raw[k] + 1) / (raw.total() + buckets)
+        return math.log((target[k] + share * buckets) / (target.total() + buckets)) - math.log(share)
 
     def cost(x):
         most = in_model[x] + 3 * math.sqrt(in_model[x] + 1) + 1
         return min(0.0, math.log(most / (in_all[x] * len(model) / len(made) + 1)))
 
-    for i, t in enumerate(made):
-        g = grams(t)
-        # all texts are shorter than a window, so the worst one is the whole text
-        worst = sum(min(map(cost, stems(w))) for w in WORD.findall((t or "").lower()))
-        weight = 200 * sum(ratio[k] for k in g) / (len(g) + 20) + 8 * worst
-        assert got[i]._log_weight == pytest.approx(weight, abs=1e-3) and got[i]._key == pytest.approx(weight - math.log(-math.log(hashed[i])), abs=1e-3)
-    # the cut: of the quantiles of held-out good keys the one with the fewest wrong verdicts; k documents lie above it
-    good = sorted(got[i]._key for i in labels if labels[i] and i not in fit)
-    bad = [got[i]._key for i in labels if not labels[i] and i not in fit]
+    out = []
+    for words, g, u in zip(lists, own_grams, noise, strict=True):
+        costs = [min(map(cost, stems(w))) for w in words]
+        sums = [0.0, *itertools.accumulate(costs)]
+        worst = min((sums[min(len(costs), p + 200)] - sums[p] for p in range(len(costs))), default=0.0)
+        weight = 200 * sum(map(ratio, g)) / (len(g) + 20) + 8 * worst
+        out.append((weight, weight - math.log(-math.log(u))))
+    return out
+
+
+def brute_kept(keys, labels, fit):
+    """Whether each key is kept: of the quantiles of held-out good keys the one with the fewest wrong verdicts is the cut."""
+    good = sorted(keys[i] for i in labels if labels[i] and i not in fit)
+    bad = [keys[i] for i in labels if not labels[i] and i not in fit]
     cuts = np.quantile(good, np.linspace(0.005, 0.2, importance.CUTS))
     wrong = [sum(x < c for x in good) + sum(x >= c for x in bad) for c in cuts]
-    cut = cuts[int(np.argmin(wrong))]
-    assert sum(r._key >= least for r in got.values()) == sum(r._key >= cut for r in got.values())
+    return [k >= cuts[int(np.argmin(wrong))] for k in keys]
+
+
+def noise_of(frame):
+    """The hashed number of each row in order of doc_id, and the doc_ids of labels that the models may see."""
+    rows = frame.selectExpr("doc_id", "(pmod(xxhash64('resample', doc_id, text), 1L << 40) + 0.5) / (1L << 40) as u", "pmod(xxhash64(doc_id, 'half'), 2) = 0 as fit").orderBy("doc_id").collect()
+    return [r.u for r in rows], {r.doc_id for r in rows if r.fit}
+
+
+def test_log_weights_and_keys_by_brute_force(spark):
+    """Ratios, costs, weights, noise and k, counted with plain Python over a small fixture."""
+    rng, buckets = random.Random(13), 1 << 10
+    made = [None, "", "one", *(" ".join(rng.choice(["a", "B", "cc", f"w{rng.randrange(40)}", "x."]) for _ in range(rng.randint(2, 400))) for _ in range(80))]
+    labels = {i: i % 3 != 0 for i in range(0, len(made), 2)}
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    keyed, least = importance.classify(frame, spark.createDataFrame(list(labels.items()), "doc_id long, good boolean"), buckets=buckets)
+    got = {r.doc_id: r for r in keyed.collect()}
+    noise, fit = noise_of(frame)
+    assert {i for i, r in got.items() if r._fit} == fit & set(labels) and {i: r._good for i, r in got.items() if r._good is not None} == labels
+    want = brute_keys(made, labels, fit, noise, buckets)
+    for i, (weight, key) in enumerate(want):
+        assert got[i]._log_weight == pytest.approx(weight, abs=1e-2) and got[i]._key == pytest.approx(key, abs=1e-2)
+    assert [got[i]._key >= least for i in range(len(made))] == brute_kept([got[i]._key for i in range(len(made))], labels, fit)
 
 
 def test_importance_of_a_short_bad_passage(spark):
@@ -666,3 +684,93 @@ def test_pipeline(spark):
     first = {r.doc_id for r in kept["quality classifier"]}
     assert len(clean & first) >= 0.9 * len(clean)
     assert {r.doc_id for r in kept["packing"]} == {r.doc_id for r in kept["source mixing"]}
+
+
+def brute_copies(rows):
+    """How often the mix takes each of ``rows`` (doc_id, text, source)."""
+    unit = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:12], 16) / 16**12
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    by = collections.defaultdict(list)
+    for i, (_, _, s) in enumerate(rows):
+        by[s].append(i)
+    names = sorted(by, key=lambda s: (s is None, s))
+    weight, total = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, {s: sum(size[i] for i in by[s]) for s in names}
+    fixed = set()
+    while True:
+        level = (sum(size) - sum(3 * total[s] for s in fixed)) / max(1, sum(weight[s] for s in names if s not in fixed))
+        over = {s for s in names if s not in fixed and level * weight[s] > 3 * total[s]}
+        if not over:
+            break
+        fixed |= over
+    out = [0] * len(rows)
+    for s in names:
+        rate = (3 * total[s] if s in fixed else level * weight[s]) / total[s] if total[s] else 0.0
+        f, phase, before = rate - math.floor(rate), unit(f"mix:{s if s is not None else chr(0) + 'null'}"), 0
+        bins = collections.defaultdict(list)
+        for i in by[s]:
+            bits = max(1, size[i].bit_length())
+            bins[bits, size[i] >> bits - 4 if bits > 4 else size[i]].append(i)
+        for b in sorted(bins):
+            draws = {i: unit(f"mix:{rows[i][0] if rows[i][0] is not None else ''}:{rows[i][1] or ''}") for i in bins[b]}
+            more = math.floor(phase + (before + len(draws)) * f) - math.floor(phase + before * f)
+            before += len(draws)
+            done, threshold = 0, 0.0
+            for part in range(256):
+                n = sum(math.floor(d * 256) == part for d in draws.values())
+                if done < more <= done + n:
+                    threshold = (part + (more - done) / n) / 256
+                done += n
+            for i, d in draws.items():
+                out[i] = math.floor(rate) + (d < threshold)
+    return out
+
+
+def test_pipeline_by_brute_force(spark, texts, tmp_path):
+    """run() against plain Python, stage by stage, over copies, near copies, passages, toxic rows and nulls."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    plain = [f"p{i}" for i in range(400)]
+    made = [*texts, *(" ".join(rng.choice(plain) for _ in range(rng.randint(30, 250))) for _ in range(240))]
+    bad = {i for i in range(len(texts), len(made)) if i % 5 == 0}
+    for i in bad:
+        words = made[i].split()
+        for p in range(0, len(words), 3):
+            words[p] = rng.choice(["scum", "idiot!", "junk#", "spam"])
+        made[i] = " ".join(words)
+    made += [made[-1], made[-2], made[-3] + " tail"]
+    labels = {i: i not in bad for i in range(len(texts), len(made), 2)} | {i: i not in bad for i in bad if i % 3}
+    sources = [None if i % 13 == 0 else f"s{i % 4}" for i in range(len(made))]
+    docs_ = spark.createDataFrame([(i, t, "en", s, len(t) if t is not None else None) for i, (t, s) in enumerate(zip(made, sources, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs_.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(g or i % 2), int(not g)) for i, g in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    noise, fit = noise_of(docs_)
+    keys = [k for _, k in brute_keys(made, labels, fit, noise, importance.BUCKETS)]
+    kept = [i for i, keep in enumerate(brute_kept(keys, labels, fit)) if keep]
+    assert len(bad & set(kept)) <= 0.1 * len(bad) and len(kept) > 150
+    _, names = brute_components([made[i] for i in kept], 80)
+    kept = [i for p, i in enumerate(kept) if names[p] == p]
+    words, first = {i: WORD.findall(made[i] or "") for i in kept}, {}
+    for i in kept:
+        for p in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][p : p + 13]), i)
+    rows = []
+    for i in kept:
+        gone = {q for p in range(len(words[i]) - 12) if first[tuple(words[i][p : p + 13])] < i for q in range(p, p + 13)}
+        rows.append((i, " ".join(w for q, w in enumerate(words[i]) if q not in gone) if gone else made[i], sources[i]))
+    library = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), "word").library
+    want = collections.Counter()
+    for (i, t, _), times in zip(rows, brute_copies(rows), strict=True):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        for n, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[i, n, at, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))] += times
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == +want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
