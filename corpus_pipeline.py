@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. What a
 stage returns is written and read again before the next one starts.
 
-Defined results: rows with null doc_id or null text pass every stage (they are linked with nothing and lose no words);
-repeated rows pass alike; an empty table gives no pieces; further columns are carried up to the last stage.
+Defined results: rows with null doc_id or null text pass every stage (they are linked with nothing and lose no words) but
+mixing, which takes them by their source's rate; of rows equal in doc_id and text near-dedup leaves one; an empty table
+gives no pieces; further columns are carried up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group at similarity 0.8 of 5-word shingles."""
+    """Keeps one document, with the least id, of each group at similarity 0.8 of 5-word shingles."""
     return near_dedup.drop_near_duplicates(docs)
 
 
