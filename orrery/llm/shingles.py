@@ -16,22 +16,28 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
 
-def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words one after another, and the word offsets of each text (n + 1)."""
+def listed_words(texts: pa.Array, lower: bool = False, seed: int = 0) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words one after another, their 64-bit hashes, and the word offsets of each text (n + 1)."""
     lists = arrow_words(texts, lower)
     flat = pc.list_flatten(lists)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     encoded = flat.dictionary_encode()
-    pool = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in encoded.dictionary.to_pylist()), np.uint64, len(encoded.dictionary))
+    pool = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in encoded.dictionary.to_pylist()), np.uint64, len(encoded.dictionary))
     index = encoded.indices.to_numpy()
     # the split leaves one empty piece in a text without words
     empty = np.flatnonzero(pc.equal(encoded.dictionary, "").to_numpy(zero_copy_only=False))
     if len(empty):
         keep = index != empty[0]
-        index = index[keep]
+        index, flat = index[keep], flat.filter(pa.array(keep))
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    return pool[index] if len(pool) else np.zeros(0, np.uint64), offsets
+    return flat, pool[index] if len(pool) else np.zeros(0, np.uint64), offsets
+
+
+def hashed_words(texts: pa.Array, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words one after another, and the word offsets of each text (n + 1)."""
+    _, words, offsets = listed_words(texts, lower, seed)
+    return words, offsets
 
 
 def rolling(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

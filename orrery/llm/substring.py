@@ -12,7 +12,7 @@ occurrence with the least (doc_id, position).
    one piece, and pieces that meet in such a node are joined, by hooking and pointer doubling, to paths: the maximal
    non-branching ones, also where their parts have different sources.
 4. Stretches of a document on one path are spans, with the coordinates of their source. The words at these coordinates are
-   read again, and only spans with the same words (128-bit digests) are cut.
+   read again, and only spans with the same words (by a hash of other word hashes than those of the graph) are cut.
 
 Edges are known by the 64-bit hashes of both their nodes. Edges that collide all the same make a span that the words at
 its source do not confirm; such a span stays.
@@ -29,13 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_words, discard, materialize, small, stacked, table
+from orrery.llm.common import discard, materialize, small, stacked, table
 from orrery.llm.components import components
-from orrery.llm.shingles import hashed_words, rolling
+from orrery.llm.shingles import hashed_words, listed_words, rolling
 from orrery.llm.token_counts import chunks
 
 WIDTH, SEED = 13, 6
@@ -59,7 +58,7 @@ def _windows(words: np.ndarray, offsets: np.ndarray, width: int, seed: int):
 
 
 def seeds(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """Distinct (doc_id, m): the minimizers of each document's windows."""
+    """(doc_id, m): the minimizers of each document's windows. One that a document has several times may come several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -68,12 +67,9 @@ def seeds(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 w = _windows(words, offsets, width, seed)
                 if w is None:
                     continue
-                doc, _, parts, place = w
-                place = place[np.r_[True, place[1:] != place[:-1]]]
-                order = np.lexsort((parts[place], doc[place]))
-                d, m = doc[place][order], parts[place][order]
-                new = np.r_[True, (d[1:] != d[:-1]) | (m[1:] != m[:-1])]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d[new])), pa.array(m[new].view(np.int64))], ["doc_id", "m"])
+                doc, starts, parts, place = w
+                new = np.r_[True, (place[1:] != place[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[starts[new]])), pa.array(parts[place[new]].view(np.int64))], ["doc_id", "m"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, m long")
 
@@ -104,21 +100,13 @@ def runs(docs: DataFrame, repeated: DataFrame, width: int, seed: int) -> DataFra
                     continue
                 doc, starts, parts, place = w
                 m = parts[place]
-                lists = b.column(2)
-                values = pc.list_flatten(lists).to_numpy().view(np.uint64)
-                owner = pc.list_parent_indices(lists).to_numpy()
-                known = np.unique(values)
+                # repeated minimizers of the batch; one that another text has brought in is repeated here, too
+                known = np.unique(pc.list_flatten(b.column(2)).to_numpy().view(np.uint64))
                 if not len(known):
                     continue
-                # pairs (text, minimizer) as one number: rank of the minimizer in this batch, and the text
                 at = np.searchsorted(known, m)
                 at[at == len(known)] = 0
-                here = known[at] == m
-                pairs = np.unique(np.searchsorted(known, values) * np.int64(len(offsets)) + owner)
-                want = at * np.int64(len(offsets)) + doc[starts]
-                pos = np.searchsorted(pairs, want)
-                pos[pos == len(pairs)] = 0
-                keep = np.flatnonzero(here & (pairs[pos] == want))
+                keep = np.flatnonzero(known[at] == m)
                 if not len(keep):
                     continue
                 first, hold = starts[keep], place[keep]
@@ -139,10 +127,10 @@ RUN = {"a": "nodes[0]", "z": "element_at(nodes, -1)", "k": "size(nodes)"}
 
 
 def distinct_runs(found: DataFrame) -> DataFrame:
-    """One row of each distinct run: its first occurrence, the greatest doc_id that has it, and its nodes."""
+    """One row of each distinct run: a number, its first occurrence, the greatest doc_id that has it, and its nodes."""
     keyed = found.select("doc_id", "place", "nodes", *(F.expr(e).alias(c) for c, e in RUN.items()))
     grouped = keyed.groupBy(*RUN).agg(F.min(F.struct("doc_id", "place")).alias("s"), F.max("doc_id").alias("last"), F.first("nodes").alias("nodes"))
-    return grouped.select("s.*", "last", "nodes")
+    return grouped.select(F.monotonically_increasing_id().alias("id"), "s.*", "last", "nodes")
 
 
 def _edges(nodes: str = "nodes"):
@@ -221,12 +209,14 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Dat
     discard(edges)
     paths = path_pieces(pieced, branching)
     # where each distinct run lies at its sources: the bits of its windows by piece and distance
-    windows = distinct.select(*(F.expr(e).alias(c) for c, e in RUN.items()), _edges().alias("j", "e")).select(*RUN, "j", "e.*")
+    windows = distinct.select("id", _edges().alias("j", "e")).select("id", "j", "e.*")
     placed = windows.join(pieced, ["u", "v"]).withColumn("ahead", F.col("place") - F.col("j"))
-    sources = materialize(placed.groupBy(*RUN, "source", "piece", "ahead").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("bits")), "sources")
-    discard(distinct, pieced, branching)
-    keyed = found.select("doc_id", "place", *(F.expr(e).alias(c) for c, e in RUN.items()))
-    parts = keyed.join(sources, list(RUN)).where("source < doc_id").select("doc_id", "place", "source", "piece", (F.col("ahead") - F.col("place")).alias("ahead"), "bits")
+    sources = materialize(placed.groupBy("id", "source", "piece", "ahead").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("bits")), "sources")
+    discard(pieced, branching)
+    keys = [F.expr(e).alias(c) for c, e in RUN.items()]
+    sources = materialize(sources.join(distinct.select("id", *keys), "id").drop("id"), "keyed")
+    discard(distinct)
+    parts = found.select("doc_id", "place", *keys).join(sources, list(RUN)).where("source < doc_id").select("doc_id", "place", "source", "piece", (F.col("ahead") - F.col("place")).alias("ahead"), "bits")
     lists = parts.groupBy("doc_id", "source", "piece", "ahead").agg(F.collect_list(F.struct("place", "bits")).alias("parts"))
     stretches = lists.mapInArrow(_stretches, "doc_id long, place long, n int, source long, source_place long, piece long")
     low = lambda c: F.expr(f"cast({c} & 4294967295 as int)")
@@ -245,30 +235,35 @@ def text_number(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(1 << 31))
 
 
-def _texts_of(words: list[str], starts: list[int], sizes: list[int], width: int) -> list[bytes]:
-    """Digests of the words that windows cover."""
-    return [xxhash.xxh3_128_digest(" ".join(words[a : a + n + width - 1])) for a, n in zip(starts, sizes, strict=True)]
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def span_hashes(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Polynomial hash, modulo 2^64, of ``count`` words from ``first`` on, for many spans of one array of word hashes."""
+    powers = lambda base: np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(words), base, np.uint64)])
+    sums = np.r_[np.uint64(0), np.cumsum(words * powers(BASE)[:-1])]
+    return (sums[first + count] - sums[first]) * powers(INVERSE)[first]
 
 
-def source_digests(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(source, source_row, source_start, n, digest): what stands at the sources of ``spans``, read from the texts."""
+def source_hashes(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(source, source_row, source_start, n, hash): what stands at the sources of ``spans``, read from the texts."""
     places = spans.select("source", "source_row", "source_start", "n").distinct()
-    asked = materialize(places.groupBy("source", "source_row").agg(F.collect_list("source_start").alias("starts"), F.collect_list("n").alias("sizes")), "asked")
+    asked = materialize(places.groupBy("source", "source_row").agg(F.collect_list(F.struct("source_start", "n")).alias("at")), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, 0):
-                out = []
-                for words, doc, row, starts, sizes in zip(arrow_words(b.column(0)).to_pylist(), *(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                    out += [(doc, row, a, n, d) for a, n, d in zip(starts, sizes, _texts_of(words, starts, sizes, width), strict=True)]
-                if out:
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["source", "source_row", "source_start", "n", "digest"])
+                words, offsets = hashed_words(b.column(0), seed=1)
+                at, of = pc.list_flatten(b.column(3)), pc.list_parent_indices(b.column(3))
+                start, n = at.field("source_start"), at.field("n")
+                hashes = span_hashes(words, offsets[of.to_numpy()] + start.to_numpy(), n.to_numpy() + width - 1)
+                yield pa.RecordBatch.from_arrays([b.column(1).take(of), b.column(2).take(of), start, n, pa.array(hashes.view(np.int64))], ["source", "source_row", "source_start", "n", "hash"])
 
     own = _own(docs).select(F.col("doc_id").alias("source"), F.col("row").alias("source_row"), "text")
     # only texts that are a source go through the shuffle, if their ids are few
     chosen = own.join(small(asked.select("source").distinct()), "source", "left_semi").join(asked, ["source", "source_row"])
-    return chosen.select("text", "source", "source_row", "starts", "sizes").mapInArrow(run, "source long, source_row long, source_start int, n int, digest binary").distinct()
+    return chosen.select("text", "source", "source_row", "at").mapInArrow(run, "source long, source_row long, source_start int, n int, hash long").distinct()
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -277,35 +272,28 @@ def cut_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFram
     Where ``docs`` has columns of these names, the new ones get further underscores in front.
     """
     names = list(docs.columns)
-    digests = materialize(source_digests(docs, spans, width), "digests")
-    known = spans.join(digests, ["source", "source_row", "source_start", "n"])
-    per_doc = known.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans")).select(F.col("doc_id").alias("span_doc"), F.col("row").alias("span_row"), "spans")
+    hashes = materialize(source_hashes(docs, spans, width), "hashes")
+    known = spans.join(hashes, ["source", "source_row", "source_start", "n"])
+    per_doc = known.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "hash")).alias("spans")).select(F.col("doc_id").alias("span_doc"), F.col("row").alias("span_row"), "spans")
     at = names.index("text")
     plain = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, at):
-                lists = arrow_words(b.column(at))
-                flat = pc.list_flatten(lists)
-                offsets = lists.offsets.to_numpy().astype(np.int64)
-                offsets = offsets - offsets[0]
-                real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-                covered = np.zeros(len(flat) + 1, np.int64)
-                for i, own in enumerate(b.column(len(names)).to_pylist()):
-                    if own:
-                        words = flat.slice(offsets[i], offsets[i + 1] - offsets[i]).to_pylist()
-                        starts, sizes = [s["start"] for s in own], [s["n"] for s in own]
-                        for s, n, here, there in zip(starts, sizes, _texts_of(words, starts, sizes, width), (s["digest"] for s in own), strict=True):
-                            if here == there:
-                                covered[offsets[i] + s] += 1
-                                covered[offsets[i] + s + n + width - 1] -= 1
-                gone = np.cumsum(covered[:-1]) > 0
-                keep = real & ~gone
-                count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
-                kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)), flat.filter(pa.array(keep)))
-                n_words = count(real)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(n_words), pa.array(n_words - count(keep)), pc.binary_join(kept, " ")], [*plain, "n_words", "n_removed", "kept"])
+                flat, words, offsets = listed_words(b.column(at), seed=1)
+                own = pc.list_flatten(b.column(len(names)))
+                first = offsets[pc.list_parent_indices(b.column(len(names))).to_numpy()] + own.field("start").to_numpy()
+                count = own.field("n").to_numpy().astype(np.int64) + width - 1
+                same = span_hashes(words, first, count) == own.field("hash").to_numpy().view(np.uint64)
+                covered = np.zeros(len(words) + 1, np.int64)
+                np.add.at(covered, first[same], 1)
+                np.add.at(covered, (first + count)[same], -1)
+                keep = np.cumsum(covered[:-1]) <= 0
+                ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
+                kept = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.filter(pa.array(keep)))
+                n_words = np.diff(offsets)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(n_words), pa.array(n_words - np.diff(ends)), pc.binary_join(kept, " ")], [*plain, "n_words", "n_removed", "kept"])
 
     ddl = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, docs.schema, strict=True)), "n_words long, n_removed long, kept string"])
     rows = docs.toDF(*plain)
