@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from orrery.functions.columns import np_round
 from orrery.operators.bars import last_rows
 
+# The names of the states.
 CORRECTION, RALLY, UPTREND, PRESSURE, STRESS = "Correction", "Rally Attempt", "Confirmed Uptrend", "Uptrend Under Pressure", "Uptrend Under Stress"
 UP = (UPTREND, PRESSURE, STRESS)
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of the clock: percent changes, volume ratios, sessions."""
+    """Thresholds of the clock: percent changes, volume ratios, sessions. The defaults are fixed values."""
 
     ftd_gain: float = 1.25
     ftd_day: int = 4
@@ -48,7 +49,9 @@ class Clock:
         first = self.last_close is None
         pct = None if first or not self.last_close else (close / self.last_close - 1) * 100
         ratio = None if first or not self.last_volume else volume / self.last_volume
-        v, was, kind, day = 1.0 if ratio is None else ratio, self.state, "", 0
+        # any volume after none counts as more volume; the ratio itself is not known
+        more = not first and self.last_volume == 0 and volume > 0
+        v, was, kind, day = float("inf") if more else 1.0 if ratio is None else ratio, self.state, "", 0
         change = float("nan") if pct is None else pct
         if was in UP and change <= limits.dd_drop and v > 1.0:
             kind = "Distribution"

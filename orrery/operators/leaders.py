@@ -29,6 +29,12 @@ def drawdown_window(benchmark: DataFrame, end: str | None = None, depth: float =
     return ends.crossJoin(F.broadcast(runs)).select(F.coalesce("start", fallback).alias("start"), "end")
 
 
+def clock_window(benchmark: DataFrame, traced: DataFrame, **options) -> DataFrame:
+    """The drawdown window that ends at the last follow-through day of ``traced`` (the clock's trace of one index)."""
+    end = traced.where("event = 'Follow-Through'").agg(F.max("date").cast("string")).first()[0]
+    return drawdown_window(benchmark, end, **options)
+
+
 def peak_window(benchmark: DataFrame, rows: int = 60, drop: float = 2.0) -> DataFrame:
     """One row (start, end) from the day after the highest close of the last ``rows`` to the last; none if the last close
     is less than ``drop`` percent below that high."""

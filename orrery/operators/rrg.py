@@ -79,3 +79,7 @@ def history_stats(history_rows: DataFrame) -> DataFrame:
     return history_rows.agg(F.count("*").alias("rows"), F.count_distinct("date").alias("dates"), F.count_distinct("industry_key").alias("industries"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+def latest_top(history: DataFrame, n: int = 10) -> DataFrame:
+    """The best scores of the last week of the history."""
+    last = history.agg(F.max("date")).first()[0]
+    return history.where((F.col("date") == F.lit(last)) & F.col("sctr").isNotNull()).orderBy(F.col("sctr").desc(), "industry_key").limit(n)

@@ -44,7 +44,8 @@ def synthetic_index(
     member_bars = bars.select("symbol", "date", "close").join(w.select("industry_key", "symbol", "weight"), "symbol")
     if grid == "universe":
         dates = bars.select("date").distinct()
-        frame = w.select("industry_key", "symbol", "weight").join(F.broadcast(dates), how="cross")
+        # every constituent on every trading day is the result itself; Spark picks the side to send
+        frame = w.select("industry_key", "symbol", "weight").join(dates, how="cross")
     else:
         dates = member_bars.select("industry_key", "date").distinct()
         frame = w.select("industry_key", "symbol", "weight").join(dates, "industry_key")

@@ -54,7 +54,8 @@ class Market:
 
     @cached_property
     def all_bars(self) -> DataFrame:
-        return self._bars(self.trades, "stock")
+        """Daily bars of all stocks; week and month bars, indexes and indicators start from this table, not from trades."""
+        return kept(self._bars(self.trades, "stock"))
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -62,7 +63,9 @@ class Market:
 
     @cached_property
     def all_benchmark(self) -> DataFrame:
-        return self.trades.groupBy("date").agg(F.avg("px").alias("close"), F.min("px").alias("low"), F.max("px").alias("high"), F.sum("qty").alias("volume")).withColumn("symbol", F.lit(BENCHMARK))
+        # the mean of whole cents: no engine's order of summing changes it
+        mean = F.sum(F.round(F.col("px") * 100).cast("long")) / F.count("*") / 100
+        return kept(self.trades.groupBy("date").agg(mean.alias("close"), F.min("px").alias("low"), F.max("px").alias("high"), F.sum("qty").alias("volume")).withColumn("symbol", F.lit(BENCHMARK)))
 
     @cached_property
     def benchmark(self) -> DataFrame:
@@ -76,7 +79,7 @@ class Market:
 
     @cached_property
     def caps(self) -> DataFrame:
-        return read(self.spark, self.sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol")).agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), 0).cast("double").alias("market_cap"))
+        return kept(read(self.spark, self.sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol")).agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), 0).cast("double").alias("market_cap")))
 
     @cached_property
     def membership(self) -> DataFrame:
@@ -98,11 +101,11 @@ class Market:
 
     @cached_property
     def weekly_index(self) -> DataFrame:
-        return synthetic_index.synthetic_index(B.weekly(self.all_bars), self.membership, fill=2, min_symbol_rows=60)
+        return kept(synthetic_index.synthetic_index(B.weekly(self.all_bars), self.membership, fill=2, min_symbol_rows=60))
 
     @cached_property
     def monthly_index(self) -> DataFrame:
-        return synthetic_index.synthetic_index(B.monthly(self.all_bars), self.membership, fill=2, min_symbol_rows=24)
+        return kept(synthetic_index.synthetic_index(B.monthly(self.all_bars), self.membership, fill=2, min_symbol_rows=24))
 
     def _benchmark(self, period) -> DataFrame:
         return self.all_benchmark.groupBy(period.alias("date")).agg(F.max_by("close", "date").alias("close"))

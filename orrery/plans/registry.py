@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orrery.functions import columns as C
 from orrery.operators import bars as B
 from orrery.operators import breadth, clock, delta, indicators, leaders, reports, rotation, rrg, sctr, synthetic_index, trend
-from orrery.plans import sql
+from orrery.plans import sql, sql_market
 from orrery.plans.fixtures import Market
 from orrery.sources import readers, sinks
 from orrery.streaming import clock_stream, ingest
@@ -405,6 +405,20 @@ def clock_events(m: Market) -> DataFrame:
     return clock.events(clock.trace(m.clock_bars, clock.Limits(correction_drop=3.0)))
 
 
+@query
+def event_counts(m: Market) -> DataFrame:
+    """Event days of each index by kind, from its lists."""
+    lists = clock.event_lists(clock.trace(m.clock_bars, clock.Limits(correction_drop=3.0)))
+    n = lambda c: F.size(c).cast("long")
+    return lists.select("symbol", n("follow_through_days").alias("follow_throughs"), n("distribution_days").alias("distributions"), n("stall_days").alias("stalls"), F.get("distribution_days", F.lit(0))["date"].alias("last_distribution"))
+
+
+@query
+def clock_window(m: Market) -> DataFrame:
+    """The correction window that ends at the benchmark's last follow-through day."""
+    return leaders.clock_window(m.benchmark, clock.trace(m.clock_bars.where("symbol = 'SPY'"), clock.Limits(correction_drop=3.0)), depth=1.0)
+
+
 @query
 def drawdown_window(m: Market) -> DataFrame:
     return m.window
@@ -415,10 +429,25 @@ def peak_window(m: Market) -> DataFrame:
     return leaders.peak_window(m.week_benchmark, drop=0.1)
 
 
+def _range_leaders(m: Market, **options) -> DataFrame:
+    members = m.industries.select(F.col("industry_key").alias("symbol"), "industry_key")
+    return leaders.closing_range_leaders(m.nation_week, m.week_benchmark, m.window, members, m.momentum, m.industries, min_score=0, min_days=2, warmup_days=500, **options)
+
+
 @query
 def closing_range_leaders(m: Market) -> DataFrame:
-    members = m.industries.select(F.col("industry_key").alias("symbol"), "industry_key")
-    return leaders.closing_range_leaders(m.nation_week, m.week_benchmark, m.window, members, m.momentum, m.industries, min_score=0, min_days=2, warmup_days=500)
+    return _range_leaders(m)
+
+
+@query
+def leader_counts(m: Market) -> DataFrame:
+    return reports.leader_distribution(_range_leaders(m))
+
+
+@query
+def leaders_of_strong_industries(m: Market) -> DataFrame:
+    """Leaders among the eight industries of most momentum."""
+    return _range_leaders(m, industry_keys=m.momentum.where("rank <= 8"))
 
 
 @query
@@ -428,14 +457,28 @@ def correction_leaders(m: Market) -> DataFrame:
     return leaders.correction_leaders(m.nation_week, m.week_benchmark, m.window, scores, members, m.industries, min_sctr=0.0, min_share=0.2)
 
 
-@query
-def stock_screener(m: Market) -> DataFrame:
+def _screen(m: Market) -> DataFrame:
     before = Market(m.spark, m.sf_dir, "1998-06-30")
     found = leaders.closing_range_leaders(m.bars, m.benchmark, m.window, m.membership.select("symbol", "industry_key"), m.momentum, m.industries, min_score=0, min_days=2)
     signals = ("STRONG BUY", "BUY", "HOLD", "WATCH", "CAUTION", "EXIT")
     return trend.stock_screener(m.bars, m.benchmark, m.membership, m.momentum, m.stages, found.dropDuplicates(["ticker"]), m.stock_scores, before.stock_scores, m.industries, signals=signals, min_criteria=1)
 
 
+@query
+def stock_screener(m: Market) -> DataFrame:
+    return _screen(m)
+
+
+@query
+def screener_buckets(m: Market) -> DataFrame:
+    return reports.bucket_counts(_screen(m), "composite", (80, 70, 60, 50))
+
+
+@query
+def filtered_stocks(m: Market) -> DataFrame:
+    return reports.filter_summary(reports.stock_filter(_screen(m), composite=40, criteria=2, strength=20))
+
+
 @query
 def market_breadth(m: Market) -> DataFrame:
     return breadth.overall(breadth.merged(m.stages, m.strength, m.momentum, m.ath))
@@ -476,6 +519,95 @@ def signal_crossings(m: Market) -> DataFrame:
     return delta.crossings(delta.compare(rows.where("as_of = date'1998-12-31'"), rows.where("as_of = date'1998-06-30'")))
 
 
+@query
+def largest_moves(m: Market) -> DataFrame:
+    return delta.moves(delta.signal_delta(_snapshots(m)), 3).select("industry_key", "severity_score_delta", "direction", "place")
+
+
+@query
+def full_template(m: Market) -> DataFrame:
+    return reports.full_template(m.stages).select("industry_key", "stage", "minervini_count")
+
+
+@query
+def filtered_severity(m: Market) -> DataFrame:
+    kept = reports.severity_filter(m.severity, signals=["HOLD", "CAUTION", "EXIT"], labels=["Neutral / Watch", "Weakening", "Early Signal", "Confirmed"])
+    return kept.select("industry_key", "severity_label", "faber_signal")
+
+
+@query
+def latest_week_top(m: Market) -> DataFrame:
+    return rrg.latest_top(m.history).select("industry_key", "date", "sctr", "rs_ratio")
+
+
+@query
+def synthetic_on_all_dates(m: Market) -> DataFrame:
+    """Daily indexes on the dates of all stocks."""
+    return rounded(synthetic_index.synthetic_index(m.bars, m.membership, fill=5, min_symbol_rows=100, grid="universe"), 4)
+
+
+# -- files -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def bar_file_reader(m: Market) -> DataFrame:
+    """Bars and capitalisations after a write as one file per symbol."""
+    path = sinks.write_bar_files(m.all_bars.join(m.caps, "symbol"))
+    return readers.bar_files(m.spark, path).drop("line")
+
+
+@query
+def batch_file_reader(m: Market) -> DataFrame:
+    """Bars after a write as one file per month, from the files after a date."""
+    path = sinks.write_batch_files(m.all_bars, F.last_day("date"))
+    return readers.batch_files(m.spark, path, "1997-06-30").drop("file_date", "line")
+
+
+@query
+def clean_closes(m: Market) -> DataFrame:
+    """Closes from files that give every day twice, a wrong close first."""
+    twice = m.all_bars.select("*", F.posexplode(F.array(F.col("close") + 1, F.col("close"))).alias("place", "own")).withColumn("close", F.col("own"))
+    return readers.closes(readers.bar_files(m.spark, sinks.write_bar_files(twice, "place"), weekdays_only=False))
+
+
+@query
+def last_caps(m: Market) -> DataFrame:
+    path = sinks.write_bar_files(m.all_bars.join(m.caps, "symbol"))
+    return readers.latest_caps(readers.bar_files(m.spark, path, weekdays_only=False))
+
+
+@query
+def universe_file(m: Market) -> DataFrame:
+    path = sinks.shared_path(m.spark, "universe")
+    m.universe.write.csv(path, header=True)
+    return readers.universe_listed(m.spark, path, ("large", "mid"))
+
+
+@query
+def ranged_slice(m: Market) -> DataFrame:
+    return readers.slice_ohlcv(m.all_bars, "1996-01-01", "1996-12-31")
+
+
+@query
+def score_buckets_on_disk(m: Market) -> DataFrame:
+    """Stock scores by bucket after a write split by bucket."""
+    path = sinks.shared_path(m.spark, "scores")
+    sinks.write_stock_scores(m.stock_scores, path, "1998-12-31")
+    return reports.distribution(sinks.all_buckets(m.spark, path, "1998-12-31"), "cap_bucket")
+
+
+@query
+def history_on_disk(m: Market) -> DataFrame:
+    """Scores of the history from its date by industry table."""
+    path = sinks.shared_path(m.spark, "history")
+    names = {r.industry_name: r.industry_key for r in m.industries.collect()}
+    sinks.write_history(m.history, path, list(names))
+    wide = m.spark.read.parquet(f"{path}/sctr")
+    long = wide.unpivot("date", list(names), "industry_name", "sctr").join(m.industries.select("industry_name", "industry_key"), "industry_name")
+    known = m.spark.read.parquet(f"{path}/long").select("industry_key", "date")
+    return known.join(long, ["industry_key", "date"]).select("industry_key", "date", "sctr")
+
+
 @query
 def bars_round_trip(m: Market) -> DataFrame:
     """Bars written by as-of date and read back as the last snapshot up to a date."""

@@ -40,7 +40,7 @@ part("months", f"SELECT symbol, last_day(date) AS d, {RESAMPLED} FROM all_bars G
 part("weeks", f"SELECT symbol, {WEEK} AS d, {RESAMPLED} FROM all_bars GROUP BY ALL")
 part("month_bars", "SELECT symbol, d AS date, open, high, low, close, volume FROM months")
 part("week_bars", "SELECT symbol, d AS date, open, high, low, close, volume FROM weeks")
-part("spy_all", "SELECT date, avg(px) AS close, min(px) AS low, max(px) AS high, sum(qty) AS volume, 'SPY' AS symbol FROM trades GROUP BY date")
+part("spy_all", "SELECT date, CAST(sum(CAST(round(px * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS close, min(px) AS low, max(px) AS high, sum(qty) AS volume, 'SPY' AS symbol FROM trades GROUP BY date")
 part("spy", "SELECT * FROM spy_all WHERE isodow(date) < 6")
 part("spy_week", f"SELECT {WEEK} AS d, arg_max(close, date) AS close FROM spy_all GROUP BY ALL")
 part("spy_month", "SELECT last_day(date) AS d, arg_max(close, date) AS close FROM spy_all GROUP BY ALL")
@@ -414,20 +414,42 @@ FINAL |= {
 }
 
 
+def earlier(name: str) -> str | None:
+    """The part of the market as of 1998-06-30 (o_ before a part's name): the same text on the trades up to that day."""
+    if not name.startswith("o_") or name[2:] not in PARTS:
+        return None
+    if name == "o_trades":
+        return PARTS["trades"] + " WHERE CAST(l_shipdate AS DATE) <= '1998-06-30'"
+    return re.sub(rf"\b({'|'.join(dated())})\b", r"o_\1", PARTS[name[2:]])
+
+
+def dated() -> list[str]:
+    """The parts that depend on trades."""
+    found = {"trades"}
+    for name, sql in PARTS.items():
+        if any(re.search(rf"\b{f}\b", sql) for f in found):
+            found.add(name)
+    return sorted(found, key=len, reverse=True)
+
+
 def texts(queries: dict) -> dict[str, str]:
     """SQL of every query that has one."""
+    late = set(dated())
+    # the earlier market first: parts of both times refer to it, and a part has to stand before those that use it
+    parts = {f"o_{n}": earlier(f"o_{n}") for n in PARTS if n in late}
+    parts = {n: s for n, s in PARTS.items() if n not in late} | parts | {n: s for n, s in PARTS.items() if n in late}
 
     def needed(sql: str, seen: set[str]) -> set[str]:
-        for name in PARTS:
-            if name not in seen and re.search(rf"\b{name}\b", sql):
+        for name in set(re.findall(r"\b[a-z]\w*\b", sql)) & parts.keys():
+            if name not in seen:
                 seen.add(name)
-                needed(PARTS[name], seen)
+                needed(parts[name], seen)
         return seen
 
     out = {}
     for name, final in FINAL.items():
         if name in queries:
             used = needed(final, set())
-            clauses = ",\n".join(f"{p} AS ({PARTS[p]})" for p in PARTS if p in used)
+            clauses = ",\n".join(f"{p} AS ({parts[p]})" for p in parts if p in used)
             out[name] = f"WITH RECURSIVE {clauses}\n{final}"
     return out

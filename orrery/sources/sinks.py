@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.rrg import wide
@@ -31,12 +33,55 @@ def write_history(history: DataFrame, path: str, industry_names: list[str]) -> N
         wide(history, value, industry_names).write.mode("overwrite").parquet(f"{path}/{value}")
 
 
+def all_buckets(spark: SparkSession, path: str, as_of: str) -> DataFrame:
+    """Stock scores of all buckets of the last date up to ``as_of``: the union of what was written bucket by bucket."""
+    return snapshot(spark.read.parquet(path), as_of)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both can write: under spark.checkpoint.dir, else a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder where driver and executors both can write: under spark.checkpoint.dir. A local session (tests) may do
+    without that setting and gets a temporary folder; a cluster may not."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _write_named(rows: DataFrame, key: str, order: list[str], name: Callable[[str], str]) -> str:
+    """CSV files named after a key, one each. Spark writes a folder per key; the driver then moves one file per folder."""
+    spark = rows.sparkSession
+    path = shared_path(spark, "files")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, key).sortWithinPartitions(key, *order).drop(*(c for c in order if c.startswith("_"))).write.partitionBy(key).csv(f"{path}-parts", header=True)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(path))
+    for folder in fs.listStatus(hadoop(f"{path}-parts")):
+        label = folder.getPath().getName()
+        if folder.isDirectory() and label.startswith(f"{key}="):
+            for file in fs.listStatus(folder.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    fs.rename(file.getPath(), hadoop(f"{path}/{name(unquote(label.partition('=')[2]))}"))
+    fs.delete(hadoop(f"{path}-parts"), True)
+    return path
+
+
+def write_bar_files(bars: DataFrame, place: str | None = None) -> str:
+    """One CSV per symbol, named after it, in order of date (and of ``place`` in a date); the folder."""
+    names = ("Open", "High", "Low", "Close", "Volume")
+    cap = [F.col("market_cap").alias("marketCap")] if "market_cap" in bars.columns else []
+    rows = bars.select(F.col("symbol").alias("_symbol"), F.col("date").alias("Date"), *(F.col(c.lower()).alias(c) for c in names), *cap, (F.col(place) if place else F.lit(0)).alias("_place"))
+    return _write_named(rows, "_symbol", ["Date", "_place"], lambda s: f"{quote(s, safe='')}.csv")
+
+
+def write_batch_files(bars: DataFrame, day: Column) -> str:
+    """One CSV of all symbols per value of ``day``, as batches come; the folder."""
+    rows = bars.select(day.cast("string").alias("_day"), F.col("symbol").alias("Symbol"), *(F.col(c.lower()).alias(c) for c in ("Volume", "Close", "Low", "High", "Open")), F.col("date").alias("Date"))
+    return _write_named(rows, "_day", ["Symbol", "Date"], lambda d: f"prices_1d_{d}.csv")
+
+
 def round_trip(frame: DataFrame, as_of: str) -> DataFrame:
     """``frame`` after a write under its date, and a read of the last snapshot up to it."""
     path = shared_path(frame.sparkSession, "snapshot")
