@@ -262,15 +262,17 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     rows = _labelled(docs, k, percent, 1e-6).where("doc_id is not null")
     judged = rows.groupBy("doc_id", "row", "component_id", "n_shingles").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     judged = materialize(judged.where("not kept or n > 1 and n_shingles > 0").select("doc_id", "row", "kept"), "dropped")
-    doc, text = docs["doc_id"].cast("long"), docs["text"]
-    gone = judged.where("not kept").select(F.col("doc_id").alias("gone"), F.col("row").alias("gone_row"))
-    left = docs.join(small(gone), (doc == F.col("gone")) & (F.xxhash64(text) == F.col("gone_row")), "left_anti").select(*docs.columns)
+    names = list(docs.columns)
+    plain = [f"c{i}" for i in range(len(names))]
+    doc, text = plain[names.index("doc_id")], plain[names.index("text")]
+    same = (F.col(doc).cast("long") == F.col("gone")) & (F.xxhash64(text) == F.col("gone_row"))
+    keys = [F.col("doc_id").alias("gone"), F.col("row").alias("gone_row")]
+    left = docs.toDF(*plain).join(small(judged.where("not kept").select(*keys)), same, "left_anti")
     twice = judged.where("kept")
-    if twice.isEmpty():
-        return left
-    keys = small(twice.select(F.col("doc_id").alias("gone"), F.col("row").alias("gone_row")))
-    same = (left["doc_id"].cast("long") == F.col("gone")) & (F.xxhash64(left["text"]) == F.col("gone_row"))
-    return left.join(keys, same, "left_anti").unionByName(left.join(keys, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not twice.isEmpty():
+        again = small(twice.select(*keys))
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([doc, text]))
+    return left.select(*plain).toDF(*names)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

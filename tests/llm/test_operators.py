@@ -774,3 +774,48 @@ def test_pipeline_by_brute_force(spark, texts, tmp_path):
         own.sort()
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
     assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
+
+
+CLASHING = ["_id", "_good", "_fit", "_log_weight", "_key", "_s", "_t", "_s_size", "_mix_size", "_cut_starts", "_cut_text", "row", "node", "gone", "gone_row", "span_doc", "spans", "draw", "bin", "part", "threshold", "c0", "c1", "size", "copies", "seeds", "digest", "uid", "target", "label", "key"]
+
+
+def odd_docs(spark, rows):
+    """Rows with null ids and texts, repeated rows, a very long text and columns named like those that operators use inside."""
+    extra = {f"`{c}` long": 7 for c in CLASHING}
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(extra)
+    return spark.createDataFrame([(i, t, "en", s, len(t) if t is not None else None, *extra.values()) for i, t, s in rows], ddl)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    long, base = say(60_000), say(120)
+    rows = [(None, base, "a"), (None, None, None), (1, base, "a"), (1, base, "a"), (1, say(40), "b"), (2, base + " end", "b"), (3, "", None), (4, None, "a"), (5, long, "b"), (6, " ".join(["same"] * 300), "b"), (6, " ".join(["same"] * 300), "b"), *((i, say(50), "c") for i in range(10, 30))]
+    docs_ = odd_docs(spark, rows)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(10, 20)] + [(None, 1, 0), (10, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, docs_, str(tmp_path)), "odd")
+        assert out.columns == docs_.columns and out.where("_key <> 7 or c0 <> 7").isEmpty(), name
+        got[name] = collections.Counter((r.doc_id, r.text) for r in out.select("doc_id", "text").collect())
+        none = corpus_pipeline.materialize(stage(spark, docs_.limit(0), str(tmp_path)), "odd")
+        assert none.columns == docs_.columns and none.count() == 0, name
+    near = got["near-dedup"]
+    # of the rows of one group one stays, with the least id; the row with that id and another text is a document of its own
+    assert near[1, base] == 1 and near[1, rows[4][1]] == 1 and near[2, base + " end"] == 0 and near[6, rows[9][1]] == 1 and near[None, base] == near[None, None] == 1
+    assert got["substring dedup"][5, long] == 1 and got["substring dedup"][1, base] == 2
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs_, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 5) > 60_000 and sum(r.doc_id is None for r in pieces) == 2
+    assert corpus_pipeline.STAGES[-1][1](spark, docs_.limit(0), str(tmp_path)).count() == 0
+
+
+def test_other_operators_on_odd_rows(spark):
+    twice = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "x" * 200_000), (None, None, None, None)]
+    rows = spark.createDataFrame(twice, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(3))
+    read = {r.tree: r for r in chat.read_back(chat.format_conversations(chat.linear_messages(rows))).collect()}
+    assert read[1].n_turns == 3 and read[1].loss_chars == 200_000 and read[None].n_turns == 1
+    pages = spark.createDataFrame([(1, "http://a.com/" + "p" * 100_000, 1, "h"), (1, "http://a.com/x", 1, "h"), (None, None, None, "h")], "page_id long, url string, bad int, host string")
+    got = urls.filter_urls(pages, pages.select("page_id", "bad")).collect()
+    assert len(got) == 3 and {r.host for r in got} == {"a.com", ""} and urls.filter_urls(pages.limit(0), pages.select("page_id", "bad").limit(0)).count() == 0
