@@ -616,7 +616,7 @@ def bars_round_trip(m: Market) -> DataFrame:
 
 @query
 def ingested_bars(m: Market) -> DataFrame:
-    """Bars appended by the streaming ingest from two batches, the later one overlapping."""
+    """A history, and the bars that the streaming ingest appends to it from one overlapping batch."""
     return ingest.replay(m.all_bars.where("date < '1997-01-01'"), m.all_bars.where("date >= '1996-06-01'"))
 
 
