@@ -101,7 +101,8 @@ def _drawn(docs: DataFrame, weights, most: int, seed: str) -> tuple[DataFrame, l
     counts = materialize(rows.groupBy("source", "bin", part.alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("size")), "mix-counts")
     targets = materialize(source_targets(counts.select("source", "size"), weights, most), "mix-targets")
     cells = materialize(thresholds(counts, targets, seed), "mix-thresholds").withColumnsRenamed({"source": "s", "bin": "b"})
-    joined = rows.join(small(cells), rows["source"].eqNullSafe(F.col("s")) & (rows["bin"] == F.col("b")))
+    # null-safe on both keys: a plain comparison would test bins for null below the join, and count words once more for that
+    joined = rows.join(small(cells), rows["source"].eqNullSafe(F.col("s")) & rows["bin"].eqNullSafe(F.col("b")))
     copies_ = (F.col("times") + F.when(F.col("draw") < F.col("threshold"), 1).otherwise(0)).cast("long")
     new = stacked(["_mix_size", "_mix_source_size", "_mix_target", "_mix_copies"], names)
     return joined.select(*plain, "size", "source_size", "target", copies_).toDF(*names, *new), new
