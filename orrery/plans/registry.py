@@ -616,8 +616,13 @@ def bars_round_trip(m: Market) -> DataFrame:
 
 @query
 def ingested_bars(m: Market) -> DataFrame:
-    """A history, and the bars that the streaming ingest appends to it from one overlapping batch."""
-    return ingest.replay(m.all_bars.where("date < '1997-01-01'"), m.all_bars.where("date >= '1996-06-01'"))
+    """A history, and what the streaming ingest appends to it from three batches: new bars, the same again, and newer bars
+    among which are older ones of symbols whose history ends early; of these, what the watermark has passed is dropped."""
+    own, early = m.all_bars, F.col("symbol").endswith("3")
+    history = own.where((F.col("date") < "1997-01-01") & ~(early & (F.col("date") >= "1996-03-01")))
+    first = own.where(F.col("date").between("1996-06-01", "1997-06-30") & ~early)
+    last = own.where((F.col("date") >= "1997-07-01") | (early & (F.col("date") >= "1996-06-01")))
+    return ingest.replay(history, [first, first, last])
 
 
 @query

@@ -68,7 +68,8 @@ FINAL |= {
     "universe_summary": "SELECT group_name, count(*) AS n FROM universe GROUP BY ALL",
     "index_symbols": "SELECT DISTINCT symbol FROM published",
     "stitched_bars": f"SELECT {BAR} FROM all_bars WHERE date < '1997-01-01' UNION ALL SELECT {BAR} FROM all_bars JOIN (SELECT symbol, max(date) AS last FROM all_bars WHERE date < '1997-01-01' GROUP BY symbol) USING (symbol) WHERE date > last AND date >= '1996-06-01'",
-    "ingested_bars": f"SELECT {BAR} FROM all_bars WHERE date < '1997-01-01' UNION ALL SELECT {BAR} FROM all_bars JOIN (SELECT symbol, max(date) AS last FROM all_bars WHERE date < '1997-01-01' GROUP BY symbol) USING (symbol) WHERE date > last AND date >= '1996-06-01'",
+    "ingested_bars": f"""SELECT {BAR} FROM (SELECT a.*, last, (SELECT max(date) FROM all_bars WHERE date <= '1997-06-30' AND NOT ends_with(symbol, '3')) AS seen FROM all_bars a JOIN (SELECT symbol, max(date) AS last FROM all_bars WHERE date < '1997-01-01' AND NOT (ends_with(symbol, '3') AND date >= '1996-03-01') GROUP BY symbol) USING (symbol))
+      WHERE date <= last OR (date > last AND date >= '1996-06-01' AND (NOT ends_with(symbol, '3') OR date > seen - 10))""",
     "history_cutoff": "SELECT max(date) AS cutoff FROM all_bars WHERE symbol = coalesce((SELECT any_value(symbol) FROM all_bars WHERE symbol = '7'), (SELECT any_value(symbol) FROM all_bars WHERE symbol = '3'), '1')",
     "snapshot_dates": f"SELECT max(date) AS date FROM bars WHERE date >= '1995-01-01' GROUP BY {WEEK}",
     "filled_closes": """SELECT symbol, date, close FROM (SELECT m.symbol, g.date, last_value(b.close IGNORE NULLS) OVER (PARTITION BY m.symbol ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS close

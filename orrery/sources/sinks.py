@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.rrg import wide
-from orrery.sources.readers import snapshot
+from orrery.sources import catalogue
 
 
 def write_snapshot(frame: DataFrame, path: str, as_of: str, columns: list[str] | None = None, *partitions: str) -> None:
-    """Write an operator's table under its as-of date (and further partitions). A rerun replaces its own date only."""
+    """Publish an operator's table under its as-of date (and further partitions). A rerun replaces its own date only."""
     picked = frame.select(*[c for c in columns if c in frame.columns]) if columns else frame
-    dated = picked.withColumn("as_of", F.to_date(F.lit(as_of)))
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of", *partitions).parquet(path)
+    catalogue.publish_snapshot(picked, path, as_of, *partitions)
 
 
 def write_stock_scores(scores: DataFrame, path: str, as_of: str) -> None:
@@ -35,7 +34,7 @@ def write_history(history: DataFrame, path: str, industry_names: list[str]) -> N
 
 def all_buckets(spark: SparkSession, path: str, as_of: str) -> DataFrame:
     """Stock scores of all buckets of the last date up to ``as_of``: the union of what was written bucket by bucket."""
-    return snapshot(spark.read.parquet(path), as_of)
+    return catalogue.snapshot(spark, path, as_of)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -86,4 +85,4 @@ def round_trip(frame: DataFrame, as_of: str) -> DataFrame:
     """``frame`` after a write under its date, and a read of the last snapshot up to it."""
     path = shared_path(frame.sparkSession, "snapshot")
     write_snapshot(frame, path, as_of)
-    return snapshot(frame.sparkSession.read.parquet(path), as_of).drop("as_of").select(*frame.columns)
+    return catalogue.snapshot(frame.sparkSession, path, as_of).select(*frame.columns)
