@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,35 +51,64 @@ def last_closes(bars: DataFrame, key: str) -> DataFrame:
     )
 
 
-def ewm_series(frame: DataFrame, key: str, spans: dict[str, int], min_periods: bool = False) -> DataFrame:
-    """``frame`` (key, date, close, ...) with an exponential mean column for each name in ``spans``.
+#: Calendar days of a block in which an exponential mean is scanned; with a row a day, weights stay far inside doubles.
+BLOCK_DAYS = 512
+
 
-    The recursion needs the rows of a key in order; Spark groups them and a task holds one key's series.
+def exponential(frame: DataFrame, keys: list[str], means: dict[str, tuple[str, int]], min_periods: bool = False) -> DataFrame:
+    """``frame`` (keys, date, ...) with an exponential mean for each name in ``means``: name to (column, span of 2 or more).
+
+    An associative scan: (decay, value) pairs are combined inside blocks of a key's rows, the blocks' totals are combined in
+    order, and what comes in from earlier blocks is added, decayed, to each row. Blocks are dealt out on their own, so a key's
+    rows can lie in many tasks; only one row a block meets in a task of its key. The first value starts the mean; a null
+    leaves it as it is.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema), *(f"`{n}` double" for n in spans)])
+    block = [*keys, "_block"]
+    w = Window.partitionBy(*block).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = frame.withColumn("_block", F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / BLOCK_DAYS))
+    alpha = {name: 2 / (span + 1) for name, (_, span) in means.items()}
+    columns = sorted({x for x, _ in means.values()})
+    counted = {x: f"_{x}_rows" for x in columns}
+    rows = rows.select("*", *(F.count(x).over(w).alias(n) for x, n in counted.items()))
+    keep = {name: F.pow(F.lit(1 - alpha[name]), F.col(counted[x]).cast("double")) for name, (x, _) in means.items()}
+    # the block's own part of each mean: values grow by what decays them until the row
+    own = [(keep[name] * F.coalesce(F.sum(F.col(x) * alpha[name] / keep[name]).over(w), F.lit(0.0))).alias(f"_{name}_own") for name, (x, _) in means.items()]
+    rows = rows.select("*", *own)
+    ends = rows.groupBy(*block).agg(
+        *(F.max(n).alias(n) for n in counted.values()),
+        *(F.min_by(x, F.when(F.col(x).isNotNull(), F.col("date"))).alias(f"_{x}_first") for x in columns),
+        *(F.max_by(f"_{name}_own", "date").alias(f"_{name}_end") for name in means),
+    )
+    order = Window.partitionBy(*keys).orderBy("_block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        for name, span in spans.items():
-            rows[name] = rows["close"].ewm(span=span, adjust=False, min_periods=span if min_periods else 0).mean()
-        return rows
+    def carried(name: str, x: str) -> Column:
+        start = F.first(f"_{x}_first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        steps = F.collect_list(F.struct(keep[name].alias("decay"), F.col(f"_{name}_end").alias("end"))).over(before)
+        return F.aggregate(steps, start, lambda total, step: total * step["decay"] + step["end"]).alias(f"_{name}_in")
 
-    return frame.groupBy(key).applyInPandas(run, schema)
+    seen = [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in counted.values()]
+    ends = ends.select(*block, *(carried(name, x) for name, (x, _) in means.items()), *seen)
+    rows = rows.join(ends, block)
+    found = []
+    for name, (x, span) in means.items():
+        n = F.col(counted[x]) + F.col(f"{counted[x]}_before")
+        found.append(F.when(n >= (span if min_periods else 1), F.col(f"_{name}_own") + F.col(f"_{name}_in") * keep[name]).alias(name))
+    return rows.select(*frame.columns, *found)
+
+
+def ewm_series(frame: DataFrame, key: str, spans: dict[str, int], min_periods: bool = False) -> DataFrame:
+    """``frame`` (key, date, close, ...) with an exponential mean of the closes for each name in ``spans``."""
+    return exponential(frame, [key], {name: ("close", span) for name, span in spans.items()}, min_periods)
 
 
 def ppo_slope_series(frame: DataFrame, key: str) -> DataFrame:
-    """(key, date, close, ppo_slope): the histogram's three-day slope on every row, null on the first three."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        fast, slow = (rows["close"].ewm(span=n, adjust=False).mean() for n in (12, 26))
-        ppo = (fast - slow) / slow.where(slow != 0) * 100
-        hist = ppo - ppo.ewm(span=9, adjust=False).mean()
-        rows["ppo_slope"] = ((hist - hist.shift(3)) / 3).clip(-50, 50)
-        return rows
-
-    kind = frame.schema[key].dataType.simpleString()
-    return frame.select(key, "date", "close").groupBy(key).applyInPandas(run, f"`{key}` {kind}, date date, close double, ppo_slope double")
+    """(key, date, close, ppo_slope): the PPO(12, 26, 9) histogram's three-day slope on every row, null on the first three."""
+    means = exponential(frame.select(key, "date", "close"), [key], {"_fast": ("close", 12), "_slow": ("close", 26)})
+    ppo = means.withColumn("_ppo", F.when(F.col("_slow") != 0, (F.col("_fast") - F.col("_slow")) / F.col("_slow") * 100))
+    hist = exponential(ppo, [key], {"_signal": ("_ppo", 9)}).withColumn("_hist", F.col("_ppo") - F.col("_signal"))
+    slope = (F.col("_hist") - F.lag("_hist", 3).over(Window.partitionBy(key).orderBy("date"))) / 3
+    return hist.select(key, "date", "close", F.when(slope.isNotNull(), clip(slope, -50.0, 50.0)).alias("ppo_slope"))
 
 
 def run_length(flag: Column, keys: list[str], order: str = "date") -> Column:
