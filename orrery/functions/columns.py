@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Spread below which a window counts as flat.
@@ -66,6 +66,12 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def scope(frame: DataFrame, *keys: str) -> list[str]:
+    """The keys of a table's rows. Where it has an as_of (snapshot date) or freq column, each value of it is a table of its own:
+    the column is a key of every window, group and join, so that one plan gives all of them side by side."""
+    return [*(c for c in ("as_of", "freq") if c in frame.columns), *keys]
+
+
 def by(*keys: str, order: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.columns import scope
+
 
 def weekdays(bars: DataFrame) -> DataFrame:
     return bars.where(F.weekday("date") < 5)
@@ -15,12 +19,18 @@ def as_of(frame: DataFrame, date: str | None, column: str = "date") -> DataFrame
     return frame if date is None else frame.where(F.col(column) <= F.to_date(F.lit(date)))
 
 
+def as_of_each(frame: DataFrame, dates: Sequence[str], column: str = "date") -> DataFrame:
+    """Each row once for every date that it is not after, under ``as_of``: snapshots of several dates side by side."""
+    all_dates = F.array(*(F.to_date(F.lit(d)) for d in dates))
+    return frame.select("*", F.explode(F.filter(all_dates, lambda d: F.col(column) <= d)).alias("as_of"))
+
+
 def resample(bars: DataFrame, period: Column, label: str = "date") -> DataFrame:
     """First open, highest high, lowest low, last close and summed volume of each symbol and period; null closes go.
 
     One shuffle, with partial aggregation before it.
     """
-    out = bars.groupBy("symbol", period.alias("_period")).agg(
+    out = bars.groupBy(*scope(bars, "symbol"), period.alias("_period")).agg(
         F.min_by("open", F.when(F.col("open").isNotNull(), F.col("date"))).alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
@@ -40,6 +50,19 @@ def weekly(bars: DataFrame) -> DataFrame:
     return resample(bars, F.to_date(F.date_trunc("week", "date")))
 
 
+def close_series(bars: DataFrame, freqs: Sequence[str]) -> DataFrame:
+    """(freq, symbol, date, close): weekday closes ("d"), last closes of weeks under their Monday ("w") and of months under
+    their end ("m"), of all wanted frequencies in one pass over the bars and one shuffle by symbol."""
+    keys = scope(bars, "symbol")
+    following = F.lead("date").over(Window.partitionBy(*keys).orderBy("date"))
+    week, month = (lambda d: F.to_date(F.date_trunc("week", d))), F.last_day
+    ends = lambda period: following.isNull() | (period(following) != period(F.col("date")))
+    labels = {"d": (F.weekday("date") < 5, F.col("date")), "w": (ends(week), week(F.col("date"))), "m": (ends(month), month("date"))}
+    picked = [F.when(labels[f][0], F.struct(F.lit(f).alias("freq"), labels[f][1].alias("date"))) for f in freqs]
+    rows = bars.where("close is not null").select(*keys, "close", F.array_compact(F.array(*picked)).alias("_at"))
+    return rows.select(*keys, "close", F.explode("_at").alias("_p")).select("_p.freq", *keys, "_p.date", "close")
+
+
 def merge_monthly(stored: DataFrame, daily: DataFrame) -> DataFrame:
     """Stored month bars, and months of the daily bars; of a month that both have, the daily one counts if it is newer.
 
@@ -75,27 +98,43 @@ def filled(x: Column, keys: list[str], limit: int, order: str = "date") -> Colum
     return F.last(x, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-limit, 0))
 
 
-def snap(series: DataFrame, dates: DataFrame, keys: list[str], values: list[str], tolerance: int | None = None) -> DataFrame:
+def _week(date: Column) -> Column:
+    return F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / 7)
+
+
+def snap(series: DataFrame, dates: DataFrame, keys: list[str], values: list[str], tolerance: int | None = None, nulls: bool = True) -> DataFrame:
     """Values of each key as of each date of ``dates`` (date): the last row at or before it, within ``tolerance`` days.
 
-    Dates are paired with keys (both sides small: entities and snapshot dates), put among the rows, and filled forward.
+    A row holds from its date to the day before the next one. Rows meet dates by an equal join on the weeks of that interval, so
+    keys are never paired with all dates. With ``nulls`` dates for which a key has no value come with null, else not at all.
     """
-    days = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    entities = series.select(*keys).distinct()
-    grid = entities.join(dates.select("date").distinct().hint("broadcast"), how="cross")
-    marked = series.select(*keys, "date", *values, F.lit(0).alias("_grid")).unionByName(grid.select(*keys, "date", F.lit(1).alias("_grid")), allowMissingColumns=True).withColumn("_day", days)
-    w = Window.partitionBy(*keys).orderBy("_day").rangeBetween(Window.unboundedPreceding if tolerance is None else -tolerance, 0)
-    row = F.last(F.when(F.col("_grid") == 0, F.struct(*values)), ignorenulls=True).over(w)
-    out = marked.withColumn("_row", row).where("_grid = 1")
-    return out.select(*keys, "date", *(F.col(f"_row.{v}").alias(v) for v in values))
+    own = scope(dates)
+    w = Window.partitionBy(*keys).orderBy("date")
+    rows = series.select(*keys, F.col("date").alias("_from"), F.struct(*values).alias("_row"), F.lead("date").over(w).alias("_next"), F.lag("date").over(w).alias("_before"))
+    end = F.date_sub("_next", 1)
+    if nulls or tolerance is None:
+        first, last = dates.agg(F.min("date"), F.max("date")).first()
+        nothing = F.when(F.lit(False), F.col("_row"))
+        end = F.coalesce(end, F.lit(last))
+        parts = [F.struct(F.col("_from").alias("a"), (end if tolerance is None else F.least(end, F.date_add("_from", tolerance))).alias("z"), F.col("_row").alias("row"))]
+        if tolerance is not None:
+            parts.append(F.struct(F.date_add("_from", tolerance + 1).alias("a"), end.alias("z"), nothing.alias("row")))
+        if nulls:
+            parts.append(F.struct(F.lit(first).alias("a"), F.when(F.col("_before").isNull(), F.date_sub("_from", 1)).alias("z"), nothing.alias("row")))
+    else:
+        parts = [F.struct(F.col("_from").alias("a"), F.least(end, F.date_add("_from", tolerance)).alias("z"), F.col("_row").alias("row"))]
+    held = rows.select(*keys, F.explode(F.array(*parts)).alias("_i")).where("_i.a <= _i.z").select(*keys, "_i", F.explode(F.sequence(_week(F.col("_i.a")), _week(F.col("_i.z")))).alias("_week"))
+    found = held.join(dates.select(*own, "date").distinct().withColumn("_week", _week(F.col("date"))), [*own, "_week"]).where("date between _i.a and _i.z")
+    return found.select(*keys, "date", *(F.col(f"_i.row.{v}").alias(v) for v in values))
 
 
 def weekly_dates(dates: DataFrame, start: str | None = None) -> DataFrame:
     """The last date of each ISO week."""
     picked = dates if start is None else dates.where(F.col("date") >= F.to_date(F.lit(start)))
-    return picked.groupBy(F.date_trunc("week", "date").alias("_week")).agg(F.max("date").alias("date")).select("date")
+    return picked.groupBy(*scope(dates), F.date_trunc("week", "date").alias("_week")).agg(F.max("date").alias("date")).drop("_week")
 
 
 def align(asset: DataFrame, benchmark: DataFrame, value: str = "close", as_: str = "benchmark") -> DataFrame:
     """Rows of ``asset`` on dates that the benchmark (date, value) has too, with its value."""
-    return asset.join(benchmark.select("date", F.col(value).alias(as_)), "date")
+    keys = scope(benchmark, "date")
+    return asset.join(benchmark.select(*keys, F.col(value).alias(as_)), keys)

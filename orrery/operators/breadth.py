@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import health_label, np_round, position
+from orrery.functions.columns import health_label, np_round, position, scope
 
 
 def merged(stages: DataFrame, strength: DataFrame, momentum: DataFrame, ath: DataFrame) -> DataFrame:
     """Stage rows with the columns that the other tables add; a column that is there already is not taken again."""
-    rows = stages.select("industry_key", "sector_name", "industry_name", "stage", "above_sma50", "above_sma150", "above_sma200", "golden_cross", "minervini_count", "stage_score")
+    k = scope(stages, "industry_key")
+    rows = stages.select(*k, "sector_name", "industry_name", "stage", "above_sma50", "above_sma150", "above_sma200", "golden_cross", "minervini_count", "stage_score")
     for other, columns in ((strength, ("rs_pct_composite", "rs_new_high", "rs_near_new_high")), (momentum, ("faber_signal", "sctr", "sctr_st")), (ath, ("ath_signal", "pct_from_ath"))):
         new = [c for c in columns if c in other.columns and c not in rows.columns]
-        rows = rows.join(other.select("industry_key", *new), "industry_key", "left")
+        rows = rows.join(other.select(*k, *new), k, "left")
     return rows
 
 
@@ -36,7 +37,7 @@ def overall(rows: DataFrame) -> DataFrame:
     """One row of about thirty shares, means and medians, and the health score."""
     s, rs, sctr, n = F.col("stage"), F.col("rs_pct_composite"), F.col("sctr"), F.col("minervini_count")
     high, near = _is(F.col("rs_new_high")), _is(F.col("rs_near_new_high"))
-    found = rows.agg(
+    found = rows.groupBy(*scope(rows)).agg(
         F.count("*").alias("n_industries"), share(_is(s.isin("2A", "2B"))).alias("stage2_pct"), share(_is(s == "2B")).alias("stage2b_pct"), share(_is(s == "1")).alias("stage1_pct"), share(_is(s == "2C")).alias("stage2c_pct"), share(_is(s == "3")).alias("stage3_pct"), share(_is(s == "4")).alias("stage4_pct"),
         *(share(F.col(c)).alias(f"{c}_pct") for c in ("above_sma200", "above_sma150", "above_sma50", "golden_cross")),
         np_round(F.avg(n), 2).alias("minervini_avg"), share(_is(n >= 5)).alias("minervini5_pct"), share(_is(n == 7)).alias("minervini7_pct"),
@@ -51,17 +52,18 @@ def overall(rows: DataFrame) -> DataFrame:
 def by_sector(rows: DataFrame) -> DataFrame:
     """The main shares of each sector, ranked by health."""
     s, rs, sctr = F.col("stage"), F.col("rs_pct_composite"), F.col("sctr")
-    found = rows.groupBy("sector_name").agg(
+    found = rows.groupBy(*scope(rows, "sector_name")).agg(
         F.count("*").alias("n_industries"), share(_is(s.isin("2A", "2B"))).alias("stage2_pct"), share(_is(s == "2B")).alias("stage2b_pct"), share(F.col("above_sma200")).alias("above_sma200_pct"), share(F.col("golden_cross")).alias("golden_cross_pct"),
         share(_is(rs >= 50)).alias("rs_positive_pct"), share(_is(rs >= 80)).alias("rs_strong_pct"), share(_is(sctr >= 60)).alias("sctr60_pct"), np_round(F.median(sctr), 1).alias("sctr_median"), np_round(F.avg("minervini_count"), 1).alias("minervini_avg"), share(_is(F.col("faber_signal").isin("STRONG BUY", "BUY"))).alias("faber_buy_pct"),
     )
-    return _health(found).withColumn("rank", position(F.col("health_score").desc(), F.col("sector_name")))
+    return _health(found).withColumn("rank", position(F.col("health_score").desc(), F.col("sector_name"), keys=scope(rows)))
 
 
 def metric_rows(row: DataFrame) -> DataFrame:
-    """(metric, value) rows of a one-row table, values as strings."""
-    cast = row.select(*(F.col(c).cast("string").alias(c) for c in row.columns))
-    return cast.unpivot([], list(row.columns), "metric", "value")
+    """(metric, value) rows of a table with one row (one a snapshot), values as strings."""
+    own = [c for c in row.columns if c not in scope(row)]
+    cast = row.select(*scope(row), *(F.col(c).cast("string").alias(c) for c in own))
+    return cast.unpivot(scope(row), own, "metric", "value")
 
 
 def reading(overall_row: DataFrame, clock: DataFrame, lead: str) -> DataFrame:

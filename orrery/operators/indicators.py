@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import clip
+from orrery.functions.columns import clip, scope
 
 FAST, SLOW, SIGNAL = 2 / 13, 2 / 27, 2 / 10
 
@@ -40,9 +40,10 @@ def ppo_slope(closes: Column) -> Column:
 
 def last_closes(bars: DataFrame, key: str) -> DataFrame:
     """(key, n, close, date, sma50, sma200, closes): what the end of each series needs, in one shuffle."""
-    w = Window.partitionBy(key).orderBy(F.col("date").desc())
-    ranked = bars.where("close is not null").select(key, "date", "close").withColumn("_n", F.row_number().over(w))
-    return ranked.groupBy(key).agg(
+    keys = scope(bars, key)
+    w = Window.partitionBy(*keys).orderBy(F.col("date").desc())
+    ranked = bars.where("close is not null").select(*keys, "date", "close").withColumn("_n", F.row_number().over(w))
+    return ranked.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.max("date").alias("date"),
         F.max_by("close", "date").alias("close"),
@@ -99,16 +100,17 @@ def exponential(frame: DataFrame, keys: list[str], means: dict[str, tuple[str, i
 
 def ewm_series(frame: DataFrame, key: str, spans: dict[str, int], min_periods: bool = False) -> DataFrame:
     """``frame`` (key, date, close, ...) with an exponential mean of the closes for each name in ``spans``."""
-    return exponential(frame, [key], {name: ("close", span) for name, span in spans.items()}, min_periods)
+    return exponential(frame, scope(frame, key), {name: ("close", span) for name, span in spans.items()}, min_periods)
 
 
 def ppo_slope_series(frame: DataFrame, key: str) -> DataFrame:
     """(key, date, close, ppo_slope): the PPO(12, 26, 9) histogram's three-day slope on every row, null on the first three."""
-    means = exponential(frame.select(key, "date", "close"), [key], {"_fast": ("close", 12), "_slow": ("close", 26)})
+    keys = scope(frame, key)
+    means = exponential(frame.select(*keys, "date", "close"), keys, {"_fast": ("close", 12), "_slow": ("close", 26)})
     ppo = means.withColumn("_ppo", F.when(F.col("_slow") != 0, (F.col("_fast") - F.col("_slow")) / F.col("_slow") * 100))
-    hist = exponential(ppo, [key], {"_signal": ("_ppo", 9)}).withColumn("_hist", F.col("_ppo") - F.col("_signal"))
-    slope = (F.col("_hist") - F.lag("_hist", 3).over(Window.partitionBy(key).orderBy("date"))) / 3
-    return hist.select(key, "date", "close", F.when(slope.isNotNull(), clip(slope, -50.0, 50.0)).alias("ppo_slope"))
+    hist = exponential(ppo, keys, {"_signal": ("_ppo", 9)}).withColumn("_hist", F.col("_ppo") - F.col("_signal"))
+    slope = (F.col("_hist") - F.lag("_hist", 3).over(Window.partitionBy(*keys).orderBy("date"))) / 3
+    return hist.select(*keys, "date", "close", F.when(slope.isNotNull(), clip(slope, -50.0, 50.0)).alias("ppo_slope"))
 
 
 def run_length(flag: Column, keys: list[str], order: str = "date") -> Column:

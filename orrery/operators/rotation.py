@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import QUADRANT_SCORE, TAIL_SCORE, by, clip, lookup, np_round, pct_change, position, sma, timeframe_label, timeframe_score
+from orrery.functions.columns import QUADRANT_SCORE, TAIL_SCORE, by, clip, lookup, np_round, pct_change, position, scope, sma, timeframe_label, timeframe_score
 from orrery.operators.indicators import run_length
 from orrery.operators.sctr import enrich
 
@@ -14,14 +14,15 @@ BULLISH, BEARISH = ("Leading", "Improving"), ("Weakening", "Lagging")
 
 def rotation_composite(scores: DataFrame, weekly: DataFrame, monthly: DataFrame | None = None, breadth: DataFrame | None = None) -> DataFrame:
     """Score rank, rotation quadrant, tail and momentum of each industry in one number, a signal and flags."""
-    rows = scores.select("industry_key", "sector_name", "industry_name", "constituent_count", "sctr").join(weekly.select("industry_key", "rs_ratio", "rs_momentum", "quadrant", "tail_direction"), "industry_key")
+    k = scope(scores, "industry_key")
+    rows = scores.select(*k, "sector_name", "industry_name", "constituent_count", "sctr").join(weekly.select(*k, "rs_ratio", "rs_momentum", "quadrant", "tail_direction"), k)
     if monthly is not None:
-        rows = rows.join(monthly.select("industry_key", *(F.col(c).alias(f"{c}_m") for c in ("rs_ratio", "rs_momentum", "quadrant", "tail_direction"))), "industry_key", "left")
+        rows = rows.join(monthly.select(*k, *(F.col(c).alias(f"{c}_m") for c in ("rs_ratio", "rs_momentum", "quadrant", "tail_direction"))), k, "left")
         rows = rows.withColumn("timeframe_label", timeframe_label(F.col("quadrant"), F.col("quadrant_m"))).withColumn("timeframe_score", timeframe_score(F.col("timeframe_label")))
     else:
         rows = rows.select("*", *(F.lit(None).cast(t).alias(f"{c}_m") for c, t in (("rs_ratio", "double"), ("rs_momentum", "double"), ("quadrant", "string"), ("tail_direction", "string"))), F.lit("").alias("timeframe_label"), F.lit(50.0).alias("timeframe_score"))
     if breadth is not None:
-        rows = rows.join(breadth.select("industry_key", "median_sctr", "pct_above_75", "pct_below_25"), "industry_key", "left")
+        rows = rows.join(breadth.select(*k, "median_sctr", "pct_above_75", "pct_below_25"), k, "left")
     else:
         rows = rows.select("*", *(F.lit(None).cast("double").alias(c) for c in ("median_sctr", "pct_above_75", "pct_below_25")))
     q, t = F.col("quadrant"), F.col("tail_direction")
@@ -37,27 +38,28 @@ def rotation_composite(scores: DataFrame, weekly: DataFrame, monthly: DataFrame
         F.when(F.col("pct_above_75") >= 50, "BRD↑").when(F.col("pct_above_75") <= 20, "BRD↓"),
     )
     rows = rows.withColumn("signal", signal).withColumn("convergence", flags)
-    return rows.withColumn("rank", position(c.desc(), F.col("industry_key")))
+    return rows.withColumn("rank", position(c.desc(), F.col("industry_key"), keys=scope(scores)))
 
 
 def history_scores(history: DataFrame) -> DataFrame:
     """Last row per industry of a weekly history with four component scores: rank momentum, persistence, transition and
     tail velocity. All share one partitioning and order, so the history is shuffled and sorted once."""
-    w = by("industry_key")
-    newest = Window.partitionBy("industry_key").orderBy(F.col("date").desc())
-    whole = Window.partitionBy("industry_key")
+    k = scope(history, "industry_key")
+    w = by(*k)
+    newest = Window.partitionBy(*k).orderBy(F.col("date").desc())
+    whole = Window.partitionBy(*k)
     q = F.col("quadrant")
     moved = F.col("rs_ratio").isNotNull() & F.col("rs_momentum").isNotNull()
     # rank of each row among those that have a position, so lags count positions
     place = F.sum(moved.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = history.select("industry_key", "date", "sctr", q, "rs_ratio", "rs_momentum", moved.alias("moved"), place.alias("place"))
+    rows = history.select(*k, "date", "sctr", q, "rs_ratio", "rs_momentum", moved.alias("moved"), place.alias("place"))
     known = rows.where("quadrant is not null")
     same = known.withColumn("now", F.last("quadrant").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    same = same.withColumn("weeks", run_length(q == F.col("now"), ["industry_key"])).withColumn("before", F.last(F.when(q != F.col("now"), q), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n_quads", F.count("*").over(whole))
-    same = same.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("industry_key", F.col("now").alias("quadrant"), F.col("weeks").cast("int").alias("weeks_in_quadrant"), F.coalesce("before", F.lit("")).alias("prev_quadrant"), "n_quads")
-    tails = rows.where("moved").select("industry_key", "date", (F.col("rs_ratio") - F.lag("rs_ratio", 4).over(w)).alias("dx"), (F.col("rs_momentum") - F.lag("rs_momentum", 4).over(w)).alias("dy"), "rs_ratio", "rs_momentum", F.row_number().over(newest).alias("_n")).where("_n = 1").drop("_n", "date")
-    trend = rows.select("industry_key", "sctr", F.lag("sctr", 4).over(w).alias("s4"), F.lag("sctr", 12).over(w).alias("s12"), F.count("*").over(whole).alias("n"), F.row_number().over(newest).alias("_n")).where("_n = 1").drop("_n")
-    out = trend.join(same, "industry_key", "left").join(tails, "industry_key", "left")
+    same = same.withColumn("weeks", run_length(q == F.col("now"), k)).withColumn("before", F.last(F.when(q != F.col("now"), q), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n_quads", F.count("*").over(whole))
+    same = same.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(*k, F.col("now").alias("quadrant"), F.col("weeks").cast("int").alias("weeks_in_quadrant"), F.coalesce("before", F.lit("")).alias("prev_quadrant"), "n_quads")
+    tails = rows.where("moved").select(*k, "date", (F.col("rs_ratio") - F.lag("rs_ratio", 4).over(w)).alias("dx"), (F.col("rs_momentum") - F.lag("rs_momentum", 4).over(w)).alias("dy"), "rs_ratio", "rs_momentum", F.row_number().over(newest).alias("_n")).where("_n = 1").drop("_n", "date")
+    trend = rows.select(*k, "sctr", F.lag("sctr", 4).over(w).alias("s4"), F.lag("sctr", 12).over(w).alias("s12"), F.count("*").over(whole).alias("n"), F.row_number().over(newest).alias("_n")).where("_n = 1").drop("_n")
+    out = trend.join(same, k, "left").join(tails, k, "left")
     enough = F.col("n") >= 13
     d4, d12 = F.coalesce(F.col("sctr") - F.col("s4"), F.lit(0.0)), F.coalesce(F.col("sctr") - F.col("s12"), F.lit(0.0))
     trend_label = F.when(~enough, "insufficient").when((d4 > 2) & (d12 > 5), "accelerating").when((d4 > 2) | (d12 > 5), "rising").when((d4 < -2) & (d12 < -5), "decelerating").when((d4 < -2) | (d12 < -5), "falling").otherwise("flat")
@@ -83,7 +85,7 @@ def history_scores(history: DataFrame) -> DataFrame:
     cosine = (dx * to_x + dy * to_y) / ((speed + 1e-9) * (F.sqrt(to_x * to_x + to_y * to_y) + 1e-9))
     velocity = F.coalesce((F.least(speed / 0.6, F.lit(1.0)) * 0.5 + (cosine + 1) / 2 * 0.5) * 100, F.lit(50.0))
     return out.select(
-        "industry_key", np_round(F.when(enough, F.col("sctr")), 1).alias("sctr"), np_round(F.when(enough, d4), 1).alias("sctr_4w_change"), np_round(F.when(enough, d12), 1).alias("sctr_12w_change"), trend_label.alias("sctr_trend"),
+        *k, np_round(F.when(enough, F.col("sctr")), 1).alias("sctr"), np_round(F.when(enough, d4), 1).alias("sctr_4w_change"), np_round(F.when(enough, d12), 1).alias("sctr_12w_change"), trend_label.alias("sctr_trend"),
         np_round(F.coalesce(F.when(enough & F.col("sctr").isNotNull(), (clip(d4 * 0.6 + d12 * 0.4, -40.0, 40.0) + 40) / 80 * 100), F.lit(50.0)), 1).alias("score_sctr_mom"),
         F.coalesce(now, F.lit("")).alias("quadrant"), F.coalesce(weeks, F.lit(0)).alias("weeks_in_quadrant"), np_round(persistence, 1).alias("score_persistence"), F.when(few, "").otherwise(before).alias("prev_quadrant"), transition.alias("transition"), transition_score.alias("score_transition"),
         np_round(dx, 3).alias("tail_dx"), np_round(dy, 3).alias("tail_dy"), np_round(speed, 3).alias("tail_speed"), F.coalesce((dx > 0) & (dy > 0), F.lit(False)).alias("toward_leading"), np_round(velocity, 1).alias("score_velocity"),
@@ -92,17 +94,18 @@ def history_scores(history: DataFrame) -> DataFrame:
 
 def ma_structure(index: DataFrame) -> DataFrame:
     """Where each industry's level stands to its 50- and 200-day means, whether it crossed lately, and a score."""
-    w = by("industry_key")
-    newest = Window.partitionBy("industry_key").orderBy(F.col("date").desc())
+    k = scope(index, "industry_key")
+    w = by(*k)
+    newest = Window.partitionBy(*k).orderBy(F.col("date").desc())
     c = F.col("close")
-    rows = index.select("industry_key", "date", c, sma(c, w, 50).alias("m50"), sma(c, w, 200).alias("m200"), F.count("*").over(Window.partitionBy("industry_key")).alias("n"))
+    rows = index.select(*k, "date", c, sma(c, w, 50).alias("m50"), sma(c, w, 200).alias("m200"), F.count("*").over(Window.partitionBy(*k)).alias("n"))
     rows = rows.select("*", F.lag("close", 14).over(w).alias("c14"), F.lag("m50", 14).over(w).alias("m14"), F.row_number().over(newest).alias("_n")).where("_n = 1 and n >= 200")
     a50, a200 = c > F.col("m50"), c > F.col("m200")
     p50, p200 = pct_change(c, F.when(F.col("m50") > 0, F.col("m50"))), pct_change(c, F.when(F.col("m200") > 0, F.col("m200")))
     crossed = (F.col("n") >= 215) & a50 & F.coalesce(F.col("c14") < F.col("m14"), F.lit(False))
     base = F.when(a50 & a200, 75.0 + F.least(F.greatest(p50, F.lit(0.0)), F.lit(10.0)) * 1.5).when(a50, 55.0).when(a200, 40.0).otherwise(F.greatest(20.0 + F.coalesce(p50, F.lit(0.0)), F.lit(5.0)))
     score = F.when(crossed, F.least(base + 10, F.lit(100.0))).otherwise(base)
-    return rows.select("industry_key", a50.alias("above_50sma"), a200.alias("above_200sma"), crossed.alias("recent_50sma_cross"), np_round(p50, 2).alias("pct_from_50sma"), np_round(p200, 2).alias("pct_from_200sma"), np_round(score, 1).alias("score_ma"))
+    return rows.select(*k, a50.alias("above_50sma"), a200.alias("above_200sma"), crossed.alias("recent_50sma_cross"), np_round(p50, 2).alias("pct_from_50sma"), np_round(p200, 2).alias("pct_from_200sma"), np_round(score, 1).alias("score_ma"))
 
 
 # Weights of the severity components.
@@ -142,18 +145,19 @@ def rotation_severity(history: DataFrame, index: DataFrame, industries: DataFram
     """
     rows = history_scores(history)
     neutral = F.lit(50.0)
-    rows = rows.join(ma_structure(index), "industry_key", "left")
+    k = scope(history, "industry_key")
+    rows = rows.join(ma_structure(index), k, "left")
     for c in ("above_50sma", "above_200sma", "recent_50sma_cross"):
         rows = rows.withColumn(c, F.coalesce(c, F.lit(False)))
     rows = rows.withColumn("score_ma", F.coalesce("score_ma", neutral))
-    rows = rows.join(monthly.select("industry_key", F.col("quadrant").alias("quadrant_m"), F.col("rs_ratio").alias("rs_ratio_m"), F.col("rs_momentum").alias("rs_momentum_m")), "industry_key", "left").withColumn("quadrant_m", F.coalesce("quadrant_m", F.lit("")))
+    rows = rows.join(monthly.select(*k, F.col("quadrant").alias("quadrant_m"), F.col("rs_ratio").alias("rs_ratio_m"), F.col("rs_momentum").alias("rs_momentum_m")), k, "left").withColumn("quadrant_m", F.coalesce("quadrant_m", F.lit("")))
     rows = rows.withColumn("timeframe_label", timeframe_label(F.col("quadrant"), F.col("quadrant_m"))).withColumn("score_timeframe", timeframe_score(F.col("timeframe_label")))
     rows = rows.withColumn("severity_score", np_round(sum(F.col(c) * w for c, w in SEVERITY_WEIGHTS.items()), 1))
-    rows = rows.join(ath.select("industry_key", "ath_signal", "ath_score", "pct_from_ath"), "industry_key", "left").withColumn("ath_score", F.coalesce("ath_score", neutral))
-    rows = rows.join(ma.select("industry_key", "rs_ma_signal", "rs_cross_up", "rs_cross_down", F.col("weeks_above_ma").alias("rs_weeks_above_ma")), "industry_key", "left")
-    rows = rows.join(strength.select("industry_key", "rs_pct_composite", "rs_pct_3m", "rs_pct_12m", np_round(F.col("rs_excess_comp"), 1).alias("rs_excess_comp"), np_round(F.col("rs_line_vs_52w"), 1).alias("rs_line_vs_52w"), "rs_new_high", "rs_near_new_high"), "industry_key", "left")
-    rows = rows.join(momentum.select("industry_key", "momentum_score", "momentum_pct", "faber_signal", np_round(F.col("sctr_st"), 1).alias("sctr_st"), np_round(F.col("st_lead"), 1).alias("st_lead"), "st_signal"), "industry_key", "left")
-    rows = rows.join(stages.select("industry_key", "stage", "stage_score", "minervini_count"), "industry_key", "left")
+    rows = rows.join(ath.select(*k, "ath_signal", "ath_score", "pct_from_ath"), k, "left").withColumn("ath_score", F.coalesce("ath_score", neutral))
+    rows = rows.join(ma.select(*k, "rs_ma_signal", "rs_cross_up", "rs_cross_down", F.col("weeks_above_ma").alias("rs_weeks_above_ma")), k, "left")
+    rows = rows.join(strength.select(*k, "rs_pct_composite", "rs_pct_3m", "rs_pct_12m", np_round(F.col("rs_excess_comp"), 1).alias("rs_excess_comp"), np_round(F.col("rs_line_vs_52w"), 1).alias("rs_line_vs_52w"), "rs_new_high", "rs_near_new_high"), k, "left")
+    rows = rows.join(momentum.select(*k, "momentum_score", "momentum_pct", "faber_signal", np_round(F.col("sctr_st"), 1).alias("sctr_st"), np_round(F.col("st_lead"), 1).alias("st_lead"), "st_signal"), k, "left")
+    rows = rows.join(stages.select(*k, "stage", "stage_score", "minervini_count"), k, "left")
     for c in ("rs_cross_up", "rs_cross_down", "rs_new_high", "rs_near_new_high"):
         rows = rows.withColumn(c, F.coalesce(c, F.lit(False)))
     for c in ("ath_signal", "rs_ma_signal", "faber_signal", "st_signal", "stage"):
@@ -161,7 +165,7 @@ def rotation_severity(history: DataFrame, index: DataFrame, industries: DataFram
     label = severity_label(F.col("severity_score"), F.col("quadrant"), F.col("quadrant_m"))
     rows = enrich(rows, industries).drop("sector_key").withColumn("_label", label)
     rows = rows.withColumn("severity_label", upgraded(F.col("_label"), F.col("ath_signal"), F.col("rs_pct_composite"), F.col("rs_new_high"))).drop("_label")
-    return rows.withColumn("rank", position(F.col("severity_score").desc(), F.col("industry_key")))
+    return rows.withColumn("rank", position(F.col("severity_score").desc(), F.col("industry_key"), keys=scope(history)))
 
 
 __all__ = ["history_scores", "ma_structure", "rotation_composite", "rotation_severity", "severity_label", "upgraded"]

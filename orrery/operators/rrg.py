@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import by, np_round, quadrant, sctr_rank, sma, tail_direction, zscore_100
+from orrery.functions.columns import by, np_round, quadrant, scope, sctr_rank, sma, tail_direction, zscore_100
 from orrery.operators.bars import align, snap, weekly_dates
 from orrery.operators.sctr import component_series, enrich
 
@@ -18,14 +18,15 @@ def rotation(index: DataFrame, benchmark: DataFrame, key: str = "industry_key",
     Rows without a value go before the next rolling step, so windows count values. All steps share one partitioning and
     sort order, so the series is shuffled once.
     """
-    w = by(key)
+    k = scope(index, key)
+    w = by(*k)
     rs = align(index.where("close is not null"), benchmark.where("close is not null")).withColumn("rs", 100 * F.try_divide(F.col("close"), F.col("benchmark")))
     ratio = rs.withColumn("ratio", zscore_100(F.col("rs"), w, window)).where("ratio is not null")
     change = ratio.withColumn("roc", 100 * (F.try_divide(F.col("ratio"), F.lag("ratio", roc).over(w)) - 1))
     smoothed = sma(F.col("ratio"), w, smooth) if smooth > 1 else F.col("ratio")
     momentum = change.withColumn("rs_ratio", smoothed).withColumn("momentum", zscore_100(F.col("roc"), w, window)).where("momentum is not null")
     smoothed = sma(F.col("momentum"), w, smooth) if smooth > 1 else F.col("momentum")
-    return momentum.withColumn("rs_momentum", smoothed).where("rs_ratio is not null and rs_momentum is not null").select(key, "date", "rs_ratio", "rs_momentum")
+    return momentum.withColumn("rs_momentum", smoothed).where("rs_ratio is not null and rs_momentum is not null").select(*k, "date", "rs_ratio", "rs_momentum")
 
 
 def snapshot(series: DataFrame, industries: DataFrame, counts: DataFrame, tail: int = 4, unit: str = "w") -> DataFrame:
@@ -33,15 +34,16 @@ def snapshot(series: DataFrame, industries: DataFrame, counts: DataFrame, tail:
 
     ``unit`` names the tail columns: rs_ratio_1w ... for weeks, rs_ratio_1m ... for months.
     """
-    w = by("industry_key")
+    k = scope(series, "industry_key")
+    w = by(*k)
     r, m = F.col("rs_ratio"), F.col("rs_momentum")
-    rows = series.withColumn("_n", F.row_number().over(Window.partitionBy("industry_key").orderBy(F.col("date").desc())))
+    rows = series.withColumn("_n", F.row_number().over(Window.partitionBy(*k).orderBy(F.col("date").desc())))
     tails = [F.lag(c, k).over(w).alias(f"{c}_{k}{unit}") for k in range(1, tail + 1) for c in ("rs_ratio", "rs_momentum")]
     rows = rows.select("*", *tails, tail_direction(r, m, F.lag(r, 4).over(w), F.lag(m, 4).over(w)).alias("tail_direction")).where("_n = 1")
-    out = enrich(rows, industries).join(counts, "industry_key", "left")
+    out = enrich(rows, industries).join(counts, k, "left")
     names = [f"{c}_{k}{unit}" for k in range(1, tail + 1) for c in ("rs_ratio", "rs_momentum")]
     return out.select(
-        "industry_key", "sector_key", "sector_name", "industry_name", "constituent_count", np_round(r, 3).alias("rs_ratio"), np_round(m, 3).alias("rs_momentum"), quadrant(r, m).alias("quadrant"), "tail_direction", *(np_round(F.col(c), 3).alias(c) for c in names)
+        *k, "sector_key", "sector_name", "industry_name", "constituent_count", np_round(r, 3).alias("rs_ratio"), np_round(m, 3).alias("rs_momentum"), quadrant(r, m).alias("quadrant"), "tail_direction", *(np_round(F.col(c), 3).alias(c) for c in names)
     )
 
 
@@ -58,16 +60,17 @@ def history(daily_index: DataFrame, weekly_rotation: DataFrame, industries: Data
     Daily raw scores count for a week within 5 days, rotation within 30; weeks with neither are left out. All weeks are
     computed at once.
     """
-    dates = weekly_dates(daily_index.select("date").distinct(), start)
-    raw = snap(component_series(daily_index), dates, ["industry_key"], ["raw_score"], 5)
-    ranked = raw.withColumn("sctr", sctr_rank(F.col("raw_score"), ["date"]))
-    turned = snap(weekly_rotation, dates, ["industry_key"], ["rs_ratio", "rs_momentum"], 30)
-    both = ranked.join(turned, ["industry_key", "date"], "full").where("sctr is not null or rs_ratio is not null")
-    r, m, w = F.col("rs_ratio"), F.col("rs_momentum"), by("industry_key")
+    k = scope(daily_index, "industry_key")
+    dates = weekly_dates(daily_index.select(*scope(daily_index), "date"), start)
+    raw = snap(component_series(daily_index), dates, k, ["raw_score"], 5, nulls=False)
+    ranked = raw.withColumn("sctr", sctr_rank(F.col("raw_score"), scope(daily_index, "date")))
+    turned = snap(weekly_rotation, dates, k, ["rs_ratio", "rs_momentum"], 30, nulls=False)
+    both = ranked.join(turned, [*k, "date"], "full").where("sctr is not null or rs_ratio is not null")
+    r, m, w = F.col("rs_ratio"), F.col("rs_momentum"), by(*k)
     out = both.withColumn("quadrant", quadrant(r, m)).withColumn("rs_ratio", np_round(r, 3)).withColumn("rs_momentum", np_round(m, 3))
     out = out.withColumn("tail_direction", tail_direction(r, m, F.lag(r, 4).over(w), F.lag(m, 4).over(w)))
     named = enrich(out, industries)
-    return named.select("date", "industry_key", "sector_name", "industry_name", "sctr", np_round(F.col("raw_score"), 4).alias("raw_score"), "rs_ratio", "rs_momentum", "quadrant", "tail_direction")
+    return named.select("date", *k, "sector_name", "industry_name", "sctr", np_round(F.col("raw_score"), 4).alias("raw_score"), "rs_ratio", "rs_momentum", "quadrant", "tail_direction")
 
 
 def wide(history_rows: DataFrame, value: str, industries: list[str]) -> DataFrame:

@@ -2,65 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.bars import filled
+from orrery.functions.columns import scope
 
 BASE = 1000.0
 
 
-def weights(bars: DataFrame, membership: DataFrame, min_symbol_rows: int = 1, min_members: int = 3) -> DataFrame:
+def member_closes(bars: DataFrame, membership: DataFrame) -> DataFrame:
+    """(industry_key, symbol, date, close, cap): the bars of constituents, once for each of their industries."""
+    cap = F.when(F.col("market_cap") > 0, F.col("market_cap")).otherwise(0.0)
+    members = membership.where("symbol is not null and industry_key is not null").select("industry_key", "symbol", cap.alias("cap")).dropDuplicates(["industry_key", "symbol"])
+    return bars.select(*scope(bars), "symbol", "date", "close").join(members, "symbol")
+
+
+def _weights(closes: DataFrame, min_symbol_rows: int | Column, min_members: int) -> DataFrame:
+    k = scope(closes, "industry_key")
+    members = closes.where("close is not null").groupBy(*k, "symbol").agg(F.first("cap").alias("cap"), F.count("*").alias("_rows")).where(F.col("_rows") >= min_symbol_rows)
+    w = Window.partitionBy(*k)
+    total, count = F.sum("cap").over(w), F.count("*").over(w)
+    share = F.when(total == 0, 1.0 / count).otherwise(F.try_divide(F.col("cap"), total))
+    return members.select(*k, "symbol", share.alias("weight"), count.alias("members")).where(F.col("members") >= min_members)
+
+
+def weights(bars: DataFrame, membership: DataFrame, min_symbol_rows: int | Column = 1, min_members: int = 3) -> DataFrame:
     """(industry_key, symbol, weight) of the constituents that have bars; equal weights where no capitalisation is known.
 
     Weights are fixed through time. Industries with fewer than ``min_members`` constituents with data are left out.
     """
-    held = bars.where("close is not null").groupBy("symbol").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_symbol_rows).select("symbol")
-    cap = F.when(F.col("market_cap") > 0, F.col("market_cap")).otherwise(0.0)
-    members = membership.where("symbol is not null and industry_key is not null").select("industry_key", "symbol", cap.alias("cap")).dropDuplicates(["industry_key", "symbol"]).join(held, "symbol")
-    w = Window.partitionBy("industry_key")
-    total, count = F.sum("cap").over(w), F.count("*").over(w)
-    share = F.when(total == 0, 1.0 / count).otherwise(F.try_divide(F.col("cap"), total))
-    return members.select("industry_key", "symbol", share.alias("weight"), count.alias("members")).where(F.col("members") >= min_members)
+    return _weights(member_closes(bars, membership), min_symbol_rows, min_members)
+
+
+def returns(closes: DataFrame, weighted: DataFrame, days: DataFrame, fill: int | Column = 5) -> tuple[DataFrame, DataFrame]:
+    """((industry_key, date, place) of every date of the index, (industry_key, date, r, n) of its weighted returns).
+
+    The ``days`` of an industry are numbered by ``place``. A gap of up to ``fill`` of them is filled with the last close, so the
+    return after it is taken from that close and those inside are zero; after a longer gap there is none. Only closes that
+    are there take part: filled rows would add zeros. ``closes`` are those of ``member_closes``.
+    """
+    k = scope(closes, "industry_key")
+    placed = days.withColumn("place", F.row_number().over(Window.partitionBy(*k).orderBy("date")))
+    order = Window.partitionBy(*k, "symbol").orderBy("date")
+    own = closes.where("close is not null").select(*k, "symbol", "date", "close").join(weighted.select(*k, "symbol", "weight"), [*k, "symbol"]).join(placed, [*k, "date"])
+    change = F.when(F.col("place") - F.lag("place").over(order) <= fill + 1, F.try_divide(F.col("close"), F.lag("close").over(order)) - 1)
+    own = own.select(*k, "date", "weight", change.alias("r"))
+    return placed, own.groupBy(*k, "date").agg(F.sum(F.col("weight") * F.col("r")).alias("r"), F.count("r").alias("n"))
 
 
 def synthetic_index(
     bars: DataFrame,
     membership: DataFrame,
-    fill: int = 5,
+    fill: int | Column = 5,
     min_members: int = 3,
-    min_symbol_rows: int = 1,
+    min_symbol_rows: int | Column = 1,
     min_rows: int = 1,
     grid: str = "industry",
     trim: bool = True,
+    keep: Callable[[DataFrame], DataFrame] = lambda frame: frame,
 ) -> DataFrame:
     """(industry_key, date, close, members): a level that starts at 1000 and chains weighted simple returns.
 
-    Gaps of up to ``fill`` rows are filled, a return with a missing side counts as zero. ``grid`` takes the dates of the
+    ``fill`` and ``min_symbol_rows`` may be columns of the table's keys, as of its frequency. Gaps of up to ``fill`` rows are filled, a return with a missing side counts as zero. ``grid`` takes the dates of the
     industry's constituents or of all symbols ("universe"). ``trim`` drops the flat rows before the first return.
+    ``keep`` may write the constituents' closes out, which weights, dates and returns all start from.
     Shuffles: bars by symbol, returns by (industry, date) with partial sums, levels by industry.
     """
-    w = weights(bars, membership, min_symbol_rows, min_members)
-    member_bars = bars.select("symbol", "date", "close").join(w.select("industry_key", "symbol", "weight"), "symbol")
+    s, k = scope(bars), scope(bars, "industry_key")
+    closes = keep(member_closes(bars, membership))
+    weighted = _weights(closes, min_symbol_rows, min_members)
+    counts = weighted.groupBy(*k).agg(F.first("members").alias("members"))
     if grid == "universe":
-        dates = bars.select("date").distinct()
-        # every constituent on every trading day is the result itself; Spark picks the side to send
-        frame = w.select("industry_key", "symbol", "weight").join(dates, how="cross")
+        # an industry's level on every trading day is the result itself; days are few
+        days = bars.select(*s, "date").distinct()
+        days = counts.select(*k).join(days, s) if s else counts.select(*k).join(days, how="cross")
     else:
-        dates = member_bars.select("industry_key", "date").distinct()
-        frame = w.select("industry_key", "symbol", "weight").join(dates, "industry_key")
-    keys = ["industry_key", "symbol"]
-    full = frame.join(member_bars.select("industry_key", "symbol", "date", "close"), [*keys, "date"], "left")
-    full = full.withColumn("close", filled(F.col("close"), keys, fill))
-    order = Window.partitionBy(*keys).orderBy("date")
-    full = full.withColumn("r", F.try_divide(F.col("close"), F.lag("close").over(order)) - 1)
-    daily = full.groupBy("industry_key", "date").agg(F.coalesce(F.sum(F.col("weight") * F.col("r")), F.lit(0.0)).alias("r"), F.count("r").alias("n"), F.count(F.lit(1)).alias("members"))
-    chain = Window.partitionBy("industry_key").orderBy("date")
-    so_far = chain.rowsBetween(Window.unboundedPreceding, 0)
-    level = F.lit(BASE) * F.product(1 + F.col("r")).over(so_far)
-    out = daily.withColumn("close", level)
+        days = closes.join(weighted.select(*k, "symbol"), [*k, "symbol"], "left_semi").select(*k, "date").distinct()
+    placed, daily = returns(closes, weighted, days, fill)
+    chain, whole = Window.partitionBy(*k).orderBy("date"), Window.partitionBy(*k)
+    out = placed.join(daily, [*k, "date"], "left").join(counts, k)
+    level = F.lit(BASE) * F.product(1 + F.coalesce("r", F.lit(0.0))).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("close", level)
     if trim:
-        out = out.withColumn("_seen", F.sum("n").over(chain.rowsBetween(Window.unboundedPreceding, 1))).where("_seen > 0").drop("_seen")
+        # the date after the first close has a return, be it the zero of a filled close
+        gaps = F.lit(fill) if isinstance(fill, int) else fill
+        first = F.min(F.when(F.when(gaps > 0, F.col("n").isNotNull()).otherwise(F.col("n") > 0), F.col("place") + F.when(gaps > 0, 1).otherwise(0))).over(whole)
+        out = out.withColumn("_first", first).withColumn("_last", F.max("place").over(whole)).where("place >= _first - 1 and _first <= _last").drop("_first", "_last")
     if min_rows > 1:
-        out = out.withColumn("_rows", F.count("*").over(Window.partitionBy("industry_key"))).where(F.col("_rows") >= min_rows)
-    return out.select("industry_key", "date", "close", F.col("members").cast("int").alias("members"))
+        out = out.withColumn("_rows", F.count("*").over(whole)).where(F.col("_rows") >= min_rows)
+    return out.select(*k, "date", "close", F.col("members").cast("int").alias("members"))

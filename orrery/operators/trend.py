@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import STAGE_SCORE, by, faber_signal, lookup, min_rank_desc, momentum_label, np_round, pct_change, percentile_1_99, position, quintile, stage
+from orrery.functions.columns import STAGE_SCORE, by, faber_signal, lookup, min_rank_desc, momentum_label, np_round, pct_change, percentile_1_99, position, quintile, scope, stage
 from orrery.operators.bars import align
 from orrery.operators.sctr import enrich, short_term_raw
 
@@ -18,14 +18,15 @@ def stage_metrics(closes: DataFrame, key: str, strength: DataFrame | None = None
     Only the last 252 rows of a series are kept before anything is averaged. ``strength``: (key, rs_pct) for the
     seventh criterion, which is not met without it.
     """
-    newest = Window.partitionBy(key).orderBy(F.col("date").desc())
-    rows = closes.where("close is not null").withColumn("_n", F.row_number().over(newest)).withColumn("_rows", F.count("*").over(Window.partitionBy(key)))
+    k = scope(closes, key)
+    newest = Window.partitionBy(*k).orderBy(F.col("date").desc())
+    rows = closes.where("close is not null").withColumn("_n", F.row_number().over(newest)).withColumn("_rows", F.count("*").over(Window.partitionBy(*k)))
     rows = rows.where((F.col("_n") <= YEAR) & (F.col("_rows") >= min_days))
 
     def mean(n: int, ago: int = 0) -> Column:
         return F.avg(F.when(F.col("_n").between(ago + 1, ago + n), F.col("close")))
 
-    ends = rows.groupBy(key).agg(
+    ends = rows.groupBy(*k).agg(
         F.max_by("close", "date").alias("price"),
         *(mean(n).alias(f"s{n}") for n in (50, 150, 200)),
         F.when(F.max("_n") >= 200 + SLOPE_ROWS, mean(200, SLOPE_ROWS)).alias("old200"),
@@ -33,7 +34,7 @@ def stage_metrics(closes: DataFrame, key: str, strength: DataFrame | None = None
         F.min("close").alias("low"),
     )
     if strength is not None:
-        ends = ends.join(strength.select(key, F.col("rs_pct").alias("_rs")), key, "left")
+        ends = ends.join(strength.select(*k, F.col("rs_pct").alias("_rs")), k, "left")
     else:
         ends = ends.withColumn("_rs", F.lit(None).cast("int"))
     price, s50, s150, s200, high, low = (F.col(c) for c in ("price", "s50", "s150", "s200", "high", "low"))
@@ -54,7 +55,7 @@ def stage_metrics(closes: DataFrame, key: str, strength: DataFrame | None = None
     range_pos = F.when(high > low, (price - low) / (high - low) * 100).otherwise(50.0)
     label = stage(price, s50, s150, s200, F.col("slope"))
     return ends.select(
-        key,
+        *k,
         label.alias("stage"),
         lookup(label, STAGE_SCORE, 45).alias("stage_score"),
         met.alias("minervini_count"),
@@ -78,9 +79,9 @@ def stage_metrics(closes: DataFrame, key: str, strength: DataFrame | None = None
 
 def stage_analysis(index: DataFrame, strength: DataFrame, industries: DataFrame) -> DataFrame:
     """Stage table of the industries. ``strength``: the percentile table."""
-    rs = strength.select("industry_key", F.col("rs_pct_composite").alias("rs_pct"))
+    rs = strength.select(*scope(index, "industry_key"), F.col("rs_pct_composite").alias("rs_pct"))
     rows = enrich(stage_metrics(index, "industry_key", rs), industries).drop("sector_key")
-    return rows.withColumn("rank", position(F.col("stage_score").desc(), F.col("minervini_count").desc(), F.col("industry_key")))
+    return rows.withColumn("rank", position(F.col("stage_score").desc(), F.col("minervini_count").desc(), F.col("industry_key"), keys=scope(index)))
 
 
 STRENGTH_COLUMNS = ("rs_pct_composite", "rs_pct_3m", "rs_pct_6m", "rs_pct_12m", "rs_excess_comp", "rs_excess_3m", "rs_excess_12m", "rs_q4", "rs_q3", "rs_q2", "rs_q1", "rs_line_vs_52w", "rs_new_high", "rs_near_new_high")
@@ -92,27 +93,28 @@ def momentum_screen(strength: DataFrame, scores: DataFrame, stages: DataFrame |
     ``strength``, ``scores`` and ``stages`` are the percentile, industry score and stage tables. Without a stage table
     every industry is taken to be in ``missing_stage``.
     """
-    rows = strength.select("industry_key", "sector_name", "industry_name", *STRENGTH_COLUMNS)
-    rows = rows.join(scores.select("industry_key", "sctr", "c5_3m_roc", "c6_ppo_slope", "c2_sma200_pct"), "industry_key", "left")
+    s, k = scope(strength), scope(strength, "industry_key")
+    rows = strength.select(*k, "sector_name", "industry_name", *STRENGTH_COLUMNS)
+    rows = rows.join(scores.select(*k, "sctr", "c5_3m_roc", "c6_ppo_slope", "c2_sma200_pct"), k, "left")
     if stages is None:
         nothing = F.lit(None).cast("double")
         rows = rows.select("*", F.lit(missing_stage).alias("stage"), F.lit(0).alias("minervini_count"), F.lit(100).alias("stage_score"), nothing.alias("range_pos_52w"), nothing.alias("pct_from_52w_high"), nothing.alias("sma200_slope"))
     else:
-        rows = rows.join(stages.select("industry_key", "stage", "minervini_count", "stage_score", "range_pos_52w", "pct_from_52w_high", "sma200_slope"), "industry_key", "left")
+        rows = rows.join(stages.select(*k, "stage", "minervini_count", "stage_score", "range_pos_52w", "pct_from_52w_high", "sma200_slope"), k, "left")
         rows = rows.withColumn("stage", F.coalesce("stage", F.lit("?"))).withColumn("minervini_count", F.coalesce("minervini_count", F.lit(0)))
     above = F.coalesce(F.col("c2_sma200_pct") > 0, F.lit(False))
     rows = rows.withColumn("above_200sma", above).withColumn("faber_quintile", quintile(F.col("rs_pct_12m")))
     rows = rows.withColumn("faber_signal", faber_signal(F.col("faber_quintile"), F.col("above_200sma"), F.col("stage"), F.col("minervini_count")))
     rows = rows.withColumn("mg_9m_score", F.col("rs_q1") + F.col("rs_q2") + F.col("rs_q3"))
-    rows = rows.withColumn("mg_pct", percentile_1_99(F.col("mg_9m_score"))).withColumn("mg_rank", min_rank_desc(F.col("mg_9m_score")))
+    rows = rows.withColumn("mg_pct", percentile_1_99(F.col("mg_9m_score"), s)).withColumn("mg_rank", min_rank_desc(F.col("mg_9m_score"), s))
     rows = rows.withColumn("mg_signal", momentum_label(F.col("mg_pct"))).withColumn("sctr_st_raw", short_term_raw(F.coalesce("c5_3m_roc", F.lit(0.0)), F.coalesce("c6_ppo_slope", F.lit(0.0))))
     both = F.when(F.col("c5_3m_roc").isNotNull() & F.col("c6_ppo_slope").isNotNull(), F.col("sctr_st_raw"))
-    rows = rows.withColumn("_both", both).withColumn("sctr_st", percentile_1_99(F.col("_both")).cast("double")).drop("_both")
+    rows = rows.withColumn("_both", both).withColumn("sctr_st", percentile_1_99(F.col("_both"), s).cast("double")).drop("_both")
     lead = F.col("sctr_st") - F.col("sctr")
     rows = rows.withColumn("st_lead", lead).withColumn("st_signal", F.when(lead >= 10, "ST Leading").when(lead <= -10, "ST Lagging").otherwise("flat"))
     rows = rows.withColumn("momentum_score", np_round(F.col("rs_pct_composite") * 0.40 + F.col("sctr") * 0.30 + F.col("sctr_st") * 0.20 + F.col("mg_pct") * 0.10, 1))
-    rows = rows.withColumn("momentum_pct", percentile_1_99(F.col("momentum_score")))
-    return rows.withColumn("rank", position(F.col("momentum_score").desc_nulls_last(), F.col("industry_key")))
+    rows = rows.withColumn("momentum_pct", percentile_1_99(F.col("momentum_score"), s))
+    return rows.withColumn("rank", position(F.col("momentum_score").desc_nulls_last(), F.col("industry_key"), keys=s))
 
 
 def excess_12m(closes: DataFrame, benchmark: DataFrame, key: str = "symbol", min_rows: int = 200) -> DataFrame:

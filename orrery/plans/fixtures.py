@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.columns import scope
 from orrery.operators import bars as B
 from orrery.operators import clock, leaders, rotation, rrg, sctr, strength, synthetic_index, trend
 from orrery.sources.sinks import shared_path
@@ -33,11 +34,16 @@ def kept(frame: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Market:
-    """Inputs and operator tables of one sf directory; each is built once and only if asked for."""
+    """Inputs and operator tables of one sf directory; each is built once and only if asked for.
+
+    With ``dates`` all tables from the bars on carry an as_of column and hold the snapshots of these dates side by side.
+    Tables with several readers are kept; all others are part of their reader's plan.
+    """
 
     spark: SparkSession
     sf_dir: str
-    as_of: str | None = None
+    dates: tuple[str, ...] = ()
+    freqs: tuple[str, ...] = ("d", "w", "m")
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -45,8 +51,10 @@ class Market:
         n = lambda c: F.col(c).cast("long")
         price = 90 + F.round(F.col("l_extendedprice") * 100).cast("long") % 2000 / 100.0
         order = n("l_orderkey") * 100_000_000_000 + n("l_partkey") * 100_000 + n("l_linenumber") * 1000 + n("l_quantity")
-        rows = li.select(F.col("l_suppkey").alias("stock"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").cast("double").alias("qty"), price.alias("px"), order.alias("ord"))
-        return B.as_of(rows, self.as_of)
+        return li.select(F.col("l_suppkey").alias("stock"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").cast("double").alias("qty"), price.alias("px"), order.alias("ord"))
+
+    def _dated(self, frame: DataFrame) -> DataFrame:
+        return B.as_of_each(frame, self.dates) if self.dates else frame
 
     @staticmethod
     def _bars(rows: DataFrame, key: str) -> DataFrame:
@@ -57,19 +65,27 @@ class Market:
         """Daily bars of all stocks; week and month bars, indexes and indicators start from this table, not from trades."""
         return kept(self._bars(self.trades, "stock"))
 
+    @cached_property
+    def dated_bars(self) -> DataFrame:
+        return self._dated(self.all_bars)
+
     @cached_property
     def bars(self) -> DataFrame:
-        return B.weekdays(self.all_bars)
+        return B.weekdays(self.dated_bars)
 
     @cached_property
-    def all_benchmark(self) -> DataFrame:
+    def daily_benchmark(self) -> DataFrame:
         # the mean of whole cents: no engine's order of summing changes it
         mean = F.sum(F.round(F.col("px") * 100).cast("long")) / F.count("*") / 100
         return kept(self.trades.groupBy("date").agg(mean.alias("close"), F.min("px").alias("low"), F.max("px").alias("high"), F.sum("qty").alias("volume")).withColumn("symbol", F.lit(BENCHMARK)))
 
+    @cached_property
+    def all_benchmark(self) -> DataFrame:
+        return self._dated(self.daily_benchmark)
+
     @cached_property
     def benchmark(self) -> DataFrame:
-        return B.weekdays(self.all_benchmark).select("symbol", "date", F.col("close").alias("open"), "high", "low", "close", "volume")
+        return B.weekdays(self.all_benchmark).select(*scope(self.all_benchmark), "symbol", "date", F.col("close").alias("open"), "high", "low", "close", "volume")
 
     @cached_property
     def industries(self) -> DataFrame:
@@ -94,49 +110,62 @@ class Market:
 
     # -- operator tables ---------------------------------------------------------------------------------------------
 
+    @cached_property
+    def _indexes(self) -> dict[tuple[str, ...], DataFrame]:
+        return {}
+
+    def _index(self, freq: str) -> DataFrame:
+        """Industry indexes of a frequency; those that the market builds together come from one plan and one table."""
+        group = self.freqs if freq in self.freqs else (freq,)
+        if group not in self._indexes:
+            at = F.col("freq")
+            options = {"fill": F.when(at == "d", 5).otherwise(2), "min_symbol_rows": F.when(at == "d", 100).when(at == "w", 60).otherwise(24)}
+            self._indexes[group] = kept(synthetic_index.synthetic_index(B.close_series(self.dated_bars, group), self.membership, keep=kept, **options))
+        return self._indexes[group].where(F.col("freq") == freq).drop("freq")
+
     @cached_property
     def index(self) -> DataFrame:
         """Daily industry indexes (one level a day and industry)."""
-        return kept(synthetic_index.synthetic_index(self.bars, self.membership, fill=5, min_symbol_rows=100))
+        return self._index("d")
 
     @cached_property
     def weekly_index(self) -> DataFrame:
-        return kept(synthetic_index.synthetic_index(B.weekly(self.all_bars), self.membership, fill=2, min_symbol_rows=60))
+        return self._index("w")
 
     @cached_property
     def monthly_index(self) -> DataFrame:
-        return kept(synthetic_index.synthetic_index(B.monthly(self.all_bars), self.membership, fill=2, min_symbol_rows=24))
+        return self._index("m")
 
     def _benchmark(self, period) -> DataFrame:
-        return self.all_benchmark.groupBy(period.alias("date")).agg(F.max_by("close", "date").alias("close"))
+        return self.all_benchmark.groupBy(*scope(self.all_benchmark), period.alias("date")).agg(F.max_by("close", "date").alias("close"))
 
     @cached_property
     def weekly_rotation(self) -> DataFrame:
-        return kept(rrg.rotation(self.weekly_index, self._benchmark(F.to_date(F.date_trunc("week", "date")))))
+        return rrg.rotation(self.weekly_index, self._benchmark(F.to_date(F.date_trunc("week", "date"))))
 
     @cached_property
     def monthly_rotation(self) -> DataFrame:
-        return kept(rrg.rotation(self.monthly_index, self._benchmark(F.last_day("date"))))
+        return rrg.rotation(self.monthly_index, self._benchmark(F.last_day("date")))
 
     @staticmethod
     def _counts(index: DataFrame) -> DataFrame:
-        return index.groupBy("industry_key").agg(F.max("members").alias("constituent_count"))
+        return index.groupBy(*scope(index, "industry_key")).agg(F.max("members").alias("constituent_count"))
 
     @cached_property
     def weekly_rrg(self) -> DataFrame:
-        return kept(rrg.snapshot(self.weekly_rotation, self.industries, self._counts(self.weekly_index)))
+        return rrg.snapshot(self.weekly_rotation, self.industries, self._counts(self.weekly_index))
 
     @cached_property
     def monthly_rrg(self) -> DataFrame:
-        return kept(rrg.snapshot(self.monthly_rotation, self.industries, self._counts(self.monthly_index), unit="m"))
+        return rrg.snapshot(self.monthly_rotation, self.industries, self._counts(self.monthly_index), unit="m")
 
     @cached_property
     def stock_scores(self) -> DataFrame:
-        return kept(sctr.stock_sctr(self.bars, self.universe))
+        return sctr.stock_sctr(self.bars, self.universe)
 
     @cached_property
     def industry_scores(self) -> DataFrame:
-        return kept(sctr.industry_sctr(self.index, self.industries))
+        return sctr.industry_sctr(self.index, self.industries)
 
     @cached_property
     def published(self) -> DataFrame:
@@ -146,7 +175,7 @@ class Market:
 
     @cached_property
     def breadth_by_industry(self) -> DataFrame:
-        return kept(sctr.industry_breadth(self.stock_scores, self.membership))
+        return sctr.industry_breadth(self.stock_scores, self.membership)
 
     @cached_property
     def history(self) -> DataFrame:
@@ -154,11 +183,11 @@ class Market:
 
     @cached_property
     def ma(self) -> DataFrame:
-        return kept(strength.ma_signals(self.history))
+        return strength.ma_signals(self.history)
 
     @cached_property
     def ath(self) -> DataFrame:
-        return kept(strength.ath_monitor(self.index, self.industries))
+        return strength.ath_monitor(self.index, self.industries)
 
     @cached_property
     def strength(self) -> DataFrame:
@@ -178,7 +207,7 @@ class Market:
 
     @cached_property
     def severity(self) -> DataFrame:
-        return kept(rotation.rotation_severity(self.history, self.index, self.industries, self.monthly_rrg, self.ath, self.ma, self.strength, self.momentum, self.stages))
+        return rotation.rotation_severity(self.history, self.index, self.industries, self.monthly_rrg, self.ath, self.ma, self.strength, self.momentum, self.stages)
 
     @cached_property
     def clock_bars(self) -> DataFrame:
@@ -191,7 +220,7 @@ class Market:
 
     @cached_property
     def clock(self) -> DataFrame:
-        return kept(clock.market_clock(self.clock_bars))
+        return clock.market_clock(self.clock_bars)
 
     @cached_property
     def nation_week(self) -> DataFrame:
@@ -205,4 +234,4 @@ class Market:
 
     @cached_property
     def window(self) -> DataFrame:
-        return kept(leaders.drawdown_window(self.week_benchmark, depth=1.0))
+        return leaders.drawdown_window(self.week_benchmark, depth=1.0)

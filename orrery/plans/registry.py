@@ -11,10 +11,13 @@ from orrery.functions import columns as C
 from orrery.operators import bars as B
 from orrery.operators import breadth, clock, delta, indicators, leaders, reports, rotation, rrg, sctr, synthetic_index, trend
 from orrery.plans import sql, sql_market
-from orrery.plans.fixtures import Market
+from orrery.plans.fixtures import Market, kept
 from orrery.sources import readers, sinks
 from orrery.streaming import clock_stream, ingest
 
+#: Dates of the snapshots that are compared; the later one takes all rows there are.
+EARLIER, LATER = "1998-06-30", "9999-12-31"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -458,10 +461,11 @@ def correction_leaders(m: Market) -> DataFrame:
 
 
 def _screen(m: Market) -> DataFrame:
-    before = Market(m.spark, m.sf_dir, "1998-06-30")
+    scores = Market(m.spark, m.sf_dir, (EARLIER, LATER)).stock_scores
+    now, before = (scores.where(F.col("as_of") == F.to_date(F.lit(d))).drop("as_of") for d in (LATER, EARLIER))
     found = leaders.closing_range_leaders(m.bars, m.benchmark, m.window, m.membership.select("symbol", "industry_key"), m.momentum, m.industries, min_score=0, min_days=2)
     signals = ("STRONG BUY", "BUY", "HOLD", "WATCH", "CAUTION", "EXIT")
-    return trend.stock_screener(m.bars, m.benchmark, m.membership, m.momentum, m.stages, found.dropDuplicates(["ticker"]), m.stock_scores, before.stock_scores, m.industries, signals=signals, min_criteria=1)
+    return trend.stock_screener(m.bars, m.benchmark, m.membership, m.momentum, m.stages, found.dropDuplicates(["ticker"]), now, before, m.industries, signals=signals, min_criteria=1)
 
 
 @query
@@ -498,14 +502,15 @@ def breadth_reading(m: Market) -> DataFrame:
 @query
 def breadth_change(m: Market) -> DataFrame:
     """Stage breadth against half a year before."""
-    old = Market(m.spark, m.sf_dir, "1998-06-30")
-    rows = [breadth.metric_rows(breadth.overall(breadth.merged(x.stages, x.strength, x.momentum, x.ath))) for x in (m, old)]
-    return breadth.change(*rows)
+    both = Market(m.spark, m.sf_dir, (EARLIER, LATER))
+    rows = breadth.metric_rows(breadth.overall(breadth.merged(both.stages, both.strength, both.momentum, both.ath)))
+    return breadth.change(*(rows.where(F.col("as_of") == F.to_date(F.lit(d))) for d in (LATER, EARLIER)))
 
 
 def _snapshots(m: Market) -> DataFrame:
-    old = Market(m.spark, m.sf_dir, "1998-06-30")
-    return m.severity.withColumn("as_of", F.to_date(F.lit("1998-12-31"))).unionByName(old.severity.withColumn("as_of", F.to_date(F.lit("1998-06-30"))))
+    """Severity at two dates: one plan, in which the date is a key; its few rows are kept for the readers that follow."""
+    rows = Market(m.spark, m.sf_dir, (EARLIER, LATER)).severity
+    return kept(rows.withColumn("as_of", F.least("as_of", F.lit("1998-12-31").cast("date"))))
 
 
 @query
