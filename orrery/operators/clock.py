@@ -101,6 +101,22 @@ def trace(bars: DataFrame, limits: Limits | None = None) -> DataFrame:
     return bars.select("symbol", "date", "low", "close", "volume").groupBy("symbol").applyInPandas(run, f"symbol string, date date, close double, {TRACE}")
 
 
+STATE = "state string, rally_day int, rally_low double, last_close double, last_volume double, last_date string, flags array<int>, closes array<double>"
+
+
+def states(bars: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """(symbol, state, ...) after the last bar of each index: what the clock has to know to go on from there."""
+    own = asdict(limits or Limits())
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, clock, lim = rows.sort_values("date"), Clock(), Limits(**own)
+        for d, low, close, volume in zip(rows["date"], rows["low"], rows["close"], rows["volume"], strict=True):
+            clock.bar(str(d), low, close, volume, lim)
+        return pd.DataFrame([{"symbol": rows["symbol"].iloc[0]} | asdict(clock)])
+
+    return bars.select("symbol", "date", "low", "close", "volume").groupBy("symbol").applyInPandas(run, f"symbol string, {STATE}")
+
+
 def events(traced: DataFrame) -> DataFrame:
     """One row an event day, with severity of distribution and quality of follow-through days."""
     p, v = F.abs("pct_chg"), F.col("vol_ratio")

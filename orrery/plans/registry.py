@@ -632,8 +632,8 @@ def ingested_bars(m: Market) -> DataFrame:
 
 @query
 def streamed_clock(m: Market) -> DataFrame:
-    """Clock states from the stateful stream over all index bars."""
-    return rounded(clock_stream.replay(m.clock_bars))
+    """Clock states of all index bars: of the first years from a batch, then from the stateful stream that goes on from there."""
+    return rounded(clock_stream.replay(m.clock_bars, ("1996-07-01", "1998-01-01")))
 
 
 SQL = sql.texts(QUERIES)

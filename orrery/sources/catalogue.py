@@ -37,11 +37,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def publish_snapshot(frame: DataFrame, path: str, as_of: str, *partitions: str) -> None:
-    """Write a table under its as-of date and publish it. A rerun of a date replaces it for readers that come after."""
+    """Write a table under its as-of date and publish it. A rerun of a date replaces it; what it replaces goes afterwards."""
     spark, run = frame.sparkSession, uuid.uuid4().hex
     frame.write.partitionBy(*partitions).parquet(f"{path}/as_of={as_of}/run={run}")
-    place = sum(label.startswith(f"{as_of}.") for label in published(spark, path))
+    old = [label for label in published(spark, path) if label.startswith(f"{as_of}.")]
+    place = max((int(label.split(".")[1]) + 1 for label in old), default=0)
     publish(spark, path, f"{as_of}.{place:06d}.{run}")
+    for label in old:
+        remove(spark, f"{path}/_published/{label}")
+        remove(spark, f"{path}/as_of={as_of}/run={label.split('.')[2]}")
 
 
 def snapshot_dates(spark: SparkSession, path: str) -> dict[str, str]:

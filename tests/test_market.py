@@ -85,14 +85,24 @@ def test_clock_states_and_stream(spark):
     assert [r.event for r in traced].count("Distribution") == 6 and [r.event for r in traced].count("Stall") == 1
     ends = clock.market_clock(bars, min_rows=5).first()
     assert ends.state == "Rally Attempt 1" and ends.last_ftd_day == 4
-    # two micro-batches, the second of which repeats a late bar
+    # two micro-batches, the second of which repeats a late bar, with the stream started again in between
     path, out = sinks.shared_path(spark, "bars"), sinks.shared_path(spark, "clock")
     for part in (bars.where("date <= '2024-01-09'"), bars.where("date >= '2024-01-09'")):
         part.write.mode("append").parquet(path)
-        q = clock_stream.clock_states(spark.readStream.schema(bars.schema).parquet(path)).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start()
-        q.awaitTermination()
+        clock_stream.start(clock_stream.clock_states(spark.readStream.schema(bars.schema).parquet(path)), out, f"{out}-c").awaitTermination()
     streamed = spark.read.parquet(out).orderBy("date").collect()
-    assert [(r.date, r.state, r.event) for r in streamed] == [(r.date, r.state, r.event) for r in traced]
+    assert [(r.date, r.state, r.event, r.dd_count) for r in streamed] == [(r.date, r.state, r.event, r.dd_count) for r in traced]
+
+
+def test_clock_stream_starts_from_a_history(spark):
+    rows = clock_path() + [("Y", d, low, c, v) for _, d, low, c, v in clock_path()[:4]]
+    bars = spark.createDataFrame(rows, "symbol string, date date, low double, close double, volume double")
+    traced = {(r.symbol, r.date): r for r in clock.trace(bars).collect()}
+    got = clock_stream.replay(bars, ("2024-01-10", "2024-01-14")).collect()
+    assert {(r.symbol, r.date): r for r in got} == traced and len(got) == len(traced)
+    # an index that the history lacks starts anew
+    fresh = clock_stream.replay(bars.where("symbol = 'X' or date >= '2024-01-03'"), ("2024-01-03", "2024-01-14")).where("symbol = 'Y'").orderBy("date").first()
+    assert fresh.state == clock.CORRECTION and fresh.pct_chg is None
 
 
 def test_ath_labels(spark):

@@ -32,6 +32,32 @@ def test_bar_files_with_other_columns(spark, tmp_path):
     assert caps == {"A": 99.0}
 
 
+def test_quoted_values_and_headers_of_three_kinds(spark, tmp_path):
+    (tmp_path / "A.csv").write_text('"Date","Note","Close","Volume"\n2024-05-06,"a, ""b"", c",1.5,"1,000"\n2024-05-07,plain,"2.5",7\n')
+    (tmp_path / "B [1]*.csv").write_text("\ufeffClose,Date\r\n3,2024-05-06\r\n")
+    (tmp_path / "C.csv").write_text("Date,Close,Close,High\n2024-05-06,4,9\n2024-05-07,5,9,6,extra\n")
+    (tmp_path / "EMPTY.csv").write_text("")
+    got = {(r.symbol, r.date.day): (r.close, r.high, r.volume) for r in readers.bar_files(spark, str(tmp_path)).collect()}
+    # a number with a comma is no number, and takes no other column with it
+    assert got == {("A", 6): (1.5, None, None), ("A", 7): (2.5, None, 7.0), ("B [1]*", 6): (3.0, None, None), ("C", 6): (4.0, None, None), ("C", 7): (5.0, 6.0, None)}
+
+
+def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
+    days = [dt.date(2000, 1, 3) + dt.timedelta(days=i) for i in range(6000)]
+    (tmp_path / "A.csv").write_text("Date,Close\n" + "".join(f"{d},{i}\n" for i, d in enumerate(days)) + f"{days[-1]},7\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        bars = readers.bar_files(spark, str(tmp_path), weekdays_only=False)
+        assert bars.rdd.getNumPartitions() >= 4 and bars.count() == 6001
+        got = {r.date: r.close for r in readers.closes(bars).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 6000 and got[days[10]] == 10.0 and got[days[-1]] == 7.0
+    plan = bars.select("close")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" in plan
+
+
 def test_closes_keep_the_last(spark, tmp_path):
     (tmp_path / "A.csv").write_text("Date,Close\n2024-05-06,9\n2024-05-06,5\n2024-05-07,3\n2024-05-07,\n")
     got = {r.date: r.close for r in readers.closes(readers.bar_files(spark, str(tmp_path))).collect()}
