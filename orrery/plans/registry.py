@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from orrery.plans.fixtures import Market, kept
 from orrery.sources import readers, sinks
 from orrery.streaming import clock_stream, ingest
 
+#: The driver that Spark ships.
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
 #: Dates of the snapshots that are compared; the later one takes all rows there are.
 EARLIER, LATER = "1998-06-30", "9999-12-31"
 
@@ -94,6 +97,17 @@ def stitched_bars(m: Market) -> DataFrame:
     return readers.stitch(m.all_bars.where("date < '1997-01-01'"), m.all_bars.where("date >= '1996-06-01'"))
 
 
+@query
+def stitched_spellings(m: Market) -> DataFrame:
+    """Stitching where batches spell symbols otherwise: dots as dashes, dashes as dots, or both, of which the own one counts."""
+    own, kind = m.all_bars, F.col("symbol").cast("int") % 3
+    spelled = lambda mark: F.concat(F.lit(f"K{mark}"), F.col("symbol"))
+    history = own.where("date < '1997-01-01'").withColumn("symbol", F.when(kind == 1, spelled("-")).otherwise(spelled(".")))
+    new = own.where("date >= '1996-06-01'")
+    batch = new.withColumn("symbol", F.when(kind == 0, F.lower(spelled("-"))).otherwise(spelled(".")))
+    return readers.stitch(history, batch.unionByName(new.where(kind == 2).withColumn("symbol", spelled("-")).withColumn("close", F.col("close") + 1)))
+
+
 @query
 def history_cutoff(m: Market) -> DataFrame:
     return readers.history_cutoff(m.all_bars, ["none", "7", "3", "1"])
@@ -432,9 +446,9 @@ def peak_window(m: Market) -> DataFrame:
     return leaders.peak_window(m.week_benchmark, drop=0.1)
 
 
-def _range_leaders(m: Market, **options) -> DataFrame:
+def _range_leaders(m: Market, min_score: int = 0, **options) -> DataFrame:
     members = m.industries.select(F.col("industry_key").alias("symbol"), "industry_key")
-    return leaders.closing_range_leaders(m.nation_week, m.week_benchmark, m.window, members, m.momentum, m.industries, min_score=0, min_days=2, warmup_days=500, **options)
+    return leaders.closing_range_leaders(m.nation_week, m.week_benchmark, m.window, members, m.momentum, m.industries, min_score=min_score, min_days=2, warmup_days=500, **options)
 
 
 @query
@@ -442,6 +456,12 @@ def closing_range_leaders(m: Market) -> DataFrame:
     return _range_leaders(m)
 
 
+@query
+def leaders_by_score(m: Market) -> DataFrame:
+    """Leaders that meet three of the five criteria."""
+    return _range_leaders(m, 3)
+
+
 @query
 def leader_counts(m: Market) -> DataFrame:
     return reports.leader_distribution(_range_leaders(m))
@@ -453,19 +473,28 @@ def leaders_of_strong_industries(m: Market) -> DataFrame:
     return _range_leaders(m, industry_keys=m.momentum.where("rank <= 8"))
 
 
-@query
-def correction_leaders(m: Market) -> DataFrame:
+def _correction_leaders(m: Market, min_sctr: float) -> DataFrame:
     members = m.industries.select(F.col("industry_key").alias("symbol"), "industry_key")
     scores = m.industry_scores.select(F.col("industry_key").alias("ticker"), F.lit("industry").alias("cap_bucket"), "sctr")
-    return leaders.correction_leaders(m.nation_week, m.week_benchmark, m.window, scores, members, m.industries, min_sctr=0.0, min_share=0.2)
+    return leaders.correction_leaders(m.nation_week, m.week_benchmark, m.window, scores, members, m.industries, min_sctr=min_sctr, min_share=0.2)
+
+
+@query
+def correction_leaders(m: Market) -> DataFrame:
+    return _correction_leaders(m, 0.0)
 
 
-def _screen(m: Market) -> DataFrame:
+@query
+def ranked_correction_leaders(m: Market) -> DataFrame:
+    """Leaders among the candidates with a technical rank of 60 and more."""
+    return _correction_leaders(m, 60.0)
+
+
+def _screen(m: Market, signals: tuple[str, ...] = ("STRONG BUY", "BUY", "HOLD", "WATCH", "CAUTION", "EXIT"), min_criteria: int = 1) -> DataFrame:
     scores = Market(m.spark, m.sf_dir, (EARLIER, LATER)).stock_scores
     now, before = (scores.where(F.col("as_of") == F.to_date(F.lit(d))).drop("as_of") for d in (LATER, EARLIER))
     found = leaders.closing_range_leaders(m.bars, m.benchmark, m.window, m.membership.select("symbol", "industry_key"), m.momentum, m.industries, min_score=0, min_days=2)
-    signals = ("STRONG BUY", "BUY", "HOLD", "WATCH", "CAUTION", "EXIT")
-    return trend.stock_screener(m.bars, m.benchmark, m.membership, m.momentum, m.stages, found.dropDuplicates(["ticker"]), now, before, m.industries, signals=signals, min_criteria=1)
+    return trend.stock_screener(m.bars, m.benchmark, m.membership, m.momentum, m.stages, found.dropDuplicates(["ticker"]), now, before, m.industries, signals=signals, min_criteria=min_criteria)
 
 
 @query
@@ -473,6 +502,12 @@ def stock_screener(m: Market) -> DataFrame:
     return _screen(m)
 
 
+@query
+def buy_screen(m: Market) -> DataFrame:
+    """The screen with its usual filters: industries with a buy signal, three criteria."""
+    return _screen(m, ("STRONG BUY", "BUY"), 3)
+
+
 @query
 def screener_buckets(m: Market) -> DataFrame:
     return reports.bucket_counts(_screen(m), "composite", (80, 70, 60, 50))
@@ -588,6 +623,21 @@ def universe_file(m: Market) -> DataFrame:
     return readers.universe_listed(m.spark, path, ("large", "mid"))
 
 
+@query
+def universe_by_source(m: Market) -> DataFrame:
+    """The universe of one of two named sources."""
+    caps = m.caps.withColumnRenamed("symbol", "ticker")
+    return readers.universe("caps", caps=lambda: readers.universe_by_cap(caps, 32.4e6, 31.3e6, 28.0e6), listed=lambda: m.universe)
+
+
+@query
+def universe_table(m: Market) -> DataFrame:
+    """Two groups of the universe from a database table: Derby in the memory of a local session's JVM."""
+    url = f"jdbc:derby:memory:u{uuid.uuid4().hex};create=true"
+    sinks.write_universe_jdbc(m.universe, url, "universe", driver=DERBY)
+    return readers.universe_jdbc(m.spark, url, "universe", ("large", "mid"), partitions=4, driver=DERBY)
+
+
 @query
 def ranged_slice(m: Market) -> DataFrame:
     return readers.slice_ohlcv(m.all_bars, "1996-01-01", "1996-12-31")
@@ -603,14 +653,15 @@ def score_buckets_on_disk(m: Market) -> DataFrame:
 
 @query
 def history_on_disk(m: Market) -> DataFrame:
-    """Scores of the history from its date by industry table."""
+    """Scores, ratios and momenta of the history from its three date by industry tables."""
     path = sinks.shared_path(m.spark, "history")
     names = {r.industry_name: r.industry_key for r in m.industries.collect()}
     sinks.write_history(m.history, path, list(names))
-    wide = m.spark.read.parquet(f"{path}/sctr")
-    long = wide.unpivot("date", list(names), "industry_name", "sctr").join(m.industries.select("industry_name", "industry_key"), "industry_name")
-    known = m.spark.read.parquet(f"{path}/long").select("industry_key", "date")
-    return known.join(long, ["industry_key", "date"]).select("industry_key", "date", "sctr")
+    found = m.spark.read.parquet(f"{path}/long").select("industry_key", "industry_name", "date")
+    for value in ("sctr", "rs_ratio", "rs_momentum"):
+        wide = m.spark.read.parquet(f"{path}/{value}")
+        found = found.join(wide.unpivot("date", list(names), "industry_name", value), ["industry_name", "date"])
+    return found.drop("industry_name")
 
 
 @query

@@ -7,8 +7,46 @@ from __future__ import annotations
 
 import re
 
-from orrery.functions.columns import QUADRANT_SCORE, TAIL_SCORE, TIMEFRAME_LABEL, TIMEFRAME_SCORE
-from orrery.operators.delta import SEVERITY_ORDER
+# Fixed values, written out here as well: the texts check the library, so they take nothing from it.
+QUADRANT_SCORE = {"Leading": 100, "Improving": 67, "Weakening": 33, "Lagging": 0}
+TAIL_SCORE = {"right-up": 100, "right-down": 50, "left-up": 50, "left-down": 0, "unknown": 50}
+TIMEFRAME_LABEL = {
+    ("Leading", "Leading"): "Both Leading",
+    ("Improving", "Leading"): "Weekly Imp / Mo Leading",
+    ("Leading", "Improving"): "Weekly Lead / Mo Imp",
+    ("Improving", "Improving"): "Both Improving",
+    ("Weakening", "Leading"): "Pullback (Mo Leading)",
+    ("Lagging", "Leading"): "Deep Pullback (Mo Lead)",
+    ("Weakening", "Improving"): "Weekly Weak / Mo Imp",
+    ("Lagging", "Improving"): "Weekly Lag / Mo Imp",
+    ("Leading", "Weakening"): "Weekly Lead / Mo Weak",
+    ("Improving", "Weakening"): "Weekly Imp / Mo Weak",
+    ("Weakening", "Weakening"): "Both Weakening",
+    ("Lagging", "Weakening"): "Both Bearish",
+    ("Leading", "Lagging"): "Weekly Lead / Mo Lag",
+    ("Improving", "Lagging"): "Weekly Imp / Mo Lag",
+    ("Weakening", "Lagging"): "Both Bearish",
+    ("Lagging", "Lagging"): "Both Lagging",
+}
+TIMEFRAME_SCORE = {
+    "Both Leading": 100,
+    "Weekly Imp / Mo Leading": 85,
+    "Weekly Lead / Mo Imp": 80,
+    "Both Improving": 75,
+    "Pullback (Mo Leading)": 60,
+    "Deep Pullback (Mo Lead)": 50,
+    "Weekly Weak / Mo Imp": 45,
+    "Weekly Lag / Mo Imp": 40,
+    "Weekly Lead / Mo Weak": 35,
+    "Weekly Imp / Mo Weak": 30,
+    "Both Weakening": 25,
+    "Both Bearish": 10,
+    "Weekly Lead / Mo Lag": 30,
+    "Weekly Imp / Mo Lag": 25,
+    "Both Lagging": 0,
+}
+# Order of the labels, from weakest to strongest.
+SEVERITY_ORDER = ("Confirmed Exit", "Weakening", "Neutral / Watch", "Pullback in Uptrend", "Early Signal", "Confirmed", "Confirmed + ATH", "Strong Confirmed", "Strong Confirmed + ATH", "Both TF Confirmed", "Both TF Confirmed + ATH")
 
 PARTS: dict[str, str] = {}
 FINAL: dict[str, str] = {}
@@ -70,6 +108,10 @@ FINAL |= {
     "stitched_bars": f"SELECT {BAR} FROM all_bars WHERE date < '1997-01-01' UNION ALL SELECT {BAR} FROM all_bars JOIN (SELECT symbol, max(date) AS last FROM all_bars WHERE date < '1997-01-01' GROUP BY symbol) USING (symbol) WHERE date > last AND date >= '1996-06-01'",
     "ingested_bars": f"""SELECT {BAR} FROM (SELECT a.*, last, (SELECT max(date) FROM all_bars WHERE date <= '1997-06-30' AND NOT ends_with(symbol, '3')) AS seen FROM all_bars a JOIN (SELECT symbol, max(date) AS last FROM all_bars WHERE date < '1997-01-01' AND NOT (ends_with(symbol, '3') AND date >= '1996-03-01') GROUP BY symbol) USING (symbol))
       WHERE date <= last OR (date > last AND date >= '1996-06-01' AND (NOT ends_with(symbol, '3') OR date > seen - 10))""",
+    "stitched_spellings": f"""SELECT CASE WHEN CAST(symbol AS INTEGER) % 3 = 1 THEN 'K-' ELSE 'K.' END || symbol AS symbol, date, open, high, low, close, volume FROM (SELECT {BAR}, max(date) FILTER (date < '1997-01-01') OVER (PARTITION BY symbol) AS last FROM all_bars)
+      WHERE date <= last OR date > last AND date >= '1996-06-01'""",
+    "universe_by_source": "SELECT * FROM universe",
+    "universe_table": "SELECT * FROM universe WHERE group_name IN ('large', 'mid')",
     "history_cutoff": "SELECT max(date) AS cutoff FROM all_bars WHERE symbol = coalesce((SELECT any_value(symbol) FROM all_bars WHERE symbol = '7'), (SELECT any_value(symbol) FROM all_bars WHERE symbol = '3'), '1')",
     "snapshot_dates": f"SELECT max(date) AS date FROM bars WHERE date >= '1995-01-01' GROUP BY {WEEK}",
     "filled_closes": """SELECT symbol, date, close FROM (SELECT m.symbol, g.date, last_value(b.close IGNORE NULLS) OVER (PARTITION BY m.symbol ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS close

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from orrery.plans.sql import BAR, FINAL, OHLC, PARTS, RESAMPLED, WEEK, ibd, part, pct, r, sma
 
 # -- market clock ----------------------------------------------------------------------------------------------------
@@ -162,9 +164,18 @@ FINAL |= {
     "universe_file": "SELECT * FROM universe WHERE group_name IN ('large', 'mid')",
     "ranged_slice": f"SELECT {BAR} FROM all_bars WHERE date BETWEEN '1996-01-01' AND '1996-12-31' AND high > low",
     "score_buckets_on_disk": "SELECT cap_bucket, count(*) AS n FROM stock_scores GROUP BY ALL",
-    "history_on_disk": "SELECT industry_key, date, sctr FROM hist",
+    "history_on_disk": "SELECT industry_key, date, sctr, rs_ratio, rs_momentum FROM hist",
     "last_caps": "SELECT * FROM caps",
 }
+# -- the same with filters that reject rows --------------------------------------------------------------------------
+
+for _name in ("scr1", "scr2"):
+    part(f"buy_{_name}", re.sub(r"\bscr1\b", "buy_scr1", PARTS[_name]).replace("('STRONG BUY', 'BUY', 'HOLD', 'WATCH', 'CAUTION', 'EXIT')", "('STRONG BUY', 'BUY')").replace("minervini_count >= 1", "minervini_count >= 3"))
+FINAL |= {
+    "leaders_by_score": "SELECT * FROM ldn WHERE leader_score >= 3",
+    "ranked_correction_leaders": FINAL["correction_leaders"] + " AND sctr >= 60",
+    "buy_screen": PARTS["screen"].replace("scr2", "buy_scr2"),
+}
 # -- index on the dates of all stocks --------------------------------------------------------------------------------
 
 part("uni_dates", "SELECT DISTINCT date FROM bars")

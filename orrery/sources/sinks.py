@@ -32,6 +32,12 @@ def write_history(history: DataFrame, path: str, industry_names: list[str]) -> N
         wide(history, value, industry_names).write.mode("overwrite").parquet(f"{path}/{value}")
 
 
+def write_universe_jdbc(universe: DataFrame, url: str, table: str, **options: str) -> None:
+    """The universe as a database table, with columns that can be compared (some dialects make large objects of strings)."""
+    kinds = "ticker VARCHAR(64), group_name VARCHAR(64)"
+    universe.write.format("jdbc").options(url=url, dbtable=table, createTableColumnTypes=kinds, **options).save()
+
+
 def all_buckets(spark: SparkSession, path: str, as_of: str) -> DataFrame:
     """Stock scores of all buckets of the last date up to ``as_of``: the union of what was written bucket by bucket."""
     return catalogue.snapshot(spark, path, as_of)

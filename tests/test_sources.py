@@ -108,3 +108,15 @@ def test_volume_after_none_counts_as_more():
     assert c.bar("d", 98.0, 99.0, 5.0, clock.Limits())["event"] == "Distribution"
     c = clock.Clock(state=clock.UPTREND, last_close=100.0, last_volume=0.0)
     assert c.bar("d", 98.0, 99.0, 0.0, clock.Limits())["event"] is None
+
+
+def test_universe_from_a_database(spark):
+    url, driver = "jdbc:derby:memory:test;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = [(f"T{i}", ("large", "mid", "small", "micro")[i % 4], float(i) if i != 7 else None) for i in range(40)]
+    sinks.write_universe_jdbc(spark.createDataFrame(rows, "ticker string, group_name string, market_cap double"), url, "u", driver=driver)
+    found = readers.universe_jdbc(spark, url, "u", ("large", "micro"), partitions=4, driver=driver)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted((r for r in rows if r[1] in ("large", "micro")), key=str)
+    assert found.rdd.getNumPartitions() == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*In(group_name" in plan
+    assert readers.universe_jdbc(spark, url, "u", ("none",), partitions=4, driver=driver).count() == 0
