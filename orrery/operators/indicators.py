@@ -56,9 +56,11 @@ def last_closes(bars: DataFrame, key: str) -> DataFrame:
 BLOCK_DAYS = 512
 
 
-def exponential(frame: DataFrame, keys: list[str], means: dict[str, tuple[str, int]], min_periods: bool = False) -> DataFrame:
+def exponential(frame: DataFrame, keys: list[str], means: dict[str, tuple[str, int]], min_periods: bool = False, start: DataFrame | None = None) -> DataFrame:
     """``frame`` (keys, date, ...) with an exponential mean for each name in ``means``: name to (column, span of 2 or more).
 
+    ``start`` (keys, names) gives the means before the first row, of keys that go on from an earlier table.
+
     An associative scan: (decay, value) pairs are combined inside blocks of a key's rows, the blocks' totals are combined in
     order, and what comes in from earlier blocks is added, decayed, to each row. Blocks are dealt out on their own, so a key's
     rows can lie in many tasks; only one row a block meets in a task of its key. The first value starts the mean; a null
@@ -83,10 +85,14 @@ def exponential(frame: DataFrame, keys: list[str], means: dict[str, tuple[str, i
     order = Window.partitionBy(*keys).orderBy("_block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
 
+    if start is not None:
+        ends = ends.join(start.select(*keys, *(F.col(name).alias(f"_{name}_start") for name in means)), keys, "left")
+
     def carried(name: str, x: str) -> Column:
-        start = F.first(f"_{x}_first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        first = F.first(f"_{x}_first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        begin = first if start is None else F.coalesce(f"_{name}_start", first)
         steps = F.collect_list(F.struct(keep[name].alias("decay"), F.col(f"_{name}_end").alias("end"))).over(before)
-        return F.aggregate(steps, start, lambda total, step: total * step["decay"] + step["end"]).alias(f"_{name}_in")
+        return F.aggregate(steps, begin, lambda total, step: total * step["decay"] + step["end"]).alias(f"_{name}_in")
 
     seen = [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in counted.values()]
     ends = ends.select(*block, *(carried(name, x) for name, (x, _) in means.items()), *seen)
@@ -103,14 +109,27 @@ def ewm_series(frame: DataFrame, key: str, spans: dict[str, int], min_periods: b
     return exponential(frame, scope(frame, key), {name: ("close", span) for name, span in spans.items()}, min_periods)
 
 
-def ppo_slope_series(frame: DataFrame, key: str) -> DataFrame:
-    """(key, date, close, ppo_slope): the PPO(12, 26, 9) histogram's three-day slope on every row, null on the first three."""
+def ppo_parts(frame: DataFrame, key: str, start: DataFrame | None = None) -> DataFrame:
+    """(key, date, close, fast, slow, signal, hist): the means of the PPO(12, 26, 9) and its histogram on every row.
+
+    ``start``: (key, fast, slow, signal) after the last row of an earlier table that this one goes on from.
+    """
     keys = scope(frame, key)
-    means = exponential(frame.select(*keys, "date", "close"), keys, {"_fast": ("close", 12), "_slow": ("close", 26)})
-    ppo = means.withColumn("_ppo", F.when(F.col("_slow") != 0, (F.col("_fast") - F.col("_slow")) / F.col("_slow") * 100))
-    hist = exponential(ppo, keys, {"_signal": ("_ppo", 9)}).withColumn("_hist", F.col("_ppo") - F.col("_signal"))
-    slope = (F.col("_hist") - F.lag("_hist", 3).over(Window.partitionBy(*keys).orderBy("date"))) / 3
-    return hist.select(*keys, "date", "close", F.when(slope.isNotNull(), clip(slope, -50.0, 50.0)).alias("ppo_slope"))
+    means = exponential(frame.select(*keys, "date", "close"), keys, {"fast": ("close", 12), "slow": ("close", 26)}, start=start)
+    ppo = means.withColumn("_ppo", F.when(F.col("slow") != 0, (F.col("fast") - F.col("slow")) / F.col("slow") * 100))
+    return exponential(ppo, keys, {"signal": ("_ppo", 9)}, start=start).withColumn("hist", F.col("_ppo") - F.col("signal")).drop("_ppo")
+
+
+def slopes(parts: DataFrame, key: str) -> DataFrame:
+    """(key, date, close, ppo_slope) from ``ppo_parts``: the histogram's three-day slope, null on the first three rows."""
+    keys = scope(parts, key)
+    slope = (F.col("hist") - F.lag("hist", 3).over(Window.partitionBy(*keys).orderBy("date"))) / 3
+    return parts.select(*keys, "date", "close", F.when(slope.isNotNull(), clip(slope, -50.0, 50.0)).alias("ppo_slope"))
+
+
+def ppo_slope_series(frame: DataFrame, key: str) -> DataFrame:
+    """(key, date, close, ppo_slope) of every row."""
+    return slopes(ppo_parts(frame, key), key)
 
 
 def run_length(flag: Column, keys: list[str], order: str = "date") -> Column:

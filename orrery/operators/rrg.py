@@ -60,16 +60,26 @@ def history(daily_index: DataFrame, weekly_rotation: DataFrame, industries: Data
     Daily raw scores count for a week within 5 days, rotation within 30; weeks with neither are left out. All weeks are
     computed at once.
     """
-    k = scope(daily_index, "industry_key")
     dates = weekly_dates(daily_index.select(*scope(daily_index), "date"), start)
-    raw = snap(component_series(daily_index), dates, k, ["raw_score"], 5, nulls=False)
-    ranked = raw.withColumn("sctr", sctr_rank(F.col("raw_score"), scope(daily_index, "date")))
+    return history_rows(component_series(daily_index), weekly_rotation, dates, industries)
+
+
+def history_rows(series: DataFrame, weekly_rotation: DataFrame, dates: DataFrame, industries: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The history of some weeks (``dates``), from component series and rotation that reach back far enough for them.
+
+    ``before``: the last four rows of each industry in the history that these weeks follow.
+    """
+    k = scope(series, "industry_key")
+    raw = snap(series, dates, k, ["raw_score"], 5, nulls=False)
+    ranked = raw.withColumn("sctr", sctr_rank(F.col("raw_score"), scope(series, "date")))
     turned = snap(weekly_rotation, dates, k, ["rs_ratio", "rs_momentum"], 30, nulls=False)
     both = ranked.join(turned, [*k, "date"], "full").where("sctr is not null or rs_ratio is not null")
     r, m, w = F.col("rs_ratio"), F.col("rs_momentum"), by(*k)
     out = both.withColumn("quadrant", quadrant(r, m)).withColumn("rs_ratio", np_round(r, 3)).withColumn("rs_momentum", np_round(m, 3))
+    if before is not None:
+        out = out.withColumn("_new", F.lit(True)).unionByName(before.select(*k, "date", "rs_ratio", "rs_momentum"), allowMissingColumns=True)
     out = out.withColumn("tail_direction", tail_direction(r, m, F.lag(r, 4).over(w), F.lag(m, 4).over(w)))
-    named = enrich(out, industries)
+    named = enrich(out if before is None else out.where("_new"), industries)
     return named.select("date", *k, "sector_name", "industry_name", "sctr", np_round(F.col("raw_score"), 4).alias("raw_score"), "rs_ratio", "rs_momentum", "quadrant", "tail_direction")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.columns import by, min_rank_desc, np_round, pct_change, scope, sctr_rank, sma
 from orrery.operators.bars import filled
-from orrery.operators.indicators import last_closes, ppo_slope, ppo_slope_series
+from orrery.operators.indicators import last_closes, ppo_parts, ppo_slope, slopes
 
 # Weights of the components.
 WEIGHTS = {"c1_14m_roc": 0.30, "c2_sma200_pct": 0.15, "c3_9m_roc": 0.15, "c4_sma50_pct": 0.15, "c5_3m_roc": 0.10, "c6_ppo_slope": 0.15}
@@ -105,17 +105,17 @@ def bucket_summary(stock_scores: DataFrame) -> DataFrame:
     return stock_scores.groupBy("cap_bucket").agg(F.count("*").alias("stocks"), np_round(F.median("sctr"), 1).alias("median_sctr"), F.max("sctr").alias("max_sctr"))
 
 
-def component_series(index: DataFrame, key: str = "industry_key") -> DataFrame:
+def component_series(index: DataFrame, key: str = "industry_key", parts: DataFrame | None = None) -> DataFrame:
     """The six components and the raw score of every day, null where history is short.
 
     Monthly changes count from the end of their month on: a day takes those of its own month only if it is the month's
-    last calendar day, else those of the month before.
+    last calendar day, else those of the month before. ``parts``: the rows of ``ppo_parts``, where they are known.
     """
     k = scope(index, key)
     w = by(*k)
     months = month_ends(index, key)
     months = months.select(*k, F.col("date").alias("_month"), *(pct_change(F.col("close"), F.lag("close", n).over(w)).alias(c) for c, n in MONTHS.items()))
-    days = ppo_slope_series(index, key)
+    days = slopes(ppo_parts(index, key) if parts is None else parts, key)
     days = days.withColumn("_month", F.when(F.col("date") == F.last_day("date"), F.col("date")).otherwise(F.last_day(F.add_months("date", -1))))
     # a month without bars takes the changes of the month before it
     joined = days.join(months, [*k, "_month"], "left")

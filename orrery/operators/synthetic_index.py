@@ -62,17 +62,18 @@ def synthetic_index(
     grid: str = "industry",
     trim: bool = True,
     keep: Callable[[DataFrame], DataFrame] = lambda frame: frame,
+    weighted: DataFrame | None = None,
 ) -> DataFrame:
     """(industry_key, date, close, members): a level that starts at 1000 and chains weighted simple returns.
 
     ``fill`` and ``min_symbol_rows`` may be columns of the table's keys, as of its frequency. Gaps of up to ``fill`` rows are filled, a return with a missing side counts as zero. ``grid`` takes the dates of the
     industry's constituents or of all symbols ("universe"). ``trim`` drops the flat rows before the first return.
-    ``keep`` may write the constituents' closes out, which weights, dates and returns all start from.
+    ``weighted`` may give the weights. ``keep`` may write the constituents' closes out, which weights, dates and returns all start from.
     Shuffles: bars by symbol, returns by (industry, date) with partial sums, levels by industry.
     """
     s, k = scope(bars), scope(bars, "industry_key")
     closes = keep(member_closes(bars, membership))
-    weighted = _weights(closes, min_symbol_rows, min_members)
+    weighted = _weights(closes, min_symbol_rows, min_members) if weighted is None else weighted
     counts = weighted.groupBy(*k).agg(F.first("members").alias("members"))
     if grid == "universe":
         # an industry's level on every trading day is the result itself; days are few

@@ -43,7 +43,7 @@ class Market:
     spark: SparkSession
     sf_dir: str
     dates: tuple[str, ...] = ()
-    freqs: tuple[str, ...] = ("d", "w", "m")
+    freqs: tuple[str, ...] = ("d",)
 
     @cached_property
     def trades(self) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import columns as C
 from orrery.operators import bars as B
-from orrery.operators import breadth, clock, delta, indicators, leaders, reports, rotation, rrg, sctr, synthetic_index, trend
+from orrery.operators import breadth, clock, delta, incremental, indicators, leaders, reports, rotation, rrg, sctr, synthetic_index, trend
 from orrery.plans import sql, sql_market
 from orrery.plans.fixtures import Market, kept
 from orrery.sources import readers, sinks
@@ -25,12 +25,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(fn: Callable[[Market], DataFrame]) -> Callable[[Market], DataFrame]:
-    """Register a query on the market model under its function's name."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Market(spark, sf_dir))
+def query(fn: Callable[[Market], DataFrame], freqs: tuple[str, ...] = ("d",)) -> Callable[[Market], DataFrame]:
+    """Register a query on the market model under its function's name; ``freqs``: the indexes that it has built together."""
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Market(spark, sf_dir, freqs=freqs))
     return fn
 
 
+def query_of(*freqs: str) -> Callable:
+    return lambda fn: query(fn, freqs)
+
+
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that engines that sum in another order agree."""
     return frame.select(*(C.np_round(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in frame.schema))
@@ -299,17 +303,25 @@ def rrg_tails(m: Market) -> DataFrame:
     return rrg.tail_points(m.weekly_rrg)
 
 
-@query
+@query_of("d", "w")
 def industry_history(m: Market) -> DataFrame:
     return m.history
 
 
 @query
+def history_in_steps(m: Market) -> DataFrame:
+    """The weekly history built in three steps, each from its own bars and the state that the one before has published."""
+    series = B.close_series(m.all_bars, incremental.FREQS)
+    weights = kept(synthetic_index.weights(series, m.membership, F.when(F.col("freq") == "d", 100).otherwise(60)))
+    return incremental.replay(m.all_bars, m.membership, weights, m.week_benchmark, m.industries, sinks.shared_path(m.spark, "steps"), ("1997-12-28", "1998-06-28", LATER), kept)
+
+
+@query_of("d", "w")
 def history_stats(m: Market) -> DataFrame:
     return rrg.history_stats(m.history)
 
 
-@query
+@query_of("d", "w")
 def rs_ma_signals(m: Market) -> DataFrame:
     return m.ma
 
@@ -374,12 +386,12 @@ def signal_distribution(m: Market) -> DataFrame:
     return reports.distribution(m.momentum, "faber_signal", "mg_signal")
 
 
-@query
+@query_of("d", "w", "m")
 def rotation_composite(m: Market) -> DataFrame:
     return m.composite
 
 
-@query
+@query_of("d", "w")
 def history_scores(m: Market) -> DataFrame:
     return rotation.history_scores(m.history)
 
@@ -389,17 +401,17 @@ def ma_structure(m: Market) -> DataFrame:
     return rotation.ma_structure(m.index)
 
 
-@query
+@query_of("d", "w", "m")
 def rotation_severity(m: Market) -> DataFrame:
     return m.severity
 
 
-@query
+@query_of("d", "w", "m")
 def severity_distribution(m: Market) -> DataFrame:
     return reports.severity_distribution(m.severity)
 
 
-@query
+@query_of("d", "w", "m")
 def enriched_severity(m: Market) -> DataFrame:
     return reports.enriched_severity(m.severity, m.momentum).select("industry_key", "severity_score", "mg_pct", "mg_signal")
 
@@ -544,7 +556,7 @@ def breadth_change(m: Market) -> DataFrame:
 
 def _snapshots(m: Market) -> DataFrame:
     """Severity at two dates: one plan, in which the date is a key; its few rows are kept for the readers that follow."""
-    rows = Market(m.spark, m.sf_dir, (EARLIER, LATER)).severity
+    rows = Market(m.spark, m.sf_dir, (EARLIER, LATER), ("d", "w", "m")).severity
     return kept(rows.withColumn("as_of", F.least("as_of", F.lit("1998-12-31").cast("date"))))
 
 
@@ -569,13 +581,13 @@ def full_template(m: Market) -> DataFrame:
     return reports.full_template(m.stages).select("industry_key", "stage", "minervini_count")
 
 
-@query
+@query_of("d", "w", "m")
 def filtered_severity(m: Market) -> DataFrame:
     kept = reports.severity_filter(m.severity, signals=["HOLD", "CAUTION", "EXIT"], labels=["Neutral / Watch", "Weakening", "Early Signal", "Confirmed"])
     return kept.select("industry_key", "severity_label", "faber_signal")
 
 
-@query
+@query_of("d", "w")
 def latest_week_top(m: Market) -> DataFrame:
     return rrg.latest_top(m.history).select("industry_key", "date", "sctr", "rs_ratio")
 
@@ -651,7 +663,7 @@ def score_buckets_on_disk(m: Market) -> DataFrame:
     return reports.distribution(sinks.all_buckets(m.spark, path, "1998-12-31"), "cap_bucket")
 
 
-@query
+@query_of("d", "w")
 def history_on_disk(m: Market) -> DataFrame:
     """Scores, ratios and momenta of the history from its three date by industry tables."""
     path = sinks.shared_path(m.spark, "history")

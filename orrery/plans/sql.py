@@ -414,6 +414,7 @@ FINAL |= {
     "ppo_slope_days": f"SELECT industry_key, date, {r('ppo_slope', 6)} AS ppo_slope FROM slope_ind",
     "score_series": f"SELECT industry_key, date, {r('raw_score', 3)} AS raw_score FROM ser",
     "industry_history": "SELECT * FROM hist",
+    "history_in_steps": "SELECT * FROM hist",
     "history_stats": "SELECT count(*) AS rows, count(DISTINCT date) AS dates, count(DISTINCT industry_key) AS industries, min(date) AS first_date, max(date) AS last_date FROM hist",
     "rs_ma_signals": "SELECT *, CAST(row_number() OVER (ORDER BY list_position(['RS Cross Up', 'RS Above MA (rising)', 'RS Above MA', 'RS Above MA (fading)', 'RS Below MA (recovering)', 'RS Cross Down', 'RS Below MA', 'RS Below MA (falling)'], rs_ma_signal), weeks_above_ma DESC, industry_key) AS INTEGER) AS rank FROM rsma4",
 }
