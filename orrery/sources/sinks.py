@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -43,15 +45,32 @@ def all_buckets(spark: SparkSession, path: str, as_of: str) -> DataFrame:
     return catalogue.snapshot(spark, path, as_of)
 
 
+#: Folders that ``shared_path`` has given out, with the settings of their file system.
+_SCRATCH: list[tuple] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder where driver and executors both can write: under spark.checkpoint.dir. A local session (tests) may do
-    without that setting and gets a temporary folder; a cluster may not."""
+    without that setting and gets a temporary folder; a cluster may not. Results are lazy and read from it at any later time,
+    so it is deleted when the driver's Python ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not _SCRATCH:
+        atexit.register(_remove_scratch)
+    _SCRATCH.append((place, spark.sparkContext._jsc.hadoopConfiguration()))
+    return path
+
+
+def _remove_scratch() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, or the store out of reach
+        for place, conf in _SCRATCH:
+            place.getFileSystem(conf).delete(place, True)
+
 
 
 def _write_named(rows: DataFrame, key: str, order: list[str], name: Callable[[str], str]) -> str:
