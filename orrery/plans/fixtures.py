@@ -44,6 +44,11 @@ class Market:
     sf_dir: str
     dates: tuple[str, ...] = ()
     freqs: tuple[str, ...] = ("d",)
+    shared: bool = True
+
+    def _kept(self, frame: DataFrame) -> DataFrame:
+        """``frame``, kept unless this market has one reader for each of its tables."""
+        return kept(frame) if self.shared else frame
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -63,7 +68,7 @@ class Market:
     @cached_property
     def all_bars(self) -> DataFrame:
         """Daily bars of all stocks; week and month bars, indexes and indicators start from this table, not from trades."""
-        return kept(self._bars(self.trades, "stock"))
+        return self._kept(self._bars(self.trades, "stock"))
 
     @cached_property
     def dated_bars(self) -> DataFrame:
@@ -77,7 +82,7 @@ class Market:
     def daily_benchmark(self) -> DataFrame:
         # the mean of whole cents: no engine's order of summing changes it
         mean = F.sum(F.round(F.col("px") * 100).cast("long")) / F.count("*") / 100
-        return kept(self.trades.groupBy("date").agg(mean.alias("close"), F.min("px").alias("low"), F.max("px").alias("high"), F.sum("qty").alias("volume")).withColumn("symbol", F.lit(BENCHMARK)))
+        return self._kept(self.trades.groupBy("date").agg(mean.alias("close"), F.min("px").alias("low"), F.max("px").alias("high"), F.sum("qty").alias("volume")).withColumn("symbol", F.lit(BENCHMARK)))
 
     @cached_property
     def all_benchmark(self) -> DataFrame:
@@ -95,7 +100,7 @@ class Market:
 
     @cached_property
     def caps(self) -> DataFrame:
-        return kept(read(self.spark, self.sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol")).agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), 0).cast("double").alias("market_cap")))
+        return self._kept(read(self.spark, self.sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol")).agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), 0).cast("double").alias("market_cap")))
 
     @cached_property
     def membership(self) -> DataFrame:
@@ -120,7 +125,7 @@ class Market:
         if group not in self._indexes:
             at = F.col("freq")
             options = {"fill": F.when(at == "d", 5).otherwise(2), "min_symbol_rows": F.when(at == "d", 100).when(at == "w", 60).otherwise(24)}
-            self._indexes[group] = kept(synthetic_index.synthetic_index(B.close_series(self.dated_bars, group), self.membership, keep=kept, **options))
+            self._indexes[group] = self._kept(synthetic_index.synthetic_index(B.close_series(self.dated_bars, group), self.membership, keep=kept, **options))
         return self._indexes[group].where(F.col("freq") == freq).drop("freq")
 
     @cached_property

@@ -25,9 +25,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(fn: Callable[[Market], DataFrame], freqs: tuple[str, ...] = ("d",)) -> Callable[[Market], DataFrame]:
+def query(fn: Callable[[Market], DataFrame], freqs: tuple[str, ...] = ("d",), shared: bool = True) -> Callable[[Market], DataFrame]:
     """Register a query on the market model under its function's name; ``freqs``: the indexes that it has built together."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Market(spark, sf_dir, freqs=freqs))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Market(spark, sf_dir, freqs=freqs, shared=shared))
     return fn
 
 
@@ -35,6 +35,11 @@ def query_of(*freqs: str) -> Callable:
     return lambda fn: query(fn, freqs)
 
 
+def single(fn: Callable[[Market], DataFrame]) -> Callable[[Market], DataFrame]:
+    """Register a query that reads each of its tables once, so that none is written out."""
+    return query(fn, shared=False)
+
+
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that engines that sum in another order agree."""
     return frame.select(*(C.np_round(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in frame.schema))
@@ -43,22 +48,22 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
 # -- bars ------------------------------------------------------------------------------------------------------------
 
 
-@query
+@single
 def stock_bars(m: Market) -> DataFrame:
     return m.all_bars
 
 
-@query
+@single
 def weekday_bars(m: Market) -> DataFrame:
     return m.bars
 
 
-@query
+@single
 def monthly_bars(m: Market) -> DataFrame:
     return B.monthly(m.all_bars)
 
 
-@query
+@single
 def weekly_bars(m: Market) -> DataFrame:
     return B.weekly(m.all_bars)
 
@@ -70,22 +75,22 @@ def merged_months(m: Market) -> DataFrame:
     return B.merge_monthly(old, m.all_bars.where("date >= '1997-06-10'"))
 
 
-@query
+@single
 def benchmark_bars(m: Market) -> DataFrame:
     return rounded(m.all_benchmark)
 
 
-@query
+@single
 def market_caps(m: Market) -> DataFrame:
     return m.caps
 
 
-@query
+@single
 def universe_buckets(m: Market) -> DataFrame:
     return readers.universe_by_cap(m.caps.withColumnRenamed("symbol", "ticker"), 32.4e6, 31.3e6, 28.0e6)
 
 
-@query
+@single
 def universe_summary(m: Market) -> DataFrame:
     return readers.universe_summary(m.universe)
 
@@ -117,7 +122,7 @@ def history_cutoff(m: Market) -> DataFrame:
     return readers.history_cutoff(m.all_bars, ["none", "7", "3", "1"])
 
 
-@query
+@single
 def snapshot_dates(m: Market) -> DataFrame:
     return B.weekly_dates(m.bars.select("date").distinct(), "1995-01-01")
 
@@ -138,7 +143,7 @@ def as_of_closes(m: Market) -> DataFrame:
     return B.snap(m.bars.select("symbol", "date", "close"), B.weekly_dates(m.bars.select("date").distinct()), ["symbol"], ["close"], 5)
 
 
-@query
+@single
 def aligned_strength(m: Market) -> DataFrame:
     """Ratio of each stock to the benchmark on common dates, from 1 at its first."""
     rows = B.align(m.bars.select("symbol", "date", "close"), m.benchmark)
@@ -149,13 +154,13 @@ def aligned_strength(m: Market) -> DataFrame:
 # -- indicators ------------------------------------------------------------------------------------------------------
 
 
-@query
+@single
 def moving_averages(m: Market) -> DataFrame:
     w = C.by("symbol")
     return rounded(m.bars.select("symbol", "date", *(C.sma(F.col("close"), w, n).alias(f"sma{n}") for n in (50, 150, 200)), C.pct_change(F.col("close"), F.lag("close", 63).over(w)).alias("roc63")))
 
 
-@query
+@single
 def year_range(m: Market) -> DataFrame:
     """52-week high, low and place in the range, running peak and drawdown of each stock."""
     w = C.by("symbol")
@@ -171,7 +176,7 @@ def exponential_means(m: Market) -> DataFrame:
     return rounded(indicators.ewm_series(m.bars.select("symbol", "date", "close"), "symbol", {"ema12": 12, "ema26": 26}))
 
 
-@query
+@single
 def ppo_slopes(m: Market) -> DataFrame:
     ends = indicators.last_closes(m.bars, "symbol")
     return rounded(ends.select("symbol", "n", indicators.ppo_slope(F.col("closes")).alias("ppo_slope")))
@@ -182,24 +187,24 @@ def ppo_slope_days(m: Market) -> DataFrame:
     return rounded(indicators.ppo_slope_series(m.index, "industry_key").select("industry_key", "date", "ppo_slope"))
 
 
-@query
+@single
 def zscores(m: Market) -> DataFrame:
     return rounded(m.index.select("industry_key", "date", C.zscore_100(F.col("close"), C.by("industry_key"), 10).alias("z")))
 
 
-@query
+@single
 def closing_ranges(m: Market) -> DataFrame:
     h, low, c = F.col("high"), F.col("low"), F.col("close")
     return rounded(m.clock_bars.select("symbol", "date", (F.try_divide(c - low, h - low) * 100).alias("closing_range")))
 
 
-@query
+@single
 def volume_change(m: Market) -> DataFrame:
     w = C.by("symbol")
     return rounded(m.clock_bars.select("symbol", "date", C.pct_change(F.col("close"), F.lag("close").over(w)).alias("pct_chg"), F.try_divide(F.col("volume"), F.lag("volume").over(w)).alias("vol_ratio")))
 
 
-@query
+@single
 def up_runs(m: Market) -> DataFrame:
     """Length of the run of rising closes that ends at each bar."""
     w = C.by("symbol")
@@ -223,32 +228,32 @@ def constituent_weights(m: Market) -> DataFrame:
     return rounded(synthetic_index.weights(m.bars, m.membership), 9)
 
 
-@query
+@single
 def synthetic_daily(m: Market) -> DataFrame:
     return rounded(m.index, 4)
 
 
-@query
+@single
 def synthetic_weekly(m: Market) -> DataFrame:
     return rounded(m.weekly_index, 4)
 
 
-@query
+@single
 def synthetic_monthly(m: Market) -> DataFrame:
     return rounded(m.monthly_index, 4)
 
 
-@query
+@single
 def stock_sctr(m: Market) -> DataFrame:
     return m.stock_scores
 
 
-@query
+@single
 def bucket_summary(m: Market) -> DataFrame:
     return sctr.bucket_summary(m.stock_scores)
 
 
-@query
+@single
 def top_stocks_by_bucket(m: Market) -> DataFrame:
     return reports.top_per_group(m.stock_scores.select("ticker", "cap_bucket", "sctr"), "cap_bucket", F.col("sctr").desc(), "ticker", 10)
 
@@ -351,7 +356,7 @@ def stage_analysis(m: Market) -> DataFrame:
     return m.stages
 
 
-@query
+@single
 def stock_stages(m: Market) -> DataFrame:
     return trend.stage_metrics(m.bars, "symbol")
 
@@ -419,12 +424,12 @@ def enriched_severity(m: Market) -> DataFrame:
 # -- market and stocks -----------------------------------------------------------------------------------------------
 
 
-@query
+@single
 def market_clock(m: Market) -> DataFrame:
     return m.clock
 
 
-@query
+@single
 def clock_trace(m: Market) -> DataFrame:
     return rounded(clock.trace(m.clock_bars, clock.Limits(correction_drop=3.0)))
 
@@ -650,7 +655,7 @@ def universe_table(m: Market) -> DataFrame:
     return readers.universe_jdbc(m.spark, url, "universe", ("large", "mid"), partitions=4, driver=DERBY)
 
 
-@query
+@single
 def ranged_slice(m: Market) -> DataFrame:
     return readers.slice_ohlcv(m.all_bars, "1996-01-01", "1996-12-31")
 
@@ -676,7 +681,7 @@ def history_on_disk(m: Market) -> DataFrame:
     return found.drop("industry_name")
 
 
-@query
+@single
 def bars_round_trip(m: Market) -> DataFrame:
     """Bars written by as-of date and read back as the last snapshot up to a date."""
     return sinks.round_trip(m.bars, "1998-12-31")
