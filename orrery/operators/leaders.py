@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.columns import by, clip, np_round, pct_change, position, sma
+from orrery.functions.columns import by, clip, np_round, pct_change, sma
 from orrery.operators.indicators import ewm_series
+from orrery.operators.ranks import with_position
 from orrery.operators.sctr import enrich
 
 
@@ -105,7 +106,7 @@ def closing_range_leaders(bars: DataFrame, benchmark: DataFrame, window: DataFra
     ).where(F.col("leader_score") >= min_score)
     named = enrich(out.join(members.withColumnRenamed("symbol", "ticker"), "ticker"), industries).drop("sector_key")
     named = named.join(F.broadcast(momentum.select("industry_key", "faber_signal")), "industry_key", "left").withColumn("faber_signal", F.coalesce("faber_signal", F.lit("")))
-    return named.withColumn("rank", position(F.col("leader_score").desc(), F.col("cr_mean").desc(), F.col("ticker"), F.col("industry_key")))
+    return with_position(named, "rank", F.col("leader_score").desc(), F.col("cr_mean").desc(), F.col("ticker"), F.col("industry_key"))
 
 
 def correction_leaders(bars: DataFrame, benchmark: DataFrame, window: DataFrame, scores: DataFrame, membership: DataFrame, industries: DataFrame, min_sctr: float = 60.0, min_share: float = 0.50, min_rows: int = 200, min_days: int = 3) -> DataFrame:
@@ -159,4 +160,4 @@ def correction_leaders(bars: DataFrame, benchmark: DataFrame, window: DataFrame,
     ).where(F.col("above_50sma") & (F.col("cr_above_60_pct") >= min_share * 100))
     member = membership.groupBy(F.col("symbol").alias("ticker")).agg(F.min("industry_key").alias("industry_key"))
     named = enrich(out.join(member, "ticker", "left"), industries).drop("sector_key")
-    return named.withColumn("rank", position(F.col("composite").desc(), F.col("ticker")))
+    return with_position(named, "rank", F.col("composite").desc(), F.col("ticker"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.columns import STAGE_SCORE, by, faber_signal, lookup, min_rank_desc, momentum_label, np_round, pct_change, percentile_1_99, position, quintile, scope, stage
 from orrery.operators.bars import align
+from orrery.operators.ranks import with_percentile, with_position
 from orrery.operators.sctr import enrich, short_term_raw
 
 MIN_DAYS, SLOPE_ROWS, YEAR = 210, 20, 252
@@ -153,12 +154,13 @@ def stock_screener(
     rows = rows.join(industry_stages.select("industry_key", F.col("stage").alias("ind_stage")), "industry_key", "left")
     rows = rows.join(leaders.select(F.col("ticker").alias("symbol"), F.col("leader_score").alias("cr_score")), "symbol", "left")
     rows = rows.join(scores.select(F.col("ticker").alias("symbol"), "sctr"), "symbol", "left").join(earlier_scores.select(F.col("ticker").alias("symbol"), F.col("sctr").alias("sctr_hist")), "symbol", "left")
-    rows = rows.withColumn("cr_score", F.coalesce("cr_score", F.lit(0))).withColumn("sctr", F.coalesce("sctr", F.lit(50.0))).withColumn("rs_pct", percentile_1_99(F.col("rs_12m")))
+    rows = rows.withColumn("cr_score", F.coalesce("cr_score", F.lit(0))).withColumn("sctr", F.coalesce("sctr", F.lit(50.0)))
+    rows = with_percentile(rows, "rs_pct", "rs_12m", "symbol")
     kept = rows.where(F.col("stage").isin(*stages) & (F.col("minervini_count") >= min_criteria))
     score = F.coalesce(F.col("rs_pct"), F.lit(50)) * 0.35 + F.col("stage_score") * 0.30 + F.col("minervini_count") / 7 * 100 * 0.15 + F.col("sctr") * 0.10 + F.col("cr_score") / 5 * 100 * 0.10
-    kept = enrich(kept.withColumn("composite", np_round(score, 1)), industries).withColumn("composite_pct", percentile_1_99(F.col("composite")))
+    kept = with_percentile(enrich(kept.withColumn("composite", np_round(score, 1)), industries), "composite_pct", "composite", "symbol")
     out = kept.select(
         F.col("symbol").alias("ticker"), "industry_key", "industry_name", "sector_name", "ind_faber", "ind_stage", "stage", "stage_score", "minervini_count", "rs_12m", "cr_score", "sctr", "sctr_hist",
         "pct_vs_sma200", "pct_vs_sma150", "sma200_slope", "range_pos_52w", "pct_from_52w_high", "golden_cross", "rs_pct", "composite", "composite_pct",
     )
-    return out.withColumn("rank", position(F.col("composite").desc(), F.col("ticker")))
+    return with_position(out, "rank", F.col("composite").desc(), F.col("ticker"))

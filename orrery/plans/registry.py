@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import columns as C
 from orrery.operators import bars as B
-from orrery.operators import breadth, clock, delta, incremental, indicators, leaders, reports, rotation, rrg, sctr, synthetic_index, trend
+from orrery.operators import breadth, clock, delta, incremental, indicators, leaders, ranks, reports, rotation, rrg, sctr, synthetic_index, trend
 from orrery.plans import sql, sql_market
 from orrery.plans.fixtures import Market, kept
 from orrery.sources import readers, sinks
@@ -220,6 +220,16 @@ def rank_scales(m: Market) -> DataFrame:
     return rows.select("symbol", C.sctr_rank(F.col("cap"), keys).alias("sctr"), C.percentile_1_99(F.col("cap"), keys).alias("pct"), C.min_rank_desc(F.col("cap"), keys).alias("rank"))
 
 
+@single
+def volume_ranks(m: Market) -> DataFrame:
+    """Volume of every bar among all bars, and among those of its year, on each scale."""
+    rows = m.bars.select("symbol", "date", F.year("date").alias("year"), "volume")
+    rows = ranks.with_percentile(rows, "pct", "volume", "symbol", "date")
+    rows = ranks.with_sctr(rows, "sctr_in_year", "volume", "symbol", "date", keys=["year"])
+    rows = ranks.with_min_rank(rows, "rank", "volume", "symbol", "date")
+    return ranks.with_position(rows, "place_in_year", F.col("volume").desc(), F.col("symbol"), F.col("date"), keys=["year"])
+
+
 # -- indexes and scores ----------------------------------------------------------------------------------------------
 
 

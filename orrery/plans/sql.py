@@ -167,6 +167,8 @@ FINAL |= {
     "closing_ranges": f"SELECT symbol, date, {r('(close - low) / nullif(high - low, 0) * 100', 6)} AS closing_range FROM clock_bars",
     "volume_change": f"SELECT symbol, date, {r(pct('close', f'lag(close) {W})'), 6)} AS pct_chg, {r(f'volume / nullif(lag(volume) {W}), 0)', 6)} AS vol_ratio FROM clock_bars",
     "up_runs": f"""SELECT symbol, date, n - coalesce(max(CASE WHEN NOT coalesce(up, false) THEN n END) {W} ROWS UNBOUNDED PRECEDING), 0) AS run FROM (SELECT symbol, date, close > lag(close) {W}) AS up, row_number() {W}) AS n FROM bars)""",
+    "volume_ranks": f"""SELECT symbol, date, year, volume, {ibd('volume')} AS pct, {sctr('volume', 'year')} AS sctr_in_year, CAST(rank() OVER (ORDER BY volume DESC) AS INTEGER) AS rank,
+      CAST(row_number() OVER (PARTITION BY year ORDER BY volume DESC, symbol, date) AS INTEGER) AS place_in_year FROM (SELECT symbol, date, CAST(year(date) AS INTEGER) AS year, volume FROM bars)""",
     "rank_scales": f"SELECT symbol, {sctr('cap', 'industry_key')} AS sctr, {ibd('cap', 'industry_key')} AS pct, rank() OVER (PARTITION BY industry_key ORDER BY cap DESC) AS rank FROM (SELECT symbol, industry_key, CAST(floor(market_cap / 1e6) AS BIGINT) AS cap FROM members)",
 }
 
