@@ -32,8 +32,9 @@ from orrery.llm.token_counts import chunks
 from orrery.llm.tokens import encoder
 
 CAPACITY = 2048
-#: Items of a block on average: bounds an island's memory (a few MB) whatever the input.
-BLOCK_ITEMS = 3000
+#: Items of a block on average: bounds an island's memory (some tens of MB) whatever the input. Where a block's small items are
+#: used up, bins stay a few tokens short; that costs about the same in a block of any size, so large blocks waste less.
+BLOCK_ITEMS = 40_000
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 3, 24, 60
 #: Generations without progress after which an island rests, share of children by mutation, bins that an island works on.
 STALL, MUTATION, OPEN = 15, 0.3, 96

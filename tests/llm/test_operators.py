@@ -282,9 +282,10 @@ def test_islands_save_a_bin():
     assert better > 0
 
 
-def test_fewest_sequences(spark):
-    """The smallest table packs at its lower bound."""
-    docs_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_fewest_sequences(spark, scale):
+    """The tables pack at their lower bounds."""
+    docs_ = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
     rows = packing.pack(docs_, public_tokenizers.path("word_bpe_49k.json")).select("length", "sequence_id").collect()
     lengths = [r.length for r in rows if r.length < 2048]
     assert len({r.sequence_id for r in rows}) == len(rows) - len(lengths) + packing.lower_bound(lengths, 2048)
