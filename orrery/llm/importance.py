@@ -1,13 +1,13 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed word n-grams (one and two words) are counted: one of target text (documents labelled
-good), one of raw text (all documents). A document's log weight is the mean log ratio of its n-grams under both, shrunk
-for short documents and scaled to ``tokens`` n-grams, so that long documents are not decided by length alone. To it comes
-the worst window of ``WINDOW`` words, over all windows of the whole text, so a bad passage counts alike in a short and in a
-long document. A word costs there what its stems (the word without punctuation, and its beginnings) cost: the log of how
-much rarer a stem is in good documents than in all, by documents that have it, and only as far as chance does not explain
-it; nothing else has a cost, so the number of windows does not matter. Adding hash-seeded Gumbel noise and keeping the k
-largest keys draws k documents without replacement in proportion to their weights (Gumbel top-k).
+Two generative models over hashed n-grams are counted, by occurrences: one of target text (documents labelled good), one of
+raw text (all documents). Their n-grams are words, pairs of words and stems (the first ``STEM`` characters of a word without
+punctuation). A document's log weight is the mean log ratio of its words and pairs under both, shrunk for short documents
+and scaled to ``tokens`` n-grams, so that long documents are not decided by length alone. To it comes the log ratio of the
+stems in the worst window of ``WINDOW`` words, over all windows of the whole text, so a bad passage counts alike in a short
+and in a long document. A stem's ratio counts there as a cost, if it is rarer in target text than in raw text and only as
+far as chance does not explain that; so the number of windows does not matter. Adding hash-seeded Gumbel noise and keeping
+the k largest keys draws k documents without replacement in proportion to their weights (Gumbel top-k).
 
 The noise has the scale ``temperature``, 1: keys are drawn by the weights themselves, exp(log weight). As log weights of
 200 n-grams lie tens apart, so do keys, and noise decides only near the cut (2 of 861 documents at scale 0.01). A higher
@@ -46,10 +46,9 @@ BUCKETS = 1 << 17
 MAX_LABELS = 200_000
 TOKENS, SHRINK, RECALL, SMOOTHING, TEMPERATURE = 200.0, 20.0, 0.995, 1.0, 1.0
 
-
-#: Words of a window, weight of the worst one, and lengths of the beginnings of a word that are counted beside the word.
-WINDOW, WORST, STEMS = 200, 8.0, (4, 6, 8)
-#: Standard deviations by which a stem must be rarer in good documents before it costs anything.
+#: Words of a window, weight of the worst one, and characters of a stem.
+WINDOW, WORST, STEM = 200, 8.0, 6
+#: Standard deviations by which a stem must be rarer in target text before it costs anything.
 DOUBT = 3.0
 #: Greatest share of held-out good labels that the cut may lose, and the number of cuts tried.
 MOST_LOST, CUTS = 0.2, 80
@@ -85,58 +84,53 @@ def _buckets(distinct: pa.Array, index: np.ndarray, doc: np.ndarray, buckets: in
     return (grams % np.uint64(buckets)).astype(np.int64), np.concatenate([doc, doc[: len(two)][inside]])
 
 
-def _stems(distinct: pa.Array, buckets: int) -> list[np.ndarray]:
-    """Bucket of the stems of each distinct word: one array a kind, each kind with half of ``buckets`` of its own."""
+def _stems(distinct: pa.Array, buckets: int) -> np.ndarray:
+    """Bucket of the stem of each distinct word; stems have half as many buckets as words and pairs."""
     bare = pc.utf8_trim(distinct, PUNCTUATION)
     bare = pc.if_else(pc.equal(bare, ""), distinct, bare)
-    own = np.uint64(max(1, buckets // 2))
-    kinds = [bare, *(pc.utf8_slice_codeunits(bare, 0, n) for n in STEMS)]
-    return [((_hashes(k) >> np.uint64(7)) % own + np.uint64(i) * own).astype(np.int64) for i, k in enumerate(kinds)]
+    return ((_hashes(pc.utf8_slice_codeunits(bare, 0, STEM)) >> np.uint64(7)) % np.uint64(_own(buckets))).astype(np.int64)
+
+
+def _own(buckets: int) -> int:
+    return max(1, buckets // 2)
 
 
 def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, raw, target) of all documents and of those with ``target`` true; summed in each task first.
+    """(bucket, raw, target): occurrences of n-grams in all documents and in those with ``target`` true; summed in each task first.
 
-    Buckets from 0: occurrences of n-grams. Buckets from ``buckets``: documents that have a stem, four kinds. The bucket -1:
-    documents.
+    Buckets from 0: words and pairs. Buckets from ``buckets``: stems.
     """
-    stems = (1 + len(STEMS)) * max(1, buckets // 2)
+    size = buckets + _own(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets + stems + 1, np.int64), np.zeros(buckets + stems + 1, np.int64)
+        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for whole in batches:
             for b in chunks(whole, 0):
                 distinct, index, doc = _words(b.column(0))
                 good = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
                 grams, of = _buckets(distinct, index, doc, buckets)
-                raw[:buckets] += np.bincount(grams, minlength=buckets)
-                target[:buckets] += np.bincount(grams[good[of]], minlength=buckets)
-                once = np.unique(doc * len(distinct) + index)
-                word, of = once % max(1, len(distinct)), once // max(1, len(distinct))
-                for kind in _stems(distinct, buckets):
-                    pairs = np.unique(of * stems + kind[word])
-                    kind, of_kind = pairs % stems, pairs // stems
-                    raw[buckets:-1] += np.bincount(kind, minlength=stems)
-                    target[buckets:-1] += np.bincount(kind[good[of_kind]], minlength=stems)
-                raw[-1] += b.num_rows
-                target[-1] += good.sum()
+                stems = buckets + _stems(distinct, buckets)[index]
+                for found, text in ((grams, of), (stems, doc)):
+                    raw += np.bincount(found, minlength=size)
+                    target += np.bincount(found[good[text]], minlength=size)
         there = np.flatnonzero(raw)
-        number = np.where(there == buckets + stems, -1, there)
-        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(raw[there]), pa.array(target[there])], ["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(target[there])], ["bucket", "raw", "target"])
 
     per_task = docs.select("text", "target").mapInArrow(run, "bucket long, raw long, target long")
     return per_task.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def stem_costs(counts: DataFrame, buckets: int, doubt: float = DOUBT) -> np.ndarray:
-    """Cost of each stem bucket in multiples of ``UNIT``, at most 0; at most (1 + len(STEMS)) * buckets / 2 rows come to the driver."""
-    rows = counts.where(f"bucket < 0 or bucket >= {buckets}").toPandas()
-    size = (1 + len(STEMS)) * max(1, buckets // 2)
-    raw, target = np.zeros(size + 1), np.zeros(size + 1)
-    place = np.where(rows["bucket"] < 0, size, rows["bucket"] - buckets)
+    """Log ratio of target to raw share of each stem bucket, at most 0, in multiples of ``UNIT``.
+
+    The target count is taken ``doubt`` standard deviations higher than it is. At most buckets / 2 rows come to the driver.
+    """
+    rows = counts.where(f"bucket >= {buckets}").toPandas()
+    raw, target = np.zeros(_own(buckets)), np.zeros(_own(buckets))
+    place = rows["bucket"] - buckets
     raw[place], target[place] = rows["raw"], rows["target"]
-    expected = raw[:-1] * target[-1] / max(1.0, raw[-1])
-    most = target[:-1] + doubt * np.sqrt(target[:-1] + 1) + 1
+    expected = raw * target.sum() / max(1.0, raw.sum())
+    most = target + doubt * np.sqrt(target + 1) + 1
     return np.round(np.minimum(0, np.log(most / (expected + 1))) / UNIT).astype(np.int64)
 
 
@@ -152,7 +146,7 @@ def worst_windows(cost: np.ndarray, doc: np.ndarray, n: int, window: int = WINDO
 
 def log_ratios(counts: DataFrame, buckets: int, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log ratio of target to raw probability of each bucket; at most ``buckets`` rows come to the driver."""
-    rows = counts.where(f"bucket >= 0 and bucket < {buckets}").toPandas()
+    rows = counts.where(f"bucket < {buckets}").toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
     # the target model backs off to the raw one, so rare n-grams that it has not seen cost little
@@ -177,7 +171,7 @@ def with_keys(docs: DataFrame, ratios: np.ndarray, costs: np.ndarray, text: str
                 grams, doc = _buckets(distinct, index, place, len(values))
                 total = np.bincount(doc, weights=values[grams], minlength=b.num_rows)
                 count = np.bincount(doc, minlength=b.num_rows)
-                cost = np.minimum.reduce([costs[kind] for kind in _stems(distinct, len(values))])[index]
+                cost = costs[_stems(distinct, len(values))][index]
                 weight = tokens * total / (count + shrink) + WORST * UNIT * worst_windows(cost, place, b.num_rows)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(weight)], [*names, "_log_weight"])
 

@@ -570,13 +570,13 @@ def brute_keys(made, labels, fit, noise, buckets):
         h = [xxhash.xxh3_64_intdigest(w) for w in words]
         return [(x >> 7) % buckets for x in h] + [(mix(3, p) >> 7) % buckets for p in zip(h, h[1:], strict=False)]
 
-    def stems(w):
+    def stem(w):
         bare = w.strip(".,;:!?()[]{}\"'*_") or w
-        return [(kind, (xxhash.xxh3_64_intdigest(x) >> 7) % (buckets // 2)) for kind, x in enumerate([bare, bare[:4], bare[:6], bare[:8]])]
+        return (xxhash.xxh3_64_intdigest(bare[:6]) >> 7) % (buckets // 2)
 
     model = [i for i in range(len(made)) if i in fit and labels.get(i)]
     own_grams = [grams(w) for w in lists]
-    own_stems = [{x for w in words for x in stems(w)} for words in lists]
+    own_stems = [[stem(w) for w in words] for words in lists]
     raw, target = collections.Counter(x for g in own_grams for x in g), collections.Counter(x for i in model for x in own_grams[i])
     in_all, in_model = collections.Counter(x for o in own_stems for x in o), collections.Counter(x for i in model for x in own_stems[i])
 
@@ -586,11 +586,11 @@ def brute_keys(made, labels, fit, noise, buckets):
 
     def cost(x):
         most = in_model[x] + 3 * math.sqrt(in_model[x] + 1) + 1
-        return min(0.0, math.log(most / (in_all[x] * len(model) / len(made) + 1)))
+        return min(0.0, math.log(most / (in_all[x] * in_model.total() / in_all.total() + 1)))
 
     out = []
-    for words, g, u in zip(lists, own_grams, noise, strict=True):
-        costs = [min(map(cost, stems(w))) for w in words]
+    for own, g, u in zip(own_stems, own_grams, noise, strict=True):
+        costs = [cost(x) for x in own]
         sums = [0.0, *itertools.accumulate(costs)]
         worst = min((sums[min(len(costs), p + 200)] - sums[p] for p in range(len(costs))), default=0.0)
         weight = 200 * sum(map(ratio, g)) / (len(g) + 20) + 8 * worst
