@@ -12,8 +12,11 @@ Assumption: the outcome of a page is the label row with the page's number.
 
 Defined results: null urls and urls without ``://`` have empty host and path and take the global posterior; repeated
 pages and repeated labels each count; pages without a label count nothing; empty tables give empty results; no labels at
-all leave every page to the uniform prior, which allows; further columns do not matter. The registered domain is the last two labels of the host, or three
-where the last two are in ``long_suffixes``; the suffix is what follows its first label.
+all leave every page to the uniform prior, which allows; further columns do not matter. The registered domain is one label
+more than the public suffix of the host; the suffix level is what follows its first label. Public suffixes come from a table
+of rules, if one is given (``suffix_rules``): the longest fitting rule counts, an exception before all others, one label
+where none fits, and a host that is itself a suffix is its own domain. Without a table a suffix is one label, or two where
+these are in ``LONG_SUFFIXES``; that covers the synthetic pages, and real crawls need the table.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import materialize, small, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which anyone registers names. A parameter: pass a longer tuple for other data.
+#: Suffixes of two labels under which anyone registers names, where no table of them is given.
 LONG_SUFFIXES = ("co.uk", "org.uk", "com.au", "co.jp", "com.br")
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Bounds of the intra-group correlation (prior strength 1 / rho - 1 between about 0.1 and 999).
@@ -48,6 +51,36 @@ def suffix_of(domain: Column) -> Column:
     return F.when(F.instr(domain, ".") > 0, F.substring(domain, F.instr(domain, ".") + 1, F.length(domain))).otherwise(domain)
 
 
+def suffix_rules(lines: DataFrame) -> DataFrame:
+    """(key, more, exception) from lines (``suffix``) as public suffix lists have them.
+
+    ``*.ck`` takes one label more than its key, the exception ``!www.ck`` one less. Comments (``//``), blank lines and nulls
+    are left out; A-Z are lower-cased; repeated lines are one rule.
+    """
+    rule = F.translate(F.regexp_extract("suffix", r"^\s*(\S*)", 1), UPPER, LOWER)
+    rules = lines.select(rule.alias("rule")).where("rule != '' and not startswith(rule, '//')").distinct()
+    kind = F.when(F.col("rule").startswith("*."), 1).when(F.col("rule").startswith("!"), -1).otherwise(0)
+    key = F.when(kind == 1, F.expr("substr(rule, 3)")).when(kind == -1, F.expr("substr(rule, 2)")).otherwise(F.col("rule"))
+    return rules.select(key.alias("key"), kind.alias("more"), (kind == -1).alias("exception"))
+
+
+def with_domains(hosts: DataFrame, lines: DataFrame) -> DataFrame:
+    """``hosts`` (one row a host) and domain, by the public suffix rules in ``lines``.
+
+    Only endings of a host as long as the longest key are looked up, so a host of very many labels costs no more than others.
+    """
+    rules = materialize(suffix_rules(lines), "suffixes")
+    longest = rules.agg(F.max(F.size(F.split("key", "[.]")))).first()[0] or 1
+    labels = F.size(F.split("host", "[.]"))
+    endings = hosts.select("*", labels.alias("labels"), F.explode(F.sequence(F.lit(1), F.least(labels, F.lit(longest)))).alias("i"))
+    endings = endings.withColumn("key", F.expr("substring_index(host, '.', -i)"))
+    # a wildcard needs the label that it takes
+    fits = F.col("more").isNotNull() & (F.col("i") + F.col("more") <= F.col("labels"))
+    best = F.max(F.when(fits, F.struct("exception", (F.col("i") + F.col("more")).alias("n"))))
+    found = endings.join(small(rules), "key", "left").groupBy(*hosts.columns).agg(F.coalesce(best["n"], F.lit(1)).alias("n_suffix"))
+    return found.select(*hosts.columns, F.expr("substring_index(host, '.', -(n_suffix + 1))").alias("domain"))
+
+
 def match_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, action) of the longest fitting rule, or nulls. The rule list is part of the plan: keep it below a few thousand."""
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -67,16 +100,17 @@ def _rho(groups: DataFrame, n: str, bad: str, rate: str) -> DataFrame:
     return g.agg(F.greatest(F.lit(MIN_RHO), F.least(F.lit(MAX_RHO), F.coalesce(F.try_divide(over, pairs), F.lit(MAX_RHO)))).alias("rho"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> tuple[DataFrame, DataFrame]:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Posterior bad rate of every host in ``pages`` (page_id, host), and the global one (one row).
 
-    ``outcomes``: (page_id, bad 0/1). Hosts: host, domain, suffix, n, bad, rate, strength, bound (lower).
+    ``outcomes``: (page_id, bad 0/1). ``suffixes``: lines of a public suffix list (suffix). Hosts: host, domain, suffix, n, bad, rate, strength, bound (lower).
     Counts are summed with map-side combining before any shuffle of hosts, so a hot host costs one row per task, and
     written: the levels above, and the result, start from these counts and never from pages again.
     """
     labelled = pages.join(outcomes.where(F.col("bad").isNotNull()), "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = materialize(hosts.withColumn("domain", registered_domain(F.col("host"), long_suffixes)), "hosts")
+    placed = hosts.withColumn("domain", registered_domain(F.col("host"))) if suffixes is None else with_domains(hosts, suffixes)
+    hosts = materialize(placed, "hosts")
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db")).withColumn("suffix", suffix_of(F.col("domain")))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     top = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("gn"), F.coalesce(F.sum("sb"), F.lit(0)).alias("gb"))
@@ -101,11 +135,11 @@ def lower_bound(rate: Column, strength: Column, z: float) -> Column:
     return rate - z * F.sqrt(rate * (1 - rate) / (strength + 1))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.5, z: float = 1.645, suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate and bad_bound of every page with a ``url``."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    reputation, _ = host_reputation(parsed.select("page_id", "host"), outcomes, z)
+    reputation, _ = host_reputation(parsed.select("page_id", "host"), outcomes, z, suffixes)
     rule, action = match_rules(F.col("host"), F.col("path"), rules)
     known = materialize(reputation.select("host", F.col("rate").alias("bad_rate"), F.col("bound").alias("bad_bound")), "reputation")
     judged = parsed.join(small(known), "host", "left")

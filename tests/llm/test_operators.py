@@ -395,6 +395,63 @@ def test_reputation_shrinks(spark):
     assert 0 < got[1000].bad_rate < got[1001].bad_rate < 1
 
 
+def test_domains_by_suffix_rules(spark):
+    """Longest rule, wildcards, exceptions and comments against plain Python, on hosts of all kinds."""
+    lines = ["com", "uk", "CO.UK", "// a comment", "", None, "*.ck", "!www.ck", "host.net", "net", "com", "a.b.c.d  "]
+    rules = {x.split()[0].lower() for x in lines if x and not x.startswith("//")}
+
+    def domain(host):
+        labels, best = host.split("."), (False, 1)
+        for i in range(1, len(labels) + 1):
+            end = ".".join(labels[-i:])
+            if end in rules:
+                best = max(best, (False, i))
+            if f"*.{end}" in rules and i < len(labels):
+                best = max(best, (False, i + 1))
+            if f"!{end}" in rules:
+                best = max(best, (True, i - 1))
+        return ".".join(labels[-best[1] - 1 :])
+
+    rng = random.Random(5)
+    pool = ["com", "uk", "co", "ck", "www", "host", "net", "a", "b", "c", "d", ""]
+    hosts = {"", "com", "x.com", "co.uk", "x.y.co.uk", "www.ck", "x.www.ck", "x.ck", "y.x.ck", "ck", "u.host.net", "v.u.host.net", "q.a.b.c.d", ".".join(["x"] * 20_000) + ".co.uk"}
+    hosts |= {".".join(rng.choices(pool, k=rng.randint(1, 6))) for _ in range(400)}
+    made = spark.createDataFrame([(h, 1, 0) for h in hosts], "host string, n long, bad long").repartition(3)
+    for use in (lines, []):
+        table_ = spark.createDataFrame([(x,) for x in use], "suffix string")
+        rules = rules if use else set()
+        assert sorted(tuple(r) for r in urls.with_domains(made, table_).collect()) == sorted((h, 1, 0, domain(h)) for h in hosts)
+
+
+def test_blocks_at_every_level(spark):
+    """Hosts, domains and suffixes that stand out are blocked by the posterior bound, also where a host has no labels."""
+    pages, outcomes = [], []
+
+    def add(host, n, bad=None):
+        for _ in range(n):
+            if bad is not None:
+                outcomes.append((len(pages), bad))
+            pages.append((len(pages), f"https://{host}/p"))
+
+    for i in range(60):
+        add(f"www.fine{i}.com", 20, 0)
+    add("bad.mixed.com", 60, 1)
+    add("good.mixed.com", 60, 0)
+    for i in range(12):
+        add(f"h{i}.evil.com", 20, 1)
+        add(f"www.d{i}.free.zone", 20, 1)
+    for host in ("new.evil.com", "www.new.free.zone", "new.fine1.com"):
+        add(host, 2)
+    made = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
+    found = spark.createDataFrame(outcomes, "page_id long, bad int")
+    lists = spark.createDataFrame([("com",), ("zone",), ("free.zone",)], "suffix string")
+    judged = urls.filter_urls(made, found, rules=(), suffixes=lists).select("host", "verdict").distinct().collect()
+    verdicts = {r.host: r.verdict for r in judged}
+    assert len(judged) == len(verdicts)
+    blocked = {h for h, v in verdicts.items() if v == "block"}
+    assert blocked == {"bad.mixed.com", "new.evil.com", "www.new.free.zone", *(f"h{i}.evil.com" for i in range(12)), *(f"www.d{i}.free.zone" for i in range(12))}
+
+
 def test_media(spark, docs, texts):
     stored = media.store_audio(docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload")))
     for r in media.read_audio(stored).collect():
