@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams are counted, by occurrences: one of target text (documents labelled good), one of
+Two generative models over hashed n-grams are counted: one of target text (documents labelled good), one of
 raw text (all documents). Their n-grams are words, pairs of words and stems (the first ``STEM`` characters of a word without
-punctuation). A document's log weight is the mean log ratio of its words and pairs under both, shrunk for short documents
+punctuation, once a document, so that a word that bursts in a few documents counts little). A document's log weight is the mean log ratio of its words and pairs under both, shrunk for short documents
 and scaled to ``tokens`` n-grams, so that long documents are not decided by length alone. To it comes the log ratio of the
 stems in the worst window of ``WINDOW`` words, over all windows of the whole text, so a bad passage counts alike in a short
 and in a long document. A stem's ratio counts there as a cost, if it is rarer in target text than in raw text and only as
@@ -96,11 +96,12 @@ def _own(buckets: int) -> int:
 
 
 def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, raw, target): occurrences of n-grams in all documents and in those with ``target`` true; summed in each task first.
+    """(bucket, raw, target) of all documents and of those with ``target`` true; summed in each task first.
 
-    Buckets from 0: words and pairs. Buckets from ``buckets``: stems.
+    Buckets from 0: occurrences of words and pairs. Buckets from ``buckets``: documents that have a stem. The bucket -1: documents.
     """
-    size = buckets + _own(buckets)
+    own = _own(buckets)
+    size = buckets + own + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -109,28 +110,30 @@ def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 distinct, index, doc = _words(b.column(0))
                 good = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
                 grams, of = _buckets(distinct, index, doc, buckets)
-                stems = buckets + _stems(distinct, buckets)[index]
-                for found, text in ((grams, of), (stems, doc)):
+                once = np.unique(doc * own + _stems(distinct, buckets)[index])
+                everyone = np.arange(b.num_rows)
+                for found, text in ((grams, of), (buckets + once % own, once // own), (np.full(b.num_rows, size - 1), everyone)):
                     raw += np.bincount(found, minlength=size)
                     target += np.bincount(found[good[text]], minlength=size)
         there = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(target[there])], ["bucket", "raw", "target"])
+        number = np.where(there == size - 1, -1, there)
+        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(raw[there]), pa.array(target[there])], ["bucket", "raw", "target"])
 
     per_task = docs.select("text", "target").mapInArrow(run, "bucket long, raw long, target long")
     return per_task.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def stem_costs(counts: DataFrame, buckets: int, doubt: float = DOUBT) -> np.ndarray:
-    """Log ratio of target to raw share of each stem bucket, at most 0, in multiples of ``UNIT``.
+    """Log ratio of the shares of target and raw documents that have each stem bucket, at most 0, in multiples of ``UNIT``.
 
-    The target count is taken ``doubt`` standard deviations higher than it is. At most buckets / 2 rows come to the driver.
+    The target count is taken ``doubt`` standard deviations higher than it is. At most buckets / 2 + 1 rows come to the driver.
     """
-    rows = counts.where(f"bucket >= {buckets}").toPandas()
-    raw, target = np.zeros(_own(buckets)), np.zeros(_own(buckets))
-    place = rows["bucket"] - buckets
+    rows = counts.where(f"bucket < 0 or bucket >= {buckets}").toPandas()
+    raw, target = np.zeros(_own(buckets) + 1), np.zeros(_own(buckets) + 1)
+    place = np.where(rows["bucket"] < 0, _own(buckets), rows["bucket"] - buckets)
     raw[place], target[place] = rows["raw"], rows["target"]
-    expected = raw * target.sum() / max(1.0, raw.sum())
-    most = target + doubt * np.sqrt(target + 1) + 1
+    expected = raw[:-1] * target[-1] / max(1.0, raw[-1])
+    most = target[:-1] + doubt * np.sqrt(target[:-1] + 1) + 1
     return np.round(np.minimum(0, np.log(most / (expected + 1))) / UNIT).astype(np.int64)
 
 
@@ -146,7 +149,7 @@ def worst_windows(cost: np.ndarray, doc: np.ndarray, n: int, window: int = WINDO
 
 def log_ratios(counts: DataFrame, buckets: int, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log ratio of target to raw probability of each bucket; at most ``buckets`` rows come to the driver."""
-    rows = counts.where(f"bucket < {buckets}").toPandas()
+    rows = counts.where(f"bucket >= 0 and bucket < {buckets}").toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
     # the target model backs off to the raw one, so rare n-grams that it has not seen cost little

@@ -635,7 +635,7 @@ def brute_keys(made, labels, fit, noise, buckets):
     own_grams = [grams(w) for w in lists]
     own_stems = [[stem(w) for w in words] for words in lists]
     raw, target = collections.Counter(x for g in own_grams for x in g), collections.Counter(x for i in model for x in own_grams[i])
-    in_all, in_model = collections.Counter(x for o in own_stems for x in o), collections.Counter(x for i in model for x in own_stems[i])
+    in_all, in_model = collections.Counter(x for o in own_stems for x in set(o)), collections.Counter(x for i in model for x in set(own_stems[i]))
 
     def ratio(k):
         share = (raw[k] + 1) / (raw.total() + buckets)
@@ -643,7 +643,7 @@ def brute_keys(made, labels, fit, noise, buckets):
 
     def cost(x):
         most = in_model[x] + 3 * math.sqrt(in_model[x] + 1) + 1
-        return min(0.0, math.log(most / (in_all[x] * in_model.total() / in_all.total() + 1)))
+        return min(0.0, math.log(most / (in_all[x] * len(model) / len(made) + 1)))
 
     out = []
     for own, g, u in zip(own_stems, own_grams, noise, strict=True):
