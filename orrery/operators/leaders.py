@@ -54,6 +54,11 @@ def _bounds(window: DataFrame) -> tuple:
     return (row.start, row.end) if row else (None, None)
 
 
+def _above(x: Column, mean: Column) -> Column:
+    """Whether a price is above a mean of prices; one that differs by rounding errors only is not."""
+    return x > np_round(mean, 9)
+
+
 def _accumulation(own: Column, prev: Column) -> tuple[Column, Column]:
     volume = F.coalesce("volume", F.lit(0.0))
     return F.coalesce(F.sum(F.when(own > prev, volume)), F.lit(0.0)), F.coalesce(F.sum(F.when(own < prev, volume)), F.lit(0.0))
@@ -81,7 +86,7 @@ def closing_range_leaders(bars: DataFrame, benchmark: DataFrame, window: DataFra
     scored = inside.groupBy("symbol").agg(
         F.count("*").alias("corr_days"),
         F.count(F.when(F.col("cr") >= 60.0, 1)).alias("cr_strong_days"),
-        F.count(F.when(F.col("close") > F.col("ema21"), 1)).alias("above_ema"),
+        F.count(F.when(_above(F.col("close"), F.col("ema21")), 1)).alias("above_ema"),
         F.min_by("rs", "date").alias("rs0"),
         F.max_by("rs", "date").alias("rs1"),
         F.max_by("close", "date").alias("c1"),
@@ -96,7 +101,7 @@ def closing_range_leaders(bars: DataFrame, benchmark: DataFrame, window: DataFra
         "f1_cr": F.col("cr_strong_days") / n >= 0.60,
         "f2_ema21": F.col("above_ema") / n >= 0.70,
         "f3_rs_spy": F.coalesce((rs0 > 0) & (rs1 > rs0), no),
-        "f4_above_50sma": F.coalesce(c1 > m1, no),
+        "f4_above_50sma": F.coalesce(_above(c1, m1), no),
         "f5_accum": F.col("up") > F.col("down"),
     }
     total = sum((F.when(f, 1).otherwise(0) for f in flags.values()), F.lit(0))
@@ -131,7 +136,7 @@ def correction_leaders(bars: DataFrame, benchmark: DataFrame, window: DataFrame,
     volume = F.coalesce("volume", F.lit(0.0))
     rs_date = F.when(i & F.col("rs").isNotNull(), F.col("date"))
     a = rows.groupBy("symbol").agg(
-        F.count("*").alias("n"), F.count(F.when(i, 1)).alias("days"), F.count(F.when(i, F.col("cr"))).alias("cr_n"), F.count(F.when(i & (F.col("cr") > 60.0), 1)).alias("cr_up"), F.count(F.when(i & (c > F.col("ema21")), 1)).alias("ema_up"),
+        F.count("*").alias("n"), F.count(F.when(i, 1)).alias("days"), F.count(F.when(i, F.col("cr"))).alias("cr_n"), F.count(F.when(i & (F.col("cr") > 60.0), 1)).alias("cr_up"), F.count(F.when(i & _above(c, F.col("ema21")), 1)).alias("ema_up"),
         F.max_by("close", "date").alias("last"), *(F.max_by(m, "date").alias(f"last_{m}") for m in ("ema21", "sma50", "sma200")), F.count(rs_date).alias("rs_n"), F.min_by("rs", rs_date).alias("rs0"), F.max_by("rs", rs_date).alias("rs1"),
         F.count(pre).alias("pre_n"), F.max_by("close", pre).alias("pre_c"), F.max_by("sma50", pre).alias("pre_m"), F.max_by("c63", pre).alias("pre_63"),
         F.coalesce(F.sum(F.when(i & (c > F.col("prev")), volume)), F.lit(0.0)).alias("up"), F.coalesce(F.sum(F.when(i & (c < F.col("prev")), volume)), F.lit(0.0)).alias("down"), F.max(F.when(i, F.col("high"))).alias("top"), F.max(F.when(F.col("just_before"), c)).alias("pre_high"),
@@ -142,7 +147,7 @@ def correction_leaders(bars: DataFrame, benchmark: DataFrame, window: DataFrame,
         (F.col("cr_up") / F.col("cr_n")).alias("cr_share"),
         (F.col("ema_up") / F.col("days")).alias("ema_share"),
         F.when((F.col("rs_n") >= 2) & (F.col("rs0") > 0), pct_change(F.col("rs1"), F.col("rs0"))).alias("rs_change"),
-        F.coalesce((F.col("pre_n") >= 65) & (F.col("pre_c") > F.col("pre_m")), no).alias("pre_above"),
+        F.coalesce((F.col("pre_n") >= 65) & _above(F.col("pre_c"), F.col("pre_m")), no).alias("pre_above"),
         F.coalesce((F.col("pre_n") >= 65) & (F.col("pre_63") > 0) & (F.col("pre_c") > F.col("pre_63")), no).alias("pre_roc"),
         F.when(F.col("days") >= 2, F.when(F.col("down") > 0, F.col("up") / F.col("down")).otherwise(2.0)).alias("acc"),
     )
@@ -154,7 +159,7 @@ def correction_leaders(bars: DataFrame, benchmark: DataFrame, window: DataFrame,
     passed = sum((F.when(f, 1).otherwise(0) for f in (F.col("cr_share") >= min_share, held, positive, strong, gathering)), F.lit(0))
     out = a.select(
         F.col("symbol").alias("ticker"), "cap_bucket", np_round(F.col("sctr"), 1).alias("sctr"), F.col("days").cast("int").alias("corr_days"), np_round(F.col("cr_share") * 100, 1).alias("cr_above_60_pct"), np_round(F.col("ema_share") * 100, 1).alias("ema21_pct"), held.alias("held_21ema"),
-        F.coalesce(last > F.col("last_ema21"), no).alias("above_21ema"), F.coalesce(last > F.col("last_sma50"), no).alias("above_50sma"), F.coalesce(last > F.col("last_sma200"), no).alias("above_200sma"), np_round(F.col("rs_change"), 2).alias("rs_change_pct"), positive.alias("rs_positive"),
+        F.coalesce(_above(last, F.col("last_ema21")), no).alias("above_21ema"), F.coalesce(_above(last, F.col("last_sma50")), no).alias("above_50sma"), F.coalesce(_above(last, F.col("last_sma200")), no).alias("above_200sma"), np_round(F.col("rs_change"), 2).alias("rs_change_pct"), positive.alias("rs_positive"),
         strong.alias("was_strong_pre"), F.col("pre_above").alias("was_above_50sma_pre"), F.col("pre_roc").alias("roc_3m_positive_pre"), np_round(F.col("acc"), 2).alias("acc_ratio"), gathering.alias("is_accumulating"), passed.alias("filters_passed"),
         np_round(pct_change(last, F.col("top")), 1).alias("drawdown_pct"), np_round(pct_change(last, F.col("pre_high")), 1).alias("vs_pre_high_pct"), np_round(composite, 1).alias("composite"),
     ).where(F.col("above_50sma") & (F.col("cr_above_60_pct") >= min_share * 100))
