@@ -40,6 +40,52 @@ def hashed_words(texts: pa.Array, lower: bool = False, seed: int = 0) -> tuple[n
     return words, offsets
 
 
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, first and last place of each word in them (the last one past its end), the word offsets and the byte
+    offsets of each text (n + 1)."""
+    texts = pc.fill_null(texts, "")
+    _, at, data = texts.buffers()
+    borders = np.zeros(1, np.int64)
+    if len(texts):
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        borders = np.frombuffer(at, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[borders[0] : borders[-1]] if data is not None else np.zeros(0, np.uint8)
+    borders = borders - borders[0]
+    inside = ~((data == 32) | (data - np.uint8(9) < 5))
+    heads, tails = inside.copy(), inside.copy()
+    heads[1:] &= ~inside[:-1]
+    tails[:-1] &= ~inside[1:]
+    begins, ends = borders[borders < len(data)], borders[borders > 0] - 1
+    heads[begins], tails[ends] = inside[begins], inside[ends]
+    first = np.flatnonzero(heads)
+    return data, first, np.flatnonzero(tails) + 1, np.searchsorted(first, borders), borders
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words at ``word_bounds``, eight bytes of all words at a time."""
+    size = last - first
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = _mixed(size.astype(np.uint64) + np.uint64((seed + 1) * int(_ODD) % (1 << 64)))
+    live = np.flatnonzero(size <= _LONG)
+    for j in range(0, _LONG, 8):
+        live = live[size[live] > j]
+        h[live] = _mixed(h[live] ^ (eights[first[live] + j] & _BYTES[np.minimum(size[live] - j, 8)]))
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[first[i] : last[i]].tobytes(), seed)
+    return h
+
+
 def rolling(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of each k consecutive words (across text borders too; see ``inside``)."""
     n = max(0, len(hashes) - k + 1)

@@ -34,12 +34,18 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import discard, materialize, small, stacked, table
 from orrery.llm.components import components
-from orrery.llm.shingles import hashed_words, listed_words, rolling
+from orrery.llm.shingles import rolling, word_bounds, word_hashes
 from orrery.llm.token_counts import chunks
 
 WIDTH, SEED = 13, 6
 
 
+def hashed_words(texts: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words one after another, and the word offsets of each text (n + 1)."""
+    data, first, last, offsets, _ = word_bounds(texts)
+    return word_hashes(data, first, last, seed), offsets
+
+
 def _windows(words: np.ndarray, offsets: np.ndarray, width: int, seed: int):
     """For a batch: text of each word, window starts, hashes of the ``seed``-word parts and the place of each window's minimizer."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -175,20 +181,32 @@ def path_pieces(edges: DataFrame, branching: DataFrame) -> DataFrame:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows (place of a run, bits of its windows) of one document, piece and distance to the source, as stretches in a row."""
+    """Windows (distance to the source, place of a run, bits of its windows) of one document and piece, as stretches in a row.
+
+    Stretches with one source and length are one row with all their places: words that go round in a circle have their source
+    in the same few windows again and again.
+    """
     for b in batches:
         lists = b.column("parts")
         flat, of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
-        places, bits = flat.field("place").to_numpy(), flat.field("bits").to_numpy()
+        ahead, places, bits = (flat.field(c).to_numpy() for c in ("ahead", "place", "bits"))
         here = [np.flatnonzero(bits >> j & 1) for j in range(int(bits.max(initial=0)).bit_length())]
-        row = np.concatenate([of[x] for x in here] or [of[:0]])
+        part = np.concatenate(here or [np.zeros(0, np.int64)])
+        row, far = of[part], ahead[part]
         at = np.concatenate([places[x] + j for j, x in enumerate(here)] or [places[:0]])
-        order = np.lexsort((at, row))
-        row, at = row[order], at[order]
-        heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)][: len(at)])
-        own, first = b.take(pa.array(row[heads])), pa.array(at[heads])
-        cols = [own.column("doc_id"), first, pa.array(np.diff(np.r_[heads, len(at)]).astype(np.int32)), own.column("source"), pc.add(first, own.column("ahead")), own.column("piece")]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "n", "source", "source_place", "piece"])
+        order = np.lexsort((at, far, row))
+        row, far, at = row[order], far[order], at[order]
+        heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (far[1:] != far[:-1]) | (at[1:] != at[:-1] + 1)][: len(at)])
+        n = np.diff(np.r_[heads, len(at)]).astype(np.int32)
+        row, at, source = row[heads], at[heads], at[heads] + far[heads]
+        text = at >> 32
+        order = np.lexsort((at, n, source, text, row))
+        row, text, at, source, n = row[order], text[order], at[order], source[order], n[order]
+        firsts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (text[1:] != text[:-1]) | (source[1:] != source[:-1]) | (n[1:] != n[:-1])][: len(at)])
+        starts = pa.ListArray.from_arrays(pa.array(np.r_[firsts, len(at)].astype(np.int32)), pa.array((at & 0xFFFFFFFF).astype(np.int32)))
+        own = b.take(pa.array(row[firsts]))
+        cols = [own.column("doc_id"), pa.array(text[firsts]), starts, pa.array(n[firsts]), own.column("source"), pa.array(source[firsts]), own.column("piece")]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "starts", "n", "source", "source_place", "piece"])
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -198,6 +216,16 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Dat
     ``row`` is a hash of the text, since rows may share a doc_id. ``start`` counts words from 0, ``n`` windows: the words
     covered are start .. start + n + width - 2.
     """
+    spans = grouped_spans(docs, width, seed)
+    return spans.select("doc_id", "row", F.explode("starts").alias("start"), *SPAN[2:], "path")
+
+
+#: What the stretches in one row of ``grouped_spans`` share.
+SPAN = ["doc_id", "row", "n", "source", "source_row", "source_start"]
+
+
+def grouped_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """``repeated_spans`` with one row for all stretches of a text that have one source and length: their places are ``starts``."""
     own = _own(docs)
     repeated = repeated_seeds(own, width, seed)
     found = materialize(runs(own, repeated, width, seed), "runs")
@@ -217,10 +245,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Dat
     sources = materialize(sources.join(distinct.select("id", *keys), "id").drop("id"), "keyed")
     discard(distinct)
     parts = found.select("doc_id", "place", *keys).join(sources, list(RUN)).where("source < doc_id").select("doc_id", "place", "source", "piece", (F.col("ahead") - F.col("place")).alias("ahead"), "bits")
-    lists = parts.groupBy("doc_id", "source", "piece", "ahead").agg(F.collect_list(F.struct("place", "bits")).alias("parts"))
-    stretches = lists.mapInArrow(_stretches, "doc_id long, place long, n int, source long, source_place long, piece long")
-    low = lambda c: F.expr(f"cast({c} & 4294967295 as int)")
-    spans = stretches.join(paths, ["source", "piece"]).select("doc_id", F.shiftright("place", 32).alias("row"), low("place").alias("start"), "n", "source", F.shiftright("source_place", 32).alias("source_row"), low("source_place").alias("source_start"), "path")
+    lists = parts.groupBy("doc_id", "source", "piece").agg(F.collect_list(F.struct("ahead", "place", "bits")).alias("parts"))
+    stretches = lists.mapInArrow(_stretches, "doc_id long, row long, starts array<int>, n int, source long, source_place long, piece long")
+    spans = stretches.join(paths, ["source", "piece"]).select("doc_id", "row", "starts", "n", "source", F.shiftright("source_place", 32).alias("source_row"), F.expr("cast(source_place & 4294967295 as int)").alias("source_start"), "path")
     spans = materialize(spans, "spans")
     discard(found, paths, sources)
     return spans
@@ -269,31 +296,36 @@ def source_hashes(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> Data
 def cut_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` and _cut_n_words, _cut_n_removed and _cut_text (the words that no confirmed span covers, joined by one space).
 
-    Where ``docs`` has columns of these names, the new ones get further underscores in front.
+    ``spans`` are those of ``repeated_spans`` or ``grouped_spans``. Where ``docs`` has columns of these names, the new ones get
+    further underscores in front.
     """
     names = list(docs.columns)
+    if "starts" not in spans.columns:
+        spans = spans.groupBy(*SPAN).agg(F.collect_list("start").alias("starts"))
     hashes = materialize(source_hashes(docs, spans, width), "hashes")
     known = spans.join(hashes, ["source", "source_row", "source_start", "n"])
-    per_doc = known.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "hash")).alias("spans")).select(F.col("doc_id").alias("span_doc"), F.col("row").alias("span_row"), "spans")
+    per_doc = known.groupBy("doc_id", "row").agg(F.collect_list(F.struct("starts", "n", "hash")).alias("spans")).select(F.col("doc_id").alias("span_doc"), F.col("row").alias("span_row"), "spans")
     at = names.index("text")
     plain = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, at):
-                flat, words, offsets = listed_words(b.column(at), seed=1)
-                own = pc.list_flatten(b.column(len(names)))
-                first = offsets[pc.list_parent_indices(b.column(len(names))).to_numpy()] + own.field("start").to_numpy()
-                count = own.field("n").to_numpy().astype(np.int64) + width - 1
-                same = span_hashes(words, first, count) == own.field("hash").to_numpy().view(np.uint64)
+                data, begins, ends, offsets, borders = word_bounds(b.column(at))
+                words = word_hashes(data, begins, ends, seed=1)
+                own, of = pc.list_flatten(b.column(len(names))), pc.list_parent_indices(b.column(len(names))).to_numpy()
+                places = own.field("starts")
+                span = pc.list_parent_indices(places).to_numpy()
+                first = offsets[of[span]] + pc.list_flatten(places).to_numpy()
+                count = own.field("n").to_numpy().astype(np.int64)[span] + width - 1
+                same = span_hashes(words, first, count) == own.field("hash").to_numpy().view(np.uint64)[span]
                 covered = np.zeros(len(words) + 1, np.int64)
                 np.add.at(covered, first[same], 1)
                 np.add.at(covered, (first + count)[same], -1)
                 keep = np.cumsum(covered[:-1]) <= 0
-                ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
-                kept = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.filter(pa.array(keep)))
-                n_words = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(n_words), pa.array(n_words - np.diff(ends)), pc.binary_join(kept, " ")], [*plain, "n_words", "n_removed", "kept"])
+                n_words, n_removed = np.diff(offsets), np.diff(np.concatenate([[0], np.cumsum(~keep)])[offsets])
+                kept = _joined(data, begins[keep], ends[keep], borders)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(n_words), pa.array(n_removed), kept], [*plain, "n_words", "n_removed", "kept"])
 
     ddl = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, docs.schema, strict=True)), "n_words long, n_removed long, kept string"])
     rows = docs.toDF(*plain)
@@ -302,12 +334,27 @@ def cut_spans(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFram
     return joined.mapInArrow(run, ddl).toDF(*names, *stacked(CUT, names))
 
 
+def _joined(data: np.ndarray, first: np.ndarray, last: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """The words at these places, of each text joined by one space; ``borders``: byte offsets of the texts."""
+    own = np.searchsorted(borders, first, "right")
+    # between two words of one text stands white space: its first byte is the space that joins them
+    more = np.r_[own[1:] == own[:-1], np.zeros(min(1, len(own)), bool)]
+    data = data.copy()
+    data[last[more]] = 32
+    marks = np.zeros(len(data) + 1, np.int8)
+    marks[first] += 1
+    np.subtract.at(marks, last + more, 1)
+    keep = np.cumsum(marks[:-1], dtype=np.int8).view(bool)
+    sizes = np.concatenate([[0], np.cumsum(keep)])[borders]
+    return pa.StringArray.from_buffers(len(borders) - 1, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(data[keep]))
+
+
 CUT = ["_cut_n_words", "_cut_n_removed", "_cut_text"]
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the kept text in place of ``text`` (and its length in place of ``n_chars``, if there)."""
-    cut = cut_spans(docs, repeated_spans(docs, width), width)
+    cut = cut_spans(docs, grouped_spans(docs, width), width)
     _, removed, kept = stacked(CUT, docs.columns)
     # texts that lose nothing keep their white space; null stays null
     text = F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text"))
@@ -317,7 +364,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cut_spans(docs, repeated_spans(docs)).select("doc_id", F.col("_cut_n_words").alias("n_words"), F.col("_cut_n_removed").alias("n_removed"), F.sha2(F.col("_cut_text"), 256).alias("kept_sha256"))
+    return cut_spans(docs, grouped_spans(docs)).select("doc_id", F.col("_cut_n_words").alias("n_words"), F.col("_cut_n_removed").alias("n_removed"), F.sha2(F.col("_cut_text"), 256).alias("kept_sha256"))
 
 
 _SQL = r"""
