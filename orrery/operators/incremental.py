@@ -23,7 +23,7 @@ from orrery.operators.bars import as_of, close_series, weekly_dates
 from orrery.operators.indicators import ppo_parts
 from orrery.operators.rrg import history_rows, rotation
 from orrery.operators.sctr import component_series
-from orrery.operators.synthetic_index import BASE, member_closes
+from orrery.operators.synthetic_index import BASE, changes, member_closes
 from orrery.sources import catalogue
 
 TABLES = ("weights", "closes", "index", "means", "past")
@@ -48,23 +48,31 @@ def no_state(spark: SparkSession, weights: DataFrame) -> dict[str, DataFrame]:
     return {"weights": weights} | {name: spark.createDataFrame([], kind) for name, kind in empty.items()}
 
 
-def extended_index(state: dict[str, DataFrame], closes: DataFrame, fill) -> tuple[DataFrame, DataFrame]:
-    """(new index rows, last closes after them). ``closes``: the new rows of ``member_closes``."""
+def extended_index(state: dict[str, DataFrame], closes: DataFrame, fill, keep=lambda frame: frame) -> tuple[DataFrame, DataFrame]:
+    """(new index rows, last closes after them). ``closes``: the new rows of ``member_closes``, with the close before each.
+
+    Only a constituent's first new close looks at the state's closes; the others meet as sums by pairs of dates, which ``keep`` may write out.
+    """
     k = scope(closes, "industry_key")
     weights = state["weights"].select(*k, "symbol", "weight", "members")
-    own = closes.join(weights.drop("members"), [*k, "symbol"])
+    own = closes.drop("cap").join(weights.select(*k, "symbol", F.col("weight").alias("cap")), [*k, "symbol"])
+    changed = keep(changes(own))
     ends = state["index"].groupBy(*k).agg(F.max_by("close", "date").alias("level"), F.max("place").alias("last"))
-    days = own.select(*k, "date").distinct().join(ends, k, "left")
+    days = changed.select(*k, "date").distinct().join(ends, k, "left")
     order = Window.partitionBy(*k).orderBy("date")
     days = days.withColumn("place", F.row_number().over(order) + F.coalesce("last", F.lit(0)))
-    old = state["closes"].join(weights.drop("members"), [*k, "symbol"]).withColumn("date", F.lit(None).cast("date"))
-    rows = own.where("close is not null").join(days.select(*k, "date", "place"), [*k, "date"]).select(*k, "symbol", "date", "place", "close", "weight").unionByName(old.select(*k, "symbol", "date", "place", "close", "weight"))
-    by_symbol = Window.partitionBy(*k, "symbol").orderBy("place")
-    change = F.when(F.col("place") - F.lag("place").over(by_symbol) <= fill + 1, F.try_divide(F.col("close"), F.lag("close").over(by_symbol)) - 1)
-    daily = rows.withColumn("r", change).where("date is not null").groupBy(*k, "date").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
+    placed = days.select(*k, "date", "place")
+    later = changed.where("before is not null").join(placed.select(*k, F.col("date").alias("before"), F.col("place").alias("_from")), [*k, "before"])
+    old = state["closes"].select(*k, "symbol", "close", "place")
+    begun = own.where("before is null").join(old.select(*k, "symbol", F.col("close").alias("_old"), F.col("place").alias("_from")), [*k, "symbol"])
+    begun = begun.withColumn("capped", F.col("cap") * (F.try_divide("close", "_old") - 1))
+    linked = later.select(*k, "date", "_from", "capped").unionByName(begun.select(*k, "date", "_from", "capped")).join(placed, [*k, "date"])
+    daily = linked.where(F.col("place") - F.col("_from") <= fill + 1).groupBy(*k, "date").agg(F.sum("capped").alias("r"))
     counts = weights.groupBy(*k).agg(F.first("members").cast("int").alias("members"))
     grown = F.product(1 + F.coalesce("r", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     index = days.join(daily, [*k, "date"], "left").join(counts, k).select(*k, "date", (F.coalesce("level", F.lit(BASE)) * grown).alias("close"), "members", "place")
+    newest = own.groupBy(*k, "symbol").agg(F.max_by("close", "date").alias("close"), F.max("date").alias("date")).join(placed, [*k, "date"])
+    rows = old.unionByName(newest.select(*k, "symbol", "close", "place"))
     return index, rows.groupBy(*k, "symbol").agg(F.max_by("close", "place").alias("close"), F.max("place").alias("place"))
 
 
@@ -74,7 +82,7 @@ def step(state: dict[str, DataFrame], bars: DataFrame, membership: DataFrame, be
     ``benchmark``: weekly closes from as far back as the state's weeks. ``keep`` writes a table out and returns it.
     """
     fill = F.when(F.col("freq") == "d", 5).otherwise(2)
-    new, closes = extended_index(state, keep(member_closes(close_series(bars, FREQS), membership)), fill)
+    new, closes = extended_index(state, keep(member_closes(close_series(bars, FREQS), membership)), fill, keep)
     new = keep(new)
     both = state["index"].unionByName(new)
     of = lambda frame, freq: frame.where(F.col("freq") == freq).drop("freq")

@@ -80,3 +80,22 @@ def test_snapshots_side_by_side(spark):
     rows = spark.createDataFrame([("a", dt.date(2024, 1, n)) for n in (1, 5, 9)], "symbol string, date date")
     got = sorted((str(r.as_of), r.date.day) for r in B.as_of_each(rows, ["2024-01-05", "2024-01-31", "2023-01-01"]).collect())
     assert got == [("2024-01-05", 1), ("2024-01-05", 5), ("2024-01-31", 1), ("2024-01-31", 5), ("2024-01-31", 9)]
+
+
+def test_steps_shuffle_sums_not_closes(spark):
+    """What a step's index keeps grows with pairs of dates, not with constituents."""
+    written = []
+
+    def keep(frame):
+        written.append(frame.count())
+        return frame
+
+    for n in (4, 30):
+        rows = [(f"S{s}", dt.date(2021, 1, 4) + dt.timedelta(days=i), 10.0 + (s * i) % 7) for s in range(n) for i in range(28)]
+        bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+        membership = spark.createDataFrame([(f"S{s}", "x", 1.0 + s) for s in range(n)], "symbol string, industry_key string, market_cap double")
+        series = B.close_series(bars, incremental.FREQS)
+        state = incremental.no_state(spark, synthetic_index.weights(series, membership))
+        index, _ = incremental.extended_index(state, synthetic_index.member_closes(series, membership), 5, keep)
+        assert index.count() == 20 + 4
+    assert written == [24, 24]
