@@ -22,7 +22,8 @@ def member_closes(bars: DataFrame, membership: DataFrame) -> DataFrame:
     of ``HISTORY`` that they have."""
     cap = F.when(F.col("market_cap") > 0, F.col("market_cap")).otherwise(0.0)
     members = membership.where("symbol is not null and industry_key is not null").select("industry_key", "symbol", cap.alias("cap")).dropDuplicates(["industry_key", "symbol"])
-    return bars.select(*scope(bars), "symbol", "date", "close", *(c for c in HISTORY if c in bars.columns)).join(members, "symbol")
+    # a hashed table of each task's constituents: bars come by symbol already and are not sorted again
+    return bars.select(*scope(bars), "symbol", "date", "close", *(c for c in HISTORY if c in bars.columns)).join(members.hint("shuffle_hash"), "symbol")
 
 
 def _weights(closes: DataFrame, min_symbol_rows: int | Column, min_members: int) -> DataFrame:

@@ -51,6 +51,20 @@ def test_series_of_trades_need_one_shuffle(spark):
     assert sorted(map(tuple, series.select(columns).collect()), key=str) == sorted(map(tuple, B.close_series(bars, ("d", "w", "m"), ("1998-06-30", "9999-12-31")).select(columns).collect()), key=str)
 
 
+def test_closes_of_all_frequencies_are_not_sorted_again(spark):
+    """Constituents' closes come in order of their stocks; the join with industries takes them as they come, whatever its size."""
+    m = Market(spark, "/root/testdata/sf0.001", shared=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        closes = synthetic_index.member_closes(B.close_series(m.closes, ("d", "w", "m")), m.membership)
+        plan = closes._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    after = plan[: plan.index("Generate explode")]
+    assert "Join" in after and "Sort" not in after
+
+
 def test_sums_do_not_grow_with_constituents(spark):
     """Constituents with the same dates share the rows that are written out."""
     days = [dt.date(2022, 1, 3) + dt.timedelta(days=i) for i in range(30)]
